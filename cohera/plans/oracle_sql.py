@@ -95,3 +95,163 @@ FROM texts WHERE NOT (pos = neg)
 ORACLE = {
     "p8_negative_dataset": P8,
 }
+
+
+# ---------------------------------------------------------------------------
+# SQL building blocks mirroring the text expressions
+# ---------------------------------------------------------------------------
+
+def STRIP(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def PLAIN(x: str) -> str:
+    return f"regexp_replace({STRIP(f'lower({x})')}, '(<s>|</s>)', '', 'g')"
+
+
+def TAGGED(x: str) -> str:
+    return f"('<s>' || regexp_replace({PLAIN(x)}, '[^a-zA-Z.!?@]+', ' ', 'g') || '</s>')"
+
+
+def CASED(x: str) -> str:
+    return f"regexp_replace({STRIP(x)}, '(<s>|</s>)', '', 'g')"
+
+
+def WS(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
+
+
+def SIMPLE(x: str) -> str:
+    return (f"list_filter(regexp_extract_all(strip_accents(lower({x})), '([\\p{{L}}_]+)', 1), "
+            f"lambda t: length(t) >= 2 AND length(t) <= 15 AND NOT starts_with(t, '_'))")
+
+
+_STARTERS = ("(Mr|Mrs|Ms|Dr|He\\s|She\\s|It\\s|They\\s|Their\\s|Our\\s|We\\s|But\\s"
+             "|However\\s|That\\s|This\\s|Wherever)")
+
+
+def SPLIT_SENTS(x: str, keep_tail: bool = True) -> str:
+    def rr(t, p, r):
+        return f"regexp_replace({t}, '{p}', '{r}', 'g')"
+    t = f"(' ' || {x} || '  ')"
+    t = f"replace({t}, chr(10), ' ')"
+    t = rr(t, "([0-9])[.]([0-9])", r"\1<prd>\2")
+    t = rr(t, "(Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt)[.]", r"\1<prd>")
+    t = rr(t, "[.](com|net|org|io|gov|me|edu)", r"<prd>\1")
+    t = f"replace({t}, 'Ph.D.', 'Ph<prd>D<prd>')"
+    t = rr(t, r"\s([A-Za-z])[.] ", r" \1<prd> ")
+    t = rr(t, "([A-Z][.][A-Z][.](?:[A-Z][.])?) " + _STARTERS, r"\1<stop> \2")
+    t = rr(t, "([A-Za-z])[.]([A-Za-z])[.]([A-Za-z])[.]", r"\1<prd>\2<prd>\3<prd>")
+    t = rr(t, "([A-Za-z])[.]([A-Za-z])[.]", r"\1<prd>\2<prd>")
+    t = rr(t, " (Inc|Ltd|Jr|Sr|Co)[.] " + _STARTERS, r" \1<stop> \2")
+    t = rr(t, " (Inc|Ltd|Jr|Sr|Co)[.]", r" \1<prd>")
+    t = rr(t, " ([A-Za-z])[.]", r" \1<prd>")
+    t = f"replace({t}, '.”', '”.')"
+    t = f"replace({t}, '.\"', '\".')"
+    t = f"replace({t}, '!\"', '\"!')"
+    t = f"replace({t}, '?\"', '\"?')"
+    t = f"replace({t}, 'e.g.', 'e<prd>g<prd>')"
+    t = f"replace({t}, 'i.e.', 'i<prd>e<prd>')"
+    t = rr(t, "([.?!])", r"\1<stop>")
+    t = f"replace({t}, '<prd>', '.')"
+    pieces = f"list_transform(string_split({t}, '<stop>'), lambda p: {STRIP('p')})"
+    if not keep_tail:
+        return f"list_slice({pieces}, 1, len({pieces}) - 1)"
+    return (f"(CASE WHEN {pieces}[-1] <> '' THEN {pieces} "
+            f"ELSE list_slice({pieces}, 1, len({pieces}) - 1) END)")
+
+
+SENTS = """
+sents AS (SELECT doc_id, CAST(unnest(range(len(sents))) AS INTEGER) AS sent_idx,
+                 unnest(sents) AS sentence FROM docs)
+"""
+
+REVIEWS = """
+reviews AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS DOC_ID,
+         CASE WHEN l.quality IS NULL THEN NULL
+              ELSE '__label' || CAST(l.quality + 1 AS VARCHAR) || '__' END AS LABEL,
+         CAST(coalesce(l.toxic, 0) * 4 + 1 AS INTEGER) AS RATING,
+         CASE WHEN l.toxic = 1 THEN 'N' ELSE 'Y' END AS VERIFIED_PURCHASE,
+         d.source AS PRODUCT_CATEGORY, 'P' || CAST(d.doc_id AS VARCHAR) AS PRODUCT_ID,
+         string_split(d.text, chr(10))[1] AS PRODUCT_TITLE, d.lang AS REVIEW_TITLE,
+         d.text AS REVIEW_TEXT
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+STOP_SQL = None  # filled below from the Python list
+
+
+def _stop_sql():
+    from cohera.functions.text import STOP_WORDS
+    return "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+STOP_SQL = _stop_sql()
+
+ORACLE.update({
+    "t1_normalize": f"""WITH {DOCS}, {SENTS}
+SELECT doc_id, sent_idx, {PLAIN('sentence')} AS plain, {TAGGED('sentence')} AS tagged,
+       {CASED('sentence')} AS cased FROM sents""",
+    "t2_tokenize": f"""WITH {DOCS}, {SENTS}
+SELECT doc_id, sent_idx, array_to_string({WS('sentence')}, ' ') AS ws,
+       CAST(len({WS('sentence')}) AS INTEGER) AS n_ws,
+       array_to_string(list_slice({WS('sentence')}, 2, greatest(len({WS('sentence')}) - 1, 1)), ' ')
+         AS strip_ends,
+       array_to_string({SIMPLE('sentence')}, ' ') AS simple FROM sents""",
+    "t3_split_sentences": f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+       {SPLIT_SENTS('text', True)} AS ss FROM documents)
+SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS sent_idx, unnest(ss) AS sentence FROM s""",
+    "t3_split_sentences_ref": f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+       {SPLIT_SENTS('text', False)} AS ss FROM documents)
+SELECT doc_id, CAST(len(ss) AS INTEGER) AS n_sents, array_to_string(ss, chr(10)) AS sentences
+FROM s""",
+    "t4_first_last": f"""WITH {REVIEWS}, s AS (SELECT DOC_ID, {SPLIT_SENTS('REVIEW_TEXT')} AS ss
+  FROM reviews)
+SELECT DOC_ID, ss[1] AS first_sentence, ss[-1] AS last_sentence FROM s""",
+    "t5_flatten_tokens": f"""WITH {DOCS}, t AS (
+  SELECT doc_id, list_filter(list_transform(sents, lambda s: {WS(TAGGED('s'))}),
+                             lambda a: len(a) > 0) AS toks FROM docs)
+SELECT doc_id, CAST(len(flatten(toks)) AS INTEGER) AS n_tokens,
+       array_to_string(flatten(toks), ' ') AS global_tokens,
+       array_to_string(list_transform(toks, lambda a: array_to_string(a, ' ')), chr(10))
+         AS local_sentences FROM t""",
+    "t6_doc_names": """WITH n AS (SELECT 'wsj_' || lpad(CAST(doc_id AS VARCHAR), 4, '0')
+  || '.pos.text.parsed.ner.EGrid' AS name FROM documents)
+SELECT name, array_to_string(string_split(name, '.')[1:3], '.') AS stem,
+       string_split(name, '.')[1] AS base, substr(string_split(name, '.')[1], 5, 2) AS section,
+       array_to_string(string_split(name, '.')[1:3], '.') || '_3_20' AS neg_name FROM n""",
+    "t7_prompts": f"""WITH {REVIEWS}, s AS (SELECT *, {SPLIT_SENTS('REVIEW_TEXT')} AS ss FROM reviews)
+SELECT DOC_ID,
+  '[BOS]' || coalesce(PRODUCT_TITLE, '') || '[SEP]' || coalesce(REVIEW_TITLE, '') || '[SEP]'
+    || coalesce(REVIEW_TEXT, '') || '[EOS]' AS prompt_title,
+  '[BOS]' || coalesce(ss[1], '') || '[SEP]' || coalesce(ss[-1], '') || '[SEP]'
+    || coalesce(REVIEW_TEXT, '') || '[EOS]' AS prompt_first_last,
+  '[BOS]' || coalesce(ss[1], '') || '[SEP]' || coalesce(ss[-1], '') || '[SEP]' AS query_first_last
+FROM s""",
+    "t8_strip_prompt": f"""WITH {REVIEWS}, s AS (SELECT *, {SPLIT_SENTS('REVIEW_TEXT')} AS ss FROM reviews),
+g AS (SELECT DOC_ID, coalesce(ss[1], '') AS a, coalesce(ss[-1], '') AS b,
+             coalesce(ss[1], '') || coalesce(ss[-1], '') || REVIEW_TEXT AS generated FROM s)
+SELECT DOC_ID, substr(generated, length(a) + length(b) + 1) AS continuation FROM g""",
+    "t9_doc_size": f"""WITH {DOCS} SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_sents FROM docs""",
+    "t16_numbered_list": """SELECT conv_id, string_agg('Generated Sentences ' || CAST(turn + 1 AS VARCHAR)
+  || ': ' || text || chr(13) || chr(10) || chr(13) || chr(10), '' ORDER BY turn) AS numbered
+FROM conversations GROUP BY conv_id""",
+    "f1_min_sentences": f"""WITH {DOCS}
+SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_lines FROM docs WHERE len(sents) >= 10""",
+    "f3_drop_empty_sentences": f"""WITH {DOCS}
+SELECT doc_id, CAST(len(list_filter(list_transform(sents, lambda s: {PLAIN('s')}),
+  lambda s: s <> '')) AS INTEGER) AS n_kept,
+  CAST(len(list_transform(sents, lambda s: {TAGGED('s')})) AS INTEGER) AS n_tagged FROM docs""",
+    "f5_filter_label": f"""WITH {REVIEWS}
+SELECT DOC_ID, CASE WHEN LABEL IS NOT DISTINCT FROM '__label1__' THEN 'eq' ELSE 'ne' END AS branch
+FROM reviews""",
+    "f6_remove_stopwords": f"""WITH {DOCS}, {SENTS}
+SELECT doc_id, sent_idx, array_to_string(list_filter({WS(PLAIN('sentence'))},
+  lambda t: NOT list_contains({STOP_SQL}, t)), ' ') AS kept FROM sents""",
+    "a1_word_count": f"""WITH {DOCS}, {SENTS}, w AS (SELECT unnest({WS(TAGGED('sentence'))}) AS word FROM sents)
+SELECT word, count(*) AS cnt FROM w GROUP BY word""",
+    "a1_char_count": f"""WITH {DOCS}, {SENTS},
+w AS (SELECT unnest(string_split({PLAIN('sentence')}, '')) AS word FROM sents)
+SELECT word, count(*) AS cnt FROM w WHERE word <> '' GROUP BY word""",
+})

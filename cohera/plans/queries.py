@@ -31,3 +31,140 @@ def q_p8_negative_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p8_negative_dataset": q_p8_negative_dataset,
 }
+
+
+# ---------------------------------------------------------------------------
+# Phase 1: text scalars, filters, word count
+# ---------------------------------------------------------------------------
+from cohera.functions.text import normalize, split_sentences, tokenize  # noqa: E402
+from cohera.operators import filters as FL  # noqa: E402
+from cohera.operators import text_ops as TX  # noqa: E402
+
+
+def _sents(spark, sf_dir):
+    return TX.sentence_table(C.corpus(spark, sf_dir))
+
+
+def q_t1_normalize(spark, sf_dir):
+    return _sents(spark, sf_dir).select(
+        "doc_id", "sent_idx", normalize("sentence", "plain").alias("plain"),
+        normalize("sentence", "tagged").alias("tagged"), normalize("sentence", "cased").alias("cased"))
+
+
+def q_t2_tokenize(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    ws = tokenize("sentence", "whitespace")
+    return s.select("doc_id", "sent_idx", F.array_join(ws, " ").alias("ws"),
+                    F.size(ws).alias("n_ws"),
+                    F.array_join(tokenize("sentence", "strip_ends"), " ").alias("strip_ends"),
+                    F.array_join(tokenize("sentence", "simple"), " ").alias("simple"))
+
+
+def q_t3_split_sentences(spark, sf_dir):
+    d = C.load(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return TX.split_reviews(d, "text", "doc_id", keep_tail=True)
+
+
+def q_t3_split_sentences_ref(spark, sf_dir):
+    d = C.load(spark, sf_dir, "documents")
+    ss = split_sentences(F.col("text"), keep_tail=False)
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.size(ss).alias("n_sents"),
+                    F.array_join(ss, NL).alias("sentences"))
+
+
+def q_t4_first_last(spark, sf_dir):
+    r = TX.first_last_sentence(C.reviews(spark, sf_dir), "REVIEW_TEXT")
+    return r.select("DOC_ID", "first_sentence", "last_sentence")
+
+
+def q_t5_flatten_tokens(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    g = TX.flatten_tokens(F.col("sents"), "global")
+    return d.select("doc_id", F.size(g).alias("n_tokens"), F.array_join(g, " ").alias("global_tokens"),
+                    F.array_join(TX.flatten_tokens(F.col("sents"), "local"), NL).alias("local_sentences"))
+
+
+def q_t6_doc_names(spark, sf_dir):
+    d = C.load(spark, sf_dir, "documents")
+    name = F.concat(F.lit("wsj_"), F.lpad(F.col("doc_id").cast("string"), 4, "0"),
+                    F.lit(".pos.text.parsed.ner.EGrid"))
+    p = TX.parse_doc_name(name)
+    return d.select(name.alias("name"), p["stem"].alias("stem"), p["base"].alias("base"),
+                    p["section"].alias("section"),
+                    TX.compose_neg_name(p["stem"], F.lit(3), F.lit(20)).alias("neg_name"))
+
+
+def q_t7_prompts(spark, sf_dir):
+    r = TX.first_last_sentence(C.reviews(spark, sf_dir), "REVIEW_TEXT")
+    return r.select(
+        "DOC_ID",
+        TX.build_prompt("title", "PRODUCT_TITLE", "REVIEW_TITLE", "REVIEW_TEXT").alias("prompt_title"),
+        TX.build_prompt("first_last", first="first_sentence", last="last_sentence",
+                        text="REVIEW_TEXT").alias("prompt_first_last"),
+        TX.build_prompt("first_last", first="first_sentence", last="last_sentence",
+                        query=True).alias("query_first_last"))
+
+
+def q_t8_strip_prompt(spark, sf_dir):
+    r = TX.first_last_sentence(C.reviews(spark, sf_dir), "REVIEW_TEXT")
+    a, b = F.coalesce("first_sentence", F.lit("")), F.coalesce("last_sentence", F.lit(""))
+    g = r.select("DOC_ID", a.alias("a"), b.alias("b"), F.concat(a, b, F.col("REVIEW_TEXT")).alias("g"))
+    return g.select("DOC_ID", TX.strip_prompt("g", "a", "b").alias("continuation"))
+
+
+def q_t9_doc_size(spark, sf_dir):
+    return C.corpus(spark, sf_dir).select("doc_id", TX.doc_size(F.col("sents")).alias("n_sents"))
+
+
+def q_t16_numbered_list(spark, sf_dir):
+    c = C.load(spark, sf_dir, "conversations")
+    return TX.numbered_list(c, "conv_id", "turn", "text")
+
+
+def q_f1_min_sentences(spark, sf_dir):
+    return FL.min_sentences(C.corpus(spark, sf_dir), 10).select(
+        "doc_id", F.size("sents").alias("n_lines"))
+
+
+def q_f3_drop_empty_sentences(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    plain = F.transform("sents", lambda s: normalize(s, "plain"))
+    tagged = F.transform("sents", lambda s: normalize(s, "tagged"))
+    return d.select("doc_id", F.size(FL.drop_empty_sentences(plain)).alias("n_kept"),
+                    F.size(FL.drop_empty_sentences(tagged)).alias("n_tagged"))
+
+
+def q_f5_filter_label(spark, sf_dir):
+    r = C.reviews(spark, sf_dir)
+    eq = FL.filter_label(r, "LABEL", "__label1__", keep=True).select("DOC_ID", F.lit("eq").alias("branch"))
+    ne = FL.filter_label(r, "LABEL", "__label1__", keep=False).select("DOC_ID", F.lit("ne").alias("branch"))
+    return eq.unionByName(ne)
+
+
+def q_f6_remove_stopwords(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    toks = tokenize(normalize("sentence", "plain"), "whitespace")
+    return s.select("doc_id", "sent_idx", F.array_join(FL.remove_stopwords(toks), " ").alias("kept"))
+
+
+def q_a1_word_count(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    w = s.select(F.explode(tokenize(normalize("sentence", "tagged"), "whitespace")).alias("word"))
+    return TX.word_count(w, "word")
+
+
+def q_a1_char_count(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    return TX.word_count(s.select(normalize("sentence", "plain").alias("word")), "word", unit="char")
+
+
+QUERIES.update({
+    "t1_normalize": q_t1_normalize, "t2_tokenize": q_t2_tokenize,
+    "t3_split_sentences": q_t3_split_sentences, "t3_split_sentences_ref": q_t3_split_sentences_ref,
+    "t4_first_last": q_t4_first_last, "t5_flatten_tokens": q_t5_flatten_tokens,
+    "t6_doc_names": q_t6_doc_names, "t7_prompts": q_t7_prompts, "t8_strip_prompt": q_t8_strip_prompt,
+    "t9_doc_size": q_t9_doc_size, "t16_numbered_list": q_t16_numbered_list,
+    "f1_min_sentences": q_f1_min_sentences, "f3_drop_empty_sentences": q_f3_drop_empty_sentences,
+    "f5_filter_label": q_f5_filter_label, "f6_remove_stopwords": q_f6_remove_stopwords,
+    "a1_word_count": q_a1_word_count, "a1_char_count": q_a1_char_count,
+})
