@@ -98,26 +98,27 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     """Dense 0..n-1 index in the order of ``order_cols`` without a
     single-partition window.
 
-    Range-partition by the order columns, sort inside partitions, count per
-    partition (a tiny list of counts to the driver), then add each
-    partition's offset to a per-partition row number. Deterministic for a
-    total order (``order_cols`` must be unique)."""
-    from pyspark.sql.window import Window
+    Range-partition by the order columns and sort inside partitions; then
+    ``monotonically_increasing_id`` is ``(partition << 33) + position``, so
+    one small job counts rows per partition (a list of at most
+    ``n_partitions`` numbers to the driver) and each row's index is its
+    partition's offset plus its position -- no second shuffle. ``order_cols``
+    must give a total order for the index to be deterministic."""
+    from pyspark import StorageLevel
 
     spark = df.sparkSession
     n_partitions = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n_partitions, *order_cols)
                 .sortWithinPartitions(*order_cols)
-                .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.cache()
-    counts = dict(ranged.groupBy("_pid").count().collect())
-    offs, acc = {}, 0
-    for pid in sorted(counts):
-        offs[pid] = acc
-        acc += counts[pid]
-    off_col = F.lit(0)
-    for pid, o in offs.items():
-        off_col = F.when(F.col("_pid") == pid, F.lit(o)).otherwise(off_col)
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ranged.withColumn(name, (off_col + F.row_number().over(w) - 1).cast("long"))
-                  .drop("_pid"))
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    pid = F.shiftright(F.col("_mid"), 33)
+    counts = dict((r[0], r[1]) for r in ranged.groupBy(pid.alias("_p")).count().collect())
+    offsets, acc = [], 0
+    for p in range(max(counts) + 1 if counts else 0):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    if not offsets:
+        return ranged.withColumn(name, F.lit(None).cast("long")).drop("_mid")
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (pid + 1).cast("int"))
+    return ranged.withColumn(name, off + F.col("_mid") - F.shiftleft(pid, 33)).drop("_mid")

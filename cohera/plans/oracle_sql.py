@@ -255,3 +255,116 @@ SELECT word, count(*) AS cnt FROM w GROUP BY word""",
 w AS (SELECT unnest(string_split({PLAIN('sentence')}, '')) AS word FROM sents)
 SELECT word, count(*) AS cnt FROM w WHERE word <> '' GROUP BY word""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 2
+# ---------------------------------------------------------------------------
+TOKENS = f"""
+toks AS (SELECT doc_id, sent_idx, CAST(unnest(range(len(tk))) AS INTEGER) AS tok_idx,
+                unnest(tk) AS word
+         FROM (SELECT doc_id, sent_idx, {WS(TAGGED('sentence'))} AS tk FROM sents))
+"""
+
+
+def VOCAB(src: str, name: str = "vocab") -> str:
+    return f"""
+{name}_c AS (SELECT word, count(*) AS cnt FROM {src} GROUP BY word),
+{name} AS (
+  SELECT row_number() OVER (ORDER BY cnt DESC, word) - 1 AS idx, word, cnt FROM {name}_c
+  UNION ALL SELECT (SELECT count(*) FROM {name}_c), '<unk>', 0
+  UNION ALL SELECT (SELECT count(*) FROM {name}_c) + 1, '<pad>', 0)
+"""
+
+
+EN_TOKS = "en_toks AS (SELECT * FROM toks WHERE doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en'))"
+
+HU = "('0x' || substr(md5(concat_ws('|', '42', DOC_ID)), 1, 8))::BIGINT / 4294967296.0"
+
+TFIDF = f"""
+tt AS (SELECT DOC_ID, unnest(regexp_extract_all(lower(REVIEW_TEXT), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+       FROM {{src}}),
+tf AS (SELECT DOC_ID, term, count(*) AS tf FROM tt WHERE NOT list_contains({STOP_SQL}, term)
+       GROUP BY DOC_ID, term),
+ndoc AS (SELECT count(*) AS n FROM {{src}}),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, df, ln((1.0 + n) / (df + 1.0)) + 1.0 AS idf FROM dfs, ndoc)
+"""
+
+
+def TFIDF_ON(src: str, fit: str | None = None) -> str:
+    fit = fit or src
+    fitted = TFIDF.replace("{src}", fit)
+    apply_tf = f"""
+atk AS (SELECT DOC_ID, unnest(regexp_extract_all(lower(REVIEW_TEXT), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+       FROM {src}),
+atf AS (SELECT DOC_ID, term, count(*) AS tf FROM atk WHERE NOT list_contains({STOP_SQL}, term)
+        GROUP BY DOC_ID, term),
+w0 AS (SELECT DOC_ID, term, tf * idf AS w FROM atf JOIN idf USING (term)),
+wts AS (SELECT DOC_ID, term, w / sqrt(sum(w * w) OVER (PARTITION BY DOC_ID)) AS weight FROM w0)
+"""
+    return fitted + "," + apply_tf
+
+
+TOPK = """
+topk AS (SELECT DOC_ID, term, row_number() OVER (PARTITION BY DOC_ID ORDER BY weight DESC, term) AS r
+         FROM wts WHERE weight <> 0),
+kw AS (SELECT DOC_ID, string_agg(' ' || term, '' ORDER BY r) AS keywords FROM topk WHERE r <= 10
+       GROUP BY DOC_ID)
+"""
+
+ORACLE.update({
+    "a2_build_vocab": f"WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')} SELECT * FROM vocab",
+    "a3_extend_vocab": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {EN_TOKS}, {VOCAB('en_toks')},
+newt AS (SELECT * FROM toks WHERE word NOT IN (SELECT word FROM vocab)),
+firsts AS (SELECT word, count(*) AS cnt, min((doc_id, sent_idx, tok_idx)) AS f FROM newt GROUP BY word)
+SELECT * FROM vocab
+UNION ALL SELECT (SELECT max(idx) + 1 FROM vocab) + row_number() OVER (ORDER BY f) - 1, word, cnt
+FROM firsts""",
+    "j3_encode": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {EN_TOKS}, {VOCAB('en_toks')},
+enc AS (SELECT t.doc_id, t.sent_idx, t.tok_idx,
+               coalesce(v.idx, (SELECT idx FROM vocab WHERE word = '<unk>')) AS idx
+        FROM toks t LEFT JOIN vocab v USING (word))
+SELECT doc_id, sent_idx, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY tok_idx) AS ids
+FROM enc GROUP BY doc_id, sent_idx""",
+    "t11_decode_ids": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {EN_TOKS}, {VOCAB('en_toks')},
+enc AS (SELECT t.doc_id, t.sent_idx, t.tok_idx,
+               coalesce(v.idx, (SELECT idx FROM vocab WHERE word = '<unk>')) AS idx
+        FROM toks t LEFT JOIN vocab v USING (word)),
+dec AS (SELECT e.doc_id, e.sent_idx, e.tok_idx, v.word FROM enc e LEFT JOIN vocab v USING (idx))
+SELECT doc_id, sent_idx, string_agg(word, ' ' ORDER BY tok_idx) AS text
+FROM dec GROUP BY doc_id, sent_idx""",
+    "u2_lm_vocab": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
+ext AS (SELECT * FROM vocab
+        UNION ALL SELECT (SELECT max(idx) + 1 FROM vocab), '<bos>', 0
+        UNION ALL SELECT (SELECT max(idx) + 2 FROM vocab), '<eos>', 0)
+SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, word, cnt FROM ext WHERE word <> '<pad>'""",
+    "s6_vocab_roundtrip": f"WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')} SELECT * FROM vocab",
+    "a9_fit_tfidf": f"WITH {REVIEWS}, {TFIDF.replace('{src}', 'reviews')} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "a9_tfidf_weights": f"""WITH {REVIEWS}, {TFIDF_ON('reviews')}
+SELECT DOC_ID, term, round(weight, 6) AS weight FROM wts""",
+    "k1_top_keywords": f"WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK} SELECT * FROM kw",
+    "k2_transform_keywords": f"""WITH {REVIEWS},
+train AS (SELECT * FROM reviews WHERE {HU} >= 0.2),
+test AS (SELECT * FROM reviews WHERE {HU} < 0.2),
+{TFIDF_ON('test', 'train')}, {TOPK} SELECT * FROM kw""",
+    "t15_sample_keywords": f"""WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK},
+kl AS (SELECT DOC_ID, list_filter(string_split(keywords, ' '), lambda x: x <> '') AS kws FROM kw),
+sz AS (SELECT DOC_ID, kws, ('0x' || substr(md5(concat_ws('|', '42', DOC_ID)), 1, 8))::BIGINT
+              % (len(kws) + 1) AS k FROM kl),
+pre AS (SELECT DOC_ID, k, unnest(list_slice(kws, 1, k)) AS x FROM sz WHERE k > 0)
+SELECT DOC_ID, string_agg(x, ',' ORDER BY md5(concat_ws('|', '42', DOC_ID, x))) AS sampled
+FROM pre GROUP BY DOC_ID
+UNION ALL SELECT DOC_ID, '' FROM sz WHERE k = 0""",
+    "r1_sample_fraction": f"WITH {REVIEWS} SELECT DOC_ID FROM reviews WHERE {HU} < 0.2",
+    "r1_sample_exact": f"""WITH {REVIEWS} SELECT DOC_ID FROM reviews
+ORDER BY md5(concat_ws('|', '42', DOC_ID)) LIMIT (SELECT CAST(round(0.2 * count(*)) AS BIGINT) FROM reviews)""",
+    "r2_train_test_split": f"""WITH {REVIEWS}
+SELECT DOC_ID, CASE WHEN {HU} < 0.2 THEN 'test' ELSE 'train' END AS split FROM reviews""",
+    "r3_stratified_split": f"""WITH {REVIEWS}
+SELECT DOC_ID, LABEL, CASE WHEN ('0x' || substr(md5(concat_ws('|', '42', coalesce(LABEL, '\\N'), DOC_ID)),
+  1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS label_split FROM reviews""",
+    "j2_complement": f"WITH {REVIEWS} SELECT DOC_ID FROM reviews WHERE NOT ({HU} < 0.2)",
+    "s5_write_splits": f"""WITH {REVIEWS}
+SELECT DOC_ID, CASE WHEN {HU} < 0.2 THEN 'test' ELSE 'train' END AS split FROM reviews""",
+})

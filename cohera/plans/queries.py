@@ -168,3 +168,151 @@ QUERIES.update({
     "f5_filter_label": q_f5_filter_label, "f6_remove_stopwords": q_f6_remove_stopwords,
     "a1_word_count": q_a1_word_count, "a1_char_count": q_a1_char_count,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 2: vocabulary, TF-IDF keywords, hash splits
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from cohera.functions.hashing import md5_int  # noqa: E402
+from cohera.operators import keywords as KW  # noqa: E402
+from cohera.operators import sampling as SM  # noqa: E402
+from cohera.operators import vocab as VO  # noqa: E402
+from cohera.session import checkpoint_dir  # noqa: E402
+
+SEED = 42
+
+
+def scratch_path(spark, tag: str) -> str:
+    """A fresh folder under the shared checkpoint location (never machine-local
+    on a cluster: ``spark.checkpoint.dir`` names shared storage)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{tag}-{uuid.uuid4().hex}"
+
+
+def _tagged_tokens(spark, sf_dir, docs=None):
+    d = docs if docs is not None else C.corpus(spark, sf_dir)
+    t = d.select("doc_id", F.transform("sents", lambda s: tokenize(normalize(s, "tagged"))).alias("tokens"))
+    return VO.token_table(t, "tokens")
+
+
+def _counts(tokens):
+    return TX.word_count(tokens.select("word"), "word")
+
+
+def q_a2_build_vocab(spark, sf_dir):
+    return VO.build_vocab(_counts(_tagged_tokens(spark, sf_dir)))
+
+
+def _en_vocab(spark, sf_dir):
+    en = C.corpus(spark, sf_dir).join(
+        C.load(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+        .select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+    return VO.build_vocab(_counts(_tagged_tokens(spark, sf_dir, en)))
+
+
+def q_a3_extend_vocab(spark, sf_dir):
+    return VO.extend_vocab(_en_vocab(spark, sf_dir), _tagged_tokens(spark, sf_dir))
+
+
+def q_j3_encode(spark, sf_dir):
+    enc = VO.encode(_tagged_tokens(spark, sf_dir), _en_vocab(spark, sf_dir), oov="unk")
+    r = VO.regroup(enc, ["doc_id", "sent_idx"], "tok_idx", "idx", "ids")
+    return r.select("doc_id", "sent_idx", _ints("ids").alias("ids"))
+
+
+def q_t11_decode_ids(spark, sf_dir):
+    v = _en_vocab(spark, sf_dir)
+    enc = VO.encode(_tagged_tokens(spark, sf_dir), v, oov="unk").select("doc_id", "sent_idx", "tok_idx", "idx")
+    return VO.decode_ids(enc, v, ["doc_id", "sent_idx"])
+
+
+def q_u2_lm_vocab(spark, sf_dir):
+    return VO.lm_vocab(q_a2_build_vocab(spark, sf_dir))
+
+
+def q_s6_vocab_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "vocab")
+    VO.save_vocab(q_a2_build_vocab(spark, sf_dir), path)
+    return VO.load_vocab(spark, path)
+
+
+def _reviews_text(spark, sf_dir):
+    return C.reviews(spark, sf_dir).select("DOC_ID", "LABEL", "REVIEW_TEXT")
+
+
+def q_a9_fit_tfidf(spark, sf_dir):
+    idf = KW.fit_tfidf(_reviews_text(spark, sf_dir), "DOC_ID", "REVIEW_TEXT")
+    return idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def q_a9_tfidf_weights(spark, sf_dir):
+    r = _reviews_text(spark, sf_dir)
+    idf = KW.fit_tfidf(r, "DOC_ID", "REVIEW_TEXT")
+    w = KW.tfidf_weights(r, "DOC_ID", "REVIEW_TEXT", idf)
+    return w.select("DOC_ID", "term", F.round("weight", 6).alias("weight"))
+
+
+def q_k1_top_keywords(spark, sf_dir):
+    r = _reviews_text(spark, sf_dir)
+    idf = KW.fit_tfidf(r, "DOC_ID", "REVIEW_TEXT")
+    return KW.top_keywords(KW.tfidf_weights(r, "DOC_ID", "REVIEW_TEXT", idf), "DOC_ID", 10)
+
+
+def q_k2_transform_keywords(spark, sf_dir):
+    r = _reviews_text(spark, sf_dir)
+    train, test = SM.train_test_split(r, 0.2, SEED, "DOC_ID")
+    idf = KW.fit_tfidf(train, "DOC_ID", "REVIEW_TEXT")
+    return KW.transform_keywords(test, idf, "DOC_ID", "REVIEW_TEXT", 10)
+
+
+def q_t15_sample_keywords(spark, sf_dir):
+    k = q_k1_top_keywords(spark, sf_dir)
+    kw = F.filter(F.split("keywords", " "), lambda x: x != "")
+    return k.select("DOC_ID", KW.sample_keywords(kw, SEED, F.col("DOC_ID")).alias("sampled"))
+
+
+def q_r1_sample_fraction(spark, sf_dir):
+    return SM.sample_fraction(_reviews_text(spark, sf_dir), 0.2, SEED, "DOC_ID").select("DOC_ID")
+
+
+def q_r1_sample_exact(spark, sf_dir):
+    return SM.sample_fraction(_reviews_text(spark, sf_dir), 0.2, SEED, "DOC_ID", exact=True).select("DOC_ID")
+
+
+def q_r2_train_test_split(spark, sf_dir):
+    train, test = SM.train_test_split(_reviews_text(spark, sf_dir), 0.2, SEED, "DOC_ID")
+    return train.select("DOC_ID", F.lit("train").alias("split")).unionByName(
+        test.select("DOC_ID", F.lit("test").alias("split")))
+
+
+def q_r3_stratified_split(spark, sf_dir):
+    r = SM.stratified_split(_reviews_text(spark, sf_dir), 0.2, SEED, "DOC_ID", "LABEL")
+    return r.select("DOC_ID", "LABEL", "label_split")
+
+
+def q_j2_complement(spark, sf_dir):
+    r = _reviews_text(spark, sf_dir)
+    return SM.complement(r, SM.sample_fraction(r, 0.2, SEED, "DOC_ID"), "DOC_ID").select("DOC_ID")
+
+
+def q_s5_write_splits(spark, sf_dir):
+    from cohera.sources import files as FS
+    r = C.reviews(spark, sf_dir)
+    path = scratch_path(spark, "splits")
+    FS.write_splits(r, 0.2, SEED, "DOC_ID", path)
+    back = FS.read_reviews(spark, path + "/test").select("DOC_ID", F.lit("test").alias("split")).unionByName(
+        FS.read_reviews(spark, path + "/train").select("DOC_ID", F.lit("train").alias("split")))
+    return back
+
+
+QUERIES.update({
+    "a2_build_vocab": q_a2_build_vocab, "a3_extend_vocab": q_a3_extend_vocab,
+    "j3_encode": q_j3_encode, "t11_decode_ids": q_t11_decode_ids, "u2_lm_vocab": q_u2_lm_vocab,
+    "s6_vocab_roundtrip": q_s6_vocab_roundtrip, "a9_fit_tfidf": q_a9_fit_tfidf,
+    "a9_tfidf_weights": q_a9_tfidf_weights, "k1_top_keywords": q_k1_top_keywords,
+    "k2_transform_keywords": q_k2_transform_keywords, "t15_sample_keywords": q_t15_sample_keywords,
+    "r1_sample_fraction": q_r1_sample_fraction, "r1_sample_exact": q_r1_sample_exact,
+    "r2_train_test_split": q_r2_train_test_split, "r3_stratified_split": q_r3_stratified_split,
+    "j2_complement": q_j2_complement, "s5_write_splits": q_s5_write_splits,
+})
