@@ -39,6 +39,16 @@ def binomial(m: Column, n: Column) -> Column:
                        lambda acc, j: acc * (m - n + j) / j)
 
 
+def all_combinations(m: Column, n: int) -> Column:
+    """P2 ``all`` mode: every increasing ``n``-tuple of window numbers."""
+    return _enumerate_combos(m, n)
+
+
+def window_sentences(combo: Column, w: int = 3) -> Column:
+    """Expand window numbers to their sentence indices."""
+    return F.flatten(F.transform(combo, lambda q: F.sequence(q * w, q * w + (w - 1))))
+
+
 def _enumerate_combos(m: Column, n: int) -> Column:
     """All increasing ``n``-tuples of window numbers ``0..m-1`` as an array."""
     def rec(prefix: list, lo, depth: int) -> Column:
@@ -212,16 +222,23 @@ def drop_identical_pairs(pairs: DataFrame, pos: str = "pos", neg: str = "neg") -
 def pair_pos_neg(pos_files: DataFrame, neg_files: DataFrame, window: int = 0) -> DataFrame:
     """Pair each positive document with its negatives.
 
-    Both sides carry parsed names (``doc_id``; negatives also ``n_windows`` and
-    ``perm_no``, see :func:`cohera.operators.datasets.classify_files`), so this
-    is an equi-join on ``doc_id`` -- never a regex scan of all negatives.
-    ``window=0`` keeps every window count, 1-3 restricts to it."""
+    Both sides carry parsed names (``doc_id``; negatives also ``n_windows``
+    and ``perm_no``, see :func:`cohera.operators.datasets.classify_files`),
+    so this is an equi-join on ``doc_id`` -- never a regex scan of all
+    negatives. ``window=0`` keeps every window count, 1-3 restricts to it.
+    Columns ``name``/``sents`` become ``pos_name``/``pos`` and
+    ``neg_name``/``neg``."""
     neg = neg_files
     if window:
         neg = neg.filter(F.col("n_windows") == window)
-    p = pos_files.withColumnRenamed("sents", "pos")
-    n = neg.withColumnRenamed("sents", "neg")
-    return p.join(n, "doc_id", "inner")
+    p, n = pos_files, neg
+    for c, a, b in (("name", "pos_name", "neg_name"), ("sents", "pos", "neg")):
+        if c in p.columns:
+            p = p.withColumnRenamed(c, a)
+        if c in n.columns:
+            n = n.withColumnRenamed(c, b)
+    p = p.drop("n_windows", "perm_no", "kind")
+    return p.join(n.drop("kind"), "doc_id", "inner")
 
 
 def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",

@@ -26,8 +26,12 @@ def md5i(expr: str) -> str:
 
 ORD3 = "[[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]"
 
-P8 = f"""
-WITH {DOCS},
+def P8_CTES(normalize: bool = True) -> str:
+    """CTEs up to ``texts`` (pos/neg lists) of the permutation dataset."""
+    norm = (lambda e: f"list_filter(list_transform({e}, lambda s: regexp_replace(regexp_replace(s, "
+            f"'^\\s+|\\s+$', '', 'g'), '(<s>|</s>)', '', 'g')), lambda s: s <> '')") if normalize \
+        else (lambda e: e)
+    return f"""{DOCS},
 elig AS (SELECT doc_id, sents, len(sents) AS L, len(sents) // 3 AS M
          FROM docs WHERE len(sents) >= 10),
 cut AS (SELECT max(doc_id) AS c FROM (SELECT doc_id FROM elig ORDER BY doc_id LIMIT 121)),
@@ -70,7 +74,7 @@ chosen AS (
   SELECT * FROM enum_ranked WHERE perm_no <= 20
   UNION ALL SELECT * FROM draw_ranked WHERE perm_no <= 20),
 perms AS (
-  SELECT ch.doc_id, ch.n, ch.perm_no, e.sents,
+  SELECT ch.doc_id, ch.n, ch.perm_no, ch.combo, e.sents,
          CASE WHEN e.doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split,
          list_transform(range(0, e.L), lambda p:
            CASE WHEN list_contains(ch.combo, p // 3)
@@ -80,14 +84,17 @@ perms AS (
                 ELSE p END) AS perm
   FROM chosen ch JOIN elig e USING (doc_id)),
 texts AS (
-  SELECT doc_id, n, perm_no, split, perm,
-         list_filter(list_transform(sents, lambda s: regexp_replace(regexp_replace(s,
-           '^\\s+|\\s+$', '', 'g'), '(<s>|</s>)', '', 'g')), lambda s: s <> '') AS pos,
-         list_filter(list_transform(perm, lambda i: regexp_replace(regexp_replace(sents[i + 1],
-           '^\\s+|\\s+$', '', 'g'), '(<s>|</s>)', '', 'g')), lambda s: s <> '') AS neg
+  SELECT doc_id, n, perm_no, split, perm, combo,
+         {norm('sents')} AS pos,
+         {norm('list_transform(perm, lambda i: sents[i + 1])')} AS neg
   FROM perms)
+"""
+
+
+P8 = f"""WITH {P8_CTES()}
 SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, doc_id, split,
-       n AS n_windows, perm_no, array_to_string(perm, ',') AS perm,
+       CAST(n AS INTEGER) AS n_windows, CAST(perm_no AS INTEGER) AS perm_no,
+       array_to_string(perm, ',') AS perm,
        array_to_string(pos, chr(10)) AS pos, array_to_string(neg, chr(10)) AS neg
 FROM texts WHERE NOT (pos = neg)
 """
@@ -368,3 +375,125 @@ SELECT DOC_ID, LABEL, CASE WHEN ('0x' || substr(md5(concat_ws('|', '42', coalesc
     "s5_write_splits": f"""WITH {REVIEWS}
 SELECT DOC_ID, CASE WHEN {HU} < 0.2 THEN 'test' ELSE 'train' END AS split FROM reviews""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 3
+# ---------------------------------------------------------------------------
+def POSNAME(d: str) -> str:
+    return f"('wsj_' || lpad(CAST({d} AS VARCHAR), 4, '0') || '.pos.text')"
+
+
+NAMES = f"""
+posn AS (SELECT {POSNAME('doc_id')} AS name FROM elig),
+negn AS (SELECT {POSNAME('doc_id')} || '_' || CAST(n AS VARCHAR) || '_' || CAST(perm_no AS VARCHAR) AS name
+         FROM chosen)
+"""
+
+
+def CLASSIFY(src: str) -> str:
+    pt, pg = r"^wsj+_\d+\.pos\.text$", r"^wsj+_\d+\.pos\.text\.parsed\.ner\.EGrid$"
+    nt, ng = r"^wsj+_\d+\.pos\.text.{k}.*$", r"^wsj+_\d+\.pos\.text\.parsed\.ner\.EGrid.{k}.*$"
+    kind = f"CASE WHEN regexp_matches(name, '{pt}') THEN 'pos_text' WHEN regexp_matches(name, '{pg}') THEN 'pos_grid'"
+    win = "CASE"
+    for k in (1, 2, 3):
+        kind += (f" WHEN regexp_matches(name, '{nt.format(k=k)}') THEN 'neg_text'"
+                 f" WHEN regexp_matches(name, '{ng.format(k=k)}') THEN 'neg_grid'")
+        win += (f" WHEN regexp_matches(name, '{nt.format(k=k)}') OR regexp_matches(name, '{ng.format(k=k)}')"
+                f" THEN {k}")
+    kind += " END"
+    win += " END"
+    return f"""(SELECT name, kind, doc_id,
+    CASE WHEN starts_with(kind, 'neg') THEN CAST(win AS INTEGER) END AS n_windows,
+    CASE WHEN starts_with(kind, 'neg') AND regexp_extract(name, '_(\\d+)$', 1) <> ''
+         THEN CAST(regexp_extract(name, '_(\\d+)$', 1) AS INTEGER) END AS perm_no
+  FROM (SELECT name, {kind} AS kind, {win} AS win, regexp_extract(name, '^(wsj+_\\d+)', 1) AS doc_id
+        FROM {src}))"""
+
+
+ORACLE.update({
+    "r4_first_n_split": f"""WITH {P8_CTES()}
+SELECT doc_id, CASE WHEN doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split FROM elig""",
+    "r5_section_split": f"""WITH n AS (SELECT {POSNAME('doc_id')} AS name FROM documents),
+s AS (SELECT name, substr(split_part(name, '.', 1), 5, 2) AS section FROM n)
+SELECT name, section, CASE WHEN CAST(section AS INTEGER) <= 13 THEN 'train' ELSE 'test' END AS split
+FROM s""",
+    "r6_shuffle": f"""WITH {DOCS}
+SELECT doc_id, epoch, md5(concat_ws('|', '42', epoch, doc_id)) AS shuffle_key
+FROM docs, (SELECT unnest([0, 1]) AS epoch)""",
+    "p1_window_starts": f"""WITH {DOCS}
+SELECT doc_id, CAST(len(sents) // 3 AS INTEGER) AS n_windows,
+       array_to_string(range(0, (len(sents) // 3) * 3, 3), ',') AS starts FROM docs""",
+    "p2_all_combinations": f"""WITH {P8_CTES()},
+a AS (SELECT doc_id, M, unnest(range(0, M)) AS a FROM elig),
+b AS (SELECT doc_id, a, unnest(range(a + 1, M)) AS b FROM a)
+SELECT doc_id, a || ',' || b AS combo,
+  concat_ws(',', 3 * a, 3 * a + 1, 3 * a + 2, 3 * b, 3 * b + 1, 3 * b + 2) AS sent_idx FROM b""",
+    "p2_one_choice": f"""WITH {P8_CTES()}
+SELECT doc_id, array_to_string(combo, ',') AS combo FROM chosen WHERE n = 2 AND perm_no = 1""",
+    "p3_select_combinations": f"""WITH {P8_CTES()}
+SELECT doc_id, CAST(n AS INTEGER) AS n_windows, CAST(perm_no AS INTEGER) AS perm_no,
+       array_to_string(combo, ',') AS combo FROM chosen""",
+    "p4_window_orders": f"""WITH {P8_CTES()},
+x AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, perm, unnest(combo) AS q FROM perms)
+SELECT pair_id, q, array_to_string(list_transform(perm[3 * q + 1: 3 * q + 3], lambda v: v - 3 * q), ',')
+  AS window_order FROM x""",
+    "p5_apply_permutation": f"""WITH {P8_CTES()}
+SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id,
+       array_to_string(list_transform(perm, lambda i: sents[i + 1]), chr(10)) AS neg FROM perms""",
+    "p7_inverse_order": f"""WITH {DOCS}
+SELECT doc_id, array_to_string(list_reverse(sents), chr(10)) AS neg,
+  array_to_string(list_reverse(range(0, len(sents))), ',') AS perm,
+  array_to_string(list_concat(list_reverse(range(0, len(sents))), range(len(sents), greatest(len(sents), 10))),
+                  ',') AS padded_perm FROM docs""",
+    "p9_permutation_check": f"""WITH {P8_CTES()}
+SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id,
+  CAST(len(pos) = len(neg) AS INTEGER) AS same_length,
+  CAST(list_sort(pos) = list_sort(neg) AS INTEGER) AS same_multiset,
+  CAST(len(list_filter(range(1, greatest(len(pos), len(neg)) + 1),
+                       lambda i: pos[i] IS DISTINCT FROM neg[i])) AS INTEGER) AS n_moved,
+  CAST(len(list_distinct(perm)) = len(perm) AND len(list_filter(perm, lambda i: i < 0 OR i >= len(perm))) = 0
+       AS INTEGER) AS is_bijection,
+  CAST(len(list_filter(range(0, len(perm)), lambda p: perm[p + 1] <> p)) AS INTEGER) AS n_perm_moved
+FROM texts WHERE NOT (pos = neg)""",
+    "f2_classify_files": f"""WITH {P8_CTES()}, {NAMES},
+files AS (SELECT name FROM posn UNION ALL SELECT name FROM negn
+  UNION ALL SELECT replace(name, '.pos.text', '.pos.text.parsed.ner.EGrid') FROM posn
+  UNION ALL SELECT replace(name, '.pos.text', '.pos.text.parsed.ner.EGrid') FROM negn)
+SELECT * FROM {CLASSIFY('files')}""",
+    "j1_pair_pos_neg": f"""WITH {P8_CTES()}, {NAMES},
+p AS (SELECT doc_id, name FROM {CLASSIFY('posn')}),
+q AS (SELECT doc_id, name, n_windows, perm_no FROM {CLASSIFY('negn')})
+SELECT p.name AS pos_name, q.name AS neg_name, q.n_windows, q.perm_no FROM p JOIN q USING (doc_id)""",
+    "j5_align_order": f"""WITH {P8_CTES()},
+pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos, neg FROM texts WHERE NOT (pos = neg)),
+pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
+nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
+plo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY src) AS occ FROM pl),
+nlo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY dst) AS occ FROM nl)
+SELECT nlo.pair_id, string_agg(CAST(plo.src AS VARCHAR), ',' ORDER BY nlo.dst) AS "order"
+FROM nlo LEFT JOIN plo USING (pair_id, sentence, occ) GROUP BY nlo.pair_id""",
+    "j5_align_order_first": f"""WITH {P8_CTES()},
+pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos, neg FROM texts WHERE NOT (pos = neg)),
+pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
+nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
+f AS (SELECT pair_id, sentence, min(src) AS src FROM pl GROUP BY pair_id, sentence)
+SELECT nl.pair_id, string_agg(CAST(f.src AS VARCHAR), ',' ORDER BY nl.dst) AS "order"
+FROM nl LEFT JOIN f USING (pair_id, sentence) GROUP BY nl.pair_id""",
+    "f4_identical_pairs": f"""WITH {P8_CTES()}
+SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id FROM perms
+WHERE list_transform(perm, lambda i: sents[i + 1]) = sents""",
+    "s4_write_pairs": f"""WITH {P8_CTES()}
+SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, array_to_string(perm, ',') AS perm
+FROM texts WHERE NOT (pos = neg) AND split = 'train' AND n = 2""",
+    "a4_dataset_info": f"""WITH {P8_CTES()}, {NAMES},
+cls AS (SELECT * FROM {CLASSIFY('(SELECT name FROM posn UNION ALL SELECT name FROM negn)')}),
+j AS (SELECT cls.*, CASE WHEN e.doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split
+      FROM cls JOIN elig e ON regexp_extract(cls.doc_id, '_0*(\\d+)$', 1) = e.doc_id)
+SELECT split, kind, n_windows, count(*) AS n_files FROM j GROUP BY ROLLUP (split, kind, n_windows)""",
+    "u1_missing_counterparts": f"""WITH {P8_CTES()}
+SELECT {POSNAME('doc_id')} AS stem FROM documents
+EXCEPT SELECT {POSNAME('doc_id')} FROM elig""",
+    "u3_distinct_stems": f"""WITH {P8_CTES()}, {NAMES}
+SELECT DISTINCT regexp_replace(name, '_\\d+_\\d+$', '') AS stem FROM negn""",
+})

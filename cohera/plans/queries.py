@@ -316,3 +316,170 @@ QUERIES.update({
     "r2_train_test_split": q_r2_train_test_split, "r3_stratified_split": q_r3_stratified_split,
     "j2_complement": q_j2_complement, "s5_write_splits": q_s5_write_splits,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 3: splits, windows, negatives, pairing, dataset bookkeeping
+# ---------------------------------------------------------------------------
+from cohera.operators import datasets as DS  # noqa: E402
+from cohera.operators import permute as PM  # noqa: E402
+from cohera.sources import files as FS  # noqa: E402
+
+
+def _f1(spark, sf_dir):
+    return FL.min_sentences(C.corpus(spark, sf_dir), 10)
+
+
+def _negs(spark, sf_dir, raw_text=False):
+    kw = {"neg_text": PM.apply_permutation} if raw_text else {}
+    return PM.build_negatives(_f1(spark, sf_dir), seed=SEED, **kw)
+
+
+def q_r4_first_n_split(spark, sf_dir):
+    return SM.first_n_split(_f1(spark, sf_dir), "doc_id", 121).select("doc_id", "split")
+
+
+def q_r5_section_split(spark, sf_dir):
+    name = DS.pos_text_name(F.col("doc_id"))
+    d = C.load(spark, sf_dir, "documents").select(
+        name.alias("name"), TX.parse_doc_name(name)["section"].alias("section"))
+    return SM.section_split(d, "section", 13)
+
+
+def q_r6_shuffle(spark, sf_dir):
+    d = C.corpus(spark, sf_dir).select("doc_id")
+    return d.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")).withColumn(
+        "shuffle_key", SM.shuffle_key(SEED, F.col("epoch"), "doc_id"))
+
+
+def q_p1_window_starts(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    L = F.size("sents")
+    return d.select("doc_id", PM.n_windows_col(L, 3).alias("n_windows"),
+                    _ints(PM.window_starts(L, 3)).alias("starts"))
+
+
+def q_p2_all_combinations(spark, sf_dir):
+    d = _f1(spark, sf_dir)
+    m = PM.n_windows_col(F.size("sents"), 3)
+    e = d.select("doc_id", F.explode(PM.all_combinations(m, 2)).alias("combo"))
+    return e.select("doc_id", _ints("combo").alias("combo"),
+                    _ints(PM.window_sentences(F.col("combo"), 3)).alias("sent_idx"))
+
+
+def q_p2_one_choice(spark, sf_dir):
+    d = _f1(spark, sf_dir)
+    m = PM.n_windows_col(F.size("sents"), 3)
+    sel = PM.select_combinations(SEED, F.col("doc_id"), 2, m, 1)
+    return d.filter(m >= 2).select("doc_id", _ints(F.element_at(sel, 1)).alias("combo"))
+
+
+def q_p3_select_combinations(spark, sf_dir):
+    return _negs(spark, sf_dir).select("doc_id", "n_windows", "perm_no", _ints("combo").alias("combo"))
+
+
+def q_p4_window_orders(spark, sf_dir):
+    n = _negs(spark, sf_dir).select("pair_id", "perm", F.explode("combo").alias("q"))
+    order = F.transform(F.slice("perm", F.col("q") * 3 + 1, 3), lambda x: x - F.col("q") * 3)
+    return n.select("pair_id", "q", _ints(order).alias("window_order"))
+
+
+def q_p5_apply_permutation(spark, sf_dir):
+    return _negs(spark, sf_dir, raw_text=True).select("pair_id", _lines("neg").alias("neg"))
+
+
+def q_p7_inverse_order(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    neg, perm = PM.inverse_order(F.col("sents"))
+    L = F.size("sents")
+    padded = PM.inverse_padded_order(L, F.greatest(L, F.lit(10)))
+    return d.select("doc_id", _lines(neg).alias("neg"), _ints(perm).alias("perm"),
+                    _ints(padded).alias("padded_perm"))
+
+
+def q_p9_permutation_check(spark, sf_dir):
+    p = build_negative_dataset(C.corpus(spark, sf_dir))
+    ch = PM.permutation_check(F.col("pos"), F.col("neg"), F.col("perm"))
+    return p.select("pair_id", *[(c.cast("int") if k != "n_moved" and k != "n_perm_moved" else c).alias(k)
+                                 for k, c in ch.items()])
+
+
+def _names(spark, sf_dir):
+    """Corpus file names: positives of the F1 documents and their negatives."""
+    pos = _f1(spark, sf_dir).select("doc_id", DS.pos_text_name(F.col("doc_id")).alias("name"))
+    neg = _negs(spark, sf_dir).select(
+        F.concat(DS.pos_text_name(F.col("doc_id")), F.lit("_"), F.col("n_windows").cast("string"),
+                 F.lit("_"), F.col("perm_no").cast("string")).alias("name"))
+    return pos.select("name"), neg
+
+
+def q_f2_classify_files(spark, sf_dir):
+    pos, neg = _names(spark, sf_dir)
+    grid = lambda df: df.select(F.regexp_replace("name", r"\.pos\.text", ".pos.text.parsed.ner.EGrid")
+                                .alias("name"))
+    files = pos.unionByName(neg).unionByName(grid(pos)).unionByName(grid(neg))
+    return DS.classify_files(files).select("name", "kind", "doc_id", "n_windows", "perm_no")
+
+
+def q_j1_pair_pos_neg(spark, sf_dir):
+    pos, neg = _names(spark, sf_dir)
+    pos = DS.classify_files(pos).select("doc_id", "name")
+    neg = DS.classify_files(neg).select("doc_id", "name", "n_windows", "perm_no")
+    return PM.pair_pos_neg(pos, neg, window=0).select("pos_name", "neg_name", "n_windows", "perm_no")
+
+
+def q_j5_align_order(spark, sf_dir):
+    p = build_negative_dataset(C.corpus(spark, sf_dir))
+    return PM.align_order(p, mode="bijective").select("pair_id", _ints("order").alias("order"))
+
+
+def q_j5_align_order_first(spark, sf_dir):
+    p = build_negative_dataset(C.corpus(spark, sf_dir))
+    return PM.align_order(p, mode="first").select("pair_id", _ints("order").alias("order"))
+
+
+def q_f4_identical_pairs(spark, sf_dir):
+    n = _negs(spark, sf_dir, raw_text=True).select("pair_id", F.col("sents").alias("pos"), "neg")
+    kept = PM.drop_identical_pairs(n)
+    return n.join(kept, "pair_id", "left_anti").select("pair_id")
+
+
+def q_s4_write_pairs(spark, sf_dir):
+    path = scratch_path(spark, "pairs")
+    FS.write_pairs(build_negative_dataset(C.corpus(spark, sf_dir)), path)
+    back = FS.read_pairs(spark, path).filter((F.col("split") == "train") & (F.col("n_windows") == 2))
+    return back.select("pair_id", _ints("perm").alias("perm"))
+
+
+def q_a4_dataset_info(spark, sf_dir):
+    f = SM.first_n_split(_f1(spark, sf_dir), "doc_id", 121).select("doc_id", "split")
+    pos, neg = _names(spark, sf_dir)
+    cls = DS.classify_files(pos.unionByName(neg)).withColumn(
+        "doc_key", F.regexp_extract("doc_id", r"_0*(\d+)$", 1))
+    j = cls.join(f.withColumnRenamed("doc_id", "doc_key"), "doc_key", "inner")
+    return DS.dataset_info(j)
+
+
+def q_u1_missing_counterparts(spark, sf_dir):
+    text = _f1(spark, sf_dir).select(DS.pos_text_name(F.col("doc_id")).alias("stem"))
+    grid = C.load(spark, sf_dir, "documents").select(DS.pos_text_name(F.col("doc_id")).alias("stem"))
+    return DS.missing_counterparts(text, grid)
+
+
+def q_u3_distinct_stems(spark, sf_dir):
+    _, neg = _names(spark, sf_dir)
+    return DS.distinct_stems(neg)
+
+
+QUERIES.update({
+    "r4_first_n_split": q_r4_first_n_split, "r5_section_split": q_r5_section_split,
+    "r6_shuffle": q_r6_shuffle, "p1_window_starts": q_p1_window_starts,
+    "p2_all_combinations": q_p2_all_combinations, "p2_one_choice": q_p2_one_choice,
+    "p3_select_combinations": q_p3_select_combinations, "p4_window_orders": q_p4_window_orders,
+    "p5_apply_permutation": q_p5_apply_permutation, "p7_inverse_order": q_p7_inverse_order,
+    "p9_permutation_check": q_p9_permutation_check, "f2_classify_files": q_f2_classify_files,
+    "j1_pair_pos_neg": q_j1_pair_pos_neg, "j5_align_order": q_j5_align_order,
+    "j5_align_order_first": q_j5_align_order_first, "f4_identical_pairs": q_f4_identical_pairs,
+    "s4_write_pairs": q_s4_write_pairs, "a4_dataset_info": q_a4_dataset_info,
+    "u1_missing_counterparts": q_u1_missing_counterparts, "u3_distinct_stems": q_u3_distinct_stems,
+})
