@@ -66,6 +66,14 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Higher-order-function lambdas re-evaluate captured expressions for every
+    element; binding the value first keeps array pipelines linear."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(c: Column) -> Column:
     """``str.strip()``: remove leading and trailing whitespace."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -167,12 +175,12 @@ def split_sentences(c, keep_tail: bool = True) -> Column:
     t = rr(t, _lit_re("i.e."), "i<prd>e<prd>")
     t = rr(t, "([.?!])", "$1<stop>")
     t = rr(t, "<prd>", ".")
-    pieces = F.transform(F.split(t, "<stop>"), py_strip)
-    head = F.slice(pieces, 1, F.size(pieces) - 1)
-    if not keep_tail:
-        return head
-    tail = F.element_at(pieces, -1)
-    return F.when(tail != "", F.concat(head, F.array(tail))).otherwise(head)
+    def cut(pieces):
+        head = F.slice(pieces, 1, F.size(pieces) - 1)
+        if not keep_tail:
+            return head
+        return F.when(F.element_at(pieces, -1) != "", pieces).otherwise(head)
+    return let(F.transform(F.split(t, "<stop>"), py_strip), cut)
 
 
 def first_last(sents) -> tuple[Column, Column]:

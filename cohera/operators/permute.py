@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohera.functions.hashing import md5_int, md5_key
+from cohera.functions.text import let
 
 # Non-identity orders of a 3-sentence window, lexicographic (fixed values).
 ORDERS_W3 = [[0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]
@@ -96,7 +97,7 @@ def select_combinations(seed, doc: Column, n: int, m: Column, n_perm: int,
     t1 = F.ceil(F.lit(4.0 * n_perm) / p_ok).cast("int")
     d1 = F.slice(_draw_combos(seed, doc, n, m, t1), 1, n_perm)
     d2 = F.slice(_draw_combos(seed, doc, n, m, t1 * 16), 1, n_perm)
-    drawn = F.when(F.size(d1) >= n_perm, d1).otherwise(d2)
+    drawn = let(d1, lambda D: F.when(F.size(D) >= n_perm, D).otherwise(d2))
     return F.when(c <= cap, enum).otherwise(drawn)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohera.functions.text import col, normalize, split_sentences, split_ws, tokenize
+from cohera.functions.text import col, let, normalize, split_sentences, split_ws, tokenize
 
 # Prompt markers of the language-model special-token map (fixed values).
 SPECIAL_TOKENS = {"unk_token": "[UNK]", "sep_token": "[SEP]", "pad_token": "[PAD]",
@@ -30,9 +30,10 @@ def split_reviews(df: DataFrame, text: str, key: str, keep_tail: bool = True) ->
 
 def first_last_sentence(df: DataFrame, text: str, keep_tail: bool = True) -> DataFrame:
     """T4: first and last sentence of each review (one sentence -> equal)."""
-    s = split_sentences(F.col(text), keep_tail)
-    return df.withColumn("_s", s).withColumn("first_sentence", F.element_at("_s", 1)) \
-             .withColumn("last_sentence", F.element_at("_s", -1)).drop("_s")
+    fl = let(split_sentences(F.col(text), keep_tail),
+             lambda s: F.struct(F.element_at(s, 1).alias("f"), F.element_at(s, -1).alias("l")))
+    return df.withColumn("_s", fl).withColumn("first_sentence", F.col("_s.f")) \
+             .withColumn("last_sentence", F.col("_s.l")).drop("_s")
 
 
 def first_sentence_or_text(text) -> Column:

@@ -43,3 +43,17 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("REVIEW_TITLE"),
         F.col("text").alias("REVIEW_TEXT"),
     )
+
+
+def grid_lines(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """X6 stand-in: entity-grid text lines ``(doc_id, line)`` derived from
+    the corpus -- entity = a capitalised word, role ``X`` where it occurs in
+    the sentence, ``-`` elsewhere (the reference reads ready-made grids)."""
+    d = docs if docs is not None else corpus(spark, sf_dir)
+    ws = F.transform("sents", lambda s: F.array_distinct(
+        F.regexp_extract_all(s, F.lit(r"\p{Lu}[\p{L}\p{N}_]*"), 0)))
+    d = d.select("doc_id", ws.alias("ws"))
+    ents = F.array_sort(F.array_distinct(F.flatten("ws")))
+    lines = F.transform(ents, lambda e: F.concat_ws(" ", e, F.array_join(
+        F.transform("ws", lambda w: F.when(F.array_contains(w, e), "X").otherwise("-")), " ")))
+    return d.select("doc_id", F.explode(lines).alias("line"))

@@ -497,3 +497,129 @@ EXCEPT SELECT {POSNAME('doc_id')} FROM elig""",
     "u3_distinct_stems": f"""WITH {P8_CTES()}, {NAMES}
 SELECT DISTINCT regexp_replace(name, '_\\d+_\\d+$', '') AS stem FROM negn""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 4
+# ---------------------------------------------------------------------------
+def WSET(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))"
+
+
+def SCORE_CTES(src: str, keys: str, sents: str, prefix: str = "sc") -> str:
+    """window scores of ``sents`` of every row of ``src`` -> ``{prefix}_win``
+    (keys, win_idx, score, feat_mean) and ``{prefix}_doc`` (keys, doc_score)."""
+    return f"""
+{prefix}_sets AS (SELECT {keys}, list_transform({sents}, lambda s: {WSET('s')}) AS T FROM {src}),
+{prefix}_sims AS (SELECT {keys}, list_transform(range(0, greatest(len(T) - 1, 0)), lambda i:
+    CASE WHEN len(T[i + 2]) = 0 THEN 0.0 ELSE len(list_intersect(T[i + 1], T[i + 2])) / len(T[i + 2]) END)
+    AS sims FROM {prefix}_sets),
+{prefix}_g AS (SELECT {keys}, sims, coalesce(list_avg(list_transform(range(0, len(sims)), lambda i:
+    list_avg(sims[greatest(i - 2, 0) + 1 : least(i + 2, len(sims) - 1) + 1]))), 0.0) AS g FROM {prefix}_sims),
+{prefix}_win AS (SELECT {keys}, CAST(win_idx AS INTEGER) AS win_idx,
+    sims[win_idx + 1] + sims[win_idx + 2] + g AS score, (sims[win_idx + 1] + sims[win_idx + 2]) / 2.0 AS feat_mean
+    FROM (SELECT {keys}, sims, g, unnest(range(0, greatest(len(sims) - 1, 0))) AS win_idx FROM {prefix}_g)),
+{prefix}_doc AS (SELECT {keys}, coalesce((SELECT sum(score) FROM {prefix}_win w WHERE {' AND '.join(f'w.{k.strip()} = d.{k.strip()}' for k in keys.split(','))}), 0.0)
+    AS doc_score FROM {prefix}_sets d)
+"""
+
+
+PAIRS_OK = "pairs AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, doc_id, split, n AS n_windows, perm, pos, neg FROM texts WHERE NOT (pos = neg))"
+INV = "ipairs AS (SELECT pair_id, doc_id, split, n_windows, pos, list_reverse(pos) AS neg FROM pairs)"
+
+
+def EVAL(task: str) -> str:
+    src = "pairs" if task == "std" else "ipairs"
+    extra = f", {INV}" if task == "inv" else ""
+    return f"""WITH {P8_CTES()}, {PAIRS_OK}{extra},
+{SCORE_CTES(src, 'pair_id', 'pos', 'ps')}, {SCORE_CTES(src, 'pair_id', 'neg', 'ns')},
+j AS (SELECT p.pair_id, p.n_windows, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
+      FROM {src} p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
+SELECT '{task}' AS task, n_windows, count(*) AS n_pairs, round(avg(CAST(win AS DOUBLE)), 6) AS accuracy
+FROM j GROUP BY ROLLUP (n_windows)"""
+
+
+GRID = """
+gws AS (SELECT doc_id, CAST(unnest(range(len(sents))) AS INTEGER) AS sent_idx,
+        unnest(list_transform(sents, lambda s: list_distinct(regexp_extract_all(s, '\\p{Lu}[\\p{L}\\p{N}_]*'))))
+        AS ws FROM docs),
+grid AS (SELECT doc_id, unnest(ws) AS entity, sent_idx, 'X' AS role FROM gws)
+"""
+
+NEG_GRID = """
+pp AS (SELECT pair_id, doc_id, CAST(unnest(range(len(perm))) AS INTEGER) AS dst, unnest(perm) AS src FROM pairs),
+ngrid AS (SELECT pp.pair_id, pp.doc_id, g.entity, pp.dst AS sent_idx, g.role
+          FROM pp JOIN grid g ON g.doc_id = pp.doc_id AND g.sent_idx = pp.src)
+"""
+
+
+def RECOVER(mode: str) -> str:
+    sig = "md5(array_to_string(list_sort(list(entity || '|' || role)), ' '))"
+    if mode == "first":
+        match = """m AS (SELECT n.pair_id, p.sent_idx AS pos_idx, min(n.sent_idx) AS neg_idx
+               FROM nsig n JOIN psig p ON p.doc_id = n.doc_id AND p.sig = n.sig GROUP BY n.pair_id, p.sent_idx)"""
+    else:
+        match = """po AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sig ORDER BY sent_idx) AS occ FROM psig),
+no AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sig ORDER BY sent_idx) AS occ FROM nsig),
+m AS (SELECT no.pair_id, po.sent_idx AS pos_idx, no.sent_idx AS neg_idx
+      FROM no JOIN po ON po.doc_id = no.doc_id AND po.sig = no.sig AND po.occ = no.occ)"""
+    return f"""WITH {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID},
+pcols AS (SELECT doc_id, CAST(unnest(range(len(sents))) AS INTEGER) AS sent_idx FROM docs),
+pcell AS (SELECT doc_id, sent_idx, {sig} AS sig FROM grid GROUP BY doc_id, sent_idx),
+psig AS (SELECT c.doc_id, c.sent_idx, coalesce(s.sig, md5('')) AS sig FROM pcols c
+         LEFT JOIN pcell s USING (doc_id, sent_idx)),
+ncols AS (SELECT p.pair_id, p.doc_id, CAST(unnest(range(len(d.sents))) AS INTEGER) AS sent_idx
+          FROM pairs p JOIN docs d USING (doc_id)),
+ncell AS (SELECT pair_id, doc_id, sent_idx, {sig} AS sig FROM ngrid GROUP BY pair_id, doc_id, sent_idx),
+nsig AS (SELECT c.pair_id, c.doc_id, c.sent_idx, coalesce(s.sig, md5('')) AS sig FROM ncols c
+         LEFT JOIN ncell s USING (pair_id, doc_id, sent_idx)),
+{match}
+SELECT pair_id, string_agg(CAST(neg_idx AS VARCHAR), ',' ORDER BY pos_idx) AS perm_idx FROM m GROUP BY pair_id"""
+
+
+ORACLE.update({
+    "w1_adjacent_pairs": f"""WITH {DOCS}, {SENTS}
+SELECT doc_id, sent_idx, sentence,
+       coalesce(lead(sentence) OVER (PARTITION BY doc_id ORDER BY sent_idx), sentence) AS next_sentence
+FROM sents""",
+    "w2_score_windows": f"""WITH {DOCS}
+SELECT doc_id, CAST(greatest(len(sents) - 2, 0) AS INTEGER) AS n_valid_windows FROM docs""",
+    "w3_neighbour_context": f"""WITH {DOCS}, {SENTS}
+SELECT doc_id, sent_idx, round(avg(len({WSET('sentence')})) OVER (PARTITION BY doc_id ORDER BY sent_idx
+  ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS ctx FROM sents""",
+    "m1_coherence_scores": f"""WITH {DOCS}, {SCORE_CTES('docs', 'doc_id', 'sents')}
+SELECT doc_id, win_idx, round(score, 6) AS score, round(feat_mean, 6) AS feat_mean FROM sc_win""",
+    "m1_coherence_scores_long": f"""WITH {DOCS}, {SCORE_CTES('docs', 'doc_id', 'sents')}
+SELECT doc_id, win_idx, round(score, 6) AS score, round(feat_mean, 6) AS feat_mean FROM sc_win""",
+    "a6_document_score": f"""WITH {DOCS}, {SCORE_CTES('docs', 'doc_id', 'sents')}
+SELECT doc_id, round(doc_score, 6) AS doc_score FROM sc_doc""",
+    "m4_evaluate_std": EVAL("std"),
+    "m4_evaluate_inv": EVAL("inv"),
+    "a5_pairwise_accuracy": f"""WITH {P8_CTES()}, {PAIRS_OK},
+{SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
+j AS (SELECT p.split, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
+      FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
+SELECT split, count(*) AS n_pairs, round(avg(CAST(win AS DOUBLE)), 6) AS accuracy FROM j GROUP BY split""",
+    "a7_adaptive_loss": f"""WITH {P8_CTES()}, {PAIRS_OK},
+{SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
+j AS (SELECT p.split, a.score AS ps, a.feat_mean AS pf, b.score AS ns, b.feat_mean AS nf
+      FROM ps_win a JOIN ns_win b USING (pair_id, win_idx) JOIN pairs p USING (pair_id)),
+t AS (SELECT split, CAST(pf IS DISTINCT FROM nf AS DOUBLE) AS m, ps, ns FROM j)
+SELECT split, round(avg(greatest(0.0, 5.0 * m + ns * m - ps * m)), 6) AS loss, count(*) AS n_windows
+FROM t GROUP BY split""",
+    "j9_reorder_features": f"""WITH {P8_CTES()}, {PAIRS_OK}, {SENTS},
+o AS (SELECT pair_id, doc_id, CAST(unnest(range(len(perm))) AS INTEGER) AS dst, unnest(perm) AS src FROM pairs)
+SELECT o.pair_id, o.dst, o.src, CAST(len({WSET('s.sentence')}) AS INTEGER) AS n_words
+FROM o JOIN sents s ON s.doc_id = o.doc_id AND s.sent_idx = o.src""",
+    "s7_entity_grid": f"WITH {DOCS}, {GRID} SELECT doc_id, entity, sent_idx, role FROM grid",
+    "j6_join_text_grid": f"""WITH {P8_CTES()}
+SELECT {POSNAME('e.doc_id')} AS name, CAST(e.L AS INTEGER) AS n_sents, CAST(len(d.sents) AS INTEGER) AS n_cols
+FROM elig e JOIN docs d USING (doc_id)
+WHERE len(list_filter(d.sents, lambda s: len(regexp_extract_all(s, '\\p{{Lu}}[\\p{{L}}\\p{{N}}_]*')) > 0)) > 0""",
+    "p6_apply_permutation_grid": f"""WITH {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID}
+SELECT pair_id, count(*) AS n_cells,
+       md5(array_to_string(list_sort(list(entity || '|' || CAST(sent_idx AS VARCHAR) || '|' || role)), ' '))
+       AS cells_md5 FROM ngrid GROUP BY pair_id""",
+    "j4_recover_permutation": RECOVER("first"),
+    "j4_recover_permutation_bijective": RECOVER("bijective"),
+})

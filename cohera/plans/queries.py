@@ -483,3 +483,144 @@ QUERIES.update({
     "s4_write_pairs": q_s4_write_pairs, "a4_dataset_info": q_a4_dataset_info,
     "u1_missing_counterparts": q_u1_missing_counterparts, "u3_distinct_stems": q_u3_distinct_stems,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 4: windows, scoring, evaluation, entity grids
+# ---------------------------------------------------------------------------
+from cohera.operators import grid as GR  # noqa: E402
+from cohera.operators import score as SC  # noqa: E402
+from cohera.plans.evaluation import TIE_DIGITS, evaluate  # noqa: E402
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+def q_w1_adjacent_pairs(spark, sf_dir):
+    return SC.adjacent_pairs(_sents(spark, sf_dir))
+
+
+def q_w2_score_windows(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    L = F.size("sents")
+    valid = F.filter(F.sequence(F.lit(0), F.greatest(L - 1, F.lit(0))),
+                     lambda i: SC.score_windows_mask(L, i))
+    return d.select("doc_id", F.size(valid).alias("n_valid_windows"))
+
+
+def q_w3_neighbour_context(spark, sf_dir):
+    s = _sents(spark, sf_dir).withColumn("n_words", F.size(SC.word_set("sentence")))
+    r = SC.neighbour_context(s, "doc_id", "sent_idx", "n_words", 2, "ctx")
+    return r.select("doc_id", "sent_idx", _r6("ctx").alias("ctx"))
+
+
+def q_m1_coherence_scores(spark, sf_dir):
+    d = C.corpus(spark, sf_dir).select("doc_id", F.explode(SC.coherence_scores("sents")).alias("w"))
+    return d.select("doc_id", "w.win_idx", _r6("w.score").alias("score"), _r6("w.feat_mean").alias("feat_mean"))
+
+
+def q_m1_coherence_scores_long(spark, sf_dir):
+    r = SC.coherence_scores_long(_sents(spark, sf_dir))
+    return r.select("doc_id", "win_idx", _r6("score").alias("score"), _r6("feat_mean").alias("feat_mean"))
+
+
+def q_a6_document_score(spark, sf_dir):
+    d = C.corpus(spark, sf_dir)
+    return d.select("doc_id", _r6(SC.document_score_expr(SC.coherence_scores("sents"))).alias("doc_score"))
+
+
+def _pairs(spark, sf_dir):
+    return build_negative_dataset(C.corpus(spark, sf_dir))
+
+
+def q_m4_evaluate_std(spark, sf_dir):
+    r = evaluate(_pairs(spark, sf_dir), "std")
+    return r.select("task", "n_windows", "n_pairs", _r6("accuracy").alias("accuracy"))
+
+
+def q_m4_evaluate_inv(spark, sf_dir):
+    r = evaluate(_pairs(spark, sf_dir), "inv")
+    return r.select("task", "n_windows", "n_pairs", _r6("accuracy").alias("accuracy"))
+
+
+def q_a5_pairwise_accuracy(spark, sf_dir):
+    s = SC.pair_scores(_pairs(spark, sf_dir), perm="perm")
+    s = s.withColumn("pos_score", F.round("pos_score", TIE_DIGITS)).withColumn(
+        "neg_score", F.round("neg_score", TIE_DIGITS))
+    r = SC.pairwise_accuracy(s, by=["split"])
+    return r.select("split", "n_pairs", _r6("accuracy").alias("accuracy"))
+
+
+def q_a7_adaptive_loss(spark, sf_dir):
+    s = SC.pair_scores(_pairs(spark, sf_dir), perm="perm").select("pair_id", "split", "pos_windows", "neg_windows")
+    w = SC.window_table(s).join(s.select("pair_id", "split"), "pair_id")
+    r = SC.adaptive_pairwise_loss(w, margin=5.0, by=["split"])
+    return r.select("split", _r6("loss").alias("loss"), "n_windows")
+
+
+def q_j9_reorder_features(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    feats = _sents(spark, sf_dir).select("doc_id", "sent_idx", F.size(SC.word_set("sentence")).alias("n_words"))
+    order = p.select("pair_id", "doc_id", F.posexplode("perm").alias("dst", "src"))
+    return SC.reorder_features(feats, order).select("pair_id", "dst", "src", "n_words")
+
+
+def _grid(spark, sf_dir):
+    return GR.parse_grid_lines(C.grid_lines(spark, sf_dir))
+
+
+def q_s7_entity_grid(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+def q_j6_join_text_grid(spark, sf_dir):
+    texts = _f1(spark, sf_dir).select(DS.pos_text_name(F.col("doc_id")).alias("name"),
+                                      F.size("sents").alias("n_sents"))
+    lines = C.grid_lines(spark, sf_dir)
+    w = GR.grid_widths(lines).select(
+        F.concat(DS.pos_text_name(F.col("doc_id")), F.lit(".parsed.ner.EGrid")).alias("grid_name"), "n_cols")
+    return GR.join_text_grid(texts, w).select("name", "n_sents", "n_cols")
+
+
+def _neg_grid(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("pair_id", "doc_id", "perm")
+    return p, GR.apply_permutation_grid(_grid(spark, sf_dir), p)
+
+
+def q_p6_apply_permutation_grid(spark, sf_dir):
+    _, ng = _neg_grid(spark, sf_dir)
+    cell = F.concat_ws("|", "entity", F.col("sent_idx").cast("string"), "role")
+    return ng.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_cells"),
+                                     F.md5(F.array_join(F.array_sort(F.collect_list(cell)), " ")).alias("cells_md5"))
+
+
+def _recover(spark, sf_dir, mode):
+    p, ng = _neg_grid(spark, sf_dir)
+    widths = C.corpus(spark, sf_dir).select("doc_id", F.size("sents").alias("n_cols"))
+    pos_sig = GR.column_signatures(_grid(spark, sf_dir), widths, ["doc_id"])
+    neg_w = p.select("pair_id", "doc_id").join(widths, "doc_id")
+    neg_sig = GR.column_signatures(ng, neg_w, ["pair_id", "doc_id"])
+    r = GR.recover_permutation(pos_sig, neg_sig, mode=mode)
+    return r.select("pair_id", _ints("perm_idx").alias("perm_idx"))
+
+
+def q_j4_recover_permutation(spark, sf_dir):
+    return _recover(spark, sf_dir, "first")
+
+
+def q_j4_recover_permutation_bijective(spark, sf_dir):
+    return _recover(spark, sf_dir, "bijective")
+
+
+QUERIES.update({
+    "w1_adjacent_pairs": q_w1_adjacent_pairs, "w2_score_windows": q_w2_score_windows,
+    "w3_neighbour_context": q_w3_neighbour_context, "m1_coherence_scores": q_m1_coherence_scores,
+    "m1_coherence_scores_long": q_m1_coherence_scores_long, "a6_document_score": q_a6_document_score,
+    "m4_evaluate_std": q_m4_evaluate_std, "m4_evaluate_inv": q_m4_evaluate_inv,
+    "a5_pairwise_accuracy": q_a5_pairwise_accuracy, "a7_adaptive_loss": q_a7_adaptive_loss,
+    "j9_reorder_features": q_j9_reorder_features, "s7_entity_grid": q_s7_entity_grid,
+    "j6_join_text_grid": q_j6_join_text_grid, "p6_apply_permutation_grid": q_p6_apply_permutation_grid,
+    "j4_recover_permutation": q_j4_recover_permutation,
+    "j4_recover_permutation_bijective": q_j4_recover_permutation_bijective,
+})
