@@ -623,3 +623,109 @@ SELECT pair_id, count(*) AS n_cells,
     "j4_recover_permutation": RECOVER("first"),
     "j4_recover_permutation_bijective": RECOVER("bijective"),
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 5
+# ---------------------------------------------------------------------------
+BATCHES = """
+bi AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '2022', 0, pair_id))) - 1 AS i FROM pairs),
+ball AS (SELECT *, i // 32 AS batch_id, CAST(i % 32 AS INTEGER) AS pos_in_batch FROM bi),
+bat AS (SELECT * FROM ball WHERE i < ((SELECT count(*) FROM pairs) // 32) * 32)
+"""
+
+ENC = f"""
+vtoks AS (SELECT * FROM toks),
+{VOCAB('vtoks')},
+enc AS (SELECT t.doc_id, t.sent_idx, t.tok_idx, coalesce(v.idx, (SELECT idx FROM vocab WHERE word = '<unk>')) AS idx
+        FROM toks t LEFT JOIN vocab v USING (word)),
+sids AS (SELECT doc_id, sent_idx, list(idx ORDER BY tok_idx) AS ids FROM enc GROUP BY doc_id, sent_idx),
+dids AS (SELECT doc_id, flatten(list(ids ORDER BY sent_idx)) AS ids FROM sids GROUP BY doc_id),
+padid AS (SELECT idx AS pad FROM vocab WHERE word = '<pad>'),
+pt AS (SELECT doc_id, list_concat(ids[1:768], list_transform(range(0, 768 - len(ids[1:768])), lambda x: pad))
+         AS input_ids, list_concat(list_transform(range(0, len(ids[1:768])), lambda x: 1),
+                                   list_transform(range(0, 768 - len(ids[1:768])), lambda x: 0)) AS attention_mask
+       FROM dids, padid)
+"""
+
+LMENC = f"""
+{VOCAB('toks')},
+ext AS (SELECT * FROM vocab
+        UNION ALL SELECT (SELECT max(idx) + 1 FROM vocab), '<bos>', 0
+        UNION ALL SELECT (SELECT max(idx) + 2 FROM vocab), '<eos>', 0),
+lmv AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, word FROM ext WHERE word <> '<pad>'),
+lenc AS (SELECT t.doc_id, t.sent_idx, t.tok_idx, coalesce(v.idx, (SELECT idx FROM lmv WHERE word = '<unk>')) AS idx
+         FROM toks t LEFT JOIN lmv v USING (word)),
+lids AS (SELECT doc_id, sent_idx, list(idx ORDER BY tok_idx) AS ids FROM lenc GROUP BY doc_id, sent_idx),
+bos AS (SELECT idx AS b FROM lmv WHERE word = '<bos>'),
+eos AS (SELECT idx AS e FROM lmv WHERE word = '<eos>')
+"""
+
+FALLBACK0 = ("CAST(0.6 * sqrt(-2.0 * ln((('0x' || substr(md5(concat_ws('|', '42', word, 0, 1)), 1, 8))::BIGINT + 1.0)"
+             " / (4294967296.0 + 1.0))) * cos(2 * pi() * (('0x' || substr(md5(concat_ws('|', '42', word, 0, 2)), 1, 8))::BIGINT"
+             " / 4294967296.0)) AS FLOAT)")
+
+ORACLE.update({
+    "b1_minibatches": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+SELECT pair_id, batch_id, pos_in_batch FROM bat""",
+    "b2_pad_documents": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+b AS (SELECT *, max(len(pos)) OVER (PARTITION BY batch_id) AS need FROM bat)
+SELECT pair_id, batch_id, CAST(greatest(need, len(pos)) AS INTEGER) AS n_pos,
+       CAST(len(neg) + greatest(need - len(neg), 0) AS INTEGER) AS n_neg,
+       CAST(len(list_filter(neg, lambda s: s = '<pad>')) + greatest(need - len(neg), 0) AS INTEGER) AS n_neg_pads
+FROM b""",
+    "b3_pad_sentences": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+b AS (SELECT *, list_transform(pos, lambda s: {WS('s')}) AS tk FROM bat),
+m AS (SELECT *, max(list_max(list_transform(tk, lambda t: len(t)))) OVER (PARTITION BY batch_id) AS mx FROM b)
+SELECT pair_id, CAST(mx AS INTEGER) AS padded_len,
+  CAST(list_sum(list_transform(tk, lambda t: len(list_filter(t, lambda x: x = '<pad>')) + mx - len(t))) AS INTEGER)
+    AS n_pads FROM m""",
+    "b4_sentence_steps": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+SELECT batch_id, CAST(unnest(range(0, len(pos))) AS INTEGER) AS sent_idx, pair_id, unnest(pos) AS pos_s,
+       unnest(neg) AS neg_s FROM bat""",
+    "b5_fill_batch": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+cnt AS (SELECT batch_id, count(*) AS n FROM ball GROUP BY batch_id)
+SELECT batch_id, pos_in_batch, pair_id, CAST(len(pos) AS INTEGER) AS n_pos FROM ball
+UNION ALL SELECT batch_id, CAST(unnest(range(n, 32)) AS INTEGER), NULL, 1 FROM cnt WHERE n < 32""",
+    "b7_unpair": f"""WITH {P8_CTES()}, {PAIRS_OK}
+SELECT pair_id, 'pos' AS side, CAST(len(pos) AS INTEGER) AS n_sents, md5(array_to_string(pos, chr(10))) AS text_md5 FROM pairs
+UNION ALL SELECT pair_id, 'neg', CAST(len(neg) AS INTEGER), md5(array_to_string(neg, chr(10))) FROM pairs""",
+    "t10_sentence_lengths": f"""WITH {DOCS},
+l AS (SELECT doc_id, list_transform(sents, lambda s: CAST(len({WS('s')}) AS INTEGER)) AS lens FROM docs)
+SELECT doc_id, array_to_string(lens, ',') AS lengths,
+  array_to_string(list_concat(lens, list_transform(range(0, 20), lambda x: 1))[1:20], ',') AS padded FROM l""",
+    "t12_pad_truncate": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {ENC}
+SELECT doc_id, array_to_string(input_ids, ',') AS input_ids, array_to_string(attention_mask, ',') AS attention_mask
+FROM pt""",
+    "t13_lm_targets": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {LMENC}
+SELECT doc_id, sent_idx, array_to_string(list_concat(ids[2:], [(SELECT e FROM eos)]), ',') AS forward,
+       array_to_string(list_concat([(SELECT b FROM bos)], ids[1:len(ids) - 1]), ',') AS backward FROM lids""",
+    "t14_shift_targets": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {ENC}
+SELECT doc_id, CAST(len(input_ids) - 1 AS INTEGER) AS n_in,
+  CAST(len(list_filter(input_ids[2:], lambda v: v <> pad)) AS INTEGER) AS ntokens,
+  md5(array_to_string(input_ids[2:], ',')) AS trg_out_md5 FROM pt, padid""",
+    "k3_sort_by_length": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+SELECT pair_id, batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY len(pos) DESC, pair_id) - 1 AS INTEGER)
+  AS len_rank FROM bat""",
+    "j7_lookup_vectors": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
+vec AS (SELECT v.word, e.embedding AS vec FROM vocab v JOIN embeddings e ON v.idx = e.vec_id)
+SELECT v.idx, v.word, CAST(x.vec IS NOT NULL AS INTEGER) AS found,
+       round(CAST(coalesce(x.vec[1], {FALLBACK0}) AS DOUBLE), 5) AS v0
+FROM vocab v LEFT JOIN vec x USING (word)""",
+    "a10_embedding_coverage": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
+vec AS (SELECT v.word FROM vocab v JOIN embeddings e ON v.idx = e.vec_id)
+SELECT count(*) AS n_words, count(x.word) AS n_found, round(count(x.word) / count(*), 6) AS coverage
+FROM vocab v LEFT JOIN vec x USING (word)""",
+    "a11_bidirectional_nll": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {LMENC},
+occ AS (
+  SELECT doc_id, 'f' AS dir, unnest(ids) AS ctx, unnest(list_concat(ids[2:], [(SELECT e FROM eos)])) AS tgt FROM lids
+  UNION ALL
+  SELECT doc_id, 'b', unnest(ids), unnest(list_concat([(SELECT b FROM bos)], ids[1:len(ids) - 1])) FROM lids),
+big AS (SELECT dir, ctx, tgt, count(*) AS c FROM occ GROUP BY ALL),
+cx AS (SELECT dir, ctx, count(*) AS cc FROM occ GROUP BY ALL),
+j AS (SELECT o.doc_id, o.dir, -ln((b.c + 1.0) / (x.cc + (SELECT count(*) FROM lmv))) AS nll
+      FROM occ o JOIN big b USING (dir, ctx, tgt) JOIN cx x USING (dir, ctx)),
+per AS (SELECT doc_id, avg(CASE WHEN dir = 'f' THEN nll END) AS f, avg(CASE WHEN dir = 'b' THEN nll END) AS b
+        FROM j GROUP BY doc_id)
+SELECT doc_id, round(f, 6) AS nll_forward, round(b, 6) AS nll_backward, round(1.0 * (f + b), 6) AS lm_loss FROM per""",
+})

@@ -624,3 +624,145 @@ QUERIES.update({
     "j4_recover_permutation": q_j4_recover_permutation,
     "j4_recover_permutation_bijective": q_j4_recover_permutation_bijective,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 5: batching exports, padding and targets, vectors, bigram LM
+# ---------------------------------------------------------------------------
+from cohera.operators import batching as BT  # noqa: E402
+from cohera.operators import vectors as VE  # noqa: E402
+
+BATCH = 32
+BATCH_SEED = 2022
+
+
+def _batches(spark, sf_dir, drop_last=True):
+    return BT.minibatches(_pairs(spark, sf_dir), BATCH, BATCH_SEED, 0, drop_last=drop_last)
+
+
+def q_b1_minibatches(spark, sf_dir):
+    return _batches(spark, sf_dir).select("pair_id", "batch_id", "pos_in_batch")
+
+
+def q_b2_pad_documents(spark, sf_dir):
+    b = BT.pad_documents(_batches(spark, sf_dir))
+    return b.select("pair_id", "batch_id", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"),
+                    F.size(F.filter("neg", lambda s: s == BT.PAD)).alias("n_neg_pads"))
+
+
+def q_b3_pad_sentences(spark, sf_dir):
+    b = _batches(spark, sf_dir).withColumn("tokens", F.transform("pos", lambda s: tokenize(s)))
+    p = BT.pad_sentences(b, "tokens")
+    return p.select("pair_id", F.element_at(F.transform("tokens", F.size), 1).alias("padded_len"),
+                    F.aggregate(F.transform("tokens", lambda t: F.size(F.filter(t, lambda x: x == BT.PAD))),
+                                F.lit(0), lambda a, x: a + x).alias("n_pads"))
+
+
+def q_b4_sentence_steps(spark, sf_dir):
+    return BT.sentence_steps(_batches(spark, sf_dir))
+
+
+def q_b5_fill_batch(spark, sf_dir):
+    b = BT.fill_batch(_batches(spark, sf_dir, drop_last=False), BATCH)
+    return b.select("batch_id", "pos_in_batch", "pair_id", F.size("pos").alias("n_pos"))
+
+
+def q_b6_token_budget_batches(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    ntok = lambda c: F.aggregate(F.transform(c, lambda s: F.size(tokenize(s))), F.lit(0),
+                                 lambda a, x: a + x)
+    d = p.select("pair_id", ntok(F.col("pos")).alias("src_len"), ntok(F.col("neg")).alias("tgt_len"))
+    return BT.token_budget_batches(d, 4000, "src_len", "tgt_len", "pair_id", shard_rows=2000)
+
+
+def q_b7_unpair(spark, sf_dir):
+    u = BT.unpair(_pairs(spark, sf_dir))
+    return u.select("pair_id", "side", F.size("sents").alias("n_sents"), F.md5(_lines("sents")).alias("text_md5"))
+
+
+def q_t10_sentence_lengths(spark, sf_dir):
+    d = C.corpus(spark, sf_dir).select("doc_id", F.transform("sents", lambda s: tokenize(s)).alias("t"))
+    return d.select("doc_id", _ints(BT.sentence_lengths(F.col("t"))).alias("lengths"),
+                    _ints(BT.sentence_lengths(F.col("t"), 20)).alias("padded"))
+
+
+def _vocab_ids(spark, sf_dir, vocab):
+    enc = VO.encode(_tagged_tokens(spark, sf_dir), vocab, oov="unk")
+    return VO.regroup(enc, ["doc_id", "sent_idx"], "tok_idx", "idx", "ids")
+
+
+def _doc_ids(spark, sf_dir, vocab):
+    s = _vocab_ids(spark, sf_dir, vocab)
+    return VO.regroup(s, ["doc_id"], "sent_idx", "ids", "_s").select("doc_id", F.flatten("_s").alias("ids"))
+
+
+def _special(vocab, word):
+    return vocab.filter(F.col("word") == word).select("idx").first()[0]
+
+
+def q_t12_pad_truncate(spark, sf_dir):
+    v = q_a2_build_vocab(spark, sf_dir)
+    pt = BT.pad_truncate(F.col("ids"), 768, _special(v, "<pad>"))
+    d = _doc_ids(spark, sf_dir, v).select("doc_id", pt.alias("p"))
+    return d.select("doc_id", _ints("p.input_ids").alias("input_ids"),
+                    _ints("p.attention_mask").alias("attention_mask"))
+
+
+def q_t13_lm_targets(spark, sf_dir):
+    v = VO.lm_vocab(q_a2_build_vocab(spark, sf_dir))
+    t = BT.lm_targets(F.col("ids"), _special(v, "<bos>"), _special(v, "<eos>"))
+    s = _vocab_ids(spark, sf_dir, v).select("doc_id", "sent_idx", t.alias("t"))
+    return s.select("doc_id", "sent_idx", _ints("t.forward").alias("forward"), _ints("t.backward").alias("backward"))
+
+
+def q_t14_shift_targets(spark, sf_dir):
+    v = q_a2_build_vocab(spark, sf_dir)
+    pad = _special(v, "<pad>")
+    d = _doc_ids(spark, sf_dir, v).select("doc_id", BT.pad_truncate(F.col("ids"), 768, pad)["input_ids"].alias("trg"))
+    s = d.select("doc_id", BT.shift_targets(F.col("trg"), pad).alias("s"))
+    return s.select("doc_id", F.size("s.trg_in").alias("n_in"), F.col("s.ntokens").alias("ntokens"),
+                    F.md5(_ints("s.trg_out")).alias("trg_out_md5"))
+
+
+def q_k3_sort_by_length(spark, sf_dir):
+    b = BT.sort_by_length(_batches(spark, sf_dir), F.size("pos"))
+    return b.select("pair_id", "batch_id", "len_rank")
+
+
+def _vectors(spark, sf_dir, vocab):
+    e = C.load(spark, sf_dir, "embeddings")
+    return vocab.join(e, vocab["idx"] == e["vec_id"]).select("word", F.col("embedding").alias("vec"))
+
+
+def q_j7_lookup_vectors(spark, sf_dir):
+    v = q_a2_build_vocab(spark, sf_dir)
+    r = VE.lookup_vectors(v, _vectors(spark, sf_dir, v), dim=64, seed=SEED)
+    return r.select("idx", "word", F.col("found").cast("int").alias("found"),
+                    F.round(F.element_at("vec", 1).cast("double"), 5).alias("v0"))
+
+
+def q_a10_embedding_coverage(spark, sf_dir):
+    v = q_a2_build_vocab(spark, sf_dir)
+    r = VE.embedding_coverage(v, _vectors(spark, sf_dir, v))
+    return r.select("n_words", "n_found", _r6("coverage").alias("coverage"))
+
+
+def q_a11_bidirectional_nll(spark, sf_dir):
+    v = VO.lm_vocab(q_a2_build_vocab(spark, sf_dir))
+    n_v = v.count()
+    ids = _vocab_ids(spark, sf_dir, v)
+    r = VE.bidirectional_nll(ids, ["doc_id", "sent_idx"], n_v, _special(v, "<bos>"), _special(v, "<eos>"))
+    return r.select("doc_id", _r6("nll_forward").alias("nll_forward"), _r6("nll_backward").alias("nll_backward"),
+                    _r6("lm_loss").alias("lm_loss"))
+
+
+QUERIES.update({
+    "b1_minibatches": q_b1_minibatches, "b2_pad_documents": q_b2_pad_documents,
+    "b3_pad_sentences": q_b3_pad_sentences, "b4_sentence_steps": q_b4_sentence_steps,
+    "b5_fill_batch": q_b5_fill_batch, "b6_token_budget_batches": q_b6_token_budget_batches,
+    "b7_unpair": q_b7_unpair, "t10_sentence_lengths": q_t10_sentence_lengths,
+    "t12_pad_truncate": q_t12_pad_truncate, "t13_lm_targets": q_t13_lm_targets,
+    "t14_shift_targets": q_t14_shift_targets, "k3_sort_by_length": q_k3_sort_by_length,
+    "j7_lookup_vectors": q_j7_lookup_vectors, "a10_embedding_coverage": q_a10_embedding_coverage,
+    "a11_bidirectional_nll": q_a11_bidirectional_nll,
+})
