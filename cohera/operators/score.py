@@ -248,11 +248,15 @@ def adaptive_pairwise_loss(windows: DataFrame, margin: float = 5.0, key: str = "
 
 
 def running_best(log: DataFrame, run: str = "run", order: str = "epoch",
-                 metric: str = "accuracy", start: float = 0.0) -> DataFrame:
-    """Best-so-far metric before each row (start value ``start``) and
-    whether this row improves it (strict)."""
+                 metric: str = "accuracy", start: float | None = 0.0, better: str = "max") -> DataFrame:
+    """Best-so-far metric before each row (``start`` before the first)
+    and whether this row improves on it (strictly). ``better='min'`` for
+    losses (start default then +inf)."""
     w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.coalesce(F.max(metric).over(w), F.lit(start))
-    return log.withColumn("best_before", prev) \
-              .withColumn("improved", F.col(metric) > prev) \
-              .withColumn("best_so_far", F.greatest(prev, F.col(metric)))
+    if better == "max":
+        prev = F.coalesce(F.max(metric).over(w), F.lit(0.0 if start is None else start))
+        return log.withColumn("best_before", prev).withColumn("improved", F.col(metric) > prev) \
+                  .withColumn("best_so_far", F.greatest(prev, F.col(metric)))
+    prev = F.coalesce(F.min(metric).over(w), F.lit(float("inf") if start is None else start))
+    return log.withColumn("best_before", prev).withColumn("improved", F.col(metric) < prev) \
+              .withColumn("best_so_far", F.least(prev, F.col(metric)))

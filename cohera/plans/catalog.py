@@ -57,3 +57,21 @@ def grid_lines(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     lines = F.transform(ents, lambda e: F.concat_ws(" ", e, F.array_join(
         F.transform("ws", lambda w: F.when(F.array_contains(w, e), "X").otherwise("-")), " ")))
     return d.select("doc_id", F.explode(lines).alias("line"))
+
+
+def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X10 stand-in: training-log rows from ``events`` -- run = user, step =
+    event id, epoch from the timestamp, train rows carry ``loss`` (value),
+    eval rows (``view`` events) carry ``eval_loss``; tokens and elapsed
+    seconds for A8 come from ``props.k`` and ``value``."""
+    e = load(spark, sf_dir, "events")
+    is_eval = F.col("event_type") == "view"
+    return e.select(
+        F.col("user_id").cast("string").alias("run"),
+        (F.dayofmonth("ts") - 1 + F.hour("ts") / 24.0).alias("epoch"),
+        F.col("event_id").alias("step"),
+        F.lit(5e-5).alias("learning_rate"),
+        F.when(~is_eval, F.col("value")).alias("loss"),
+        F.when(is_eval, F.col("value")).alias("eval_loss"),
+        F.get_json_object("props", "$.k").cast("long").alias("ntokens"),
+        F.col("value").alias("elapsed"))

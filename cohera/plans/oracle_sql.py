@@ -729,3 +729,76 @@ per AS (SELECT doc_id, avg(CASE WHEN dir = 'f' THEN nll END) AS f, avg(CASE WHEN
         FROM j GROUP BY doc_id)
 SELECT doc_id, round(f, 6) AS nll_forward, round(b, 6) AS nll_backward, round(1.0 * (f + b), 6) AS lm_loss FROM per""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 6
+# ---------------------------------------------------------------------------
+TERMS_RE = "'[\\p{L}\\p{N}_]{2,}'"
+
+RETRIEVE = f"""
+pool AS (SELECT CAST(item_id AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS cand_id, s AS candidate
+         FROM (SELECT item_id, unnest(range(len(ss))) AS i, unnest(ss) AS s
+               FROM (SELECT item_id, {SPLIT_SENTS('text')} AS ss FROM benchmark))),
+ptt AS (SELECT cand_id, unnest(regexp_extract_all(lower(candidate), {TERMS_RE})) AS term FROM pool),
+ptf AS (SELECT cand_id, term, count(*) AS tf FROM ptt WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL),
+pn AS (SELECT count(*) AS n FROM pool),
+pdf AS (SELECT term, count(*) AS df FROM ptf GROUP BY term),
+pidf AS (SELECT term, ln((1.0 + n) / (df + 1.0)) + 1.0 AS idf FROM pdf, pn),
+cw0 AS (SELECT cand_id, term, tf * idf AS w FROM ptf JOIN pidf USING (term)),
+cwt AS (SELECT cand_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cand_id)) AS cw FROM cw0),
+gaps AS (SELECT doc_id AS gap_id, sents[1] AS first, sents[-1] AS last,
+                concat_ws(' ', sents[1], sents[-1]) AS gap_text FROM elig),
+gtt AS (SELECT gap_id, unnest(regexp_extract_all(lower(gap_text), {TERMS_RE})) AS term FROM gaps),
+gtf AS (SELECT gap_id, term, count(*) AS tf FROM gtt WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL),
+gw0 AS (SELECT gap_id, term, tf * idf AS w FROM gtf JOIN pidf USING (term)),
+gwt AS (SELECT gap_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY gap_id)) AS gw FROM gw0),
+sc AS (SELECT gap_id, cand_id, max(gw * cw) AS score_max, sum(gw * cw) AS score_sum
+       FROM gwt JOIN cwt USING (term) GROUP BY gap_id, cand_id),
+topc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score_max DESC, cand_id) AS cand_no
+                        FROM sc) WHERE cand_no <= 5),
+cands AS (SELECT t.*, p.candidate, g.first, g.last, [g.first, p.candidate, g.last] AS doc3
+          FROM topc t JOIN pool p USING (cand_id) JOIN gaps g USING (gap_id))
+"""
+
+RANKED = f"""
+{SCORE_CTES('cands', 'gap_id, cand_no', 'doc3', 'rk')},
+ranked AS (SELECT c.*, r.doc_score AS rank_score FROM cands c JOIN rk_doc r USING (gap_id, cand_no)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY round(rank_score, 9) DESC, cand_no)
+                        AS rr FROM ranked) WHERE rr = 1)
+"""
+
+TLOG = """
+tlog AS (SELECT CAST(user_id AS VARCHAR) AS run, dayofmonth(ts) - 1 + hour(ts) / 24.0 AS epoch, event_id AS step,
+                CASE WHEN event_type <> 'view' THEN value END AS loss,
+                CASE WHEN event_type = 'view' THEN value END AS eval_loss,
+                CAST(json_extract_string(props, '$.k') AS BIGINT) AS ntokens, value AS elapsed FROM events)
+"""
+
+ORACLE.update({
+    "j8_retrieve_candidates": f"""WITH {P8_CTES()}, {RETRIEVE}
+SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, cand_id, round(score_max, 6) AS score_max,
+       round(score_sum, 6) AS score_sum FROM topc""",
+    "m5_rank_candidates": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, round(rank_score, 6) AS rank_score FROM ranked""",
+    "k5_best_candidate": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, cand_id, round(rank_score, 6) AS rank_score FROM best""",
+    "m6_infill_one_round": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+SELECT gap_id AS story_id, 0 AS pos, first AS sentence FROM gaps
+UNION ALL SELECT gap_id, 1, candidate FROM best
+UNION ALL SELECT g.gap_id, CASE WHEN b.gap_id IS NULL THEN 1 ELSE 2 END, g.last
+FROM gaps g LEFT JOIN best b USING (gap_id)""",
+    "s9_read_training_log": f"""WITH {TLOG}
+SELECT run, step, round(epoch, 6) AS epoch, loss, eval_loss FROM tlog""",
+    "a8_weighted_epoch_loss": f"""WITH {TLOG}
+SELECT run, round(sum(coalesce(loss, eval_loss)) / sum(ntokens), 6) AS loss_per_token,
+       round(sum(ntokens) / sum(elapsed), 6) AS tokens_per_sec, count(*) AS n_batches FROM tlog GROUP BY run""",
+    "w4_running_best": f"""WITH {TLOG}, ev AS (SELECT * FROM tlog WHERE eval_loss IS NOT NULL),
+b AS (SELECT run, step, eval_loss, coalesce(min(eval_loss) OVER (PARTITION BY run ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS bb FROM ev)
+SELECT run, step, round(bb, 6) AS best_before, CAST(eval_loss < bb AS INTEGER) AS improved FROM b""",
+    "k4_best_checkpoint": f"""WITH {TLOG},
+r AS (SELECT run, step, eval_loss, row_number() OVER (PARTITION BY run ORDER BY eval_loss, step) AS rn
+      FROM tlog WHERE eval_loss IS NOT NULL)
+SELECT run, step AS best_step, eval_loss AS best_eval_loss FROM r WHERE rn = 1""",
+})

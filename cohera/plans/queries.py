@@ -766,3 +766,123 @@ QUERIES.update({
     "j7_lookup_vectors": q_j7_lookup_vectors, "a10_embedding_coverage": q_a10_embedding_coverage,
     "a11_bidirectional_nll": q_a11_bidirectional_nll,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 6: retrieval, ranking, infill, vectors, plug-ins, ranker, logs
+# ---------------------------------------------------------------------------
+from cohera.operators import infill as IN  # noqa: E402
+from cohera.operators import metrics as ME  # noqa: E402
+from cohera.operators import plugins as PL  # noqa: E402
+from cohera.operators import ranker as RK  # noqa: E402
+
+K_CAND = 5
+
+
+def _pool(spark, sf_dir):
+    b = C.load(spark, sf_dir, "benchmark")
+    s = b.select("item_id", F.posexplode(split_sentences(F.col("text"))).alias("sent_idx", "candidate"))
+    return s.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("sent_idx").cast("string"))
+                    .alias("cand_id"), "candidate")
+
+
+def _gaps(spark, sf_dir):
+    d = _f1(spark, sf_dir)
+    return d.select(F.col("doc_id").alias("gap_id"), F.element_at("sents", 1).alias("first"),
+                    F.element_at("sents", -1).alias("last")) \
+            .withColumn("gap_text", F.concat_ws(" ", "first", "last"))
+
+
+def _cands(spark, sf_dir):
+    g = _gaps(spark, sf_dir)
+    c = IN.retrieve_candidates(g.select("gap_id", "gap_text"), _pool(spark, sf_dir), K_CAND)
+    return c.join(g.select("gap_id", "first", "last"), "gap_id")
+
+
+def q_j8_retrieve_candidates(spark, sf_dir):
+    c = _cands(spark, sf_dir)
+    return c.select("gap_id", "cand_no", "cand_id", _r6("score_max").alias("score_max"),
+                    _r6("score_sum").alias("score_sum"))
+
+
+def q_m5_rank_candidates(spark, sf_dir):
+    r = IN.rank_candidates(_cands(spark, sf_dir))
+    return r.select("gap_id", "cand_no", _r6("rank_score").alias("rank_score"))
+
+
+def q_k5_best_candidate(spark, sf_dir):
+    r = IN.rank_candidates(_cands(spark, sf_dir)).withColumn("rank_score", F.round("rank_score", TIE_DIGITS))
+    b = IN.best_candidate(r.select("gap_id", "rank_score", "cand_no", "cand_id"))
+    return b.select("gap_id", "cand_no", "cand_id", _r6("rank_score").alias("rank_score"))
+
+
+def _seeds(spark, sf_dir):
+    return _gaps(spark, sf_dir).select(F.col("gap_id").alias("story_id"), "first", "last")
+
+
+def q_m6_infill_one_round(spark, sf_dir):
+    return IN.infill_story(_seeds(spark, sf_dir), _pool(spark, sf_dir), rounds=1, k=K_CAND)
+
+
+def q_m6_infill_story(spark, sf_dir):
+    return IN.infill_story(_seeds(spark, sf_dir), _pool(spark, sf_dir), rounds=2, k=K_CAND)
+
+
+def q_m2_vector_coherence(spark, sf_dir):
+    from pyspark.sql.window import Window
+    v = q_a2_build_vocab(spark, sf_dir)
+    vecs = VE.lookup_vectors(v, _vectors(spark, sf_dir, v), dim=64, seed=SEED).select("word", "vec")
+    toks = _tagged_tokens(spark, sf_dir)
+    sv = VE.sentence_vectors(toks, vecs, ["doc_id", "sent_idx"], 64)
+    w = Window.partitionBy("doc_id").orderBy("sent_idx")
+    adj = sv.withColumn("nxt", F.lead("svec").over(w)).filter(F.col("nxt").isNotNull())
+    adj = adj.withColumn("cos", VE.cosine(F.col("svec"), F.col("nxt")))
+    return adj.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("cos"), 6).alias("score"))
+
+
+def q_m3_score_batches(spark, sf_dir):
+    return PL.score_batches(C.corpus(spark, sf_dir), PL.type_token_model,
+                            "doc_id string, type_token_ratio double, mean_sentence_len double")
+
+
+def q_m7_train_ranker(spark, sf_dir):
+    model, pred = RK.train_ranker(_pairs(spark, sf_dir), max_iter=30)
+    acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("train_accuracy"),
+                   F.count(F.lit(1)).alias("n_rows"))
+    coef = ",".join(f"{x:.6f}" for x in model.coefficients.toArray())
+    return acc.select("n_rows", _r6("train_accuracy").alias("train_accuracy"), F.lit(coef).alias("coefficients"))
+
+
+def q_s9_read_training_log(spark, sf_dir):
+    path = scratch_path(spark, "trainlog")
+    FS.write_training_log(C.training_log(spark, sf_dir), path)
+    r = FS.read_training_log(spark, path, multi_line=False, run_col="run")
+    return r.select("run", "step", _r6("epoch").alias("epoch"), "loss", "eval_loss")
+
+
+def q_a8_weighted_epoch_loss(spark, sf_dir):
+    log = C.training_log(spark, sf_dir).withColumn("loss", F.coalesce("loss", "eval_loss"))
+    r = ME.weighted_epoch_loss(log, ["run"])
+    return r.select("run", _r6("loss_per_token").alias("loss_per_token"),
+                    _r6("tokens_per_sec").alias("tokens_per_sec"), "n_batches")
+
+
+def q_w4_running_best(spark, sf_dir):
+    ev = C.training_log(spark, sf_dir).filter(F.col("eval_loss").isNotNull())
+    r = SC.running_best(ev, "run", "step", "eval_loss", start=None, better="min")
+    return r.select("run", "step", _r6("best_before").alias("best_before"),
+                    F.col("improved").cast("int").alias("improved"))
+
+
+def q_k4_best_checkpoint(spark, sf_dir):
+    return ME.best_checkpoint(C.training_log(spark, sf_dir))
+
+
+QUERIES.update({
+    "j8_retrieve_candidates": q_j8_retrieve_candidates, "m5_rank_candidates": q_m5_rank_candidates,
+    "k5_best_candidate": q_k5_best_candidate, "m6_infill_one_round": q_m6_infill_one_round,
+    "m6_infill_story": q_m6_infill_story, "m2_vector_coherence": q_m2_vector_coherence,
+    "m3_score_batches": q_m3_score_batches, "m7_train_ranker": q_m7_train_ranker,
+    "s9_read_training_log": q_s9_read_training_log, "a8_weighted_epoch_loss": q_a8_weighted_epoch_loss,
+    "w4_running_best": q_w4_running_best, "k4_best_checkpoint": q_k4_best_checkpoint,
+})

@@ -136,12 +136,27 @@ TRAINING_LOG_SCHEMA = T.StructType([
 ])
 
 
-def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """Explode a trainer state file's ``log_history`` into rows
-    ``(run, epoch, step, learning_rate, loss, eval_loss, ...)``; train rows
-    have ``loss``, eval rows ``eval_loss``. ``run`` = the parent folder."""
-    raw = (spark.read.schema(TRAINING_LOG_SCHEMA).option("multiLine", True).json(path)
+def read_training_log(spark: SparkSession, path: str, multi_line: bool = True,
+                      run_col: str | None = None) -> DataFrame:
+    """Explode a trainer state's ``log_history`` into rows ``(run, epoch,
+    step, learning_rate, loss, eval_loss, ...)``; train rows have ``loss``,
+    eval rows ``eval_loss``. ``run`` = the parent folder of the file, or the
+    field ``run_col`` of each JSON object (``multi_line=False``: one state
+    object per line)."""
+    schema = TRAINING_LOG_SCHEMA
+    if run_col:
+        schema = T.StructType(schema.fields + [T.StructField(run_col, T.StringType())])
+    raw = (spark.read.schema(schema).option("multiLine", multi_line).json(path)
            .withColumn("_path", F.input_file_name()))
-    run = F.element_at(F.split("_path", "/"), -2)
+    run = F.col(run_col) if run_col else F.element_at(F.split("_path", "/"), -2)
     e = raw.select(run.alias("run"), F.explode("log_history").alias("h"))
     return e.select("run", "h.*")
+
+
+def write_training_log(log: DataFrame, path: str, run: str = "run") -> None:
+    """One trainer-state object per run (``log_history`` ordered by step)
+    as JSON lines -- the S9 reader's ``multi_line=False`` input."""
+    cols = ["epoch", "step", "learning_rate", "loss", "eval_loss"]
+    g = log.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("step"), *[F.col(c) for c in cols if c != "step"]))).alias("log_history"))
+    g.write.mode("overwrite").json(path)
