@@ -802,3 +802,31 @@ r AS (SELECT run, step, eval_loss, row_number() OVER (PARTITION BY run ORDER BY
       FROM tlog WHERE eval_loss IS NOT NULL)
 SELECT run, step AS best_step, eval_loss AS best_eval_loss FROM r WHERE rn = 1""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 7
+# ---------------------------------------------------------------------------
+ORACLE.update({
+    "st1_stream_keywords": ORACLE["k2_transform_keywords"],
+    "st2_stream_scores": f"""WITH {DOCS}, {SCORE_CTES('docs', 'doc_id', 'sents')}
+SELECT d.doc_id, round(s.doc_score, 6) AS doc_score, CAST(len(d.sents) AS INTEGER) AS n_sents
+FROM docs d JOIN sc_doc s USING (doc_id)""",
+    "st3_stream_accuracy": f"""WITH {P8_CTES()}, {PAIRS_OK},
+{SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
+j AS (SELECT p.n_windows, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
+      FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
+SELECT CAST(n_windows AS INTEGER) AS n_windows, count(*) AS n_pairs, sum(CAST(win AS BIGINT)) AS n_correct,
+       round(sum(CAST(win AS BIGINT)) / count(*), 6) AS accuracy FROM j GROUP BY n_windows""",
+    "s2_read_corpus": f"""WITH {DOCS}
+SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_lines, md5(array_to_string(sents, chr(10))) AS text_md5 FROM docs""",
+    "s3_read_manifest": f"""WITH {P8_CTES()},
+tr AS (SELECT doc_id FROM elig WHERE doc_id <= (SELECT c FROM cut))
+SELECT {POSNAME('doc_id')} AS name FROM tr
+UNION ALL SELECT {POSNAME('c.doc_id')} || '-' || CAST((c.n - 1) * 20 + c.perm_no AS VARCHAR)
+FROM chosen c JOIN tr USING (doc_id) WHERE (c.n - 1) * 20 + c.perm_no <= 40""",
+    "s10_read_marketplace_reviews": """SELECT 'R' || CAST(d.doc_id AS VARCHAR) AS DOC_ID,
+  CAST(coalesce(l.quality, 0) * 4 + 1 AS INTEGER) AS RATING, d.source AS REVIEW_TITLE,
+  md5(string_split(d.text, chr(10))[1]) AS text_md5, '2015-08-31' AS review_date
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+})

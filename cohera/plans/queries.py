@@ -886,3 +886,107 @@ QUERIES.update({
     "s9_read_training_log": q_s9_read_training_log, "a8_weighted_epoch_loss": q_a8_weighted_epoch_loss,
     "w4_running_best": q_w4_running_best, "k4_best_checkpoint": q_k4_best_checkpoint,
 })
+
+
+# ---------------------------------------------------------------------------
+# Phase 7: streaming and file sources
+# ---------------------------------------------------------------------------
+from cohera.sources import corpus as CO  # noqa: E402
+from cohera.streaming import jobs as ST  # noqa: E402
+
+STREAM_FILES = 4
+
+
+def _stage(df, spark, tag):
+    """Write a derived table as a few Parquet files for a file-source stream."""
+    path = scratch_path(spark, tag)
+    df.repartition(STREAM_FILES).write.parquet(path)
+    return path
+
+
+def q_st1_stream_keywords(spark, sf_dir):
+    r = _reviews_text(spark, sf_dir)
+    train, test = SM.train_test_split(r, 0.2, SEED, "DOC_ID")
+    idf = KW.fit_tfidf(train, "DOC_ID", "REVIEW_TEXT")
+    src = _stage(test.select("DOC_ID", "REVIEW_TEXT"), spark, "st1-in")
+    sink, ck = scratch_path(spark, "st1-out"), scratch_path(spark, "st1-ck")
+    stream = ST.file_stream(spark, src, "DOC_ID string, REVIEW_TEXT string")
+    ST.stream_keywords(stream, idf, "DOC_ID", "REVIEW_TEXT", sink, ck, 10)
+    return spark.read.parquet(sink).select("DOC_ID", "keywords")
+
+
+def q_st2_stream_scores(spark, sf_dir):
+    src = _stage(C.corpus(spark, sf_dir), spark, "st2-in")
+    sink, ck = scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ck")
+    ST.stream_scores(ST.file_stream(spark, src, "doc_id string, sents array<string>"), sink, ck)
+    return spark.read.parquet(sink).select("doc_id", _r6("doc_score").alias("doc_score"), "n_sents")
+
+
+def q_st3_stream_accuracy(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("pair_id", "n_windows", "pos", "neg")
+    src = _stage(p, spark, "st3-in")
+    sink, ck = scratch_path(spark, "st3-out"), scratch_path(spark, "st3-ck")
+    stream = ST.file_stream(spark, src, "pair_id string, n_windows int, pos array<string>, neg array<string>")
+    ST.stream_accuracy(stream, sink, ck)
+    return spark.read.parquet(sink).select("n_windows", "n_pairs", "n_correct", _r6("accuracy").alias("accuracy"))
+
+
+def q_s2_read_corpus(spark, sf_dir):
+    path = scratch_path(spark, "corpus")
+    C.load(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    d = CO.read_corpus(spark, path, encoding="UTF-8", key_from_dir="doc_id")
+    return d.select("doc_id", F.size("sents").alias("n_lines"), F.md5(_lines("sents")).alias("text_md5"))
+
+
+def q_s3_read_manifest(spark, sf_dir):
+    f = SM.first_n_split(_f1(spark, sf_dir), "doc_id", 121)
+    path = scratch_path(spark, "manifest")
+    f.filter(F.col("split") == "train").select(
+        F.concat(F.lit("data/wsj/"), F.lpad("doc_id", 2, "0"), F.lit("/"), DS.pos_text_name(F.col("doc_id")))
+        .alias("value")).write.text(path)
+    man = FS.read_manifest(spark, path, "train")
+    n = _negs(spark, sf_dir)
+    files = f.select(DS.pos_text_name(F.col("doc_id")).alias("doc_id")).unionByName(n.select(
+        F.concat(DS.pos_text_name(F.col("doc_id")), F.lit("-"),
+                 ((F.col("n_windows") - 1) * 20 + F.col("perm_no")).cast("string")).alias("doc_id")))
+    return FS.restrict_to_manifest(files, man, 40).withColumnRenamed("doc_id", "name")
+
+
+def q_s8_read_request_log(spark, sf_dir):
+    c = C.load(spark, sf_dir, "conversations")
+    log = c.select(F.col("role").alias("product_title"), F.col("text").alias("review_text"),
+                   (F.col("turn") * 10 + 50).cast("int").alias("max_len"),
+                   (F.col("turn") % 3 + 1).cast("int").alias("n_sequences"), F.lit("").alias("output"),
+                   F.lit("").alias("flag"), F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("username"),
+                   F.lit("2021-11-30 10:00:00").alias("ts"))
+    path = scratch_path(spark, "reqlog")
+    log.write.option("header", True).option("quote", "'").option("escape", "'").csv(path)
+    return FS.read_request_log(spark, path)
+
+
+def q_s10_read_marketplace_reviews(spark, sf_dir):
+    d = C.load(spark, sf_dir, "documents").join(C.load(spark, sf_dir, "labels"), "doc_id", "left")
+    did = F.col("doc_id").cast("string")
+    raw = d.select(F.lit("US").alias("marketplace"), did.alias("customer_id"),
+                   F.concat(F.lit("R"), did).alias("review_id"), F.concat(F.lit("P"), did).alias("product_id"),
+                   did.alias("product_parent"), F.col("source").alias("product_title"),
+                   F.col("lang").alias("product_category"),
+                   (F.coalesce("quality", F.lit(0)) * 4 + 1).cast("string").alias("star_rating"),
+                   (F.col("n_chars") % 10).cast("string").alias("helpful_votes"),
+                   (F.col("n_chars") % 20).cast("string").alias("total_votes"), F.lit("N").alias("vine"),
+                   F.lit("Y").alias("verified_purchase"), F.col("source").alias("review_headline"),
+                   F.element_at(F.split("text", "\n"), 1).alias("review_body"),
+                   F.lit("2015-08-31").alias("review_date"))
+    path = scratch_path(spark, "market")
+    raw.coalesce(1).write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    r = FS.read_marketplace_reviews(spark, path)
+    return r.select("DOC_ID", "RATING", "REVIEW_TITLE", F.md5("REVIEW_TEXT").alias("text_md5"),
+                    F.col("review_date").cast("string").alias("review_date"))
+
+
+QUERIES.update({
+    "st1_stream_keywords": q_st1_stream_keywords, "st2_stream_scores": q_st2_stream_scores,
+    "st3_stream_accuracy": q_st3_stream_accuracy, "s2_read_corpus": q_s2_read_corpus,
+    "s3_read_manifest": q_s3_read_manifest, "s8_read_request_log": q_s8_read_request_log,
+    "s10_read_marketplace_reviews": q_s10_read_marketplace_reviews,
+})

@@ -29,17 +29,23 @@ def corpus_from_documents(documents: DataFrame, strip: bool = True) -> DataFrame
 
 
 def read_corpus(spark: SparkSession, path: str, pattern: str | None = None,
-                encoding: str = "ISO-8859-1", name_regex: str | None = None) -> DataFrame:
+                encoding: str = "ISO-8859-1", name_regex: str | None = None,
+                key_from_dir: str | None = None) -> DataFrame:
     """Every file under ``path`` (recursive) is one document.
 
     ``pattern`` is a file-name glob pushed into the file listing;
     ``name_regex`` an extra regex filter on the file name. Bytes are decoded
-    with ``encoding`` (latin-1 by default, as the corpus is stored)."""
+    with ``encoding`` (latin-1 by default, as the corpus is stored). The
+    document key is the file name, or with ``key_from_dir='doc_id'`` the
+    value of a ``doc_id=<v>`` folder (a partitioned write)."""
     r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true"))
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     df = r.load(path).select(F.col("path"), F.col("content"))
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    if key_from_dir:
+        name = F.regexp_extract(F.col("path"), f"{key_from_dir}=([^/]+)/", 1)
+    else:
+        name = F.element_at(F.split(F.col("path"), "/"), -1)
     df = df.select(name.alias("doc_id"), F.decode("content", encoding).alias("text"))
     if name_regex:
         df = df.filter(F.col("doc_id").rlike(name_regex))

@@ -92,10 +92,9 @@ def read_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
 def restrict_to_manifest(files: DataFrame, manifest: DataFrame, n_neg: int = 40) -> DataFrame:
     """S3: keep the manifest's documents plus their numbered negatives
     ``name-1 ... name-n_neg`` (left-semi join on the expanded name list)."""
+    negs = manifest.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("_i"))
     names = manifest.select("doc_id").union(
-        manifest.select(F.concat(F.col("doc_id"), F.lit("-"),
-                                 F.explode(F.sequence(F.lit(1), F.lit(n_neg))).cast("string"))
-                        .alias("doc_id")))
+        negs.select(F.concat(F.col("doc_id"), F.lit("-"), F.col("_i").cast("string")).alias("doc_id")))
     return files.join(names.distinct(), "doc_id", "left_semi")
 
 
