@@ -247,24 +247,41 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
     """For each negative sentence, its index in the positive document.
 
     ``bijective`` (default): the k-th occurrence of a sentence in the
-    negative maps to its k-th occurrence in the positive (equi-join on
-    ``(pair, sentence, occurrence)``). ``first``: every sentence maps to its
-    first index in the positive (duplicates then repeat an index).
-    Returns ``key, order ARRAY<INT>``."""
-    from pyspark.sql.window import Window
-
-    pl = pairs.select(key, F.posexplode(pos).alias("src", "sentence"))
-    nl = pairs.select(key, F.posexplode(neg).alias("dst", "sentence"))
-    if mode == "bijective":
-        wp = Window.partitionBy(key, "sentence").orderBy("src")
-        wn = Window.partitionBy(key, "sentence").orderBy("dst")
-        pl = pl.withColumn("occ", F.row_number().over(wp))
-        nl = nl.withColumn("occ", F.row_number().over(wn))
-        j = nl.join(pl, [key, "sentence", "occ"], "left")
-    elif mode == "first":
-        firsts = pl.groupBy(key, "sentence").agg(F.min("src").alias("src"))
-        j = nl.join(firsts, [key, "sentence"], "left")
-    else:
+    negative maps to its k-th occurrence in the positive. Row-local: when the
+    two sides hold the same multiset, sorting ``(sentence, index)`` on both
+    sides lines the k-th occurrences up (O(L log L), no shuffle); otherwise
+    each negative position looks up its occurrence directly (unmatched ->
+    null). ``first``: every sentence maps to its first index in the positive
+    (duplicates then repeat an index). Returns ``key, order ARRAY<INT>``."""
+    P, N = F.col(pos), F.col(neg)
+
+    def idx(a):
+        return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(
+            F.array().cast("array<int>"))
+
+    if mode == "first":
+        order = F.transform(N, lambda s: F.when(F.array_position(P, s) > 0,
+                                                (F.array_position(P, s) - 1).cast("int")))
+        return pairs.select(key, order.alias("order"))
+    if mode != "bijective":
         raise ValueError(mode)
-    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dst", "src"))).alias("_o"))
-    return agg.select(key, F.transform("_o", lambda s: s["src"]).alias("order"))
+
+    def tagged(a):
+        return F.array_sort(F.transform(idx(a), lambda i: F.struct(F.element_at(a, i + 1).alias("s"),
+                                                                   i.alias("i"))))
+
+    def by_sort(ps, ns):
+        z = F.zip_with(ns, ps, lambda n, p: F.struct(n["i"].alias("dst"), p["i"].alias("src")))
+        return F.transform(F.array_sort(z), lambda t: t["src"])
+
+    def by_lookup():
+        def at(j):
+            s = F.element_at(N, j + 1)
+            occ = F.size(F.filter(F.slice(N, 1, j), lambda x: x == s))
+            hits = F.filter(idx(P), lambda i: F.element_at(P, i + 1) == s)
+            return F.try_element_at(hits, (occ + 1).cast("int"))
+        return F.transform(idx(N), at)
+
+    same = F.array_sort(P) == F.array_sort(N)
+    order = F.when(same, let(tagged(P), lambda ps: by_sort(ps, tagged(N)))).otherwise(by_lookup())
+    return pairs.select(key, order.alias("order"))

@@ -108,12 +108,15 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
 
     spark = df.sparkSession
     n_partitions = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the range sampler and the materialisation both read the input: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (df.repartitionByRange(n_partitions, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     pid = F.shiftright(F.col("_mid"), 33)
     counts = dict((r[0], r[1]) for r in ranged.groupBy(pid.alias("_p")).count().collect())
+    df.unpersist()
     offsets, acc = [], 0
     for p in range(max(counts) + 1 if counts else 0):
         offsets.append(acc)
@@ -121,4 +124,6 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     if not offsets:
         return ranged.withColumn(name, F.lit(None).cast("long")).drop("_mid")
     off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (pid + 1).cast("int"))
-    return ranged.withColumn(name, off + F.col("_mid") - F.shiftleft(pid, 33)).drop("_mid")
+    out = ranged.withColumn(name, off + F.col("_mid") - F.shiftleft(pid, 33)).drop("_mid")
+    out.total_rows = acc  # the row count, known without another job
+    return out

@@ -33,16 +33,19 @@ def build_vocab(counts: DataFrame, ratio: float = 1.0, specials=VOCAB_SPECIALS,
 
     The dense index is computed by range partitioning + per-partition offsets
     (no single-partition window)."""
+    from pyspark import StorageLevel
+
     c = counts.select(F.col(word).alias("word"), F.col(cnt).cast("long").alias("cnt"))
     c = c.withColumn("_neg", -F.col("cnt"))
-    ranked = dense_index(c, ["_neg", "word"], "idx").drop("_neg")
+    ranked = dense_index(c, ["_neg", "word"], "idx")
+    n = ranked.total_rows
+    ranked = ranked.drop("_neg")
+    top = int(n * ratio)
     if ratio < 1.0:
-        n = counts.count()
-        ranked = ranked.filter(F.col("idx") < int(n * ratio))
-        top = int(n * ratio)
-    else:
-        top = None
-    return append_specials(ranked.select("idx", "word", "cnt"), specials, base=top)
+        ranked = ranked.filter(F.col("idx") < top)
+    # a vocabulary is read by several jobs (lookups, joins, counts): keep it
+    return append_specials(ranked.select("idx", "word", "cnt"), specials, base=top) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def append_specials(vocab: DataFrame, specials, base: int | None = None) -> DataFrame:

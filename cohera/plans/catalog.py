@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.session import table_path
+from cohera.session import spread, table_path
 from cohera.sources.corpus import corpus_from_documents
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Read a driver table; a table stored as a single row group is spread
+    over the cores by its id column (wide inputs pass through unshuffled)."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df, df.columns[0])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

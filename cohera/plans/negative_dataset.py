@@ -35,15 +35,17 @@ def build_negative_dataset(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20,
     else:
         raise ValueError(split)
     d = spread(d, "doc_id")
+    nonempty = lambda a: F.filter(a, lambda x: x != "")
     if normalize_mode:
-        def norm(a):
-            return F.filter(F.transform(a, lambda x: normalize(x, normalize_mode)), lambda x: x != "")
+        # each sentence is normalised once per document; negatives gather
+        # the normalised sentences by index (normalisation is per sentence)
+        d = d.withColumn("_ns", F.transform("sents", lambda x: normalize(x, normalize_mode)))
+        keep_empty = lambda a: nonempty(a)
     else:
-        def norm(a):
-            return a
-    # the normalised positive is computed once per document, below the explode
-    d = d.withColumn("pos", norm(F.col("sents")))
+        d = d.withColumn("_ns", F.col("sents"))
+        keep_empty = lambda a: a
+    d = d.withColumn("pos", keep_empty(F.col("_ns")))
     keep = (lambda neg: ~neg.eqNullSafe(F.col("pos"))) if drop_identical else None
-    out = build_negatives(d, n_windows, perms, w, seed,
-                          neg_text=lambda s, perm: norm(apply_permutation(s, perm)), keep=keep)
+    out = build_negatives(d, n_windows, perms, w, seed, sents="_ns",
+                          neg_text=lambda s, perm: keep_empty(apply_permutation(s, perm)), keep=keep)
     return out.select("pair_id", "doc_id", "split", "n_windows", "perm_no", "perm", "pos", "neg")

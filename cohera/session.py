@@ -18,6 +18,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM
+            b = b.config("spark.driver.memory", os.environ.get("COHERA_DRIVER_MEMORY", "16g"))
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
