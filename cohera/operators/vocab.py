@@ -60,12 +60,17 @@ def append_specials(vocab: DataFrame, specials, base: int | None = None) -> Data
     return vocab.unionByName(sp)
 
 
-def lm_vocab(vocab: DataFrame) -> DataFrame:
+def lm_vocab(vocab: DataFrame, pad: str = "<pad>") -> DataFrame:
     """The language-model id space: the vocabulary plus ``<bos>``/``<eos>``,
-    minus ``<pad>``, re-numbered densely in the old id order."""
-    v = append_specials(vocab, LM_SPECIALS).filter(F.col("word") != "<pad>")
-    return dense_index(v.withColumnRenamed("idx", "_old"), ["_old"], "idx").drop("_old") \
-        .select("idx", "word", "cnt")
+    minus ``<pad>``, re-numbered densely in the old id order -- ids above the
+    removed ``<pad>`` move down by one (arithmetic, no re-sort)."""
+    v = append_specials(vocab, LM_SPECIALS)
+    pad_row = vocab.filter(F.col("word") == pad).select("idx").first()
+    if pad_row is None:
+        return v
+    p = pad_row[0]
+    return v.filter(F.col("word") != pad).select(
+        F.when(F.col("idx") > p, F.col("idx") - 1).otherwise(F.col("idx")).alias("idx"), "word", "cnt")
 
 
 def extend_vocab(vocab: DataFrame, tokens: DataFrame) -> DataFrame:

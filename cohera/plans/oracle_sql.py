@@ -608,7 +608,8 @@ t AS (SELECT split, CAST(pf IS DISTINCT FROM nf AS DOUBLE) AS m, ps, ns FROM j)
 SELECT split, round(avg(greatest(0.0, 5.0 * m + ns * m - ps * m)), 6) AS loss, count(*) AS n_windows
 FROM t GROUP BY split""",
     "j9_reorder_features": f"""WITH {P8_CTES()}, {PAIRS_OK}, {SENTS},
-o AS (SELECT pair_id, doc_id, CAST(unnest(range(len(perm))) AS INTEGER) AS dst, unnest(perm) AS src FROM pairs)
+o AS (SELECT pair_id, doc_id, CAST(unnest(range(len(perm))) AS INTEGER) AS dst, CAST(unnest(perm) AS INTEGER) AS src
+      FROM pairs)
 SELECT o.pair_id, o.dst, o.src, CAST(len({WSET('s.sentence')}) AS INTEGER) AS n_words
 FROM o JOIN sents s ON s.doc_id = o.doc_id AND s.sent_idx = o.src""",
     "s7_entity_grid": f"WITH {DOCS}, {GRID} SELECT doc_id, entity, sent_idx, role FROM grid",
@@ -816,7 +817,7 @@ FROM docs d JOIN sc_doc s USING (doc_id)""",
 {SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
 j AS (SELECT p.n_windows, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
       FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
-SELECT CAST(n_windows AS INTEGER) AS n_windows, count(*) AS n_pairs, sum(CAST(win AS BIGINT)) AS n_correct,
+SELECT CAST(n_windows AS INTEGER) AS n_windows, count(*) AS n_pairs, CAST(sum(CAST(win AS BIGINT)) AS BIGINT) AS n_correct,
        round(sum(CAST(win AS BIGINT)) / count(*), 6) AS accuracy FROM j GROUP BY n_windows""",
     "s2_read_corpus": f"""WITH {DOCS}
 SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_lines, md5(array_to_string(sents, chr(10))) AS text_md5 FROM docs""",
@@ -830,3 +831,13 @@ FROM chosen c JOIN tr USING (doc_id) WHERE (c.n - 1) * 20 + c.perm_no <= 40""",
   md5(string_split(d.text, chr(10))[1]) AS text_md5, '2015-08-31' AS review_date
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 })
+
+
+ORACLE.update({
+    "s1_read_reviews_header_as_data": f"""WITH {REVIEWS}
+SELECT DOC_ID, LABEL, RATING FROM reviews
+UNION ALL SELECT 'DOC_ID', 'LABEL', CAST(NULL AS INTEGER)""",
+    "f6_remove_stopwords_long": f"""WITH {DOCS}, {SENTS},
+t AS (SELECT doc_id, unnest({WS(PLAIN('sentence'))}) AS word FROM sents)
+SELECT doc_id, count(*) AS n_kept FROM t WHERE NOT list_contains({STOP_SQL}, word) GROUP BY doc_id""",
+})

@@ -990,3 +990,25 @@ QUERIES.update({
     "s3_read_manifest": q_s3_read_manifest, "s8_read_request_log": q_s8_read_request_log,
     "s10_read_marketplace_reviews": q_s10_read_marketplace_reviews,
 })
+
+
+def q_s1_read_reviews_header_as_data(spark, sf_dir):
+    """S1 in the reference's mode: the header line is read as a data row."""
+    path = scratch_path(spark, "reviews")
+    FS.write_reviews(C.reviews(spark, sf_dir).coalesce(1), path)
+    r = FS.read_reviews(spark, path, header="data")
+    return r.select("DOC_ID", "LABEL", "RATING")
+
+
+def q_f6_remove_stopwords_long(spark, sf_dir):
+    """F6 long form: token table minus the stop list (broadcast anti join)."""
+    s = _sents(spark, sf_dir)
+    t = s.select("doc_id", "sent_idx", F.posexplode(tokenize(normalize("sentence", "plain"))).alias("tok_idx", "word"))
+    kept = FL.remove_stopwords_long(t, "word")
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+QUERIES.update({
+    "s1_read_reviews_header_as_data": q_s1_read_reviews_header_as_data,
+    "f6_remove_stopwords_long": q_f6_remove_stopwords_long,
+})
