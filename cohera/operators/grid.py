@@ -79,7 +79,10 @@ def recover_permutation(pos_sig: DataFrame, neg_sig: DataFrame, key: str = "doc_
     p = pos_sig.select(key, F.col("sent_idx").alias("pos_idx"), "sig")
     n = neg_sig.select(pair, key, F.col("sent_idx").alias("neg_idx"), "sig")
     if mode == "first":
-        j = n.join(p, [key, "sig"], "inner").groupBy(pair, "pos_idx").agg(F.min("neg_idx").alias("neg_idx"))
+        # first negative column per signature, before the join: one match per
+        # positive column, never all pairs of identical columns
+        first = n.groupBy(pair, key, "sig").agg(F.min("neg_idx").alias("neg_idx"))
+        j = first.join(p, [key, "sig"], "inner").select(pair, "pos_idx", "neg_idx")
     elif mode == "bijective":
         p = p.withColumn("occ", F.row_number().over(Window.partitionBy(key, "sig").orderBy("pos_idx")))
         n = n.withColumn("occ", F.row_number().over(Window.partitionBy(pair, "sig").orderBy("neg_idx")))

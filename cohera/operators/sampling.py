@@ -20,22 +20,40 @@ def hash_unit(seed, key) -> F.Column:
 
 
 def sample_fraction(df: DataFrame, frac: float, seed: int, key: str,
-                    exact: bool = False) -> DataFrame:
+                    exact: bool = False, bucket_rows: int = 200_000) -> DataFrame:
     """Sample without replacement.
 
     Default: Bernoulli by hash (``u < frac``), no shuffle. ``exact=True``
-    returns exactly ``round(frac * n)`` rows: the rows with the smallest
-    ``md5(seed|key)``; computed as a distributed top-k (``orderBy + limit``
-    on the hash -> one cut value), not by ranking the whole table in one
-    partition."""
+    returns exactly ``round(frac * n)`` rows -- those with the smallest
+    ``md5(seed|key)``. The cut value is found without ranking the table:
+    histograms of hash prefixes (at most 65 536 counts per pass, 4 more hex
+    digits each pass) narrow it down to one prefix bucket of at most
+    ``bucket_rows`` rows, and only that bucket is ranked."""
     h = md5_key(seed, F.col(key))
     if not exact:
         return df.filter(hash_unit(seed, F.col(key)) < F.lit(frac))
-    n = df.count()
-    k = int(round(frac * n))
-    if k <= 0:
+    hs = df.select(h.alias("_h"))
+    n = hs.count()
+    need = int(round(frac * n))
+    if need <= 0:
         return df.limit(0)
-    cut = (df.select(h.alias("_h")).orderBy("_h").limit(k)
+    if need >= n:
+        return df
+    prefix = ""
+    while len(prefix) < 32:
+        d = len(prefix) + 4
+        part = hs.filter(F.col("_h").startswith(prefix)) if prefix else hs
+        hist = sorted((r[0], r[1]) for r in part.groupBy(F.substring("_h", 1, d)).count().collect())
+        acc = 0
+        for b, c in hist:
+            if acc + c >= need:
+                prefix, need = b, need - acc
+                bucket = c
+                break
+            acc += c
+        if bucket <= bucket_rows:
+            break
+    cut = (hs.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
              .agg(F.max("_h").alias("c")).first()["c"])
     return df.filter(h <= F.lit(cut))
 

@@ -24,3 +24,12 @@ def test_splits_disjoint_and_complete(spark):
     ex = SM.sample_fraction(df, 0.2, 42, "key", exact=True)
     assert ex.count() == 400
     assert SM.complement(df, ex, "key").count() == 1600
+
+
+def test_exact_sample_histogram_path_matches_brute_force(spark):
+    from cohera.functions.hashing import md5_key
+    df = spark.range(5000).select(F.col("id").cast("string").alias("key"))
+    got = SM.sample_fraction(df, 0.3, 7, "key", exact=True, bucket_rows=5)
+    brute = df.withColumn("h", md5_key(7, F.col("key"))).orderBy("h").limit(1500).select("key")
+    assert got.count() == 1500
+    assert got.exceptAll(brute).count() == 0
