@@ -74,9 +74,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# ASCII whitespace, the set Java's ``\s`` matches (fixed value).
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """``str.strip()``: remove leading and trailing whitespace (no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normalize(c, mode: str = "tagged") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohera.plans import catalog as C
 from cohera.plans.negative_dataset import build_negative_dataset
+from cohera.sources import corpus as CO
 
 NL = "\n"
 
@@ -191,9 +192,12 @@ def scratch_path(spark, tag: str) -> str:
 
 
 def _tagged_tokens(spark, sf_dir, docs=None):
+    """Long token table of the tagged-normalised corpus; persisted because
+    the vocabulary build, the dense index and the encoding all read it."""
+    from pyspark import StorageLevel
     d = docs if docs is not None else C.corpus(spark, sf_dir)
     t = d.select("doc_id", F.transform("sents", lambda s: tokenize(normalize(s, "tagged"))).alias("tokens"))
-    return VO.token_table(t, "tokens")
+    return VO.token_table(t, "tokens").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _counts(tokens):
@@ -205,9 +209,8 @@ def q_a2_build_vocab(spark, sf_dir):
 
 
 def _en_vocab(spark, sf_dir):
-    en = C.corpus(spark, sf_dir).join(
-        C.load(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-        .select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+    # the language filter reaches the Parquet scan (pushed filter), no join
+    en = CO.corpus_from_documents(C.load(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
     return VO.build_vocab(_counts(_tagged_tokens(spark, sf_dir, en)))
 
 
