@@ -36,25 +36,27 @@ def terms(text) -> Column:
 def term_counts(docs: DataFrame, key: str, text: str, stop_words=None) -> DataFrame:
     """``(key, term, tf)`` raw counts, stop words removed."""
     stop = stop_words if stop_words is not None else default_stop_words()
-    stop_arr = F.array(*[F.lit(w) for w in stop])
-    t = docs.select(F.col(key), F.explode(F.filter(terms(text),
-                                                   lambda x: ~F.array_contains(stop_arr, x))).alias("term"))
+    t = docs.select(F.col(key), F.explode(terms(text)).alias("term"))
+    # a literal IN list becomes a hash-set lookup (InSet), not a scan per term
+    t = t.filter(~F.col("term").isin(list(stop)))
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_tfidf(docs: DataFrame, key: str, text: str, stop_words=None) -> DataFrame:
-    """A9 fit: the idf table ``(term, df, idf)`` over ``docs`` (the saved model)."""
+def fit_tfidf(docs: DataFrame, key: str, text: str, stop_words=None,
+              tf: DataFrame | None = None) -> DataFrame:
+    """A9 fit: the idf table ``(term, df, idf)`` over ``docs`` (the saved
+    model). ``tf`` may pass already computed term counts of ``docs``."""
     n = docs.count()
-    tf = term_counts(docs, key, text, stop_words)
+    tf = tf if tf is not None else term_counts(docs, key, text, stop_words)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0)
 
 
 def tfidf_weights(docs: DataFrame, key: str, text: str, idf: DataFrame,
-                  stop_words=None) -> DataFrame:
+                  stop_words=None, tf: DataFrame | None = None) -> DataFrame:
     """``(key, term, weight)`` L2-normalised over the known terms of each doc
     (unknown terms ignored -- the transform rule for unseen text)."""
-    tf = term_counts(docs, key, text, stop_words)
+    tf = tf if tf is not None else term_counts(docs, key, text, stop_words)
     j = tf.join(sized_broadcast(idf.select("term", "idf")), "term", "inner")
     j = j.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -72,6 +74,17 @@ def top_keywords(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
                       .alias("keywords"))
 
 
+def fit_transform_weights(docs: DataFrame, key: str, text: str, stop_words=None):
+    """A9 fit and transform on the same documents with one tokenisation:
+    the term counts are persisted and feed both the idf fit and the weights.
+    Returns ``(idf, weights)``."""
+    from pyspark import StorageLevel
+
+    tf = term_counts(docs, key, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    idf = fit_tfidf(docs, key, text, stop_words, tf=tf)
+    return idf, tfidf_weights(docs, key, text, idf, stop_words, tf=tf)
+
+
 def transform_keywords(new_docs: DataFrame, idf: DataFrame, key: str, text: str,
                        k: int = 10, stop_words=None) -> DataFrame:
     """K2: apply an already fitted idf table to unseen text, then K1."""

@@ -250,16 +250,13 @@ def q_a9_fit_tfidf(spark, sf_dir):
 
 
 def q_a9_tfidf_weights(spark, sf_dir):
-    r = _reviews_text(spark, sf_dir)
-    idf = KW.fit_tfidf(r, "DOC_ID", "REVIEW_TEXT")
-    w = KW.tfidf_weights(r, "DOC_ID", "REVIEW_TEXT", idf)
+    _, w = KW.fit_transform_weights(_reviews_text(spark, sf_dir), "DOC_ID", "REVIEW_TEXT")
     return w.select("DOC_ID", "term", F.round("weight", 6).alias("weight"))
 
 
 def q_k1_top_keywords(spark, sf_dir):
-    r = _reviews_text(spark, sf_dir)
-    idf = KW.fit_tfidf(r, "DOC_ID", "REVIEW_TEXT")
-    return KW.top_keywords(KW.tfidf_weights(r, "DOC_ID", "REVIEW_TEXT", idf), "DOC_ID", 10)
+    _, w = KW.fit_transform_weights(_reviews_text(spark, sf_dir), "DOC_ID", "REVIEW_TEXT")
+    return KW.top_keywords(w, "DOC_ID", 10)
 
 
 def q_k2_transform_keywords(spark, sf_dir):
