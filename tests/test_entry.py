@@ -22,3 +22,17 @@ def test_no_cartesian_products(spark):
                  "j4_recover_permutation", "a11_bidirectional_nll"]:
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_plan_rules_for_every_query(spark):
+    """SURVEY §5 plan checks over all registered batch queries: no cartesian
+    product or nested-loop join; Python execution only in the plug-ins."""
+    allowed_python = {"b6_token_budget_batches", "m3_score_batches"}
+    py_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+    for name, fn in sorted(E.queries().items()):
+        if name.startswith("st"):
+            continue
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        if name not in allowed_python:
+            assert not any(p in plan for p in py_nodes), name
