@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohera.llm.common import table
+from cohera.llm import toxicity
+from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
 
+def q_op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the folds other than 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    index, prior = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), index, prior)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"), "near_ids")
+
+
 def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard of at least 0.9, one row per document."""
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, pct=90)
 
 
 QUERIES = {
+    "op8_toxicity": q_op8_toxicity,
     "op10_ngram_join": q_op10_ngram_join,
 }
