@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.llm import toxicity
+from cohera.llm import decontaminate, mixing, pii, toxicity
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
 
+def q_op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked benchmark item of each document, its best window."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def q_op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digests of the spans."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.fit(docs))
+
+
+def q_op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the weighted mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def q_op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the folds other than 1 of 3."""
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +42,9 @@ def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontaminate": q_op3_decontaminate,
+    "op5_pii": q_op5_pii,
+    "op7_mixing": q_op7_mixing,
     "op8_toxicity": q_op8_toxicity,
     "op10_ngram_join": q_op10_ngram_join,
 }
