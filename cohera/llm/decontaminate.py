@@ -80,7 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     lengths = held.groupBy("x").agg(F.collect_set("n").alias("ns"))  # as many as there are item lengths
     words = docs.select("doc_id", _word_hashes(F.col("text")).alias("h")).select(
         "doc_id", F.xxhash64("h").alias("body"), _shingles(F.col("h")).alias("sh"))
-    hits = words.select("doc_id", "body", F.posexplode("sh").alias("pos", "x")).join(materialise(lengths, "bench-lengths"), "x")
+    hits = words.select("doc_id", "body", F.posexplode_outer("sh").alias("pos", "x")).join(materialise(lengths, "bench-lengths"), "x")
     # a body is a text's word sequence: equal texts are searched once
     hits = hits.groupBy("body", "pos").agg(F.first("ns").alias("ns"), F.count("*").alias("c"))
     hits = materialise(hits, "bench-hits")

@@ -31,8 +31,8 @@ from cohera.llm.common import materialise, mix64, text_batches, word_batch
 #: buckets of the count sketch; its size does not depend on the data
 SKETCH_BUCKETS = 1 << 21
 _CHUNK = 1 << 14
-#: parts of the suffix filter's histogram
-PARTS = 32
+#: parts into which the suffix filter deals a set, by hash
+PARTS = 1024
 
 
 def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
@@ -93,8 +93,21 @@ def _class_key(s: np.ndarray) -> bytes:
     return np.array([a, b, len(s)], dtype=np.uint64).tobytes()
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Whether each part of the set has an odd number of members, as bits: two
+    sets differ in at least as many members as their parities do."""
+    odd = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _suffix_close(n1, h1, n2, h2, pct: int):
+    """Suffix filter: linked sets differ in few members, so in few parities."""
+    apart = sum((F.bit_count(F.get(h1, i).bitwiseXOR(F.get(h2, i))) for i in range(PARTS // 64)), F.lit(0))
+    return (100 + pct) * apart <= (100 - pct) * (n1 + n2)
+
+
 def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
-    """One row per document: class key, set size, prefix in order, histogram."""
+    """One row per document: class key, set size, prefix in order, parities."""
     def f(batches):
         freq = sketch.value
         for pdf in batches:
@@ -107,13 +120,13 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
                 order = np.lexsort((s, freq[(s >> np.uint64(20)).astype(np.int64) % SKETCH_BUCKETS]))
                 keys.append(_class_key(s))
                 prefixes.append(s[order[: len(s) - _need(len(s), pct) + 1]].view(np.int64))
-                hists.append(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS))
+                hists.append(_parities(s))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "cls": keys, "n": sizes,
-                                "prefix": prefixes, "hist": hists})
+                                "prefix": prefixes, "parity": hists})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "k", "text").mapInPandas(
-        f, f"doc_id {kind}, k bigint, cls binary, n bigint, prefix array<bigint>, hist array<int>")
+        f, f"doc_id {kind}, k bigint, cls binary, n bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -129,12 +142,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, pct: int, name: str) -> DataFrame:
     """The pairs (a, b) of class keys whose whole sets meet the threshold."""
-    info = classes.select("cls", "n", "hist", "k")
-    p = (pairs.join(info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"), F.col("k").alias("ka")), "a")
-         .join(info.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"), F.col("k").alias("kb")), "b"))
-    # suffix filter: the parts' size differences bound the symmetric difference
-    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    p = p.where((100 + pct) * apart <= (100 - pct) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "ka", "kb")
+    info = classes.select("cls", "n", "parity", "k")
+    p = (pairs.join(info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parity").alias("ha"), F.col("k").alias("ka")), "a")
+         .join(info.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("hb"), F.col("k").alias("kb")), "b"))
+    p = p.where(_suffix_close(F.col("na"), F.col("ha"), F.col("nb"), F.col("hb"), pct)).select("a", "b", "na", "nb", "ka", "kb")
     p = materialise(p, f"{name}-pairs")
     s = materialise(_sets(docs, p.select(F.explode(F.array("ka", "kb")).alias("k")), n), f"{name}-sets")
     j = (p.join(s.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
@@ -185,7 +196,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     sig = materialise(_signatures(base, sketch, n, pct), "ngram-sig")
     classes = (sig.where("cls is not null").groupBy("cls").agg(
         F.min("n").alias("n"), F.min("k").alias("k"), F.min("doc_id").alias("doc_id"),
-        F.min("prefix").alias("prefix"), F.min("hist").alias("hist")))
+        F.min("prefix").alias("prefix"), F.min("parity").alias("parity")))
     classes = materialise(classes, "ngram-classes")
     pre = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "tok"))
     # two hubs a shingle, the classes least by two orders of the class key
@@ -212,10 +223,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     lab = pre.select("tok", "pos", "cls", "n").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     lab = lab.withColumn("root", F.coalesce("root", "cls"))
     live = lab.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    lab = materialise(lab.join(live, "tok", "left_semi"), "ngram-live")
+    lab = lab.join(live, "tok", "left_semi").join(classes.select("cls", "parity"), "cls")
+    lab = materialise(lab, "ngram-live")
     x, y = lab.alias("x"), lab.alias("y")
     cross = x.join(y, (c("x.tok") == c("y.tok")) & (c("x.root") > c("y.root"))
-                   & close(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
+                   & close(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"))
+                   & _suffix_close(c("x.n"), c("x.parity"), c("y.n"), c("y.parity"), pct))
     cross = cross.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
     more = _verified(cross.join(star, ["a", "b"], "left_anti"), base, classes, n, pct, "ngram-cross")
     final = comp
