@@ -145,7 +145,7 @@ def plan_mix(docs: DataFrame, block_words: int = 256, shard_words: int = 1 << 24
     base = rows.groupBy("skey", "bucket").agg(F.sum("span").alias("words"))
     base = base.select("skey", "bucket", F.coalesce(F.sum("words").over(up), F.lit(0)).alias("base"))
     inner = Window.partitionBy("skey", "bucket").orderBy("rkey", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("off", F.coalesce(F.sum("span").over(inner), F.lit(0))).join(base, ["skey", "bucket"])
+    placed = rows.withColumn("off", F.coalesce(F.sum("span").over(inner), F.lit(0))).join(base.hint("merge"), ["skey", "bucket"])
     placed = placed.where("span > 0").select("rkey", "skey", "span", (F.col("base") + F.col("off")).alias("off"))
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(off div {block_words}, (off + span - 1) div {block_words})")))
     at = F.greatest(F.col("block") * block_words, F.col("off"))
@@ -162,10 +162,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken, shards`` for every row."""
     documents, pieces, draws = plan_mix(docs, **options)
     n = draws.groupBy("skey", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("shards"))
-    took = pieces.join(n, ["skey", "block"])
+    took = pieces.join(n.hint("merge"), ["skey", "block"])
     took = took.groupBy("rkey").agg(F.sum(F.col("words") * F.col("times")).alias("words"),
                                     F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards"))
-    out = documents.join(took, "rkey", "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    out = documents.join(took.hint("merge"), "rkey", "left").withColumn("words", F.coalesce("words", F.lit(0)))
     out = out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     share = F.expr("words div copies") + F.when(F.col("copy") <= F.col("words") % F.col("copies"), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", share.cast("bigint").alias("taken"),
