@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.llm import decontaminate, mixing, pii, toxicity
+from cohera.llm import decontaminate, mixing, pii, quality, toxicity
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
 
+def q_op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from the folds other than 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def q_op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leaked benchmark item of each document, its best window."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,6 +50,7 @@ def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": q_op2_quality,
     "op3_decontaminate": q_op3_decontaminate,
     "op5_pii": q_op5_pii,
     "op7_mixing": q_op7_mixing,
