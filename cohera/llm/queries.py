@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.llm import decontaminate, mixing, pii, quality, toxicity
+from cohera.llm import decontaminate, mixing, pii, quality, toxicity, voronoi_knn
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
 
+def q_op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return voronoi_knn.knn_join(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def q_op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learnt from the folds other than 2 of 4."""
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +56,7 @@ def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_voronoi_knn": q_op1_voronoi_knn,
     "op2_quality": q_op2_quality,
     "op3_decontaminate": q_op3_decontaminate,
     "op5_pii": q_op5_pii,
