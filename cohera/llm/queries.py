@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.llm import decontaminate, mixing, pii, quality, toxicity, voronoi_knn
+from cohera.llm import decontaminate, html_paths, mixing, pii, quality, toxicity, voronoi_knn
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
@@ -36,6 +36,12 @@ def q_op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(docs, pii.fit(docs))
 
 
+def q_op6_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html_paths.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def q_op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the weighted mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ QUERIES = {
     "op2_quality": q_op2_quality,
     "op3_decontaminate": q_op3_decontaminate,
     "op5_pii": q_op5_pii,
+    "op6_html_paths": q_op6_html_paths,
     "op7_mixing": q_op7_mixing,
     "op8_toxicity": q_op8_toxicity,
     "op10_ngram_join": q_op10_ngram_join,
