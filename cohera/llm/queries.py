@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.llm import decontaminate, html_paths, mixing, pii, quality, toxicity, voronoi_knn
+from cohera.llm import attention_lm, decontaminate, html_paths, mixing, pii, quality, token_counts, toxicity, voronoi_knn
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
+#: public tokenizer files; every worker reads them from its own installation
+TOKENIZERS = "/opt/tokenizers"
+
 
 def q_op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best partners of every vector whose id is divisible by 50."""
@@ -30,6 +33,11 @@ def q_op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def q_op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability, learnt from the folds other than 1 of 5."""
+    return attention_lm.scored_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def q_op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digests of the spans."""
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +64,14 @@ def q_op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"), "near_ids")
 
 
+def q_op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the pieces and scores of a public file,
+    read as a unigram vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", "n_tokens", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+
+
 def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard of at least 0.9, one row per document."""
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, pct=90)
@@ -65,9 +81,11 @@ QUERIES = {
     "op1_voronoi_knn": q_op1_voronoi_knn,
     "op2_quality": q_op2_quality,
     "op3_decontaminate": q_op3_decontaminate,
+    "op4_attention_lm": q_op4_attention_lm,
     "op5_pii": q_op5_pii,
     "op6_html_paths": q_op6_html_paths,
     "op7_mixing": q_op7_mixing,
     "op8_toxicity": q_op8_toxicity,
+    "op9_token_counts": q_op9_token_counts,
     "op10_ngram_join": q_op10_ngram_join,
 }
