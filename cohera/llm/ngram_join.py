@@ -57,6 +57,16 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     return out
 
 
+def _slices(texts: pd.Series):
+    """Lists of texts of bounded size."""
+    texts = texts.tolist()
+    return (texts[part] for part in text_batches(texts))
+
+
+def _frames(pdf: pd.DataFrame):
+    return (pdf.iloc[part] for part in text_batches(pdf["text"].tolist()))
+
+
 def _need(n: np.ndarray | int, pct: int):
     """Least overlap that a set of ``n`` shares with any partner."""
     return -(-n * pct // 100)
@@ -66,8 +76,8 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Shingle counts of all documents by hash bucket, added up in Spark."""
     def local(batches):
         total = np.zeros(SKETCH_BUCKETS, dtype=np.int64)
-        for pdf in batches:
-            for s in shingle_sets(pdf["text"].tolist(), n):
+        for s in (s for pdf in batches for part in _slices(pdf["text"]) for s in shingle_sets(part, n)):
+            if len(s):
                 np.add.at(total, (s >> np.uint64(20)).astype(np.int64) % SKETCH_BUCKETS, 1)
         for c in range(0, SKETCH_BUCKETS, _CHUNK):
             part = total[c: c + _CHUNK]
@@ -110,19 +120,19 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
     """One row per document: class key, set size, prefix in order, parities."""
     def f(batches):
         freq = sketch.value
-        for pdf in batches:
-            keys, sizes, prefixes, hists = [], [], [], []
+        for pdf in (part for whole in batches for part in _frames(whole)):
+            keys, sizes, prefixes, parities = [], [], [], []
             for s in shingle_sets(pdf["text"].tolist(), n):
                 sizes.append(len(s))
                 if not len(s):
-                    keys.append(None), prefixes.append(None), hists.append(None)
+                    keys.append(None), prefixes.append(None), parities.append(None)
                     continue
                 order = np.lexsort((s, freq[(s >> np.uint64(20)).astype(np.int64) % SKETCH_BUCKETS]))
                 keys.append(_class_key(s))
                 prefixes.append(s[order[: len(s) - _need(len(s), pct) + 1]].view(np.int64))
-                hists.append(_parities(s))
+                parities.append(_parities(s))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "cls": keys, "n": sizes,
-                                "prefix": prefixes, "parity": hists})
+                                "prefix": prefixes, "parity": parities})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "k", "text").mapInPandas(
@@ -132,8 +142,8 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Whole shingle sets of the classes in ``wanted`` (k: one row of each)."""
     def f(batches):
-        for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist(), n)
+        for texts in (part for pdf in batches for part in _slices(pdf["text"])):
+            sets = shingle_sets(texts, n)
             yield pd.DataFrame({"cls": [_class_key(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
     some = docs.join(wanted.select("k").distinct(), "k", "left_semi").select("text")
