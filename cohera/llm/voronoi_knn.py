@@ -178,7 +178,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, scale: float = 256
             if out:
                 yield pd.DataFrame(out, columns=["cell", "chunk", "part", "kind", "ids", "vs"])
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         side = []
         for kind in (1, 0):
             some = pdf[pdf["kind"] == kind]
