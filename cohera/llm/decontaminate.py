@@ -78,15 +78,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     items = materialise(items, "bench-items")
     held = items.select("n", F.explode("sh").alias("x")).distinct()
     lengths = held.groupBy("x").agg(F.collect_set("n").alias("ns"))  # as many as there are item lengths
-    words = docs.select("doc_id", _word_hashes(F.col("text")).alias("h")).select(
-        "doc_id", F.xxhash64("h").alias("body"), _shingles(F.col("h")).alias("sh"))
-    hits = words.select("doc_id", "body", F.posexplode_outer("sh").alias("pos", "x")).join(materialise(lengths, "bench-lengths"), "x")
-    # a body is a text's word sequence: equal texts are searched once
+    # a body is a text by its hash: equal texts are searched once
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
+
+    def shingled(df):
+        return df.withColumn("h", _word_hashes(F.col("text"))).select("body", _shingles(F.col("h")).alias("sh"))
+
+    hits = shingled(texts).select("body", F.posexplode_outer("sh").alias("pos", "x")).join(materialise(lengths, "bench-lengths"), "x")
     hits = hits.groupBy("body", "pos").agg(F.first("ns").alias("ns"), F.count("*").alias("c"))
     hits = materialise(hits, "bench-hits")
-    some = words.join(hits.select("body").distinct(), "body", "left_semi")
+    # the same kind of join at every size: the texts that hold hits grow with the documents
+    some = texts.join(hits.select("body").distinct().hint("merge"), "body", "left_semi")
     some = materialise(some, "bench-texts")
-    bodies = some.dropDuplicates(["body"]).select("body", "sh")
+    bodies = shingled(some.dropDuplicates(["body"]))
     m = F.greatest(F.col("n") - SHINGLE + 1, F.lit(1))
     reach = hits.select("body", "pos", F.explode("ns").alias("n")).withColumn("m", m)
     starts = reach.select("body", "n", "m", F.explode(F.expr("sequence(greatest(pos - m + 1, 0), pos)")).alias("start")).distinct()
