@@ -4,8 +4,8 @@ inverted index; distance-weighted votes give a score and its evidence.
 Terms are whole words and word beginnings of 4, 5 and 6 bytes (spellings that
 vary in their ending share them).  Fitting uses at most ``per_class`` labelled
 rows of each class, those of the least id hash, and keeps at most ``max_terms``
-terms, those whose document rate differs most between the classes; so the
-index has a size bound and is broadcast.  Scoring covers every document and
+terms, those whose document rate in class 1 most exceeds that in class 0 (by
+their z value); so the index has a size bound and is broadcast.  Scoring covers every document and
 every word.
 
 The score is ``(sum_i s_i y_i + prior) / (sum_i s_i + 1)`` over the ``k`` nearest
@@ -93,6 +93,9 @@ class BlockMaxIndex:
         self.ptr = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
         self.at = np.array([i for r in rows for i, _ in r], dtype=np.int64)
         self.w = np.array([x for r in rows for _, x in r], dtype=np.float64)
+        # where each block begins in each term's postings
+        self.cut = np.array([p + np.searchsorted(self.at[p:q], np.arange(self.blocks + 1) * BLOCK)
+                             for p, q in zip(self.ptr[:-1], self.ptr[1:])], dtype=np.int64).reshape(len(rows), self.blocks + 1)
         self.top = np.zeros((len(self.terms), self.blocks), dtype=np.float64)
         np.maximum.at(self.top, (np.repeat(np.arange(len(rows)), np.diff(self.ptr)), self.at // BLOCK), self.w)
         self.seen = np.zeros(1 << 16, dtype=bool)
@@ -114,14 +117,14 @@ class BlockMaxIndex:
         q = q / np.sqrt((q * q).sum())
         bound = q @ self.top[j]
         ids, sims, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        spans = [(self.at[self.ptr[x]: self.ptr[x + 1]], self.w[self.ptr[x]: self.ptr[x + 1]]) for x in j]
+        cuts = self.cut[j]
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(ids) >= k and bound[b] < floor - 1e-12):
                 break  # no later block can enter the k best
             s = np.zeros(BLOCK)
-            for (at, w), x in zip(spans, q):
-                lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                s[at[lo:hi] - b * BLOCK] += x * w[lo:hi]
+            for (lo, hi), x in zip(cuts[:, b: b + 2].tolist(), q):
+                if lo < hi:
+                    s[self.at[lo:hi] - b * BLOCK] += x * self.w[lo:hi]
             own = np.flatnonzero(s > 0)
             ids, sims = np.concatenate((ids, own + b * BLOCK)), np.concatenate((sims, s[own]))
             best = np.lexsort((ids, -np.round(sims, 12)))[:k]
@@ -148,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n_folds: int =
         return BlockMaxIndex(np.empty(0, np.uint64), np.empty(0), []), share
     df = terms.groupBy("t").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
     rate = (F.col("d1") + F.col("d0") + 1) / (n1 + n0)
-    z = F.abs(F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(rate * (1.0 / n1 + 1.0 / n0))
+    z = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(rate * (1.0 / n1 + 1.0 / n0))
     kept = df.withColumn("z", z).where((F.col("z") >= min_z) & (F.col("d1") + F.col("d0") >= 3))
     kept = kept.orderBy(F.col("z").desc(), "t").limit(max_terms).collect()
     terms = np.array([r["t"] for r in kept], dtype=np.int64).view(np.uint64)
