@@ -315,6 +315,11 @@ def test_attention_gradients_and_windows():
         assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, k
     inputs[:, 20:] = 0  # causal: later inputs do not matter
     assert np.allclose(lm.forward(w, inputs)[-1][:, :20], lm.forward(w, np.where(np.arange(lm.WINDOW) < 20, inputs, 7))[-1][:, :20])
+    w32 = {k: x.astype(np.float32) for k, x in w.items()}
+    for since in (0, lm.OVERLAP):
+        z = lm.forward(w32, inputs, since)[-1]
+        want = np.take_along_axis(z, targets[:, since:, None], axis=2)[:, :, 0]
+        assert np.allclose(lm.target_log_probs(w32, inputs, targets[:, since:], since), want, atol=1e-4)
     streams = [r.integers(0, lm.IDS, n).astype(np.int32) for n in (1, 31, 32, 33, 56, 57, 300)]
     _, ids, scored, place = lm.windows(streams, np.zeros(lm.IDS, np.int32))
     assert sorted(place[scored].tolist()) == list(range(sum(map(len, streams))))
