@@ -1,8 +1,7 @@
 """Text scalars as native Spark expressions (no Python UDFs).
 
-Python's ``str.strip()``/``str.split()`` treat every Unicode whitespace as a
-separator; here ``\\s`` (Java regex, ASCII whitespace) is used, which is the
-same on the data these jobs see.
+White space is what ``str.strip()`` and ``str.split()`` take for it, Unicode
+spaces and the ASCII separators included.
 """
 
 from __future__ import annotations
@@ -74,8 +73,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# ASCII whitespace, the set Java's ``\s`` matches (fixed value).
-WHITESPACE = " \t\n\x0b\f\r"
+# The characters that ``str.isspace()`` holds for, and the same as a regex class
+# (fixed values).
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+SPACE_CLASS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def py_strip(c: Column) -> Column:
@@ -111,7 +113,7 @@ def normalize_list(c, mode: str = "tagged") -> Column:
 
 def split_ws(c) -> Column:
     """``str.split()``: split on whitespace runs, drop empty pieces."""
-    return F.filter(F.split(col(c), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(col(c), SPACE_CLASS + "+"), lambda t: t != "")
 
 
 def deaccent(c) -> Column:

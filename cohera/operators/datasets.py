@@ -54,5 +54,11 @@ def distinct_stems(neg_names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def pos_text_name(doc_id: Column) -> Column:
-    """Corpus naming: ``wsj_<4-digit id>.pos.text``."""
-    return F.concat(F.lit("wsj_"), F.lpad(doc_id.cast("string"), 4, "0"), F.lit(".pos.text"))
+    """Corpus naming: ``wsj_<id of 4 digits or more>.pos.text``."""
+    return F.concat(F.lit("wsj_"), padded(doc_id, 4), F.lit(".pos.text"))
+
+
+def padded(number: Column, width: int) -> Column:
+    """Zeros in front up to ``width`` characters; longer ids stay whole."""
+    s = number.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)

@@ -21,18 +21,21 @@ from pyspark.sql.window import Window
 
 from cohera.operators.keywords import fit_tfidf, tfidf_weights
 from cohera.operators.score import DEFAULT_COEF, coherence_scores, document_score_expr
-from cohera.session import cut_lineage
+from cohera.session import cut_lineage, materialise
 
 
 def retrieve_candidates(gaps: DataFrame, pool: DataFrame, k: int = 5, gap_key: str = "gap_id",
                         gap_text: str = "gap_text", cand_key: str = "cand_id",
                         cand_text: str = "candidate", idf: DataFrame | None = None,
-                        stop_words=None) -> DataFrame:
+                        stop_words=None, pool_weights: DataFrame | None = None) -> DataFrame:
     """``(gap_id, cand_no, cand_id, candidate, score_max, score_sum)``,
-    ``cand_no`` = 1..k by (score_max desc, cand_id asc)."""
+    ``cand_no`` = 1..k by (score_max desc, cand_id asc). A gap that shares no
+    term with the pool gets the ``k`` smallest candidate ids, scores 0.
+    ``idf`` and ``pool_weights`` may be passed in when they are already known."""
     if idf is None:
         idf = fit_tfidf(pool, cand_key, cand_text, stop_words)
-    cw = tfidf_weights(pool, cand_key, cand_text, idf, stop_words).withColumnRenamed("weight", "cw")
+    cw = pool_weights if pool_weights is not None else tfidf_weights(pool, cand_key, cand_text, idf, stop_words)
+    cw = cw.withColumnRenamed("weight", "cw")
     gw = tfidf_weights(gaps, gap_key, gap_text, idf, stop_words).withColumnRenamed("weight", "gw")
     # per-term top-k postings (partial limit runs before the shuffle)
     wt = Window.partitionBy("term").orderBy(F.col("cw").desc(), F.col(cand_key))
@@ -44,6 +47,12 @@ def retrieve_candidates(gaps: DataFrame, pool: DataFrame, k: int = 5, gap_key: s
                                                F.sum(F.col("gw") * F.col("cw")).alias("score_sum"))
     wg = Window.partitionBy(gap_key).orderBy(F.col("score_max").desc(), F.col(cand_key))
     top = sc.withColumn("cand_no", F.row_number().over(wg)).filter(F.col("cand_no") <= k)
+    least = [r[0] for r in pool.select(cand_key).distinct().orderBy(cand_key).limit(k).collect()]  # k ids
+    if least:
+        rest = gaps.select(gap_key).join(top.select(gap_key).distinct(), gap_key, "left_anti")
+        fall = F.posexplode(F.array(*[F.lit(c) for c in least])).alias("cand_no", cand_key)
+        rest = rest.select(gap_key, fall).withColumn("cand_no", F.col("cand_no") + 1)
+        top = top.unionByName(rest.withColumn("score_max", F.lit(0.0)).withColumn("score_sum", F.lit(0.0)))
     return top.join(pool.select(cand_key, cand_text), cand_key)
 
 
@@ -67,18 +76,19 @@ def best_candidate(scored: DataFrame, gap_key: str = "gap_id", score: str = "ran
 
 
 def infill_round(story: DataFrame, pool: DataFrame, idf: DataFrame, k: int = 5,
-                 story_key: str = "story_id") -> DataFrame:
+                 story_key: str = "story_id", pool_weights: DataFrame | None = None) -> DataFrame:
     """One M6 round: every gap between consecutive sentences gets its best
     retrieved candidate. ``story(story_id, pos, sentence)`` -> same schema,
-    positions re-densified (a gap without any candidate stays empty)."""
+    positions re-densified. Scores are compared after rounding to 9 decimals."""
     w = Window.partitionBy(story_key).orderBy("pos")
     g = story.withColumn("last", F.lead("sentence").over(w)).filter(F.col("last").isNotNull())
     g = g.select(story_key, F.col("pos").alias("gap_no"), F.col("sentence").alias("first"), "last",
                  F.concat_ws("|", F.col(story_key).cast("string"), F.col("pos").cast("string")).alias("gap_id"))
     gaps = g.withColumn("gap_text", F.concat_ws(" ", "first", "last"))
-    c = retrieve_candidates(gaps.select("gap_id", "gap_text"), pool, k, idf=idf)
+    c = retrieve_candidates(gaps.select("gap_id", "gap_text"), pool, k, idf=idf, pool_weights=pool_weights)
     c = c.join(gaps.select("gap_id", story_key, "gap_no", "first", "last"), "gap_id")
-    best = best_candidate(rank_candidates(c).select("gap_id", "rank_score", "cand_no", story_key, "gap_no",
+    ranked = rank_candidates(c).withColumn("rank_score", F.round("rank_score", 9))
+    best = best_candidate(ranked.select("gap_id", "rank_score", "cand_no", story_key, "gap_no",
                                                     "candidate"))
     ins = best.select(story_key, (F.col("gap_no") * 2 + 1).alias("pos"), F.col("candidate").alias("sentence"))
     old = story.select(story_key, (F.col("pos") * 2).alias("pos"), "sentence")
@@ -94,10 +104,12 @@ def infill_story(seeds: DataFrame, pool: DataFrame, rounds: int = 2, k: int = 5,
     driver loop over rounds; each round's story table is checkpointed to the
     shared checkpoint folder so lineage stays short and a lost executor only
     recomputes one round."""
-    idf = fit_tfidf(pool, "cand_id", "candidate")
+    pool = materialise(pool, "infill-pool")
+    idf = materialise(fit_tfidf(pool, "cand_id", "candidate"), "infill-idf")
+    weights = materialise(tfidf_weights(pool, "cand_id", "candidate", idf), "infill-weights")
     story = seeds.select(story_key, F.posexplode(F.array("first", "last")).alias("pos", "sentence"))
     for _ in range(rounds):
-        story = infill_round(story, pool, idf, k, story_key)
+        story = infill_round(story, pool, idf, k, story_key, weights)
         if checkpoint:
             story = cut_lineage(story)
     return story

@@ -14,28 +14,19 @@ from pyspark.sql.window import Window
 
 from cohera.functions.hashing import md5_int, md5_key
 from cohera.functions.text import STOP_WORDS, col
-from cohera.operators.vocab import sized_broadcast
+from cohera.session import materialise
 
 TERM_RE = r"[\p{L}\p{N}_]{2,}"
 
 
-def default_stop_words():
-    """The vectoriser's English list when that library is installed, else
-    the reference corpus cleaner's fixed list."""
-    try:  # optional dependency
-        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
-        return sorted(ENGLISH_STOP_WORDS)
-    except Exception:  # noqa: BLE001
-        return list(STOP_WORDS)
-
-
 def terms(text) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(TERM_RE), 0)
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words=None) -> DataFrame:
-    """``(key, term, tf)`` raw counts, stop words removed."""
-    stop = stop_words if stop_words is not None else default_stop_words()
+    """``(key, term, tf)`` raw counts, stop words removed (default: the
+    library's fixed list; another is a parameter)."""
+    stop = stop_words if stop_words is not None else STOP_WORDS
     t = docs.select(F.col(key), F.explode(terms(text)).alias("term"))
     # a literal IN list becomes a hash-set lookup (InSet), not a scan per term
     t = t.filter(~F.col("term").isin(list(stop)))
@@ -57,38 +48,41 @@ def tfidf_weights(docs: DataFrame, key: str, text: str, idf: DataFrame,
     """``(key, term, weight)`` L2-normalised over the known terms of each doc
     (unknown terms ignored -- the transform rule for unseen text)."""
     tf = tf if tf is not None else term_counts(docs, key, text, stop_words)
-    j = tf.join(sized_broadcast(idf.select("term", "idf")), "term", "inner")
+    j = tf.join(idf.select("term", "idf"), "term", "inner")
     j = j.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return j.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def top_keywords(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
+def top_keywords(weights: DataFrame, key: str, k: int = 10, docs: DataFrame | None = None) -> DataFrame:
     """K1: per document the ``k`` heaviest non-zero terms (ties: smaller
-    term first), joined with a leading space each -> ``(key, keywords)``."""
+    term first), joined with a leading space each -> ``(key, keywords)``.
+    With ``docs`` every document has a row, ``''`` where no term is left."""
     w = Window.partitionBy(key).orderBy(F.col("weight").desc(), F.col("term"))
     top = weights.filter(F.col("weight") != 0).withColumn("_r", F.row_number().over(w)) \
                  .filter(F.col("_r") <= k)
     agg = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_t"))
-    return agg.select(key, F.concat_ws("", F.transform("_t", lambda s: F.concat(F.lit(" "), s["term"])))
-                      .alias("keywords"))
+    out = agg.select(key, F.concat_ws("", F.transform("_t", lambda s: F.concat(F.lit(" "), s["term"])))
+                     .alias("keywords"))
+    if docs is None:
+        return out
+    return docs.select(key).join(out, key, "left").select(key, F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
 def fit_transform_weights(docs: DataFrame, key: str, text: str, stop_words=None):
     """A9 fit and transform on the same documents with one tokenisation:
-    the term counts are persisted and feed both the idf fit and the weights.
+    the term counts are written once and feed both the idf fit and the weights.
     Returns ``(idf, weights)``."""
-    from pyspark import StorageLevel
-
-    tf = term_counts(docs, key, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = materialise(term_counts(docs, key, text, stop_words), "term-counts")
     idf = fit_tfidf(docs, key, text, stop_words, tf=tf)
     return idf, tfidf_weights(docs, key, text, idf, stop_words, tf=tf)
 
 
 def transform_keywords(new_docs: DataFrame, idf: DataFrame, key: str, text: str,
                        k: int = 10, stop_words=None) -> DataFrame:
-    """K2: apply an already fitted idf table to unseen text, then K1."""
-    return top_keywords(tfidf_weights(new_docs, key, text, idf, stop_words), key, k)
+    """K2: apply an already fitted idf table to unseen text, then K1 (a row
+    for every text)."""
+    return top_keywords(tfidf_weights(new_docs, key, text, idf, stop_words), key, k, docs=new_docs)
 
 
 def sample_keywords(keywords: Column, seed, key: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohera.functions.hashing import md5_int, md5_key
+from cohera.functions.hashing import hex_to_int, md5_int, md5_key
 from cohera.functions.text import let
 
 # Non-identity orders of a 3-sentence window, lexicographic (fixed values).
@@ -18,9 +18,6 @@ ORDERS_W3 = [[0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]
 # Non-identity order of a 2-sentence window (fixed value).
 ORDERS_W2 = [[1, 0]]
 
-# Enumerate all window combinations only when there are at most this many.
-ENUM_CAP = 2000
-
 
 def n_windows_col(n_sents: Column, w: int) -> Column:
     """Number of complete windows ``floor(L / w)`` (final partial dropped)."""
@@ -34,15 +31,48 @@ def window_starts(n_sents: Column, w: int = 3) -> Column:
         F.array().cast("array<int>"))
 
 
-def binomial(m: Column, n: Column) -> Column:
-    """C(m, n) as a double (exact while below 2^53; used for comparisons)."""
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(1.0),
-                       lambda acc, j: acc * (m - n + j) / j)
-
-
-def all_combinations(m: Column, n: int) -> Column:
-    """P2 ``all`` mode: every increasing ``n``-tuple of window numbers."""
-    return _enumerate_combos(m, n)
+def binomial(m: Column, n: int) -> Column:
+    """C(m, n) as an exact long (0 where m < n)."""
+    acc = F.lit(1).cast("bigint")
+    for j in range(1, n + 1):  # exact at every step: C(m - n + j, j)
+        acc = F.call_function("div", acc * (m.cast("bigint") - n + j), F.lit(j).cast("bigint"))
+    return F.when(m >= n, acc).otherwise(F.lit(0).cast("bigint"))
+
+
+def unrank_combination(rank: Column, m: Column, n: int) -> Column:
+    """The ``rank``-th increasing ``n``-tuple of ``0..m-1`` in colexicographic
+    order: from the top place down, the largest c with C(c, k) <= rank."""
+    def place(r, k, below):
+        if k == 1:
+            c = r.cast("int")
+        elif k <= 3:  # a root is right up to one; the binomials decide exactly
+            x = r.cast("double")
+            guess = F.floor((F.sqrt(8 * x + 1) + 1) / 2) if k == 2 else F.floor(F.cbrt(6 * x)) + 1
+            guess = F.greatest(guess.cast("int"), F.lit(k - 1))
+            c = let(guess, lambda g: g - 1 + F.when(binomial(g, k) <= r, 1).otherwise(0)
+                    + F.when((binomial(g, k) <= r) & (binomial(g + 1, k) <= r), 1).otherwise(0))
+            c = F.greatest(c, F.lit(k - 1)).cast("int")
+        else:
+            c = F.array_max(F.filter(F.sequence(F.lit(k - 1), m - 1), lambda x: binomial(x, k) <= r)).cast("int")
+
+        def rest(v):
+            tail = F.concat(F.array(v), below)
+            return tail if k == 1 else place(r - binomial(v, k), k - 1, tail)
+        return let(c, rest)
+    return place(rank.cast("bigint"), n, F.array().cast("array<int>"))
+
+
+def all_combinations(docs: DataFrame, m: Column, n: int, name: str = "combo") -> DataFrame:
+    """P2 ``all`` mode: a row for every increasing ``n``-tuple of window numbers
+    ``0..m-1``. One explode a place: no row ever holds more than ``m`` numbers."""
+    out = docs.withColumn("_m", m).withColumn(name, F.array().cast("array<int>"))
+    for k in range(n):
+        low = F.lit(0) if k == 0 else F.element_at(name, -1) + 1
+        high = F.col("_m") - (n - k)
+        out = out.withColumn("_lo", low).where(F.col("_lo") <= high)
+        out = out.withColumn("_x", F.explode(F.sequence(F.col("_lo"), high)))
+        out = out.withColumn(name, F.concat(F.col(name), F.array("_x"))).drop("_x", "_lo")
+    return out.drop("_m")
 
 
 def window_sentences(combo: Column, w: int = 3) -> Column:
@@ -50,55 +80,25 @@ def window_sentences(combo: Column, w: int = 3) -> Column:
     return F.flatten(F.transform(combo, lambda q: F.sequence(q * w, q * w + (w - 1))))
 
 
-def _enumerate_combos(m: Column, n: int) -> Column:
-    """All increasing ``n``-tuples of window numbers ``0..m-1`` as an array."""
-    def rec(prefix: list, lo, depth: int) -> Column:
-        if depth == n:
-            return F.array(F.array(*prefix))
-        hi = m - (n - depth)
-        cand = F.filter(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))),
-                        lambda x: (x >= lo) & (x <= hi))
-        return F.flatten(F.transform(cand, lambda x: rec(prefix + [x], x + 1, depth + 1)))
-    return rec([], F.lit(0), 0)
-
-
-def _draw_combos(seed, doc: Column, n: int, m: Column, draws: Column) -> Column:
-    """Combinations drawn by md5: draw ``t`` picks window numbers
-    ``md5int(seed|doc|n|t|j) mod m`` for ``j < n``; draws with a repeated
-    window are rejected; a combination keeps its first draw. Returns the
-    distinct valid combinations in draw order."""
-    def one(t):
-        return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                        lambda j: F.pmod(md5_int(seed, doc, F.lit(n), t, j), m)))
-    drawn = F.transform(F.sequence(F.lit(1), draws), one)
-    valid = F.filter(drawn, lambda c: F.size(F.array_distinct(c)) == n)
-    return F.array_distinct(valid)
-
-
-def select_combinations(seed, doc: Column, n: int, m: Column, n_perm: int,
-                        cap: int = ENUM_CAP) -> Column:
-    """``min(n_perm, C(m, n))`` window combinations without replacement.
-
-    ``C <= cap``: enumerate all and keep the ``n_perm`` lowest
-    ``md5(seed|doc|n|a,b,c)``. Otherwise draw by rejection (see
-    :func:`_draw_combos`) -- uniform, no enumeration; the number of draws is
-    ``ceil(4 N / p)`` with ``p`` the chance that a draw has no repeat, and a
-    16x larger second round runs for the (vanishingly rare) row still short.
-    """
-    c = binomial(m, F.lit(n))
-    enum = F.transform(
-        F.slice(F.array_sort(F.transform(
-            _enumerate_combos(m, n),
-            lambda cb: F.struct(md5_key(seed, doc, F.lit(n), F.array_join(cb, ",")).alias("r"),
-                                cb.alias("combo")))), 1, n_perm),
-        lambda s: s["combo"])
-    p_ok = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(1.0),
-                       lambda acc, j: acc * (m - j) / m)
-    t1 = F.ceil(F.lit(4.0 * n_perm) / p_ok).cast("int")
-    d1 = F.slice(_draw_combos(seed, doc, n, m, t1), 1, n_perm)
-    d2 = F.slice(_draw_combos(seed, doc, n, m, t1 * 16), 1, n_perm)
-    drawn = let(d1, lambda D: F.when(F.size(D) >= n_perm, D).otherwise(d2))
-    return F.when(c <= cap, enum).otherwise(drawn)
+def select_ranks(seed, doc: Column, n: int, total: Column, n_perm: int) -> Column:
+    """``min(n_perm, total)`` distinct ranks of ``0..total-1``: Floyd's method,
+    step i draws ``md5(seed|doc|n|i)`` (60 bits) modulo ``j + 1``, j = total - N +
+    i, and takes j itself where the draw was taken before."""
+    N = F.least(F.lit(n_perm).cast("bigint"), total)
+
+    def step(acc, i):
+        j = total - N + i
+        draw = F.pmod(hex_to_int(md5_key(seed, doc, F.lit(n), i), 15), j + 1)
+        return let(draw, lambda t: F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t))))
+    some = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(N - 1, F.lit(0))), F.array().cast("array<bigint>"), step)
+    return F.when(total > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def select_combinations(seed, doc: Column, n: int, m: Column, n_perm: int) -> Column:
+    """Exactly ``min(n_perm, C(m, n))`` window combinations without
+    replacement, by one rule for every size: distinct ranks, each unranked."""
+    ranks = let(binomial(m, n), lambda c: select_ranks(seed, doc, n, c, n_perm))
+    return F.transform(ranks, lambda r: unrank_combination(r, m, n))
 
 
 def window_order(seed, doc: Column, n: int, perm_no: Column, q: Column, w: int) -> Column:
@@ -138,8 +138,8 @@ def apply_permutation(sents: Column, perm: Column) -> Column:
 
 
 def build_negatives(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20, 20), w: int = 3,
-                    seed: int = 42, cap: int = ENUM_CAP, sents: str = "sents",
-                    neg_text=None, keep=None) -> DataFrame:
+                    seed: int = 42, sents: str = "sents",
+                    neg_text=None, keep=None, extra=None) -> DataFrame:
     """For each document and window count ``n`` build
     ``min(N, C(floor(L/w), n))`` negatives ``doc_n_i``, each with every chosen
     window in a non-identity order.
@@ -148,6 +148,8 @@ def build_negatives(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20, 20), w:
     text inside the same per-document expression, and ``keep(neg) -> Column``
     (optional) filters negatives *before* they become rows, so no expression
     is evaluated twice and no filter is pushed below the generation.
+    ``extra(perm) -> Column`` (optional) is one more value of each kept
+    negative, also computed inside the document's row (column ``extra``).
 
     Output: every input column plus ``n_windows, perm_no, pair_id,
     combo ARRAY<INT>, perm ARRAY<INT>`` (and ``neg`` when ``neg_text``)."""
@@ -156,7 +158,7 @@ def build_negatives(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20, 20), w:
     doc = F.col("doc_id")
     per_n = []
     for n, N in zip(n_windows, perms):
-        sel = select_combinations(seed, doc, n, m, N, cap)
+        sel = select_combinations(seed, doc, n, m, N)
 
         def maker(n):
             def make(c, i):
@@ -169,12 +171,17 @@ def build_negatives(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20, 20), w:
             negs = F.transform(negs, lambda s: s.withField("neg", neg_text(F.col(sents), s["perm"])))
             if keep is not None:
                 negs = F.filter(negs, lambda s: keep(s["neg"]))
+        if extra is not None:
+            negs = F.transform(negs, lambda s: s.dropFields("neg").withField("extra", extra(s["perm"])) if neg_text is not None
+                               else s.withField("extra", extra(s["perm"])))
         per_n.append(F.when(F.lit(n) <= m, F.struct(F.lit(n).alias("n"), negs.alias("negs"))))
     base = docs.withColumn("_c", F.explode(F.filter(F.array(*per_n), lambda s: s.isNotNull())))
     out = base.select("*", F.col("_c.n").alias("n_windows"), F.explode("_c.negs").alias("_g"))
     cols = [F.col("_g.perm_no").alias("perm_no"), F.col("_g.combo").alias("combo"),
             F.col("_g.perm").alias("perm")]
-    if neg_text is not None:
+    if extra is not None:
+        cols.append(F.col("_g.extra").alias("extra"))
+    elif neg_text is not None:
         cols.append(F.col("_g.neg").alias("neg"))
     out = out.select("*", *cols).drop("_c", "_g")
     return out.withColumn("pair_id", F.concat_ws("_", doc, F.col("n_windows"), F.col("perm_no")))
@@ -243,7 +250,7 @@ def pair_pos_neg(pos_files: DataFrame, neg_files: DataFrame, window: int = 0) ->
 
 
 def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
-                key: str = "pair_id", mode: str = "bijective") -> DataFrame:
+                key: str = "pair_id", mode: str = "bijective", pad_to: Column | None = None) -> DataFrame:
     """For each negative sentence, its index in the positive document.
 
     ``bijective`` (default): the k-th occurrence of a sentence in the
@@ -263,6 +270,21 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
         order = F.transform(N, lambda s: F.when(F.array_position(P, s) > 0,
                                                 (F.array_position(P, s) - 1).cast("int")))
         return pairs.select(key, order.alias("order"))
+    if mode == "reference":
+        moved = F.filter(idx(N), lambda j: ~F.element_at(N, j + 1).eqNullSafe(F.try_element_at(P, j + 1)))
+
+        def place(M):
+            def at(j):
+                s = F.element_at(N, j + 1)
+                nth = F.size(F.filter(M, lambda x: (x < j) & F.element_at(N, x + 1).eqNullSafe(s)))
+                hits = F.filter(idx(P), lambda i: F.element_at(P, i + 1).eqNullSafe(s))
+                return F.when(F.array_contains(M, j), F.try_element_at(hits, (nth + 1).cast("int"))).otherwise(j)
+            return F.transform(idx(N), at)
+        order = let(moved, place)
+        if pad_to is not None:
+            n = F.size(N)
+            order = F.concat(order, F.when(pad_to > n, F.sequence(n, pad_to - 1)).otherwise(F.array().cast("array<int>")))
+        return pairs.select(key, order.alias("order"))
     if mode != "bijective":
         raise ValueError(mode)
 

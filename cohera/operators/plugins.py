@@ -35,11 +35,13 @@ def type_token_model():
     import pandas as pd
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf["sents"].map(lambda ss: " ".join(ss).lower().split())
-        n = words.map(len)
-        uniq = words.map(lambda w: len(set(w)))
-        ratio = np.where(n > 0, uniq / np.maximum(n, 1), 0.0)
-        mean_len = np.where(pdf["sents"].map(len) > 0, n / np.maximum(pdf["sents"].map(len), 1), 0.0)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "type_token_ratio": ratio.astype(float),
-                             "mean_sentence_len": mean_len.astype(float)})
+        # one long table of (document, word) for the batch; numpy counts it
+        words = pdf["sents"].map(" ".join).str.lower().str.split()
+        sizes = words.str.len().to_numpy()
+        doc = np.repeat(np.arange(len(pdf)), sizes)
+        code, _ = pd.factorize(np.concatenate(words.to_list()) if sizes.sum() else np.empty(0, object))
+        distinct = np.bincount(np.unique(np.stack([doc, code]), axis=1)[0], minlength=len(pdf)) if sizes.sum() else sizes * 0
+        n_sents = pdf["sents"].str.len().to_numpy()
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "type_token_ratio": np.where(sizes > 0, distinct / np.maximum(sizes, 1), 0.0),
+                             "mean_sentence_len": np.where(n_sents > 0, sizes / np.maximum(n_sents, 1), 0.0)})
     return model

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohera.operators.score import pair_scores
+from cohera.session import materialise
 
 
 def side_features(windows, score) -> list:
@@ -33,25 +34,15 @@ def ranker_training_rows(pairs: DataFrame, perm: str | None = "perm") -> DataFra
     return plus.unionByName(minus)
 
 
-def train_ranker(pairs: DataFrame, max_iter: int = 50, reg: float = 0.0,
-                 rows_per_partition: int = 200_000):
+def train_ranker(pairs: DataFrame, max_iter: int = 50, reg: float = 0.0):
     """Fit the ranker; returns ``(model, training_rows_with_prediction)``.
 
-    The optimiser passes over the rows once per iteration, so they are
-    materialised once, in partitions sized to the data (about
-    ``rows_per_partition`` rows each): per-iteration task overhead stays
-    small on small inputs and large inputs still spread over many tasks."""
-    import math
-
-    from pyspark import StorageLevel
+    The optimiser passes over the rows once per iteration, so they are written
+    once to shared storage; their partitions follow ``spark.sql.files.*``."""
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    rows = ranker_training_rows(pairs).withColumn("features", array_to_vector("x")) \
-        .select("pair_id", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    n = rows.count()
-    sized = rows.repartition(max(1, math.ceil(n / rows_per_partition))).persist(StorageLevel.MEMORY_AND_DISK)
-    sized.count()
-    rows.unpersist()
-    model = LinearSVC(maxIter=max_iter, regParam=reg, fitIntercept=False).fit(sized)
-    return model, model.transform(sized)
+    rows = materialise(ranker_training_rows(pairs), "ranker-rows").withColumn("features", array_to_vector("x"))
+    rows = rows.select("pair_id", "features", "label")
+    model = LinearSVC(maxIter=max_iter, regParam=reg, fitIntercept=False).fit(rows)
+    return model, model.transform(rows)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohera.functions.hashing import hex_to_int, md5_key
+from cohera.session import materialise
 
 _U32 = float(2 ** 32)
 
@@ -112,36 +113,27 @@ def shuffle_key(seed, *keys) -> F.Column:
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
-                n_partitions: int | None = None) -> DataFrame:
+                n_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Dense 0..n-1 index in the order of ``order_cols`` without a
-    single-partition window.
-
-    Range-partition by the order columns and sort inside partitions; then
-    ``monotonically_increasing_id`` is ``(partition << 33) + position``, so
-    one small job counts rows per partition (a list of at most
-    ``n_partitions`` numbers to the driver) and each row's index is its
-    partition's offset plus its position -- no second shuffle. ``order_cols``
-    must give a total order for the index to be deterministic."""
-    from pyspark import StorageLevel
-
+    single-partition window; returns ``(indexed rows, n)``.
+
+    Range-partition by the order columns, sort inside partitions and write
+    that once; ``monotonically_increasing_id`` is ``(partition << 33) +
+    position``, so one small job counts rows per partition (at most
+    ``n_partitions`` numbers) and a row's index is its partition's offset --
+    joined from a table of one row a partition -- plus its position.
+    ``order_cols`` must give a total order for the index to be deterministic."""
     spark = df.sparkSession
     n_partitions = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range sampler and the materialisation both read the input: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (df.repartitionByRange(n_partitions, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    pid = F.shiftright(F.col("_mid"), 33)
-    counts = dict((r[0], r[1]) for r in ranged.groupBy(pid.alias("_p")).count().collect())
-    df.unpersist()
+    ranged = materialise(ranged, "dense-index").withColumn("_p", F.shiftright("_mid", 33).cast("int"))
     offsets, acc = [], 0
-    for p in range(max(counts) + 1 if counts else 0):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    if not offsets:
-        return ranged.withColumn(name, F.lit(None).cast("long")).drop("_mid")
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (pid + 1).cast("int"))
-    out = ranged.withColumn(name, off + F.col("_mid") - F.shiftleft(pid, 33)).drop("_mid")
-    out.total_rows = acc  # the row count, known without another job
-    return out
+    for p, c in sorted((r[0], r[1]) for r in ranged.groupBy("_p").count().collect()):
+        offsets.append((p, acc))
+        acc += c
+    table = F.broadcast(spark.createDataFrame(offsets, "_p int, _off long"))  # one row a partition
+    out = ranged.join(table, "_p")
+    out = out.withColumn(name, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_p").cast("long"), 33))
+    return out.drop("_mid", "_p", "_off"), acc

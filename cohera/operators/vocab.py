@@ -16,16 +16,6 @@ from cohera.operators.sampling import dense_index
 VOCAB_SPECIALS = ["<unk>", "<pad>"]
 LM_SPECIALS = ["<bos>", "<eos>"]
 
-# Joins against a vocabulary broadcast it only below this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; above the bound
-    the caller's join falls back to a shuffle join (AQE handles skew)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def build_vocab(counts: DataFrame, ratio: float = 1.0, specials=VOCAB_SPECIALS,
                 word: str = "word", cnt: str = "cnt") -> DataFrame:
     """A2: most frequent ``int(n * ratio)`` words by count desc (ties: word
@@ -33,19 +23,14 @@ def build_vocab(counts: DataFrame, ratio: float = 1.0, specials=VOCAB_SPECIALS,
 
     The dense index is computed by range partitioning + per-partition offsets
     (no single-partition window)."""
-    from pyspark import StorageLevel
-
     c = counts.select(F.col(word).alias("word"), F.col(cnt).cast("long").alias("cnt"))
     c = c.withColumn("_neg", -F.col("cnt"))
-    ranked = dense_index(c, ["_neg", "word"], "idx")
-    n = ranked.total_rows
+    ranked, n = dense_index(c, ["_neg", "word"], "idx")
     ranked = ranked.drop("_neg")
     top = int(n * ratio)
     if ratio < 1.0:
         ranked = ranked.filter(F.col("idx") < top)
-    # a vocabulary is read by several jobs (lookups, joins, counts): keep it
-    return append_specials(ranked.select("idx", "word", "cnt"), specials, base=top) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    return append_specials(ranked.select("idx", "word", "cnt"), specials, base=top)
 
 
 def append_specials(vocab: DataFrame, specials, base: int | None = None) -> DataFrame:
@@ -83,7 +68,7 @@ def extend_vocab(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
     first = first.select("word", "cnt", "_first.doc_id", "_first.sent_idx", "_first.tok_idx")
     base = vocab.agg(F.max("idx")).first()[0]
     base = 0 if base is None else base + 1
-    ranked = dense_index(first, ["doc_id", "sent_idx", "tok_idx"], "_k")
+    ranked, _ = dense_index(first, ["doc_id", "sent_idx", "tok_idx"], "_k")
     return vocab.unionByName(ranked.select((F.col("_k") + base).alias("idx"), "word", "cnt"))
 
 
@@ -100,7 +85,7 @@ def encode(tokens: DataFrame, vocab: DataFrame, oov: str = "unk",
     ``unk`` (``oov='unk'``) or raise (``oov='error'``). Returns the token
     table with ``idx``."""
     v = vocab.select("word", "idx")
-    j = tokens.join(sized_broadcast(v), "word", "left")
+    j = tokens.join(v, "word", "left")
     if oov == "unk":
         unk_id = vocab.filter(F.col("word") == unk).select("idx").first()
         if unk_id is None:
@@ -124,7 +109,7 @@ def regroup(long: DataFrame, keys: list[str], order: str, value: str, name: str)
 def decode_ids(ids_long: DataFrame, vocab: DataFrame, keys: list[str], order: str = "tok_idx",
                idx: str = "idx") -> DataFrame:
     """Ids -> words joined with spaces, per ``keys``."""
-    j = ids_long.join(sized_broadcast(vocab.select(F.col("idx").alias(idx), "word")), idx, "left")
+    j = ids_long.join(vocab.select(F.col("idx").alias(idx), "word"), idx, "left")
     r = regroup(j, keys, order, "word", "_w")
     return r.select(*keys, F.array_join("_w", " ").alias("text"))
 

@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohera.session import spread, table_path
+from cohera.session import table_path
 from cohera.sources.corpus import corpus_from_documents
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table; a table stored as a single row group is spread
-    over the cores by its id column (wide inputs pass through unshuffled)."""
+    """Read a driver table. Its partitions follow ``spark.sql.files.*``; a user
+    who knows that a table is one small row group can set
+    ``cohera.input.partitions`` to deal its rows out by their id."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df, df.columns[0])
+    n = spark.conf.get("cohera.input.partitions", None)
+    return df.repartition(int(n), df.columns[0]) if n else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from cohera.functions.text import normalize
 from cohera.operators.filters import min_sentences
 from cohera.operators.permute import apply_permutation, build_negatives
-from cohera.session import spread
 from cohera.operators.sampling import first_n_split, section_split
 
 
@@ -34,7 +33,6 @@ def build_negative_dataset(docs: DataFrame, n_windows=(1, 2, 3), perms=(20, 20,
         d = d.withColumn("split", F.lit("train"))
     else:
         raise ValueError(split)
-    d = spread(d, "doc_id")
     nonempty = lambda a: F.filter(a, lambda x: x != "")
     if normalize_mode:
         # each sentence is normalised once per document; negatives gather

@@ -6,6 +6,10 @@ expressions as in Spark, so sampled outputs compare row for row.
 
 from __future__ import annotations
 
+# White space as Python's strip() and split() have it.
+SP = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
 # documents -> (doc_id, sents): lines, stripped; file-iteration semantics.
 DOCS = r"""
 docs AS (
@@ -13,9 +17,9 @@ docs AS (
          list_transform(
            CASE WHEN text = '' THEN []::VARCHAR[]
                 ELSE string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') END,
-           lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS sents
+           lambda x: regexp_replace(x, '^SP+|SP+$', '', 'g')) AS sents
   FROM documents)
-"""
+""".replace("SP", SP)
 
 MD5I = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
@@ -26,10 +30,12 @@ def md5i(expr: str) -> str:
 
 ORD3 = "[[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]"
 
+
+
 def P8_CTES(normalize: bool = True) -> str:
     """CTEs up to ``texts`` (pos/neg lists) of the permutation dataset."""
     norm = (lambda e: f"list_filter(list_transform({e}, lambda s: regexp_replace(regexp_replace(s, "
-            f"'^\\s+|\\s+$', '', 'g'), '(<s>|</s>)', '', 'g')), lambda s: s <> '')") if normalize \
+            f"'^{SP}+|{SP}+$', '', 'g'), '(<s>|</s>)', '', 'g')), lambda s: s <> '')") if normalize \
         else (lambda e: e)
     return f"""{DOCS},
 elig AS (SELECT doc_id, sents, len(sents) AS L, len(sents) // 3 AS M
@@ -38,41 +44,23 @@ cut AS (SELECT max(doc_id) AS c FROM (SELECT doc_id FROM elig ORDER BY doc_id LI
 ns AS (SELECT * FROM (VALUES (1, 20), (2, 20), (3, 20)) t(n, nperm)),
 dn AS (
   SELECT e.*, ns.n, ns.nperm,
-         CASE ns.n WHEN 1 THEN M::DOUBLE WHEN 2 THEN M * (M - 1) / 2.0
-                   ELSE M * (M - 1) * (M - 2) / 6.0 END AS C,
-         CASE ns.n WHEN 1 THEN 1.0 WHEN 2 THEN (M - 1)::DOUBLE / M
-                   ELSE ((M - 1)::DOUBLE / M) * ((M - 2)::DOUBLE / M) END AS p_ok
+         CASE ns.n WHEN 1 THEN M::BIGINT WHEN 2 THEN M::BIGINT * (M - 1) // 2
+                   ELSE M::BIGINT * (M - 1) * (M - 2) // 6 END AS C
   FROM elig e JOIN ns ON ns.n <= e.M),
-w1 AS (SELECT doc_id, n, M, unnest(range(0, M)) AS a FROM dn WHERE C <= 2000),
-w2 AS (SELECT doc_id, n, M, a, unnest(range(a + 1, M)) AS b FROM w1 WHERE n >= 2),
-w3 AS (SELECT doc_id, n, M, a, b, unnest(range(b + 1, M)) AS c FROM w2 WHERE n >= 3),
-enum AS (
-  SELECT doc_id, n, [a] AS combo FROM w1 WHERE n = 1
-  UNION ALL SELECT doc_id, n, [a, b] FROM w2 WHERE n = 2
-  UNION ALL SELECT doc_id, n, [a, b, c] FROM w3 WHERE n = 3),
-enum_ranked AS (
-  SELECT doc_id, n, combo,
-         row_number() OVER (PARTITION BY doc_id, n
-           ORDER BY md5(concat_ws('|', '42', doc_id, n, array_to_string(combo, ','))))
-           AS perm_no
-  FROM enum),
-draws AS (
-  SELECT doc_id, n, M, unnest(range(1, CAST(ceil(4.0 * nperm / p_ok) AS BIGINT) + 1)) AS t
-  FROM dn WHERE C > 2000),
-draw_w AS (
-  SELECT doc_id, n, t, {md5i("concat_ws('|', '42', doc_id, n, t, j)")} % M AS q
-  FROM (SELECT *, unnest(range(0, n)) AS j FROM draws)),
-draw_c AS (
-  SELECT doc_id, n, t, list_sort(list(q)) AS combo, count(DISTINCT q) AS k
-  FROM draw_w GROUP BY doc_id, n, t),
-draw_first AS (
-  SELECT doc_id, n, combo, min(t) AS t FROM draw_c WHERE k = n GROUP BY doc_id, n, combo),
-draw_ranked AS (
-  SELECT doc_id, n, combo, row_number() OVER (PARTITION BY doc_id, n ORDER BY t) AS perm_no
-  FROM draw_first),
+floyd AS (
+  SELECT doc_id, n, C, least(nperm, C) AS k, 0 AS i, []::BIGINT[] AS taken FROM dn
+  UNION ALL
+  SELECT doc_id, n, C, k, i + 1,
+         list_append(taken, CASE WHEN list_contains(taken, t) THEN C - k + i ELSE t END)
+  FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', '42', doc_id, n, i)), 1, 15))::BIGINT % (C - k + i + 1) AS t
+        FROM floyd WHERE i < k)),
+ranks AS (SELECT doc_id, n, unnest(taken) AS r, unnest(range(1, len(taken) + 1)) AS perm_no FROM floyd WHERE i = k),
+t3 AS (SELECT *, CASE WHEN n = 3 THEN (SELECT max(x) FROM range(2, 3000) z(x) WHERE x * (x - 1) * (x - 2) // 6 <= r) END AS c3 FROM ranks),
+t2 AS (SELECT *, r - CASE WHEN n = 3 THEN c3 * (c3 - 1) * (c3 - 2) // 6 ELSE 0 END AS r2 FROM t3),
+t1 AS (SELECT *, CASE WHEN n >= 2 THEN (SELECT max(x) FROM range(1, 9000) z(x) WHERE x * (x - 1) // 2 <= r2) END AS c2 FROM t2),
 chosen AS (
-  SELECT * FROM enum_ranked WHERE perm_no <= 20
-  UNION ALL SELECT * FROM draw_ranked WHERE perm_no <= 20),
+  SELECT doc_id, n, perm_no, CASE n WHEN 1 THEN [r] WHEN 2 THEN [r2 - c2 * (c2 - 1) // 2, c2]
+                                    ELSE [r2 - c2 * (c2 - 1) // 2, c2, c3] END AS combo FROM t1),
 perms AS (
   SELECT ch.doc_id, ch.n, ch.perm_no, ch.combo, e.sents,
          CASE WHEN e.doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split,
@@ -91,7 +79,7 @@ texts AS (
 """
 
 
-P8 = f"""WITH {P8_CTES()}
+P8 = f"""WITH RECURSIVE {P8_CTES()}
 SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, doc_id, split,
        CAST(n AS INTEGER) AS n_windows, CAST(perm_no AS INTEGER) AS perm_no,
        array_to_string(perm, ',') AS perm,
@@ -109,7 +97,7 @@ ORACLE = {
 # ---------------------------------------------------------------------------
 
 def STRIP(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SP}+|{SP}+$', '', 'g')"
 
 
 def PLAIN(x: str) -> str:
@@ -125,7 +113,7 @@ def CASED(x: str) -> str:
 
 
 def WS(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex({x}, '{SP}+'), lambda t: t <> '')"
 
 
 def SIMPLE(x: str) -> str:
@@ -223,8 +211,8 @@ SELECT doc_id, CAST(len(flatten(toks)) AS INTEGER) AS n_tokens,
        array_to_string(flatten(toks), ' ') AS global_tokens,
        array_to_string(list_transform(toks, lambda a: array_to_string(a, ' ')), chr(10))
          AS local_sentences FROM t""",
-    "t6_doc_names": """WITH n AS (SELECT 'wsj_' || lpad(CAST(doc_id AS VARCHAR), 4, '0')
-  || '.pos.text.parsed.ner.EGrid' AS name FROM documents)
+    "t6_doc_names": """WITH n AS (SELECT 'wsj_' || CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 4, '0')
+  ELSE CAST(doc_id AS VARCHAR) END || '.pos.text.parsed.ner.EGrid' AS name FROM documents)
 SELECT name, array_to_string(string_split(name, '.')[1:3], '.') AS stem,
        string_split(name, '.')[1] AS base, substr(string_split(name, '.')[1], 5, 2) AS section,
        array_to_string(string_split(name, '.')[1:3], '.') || '_3_20' AS neg_name FROM n""",
@@ -316,8 +304,9 @@ wts AS (SELECT DOC_ID, term, w / sqrt(sum(w * w) OVER (PARTITION BY DOC_ID)) AS
 TOPK = """
 topk AS (SELECT DOC_ID, term, row_number() OVER (PARTITION BY DOC_ID ORDER BY weight DESC, term) AS r
          FROM wts WHERE weight <> 0),
-kw AS (SELECT DOC_ID, string_agg(' ' || term, '' ORDER BY r) AS keywords FROM topk WHERE r <= 10
-       GROUP BY DOC_ID)
+kw0 AS (SELECT DOC_ID, string_agg(' ' || term, '' ORDER BY r) AS keywords FROM topk WHERE r <= 10
+       GROUP BY DOC_ID),
+kw AS (SELECT d.DOC_ID, coalesce(k.keywords, '') AS keywords FROM {src} d LEFT JOIN kw0 k USING (DOC_ID))
 """
 
 ORACLE.update({
@@ -350,12 +339,12 @@ SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, word, cnt FROM ext WHERE wor
     "a9_fit_tfidf": f"WITH {REVIEWS}, {TFIDF.replace('{src}', 'reviews')} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "a9_tfidf_weights": f"""WITH {REVIEWS}, {TFIDF_ON('reviews')}
 SELECT DOC_ID, term, round(weight, 6) AS weight FROM wts""",
-    "k1_top_keywords": f"WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK} SELECT * FROM kw",
+    "k1_top_keywords": f"WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK.replace('{src}', 'reviews')} SELECT * FROM kw",
     "k2_transform_keywords": f"""WITH {REVIEWS},
 train AS (SELECT * FROM reviews WHERE {HU} >= 0.2),
 test AS (SELECT * FROM reviews WHERE {HU} < 0.2),
-{TFIDF_ON('test', 'train')}, {TOPK} SELECT * FROM kw""",
-    "t15_sample_keywords": f"""WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK},
+{TFIDF_ON('test', 'train')}, {TOPK.replace('{src}', 'test')} SELECT * FROM kw""",
+    "t15_sample_keywords": f"""WITH {REVIEWS}, {TFIDF_ON('reviews')}, {TOPK.replace('{src}', 'reviews')},
 kl AS (SELECT DOC_ID, list_filter(string_split(keywords, ' '), lambda x: x <> '') AS kws FROM kw),
 sz AS (SELECT DOC_ID, kws, ('0x' || substr(md5(concat_ws('|', '42', DOC_ID)), 1, 8))::BIGINT
               % (len(kws) + 1) AS k FROM kl),
@@ -381,7 +370,8 @@ SELECT DOC_ID, CASE WHEN {HU} < 0.2 THEN 'test' ELSE 'train' END AS split FROM r
 # Phase 3
 # ---------------------------------------------------------------------------
 def POSNAME(d: str) -> str:
-    return f"('wsj_' || lpad(CAST({d} AS VARCHAR), 4, '0') || '.pos.text')"
+    s = f"CAST({d} AS VARCHAR)"
+    return f"('wsj_' || CASE WHEN length({s}) < 4 THEN lpad({s}, 4, '0') ELSE {s} END || '.pos.text')"
 
 
 NAMES = f"""
@@ -412,7 +402,7 @@ def CLASSIFY(src: str) -> str:
 
 
 ORACLE.update({
-    "r4_first_n_split": f"""WITH {P8_CTES()}
+    "r4_first_n_split": f"""WITH RECURSIVE {P8_CTES()}
 SELECT doc_id, CASE WHEN doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split FROM elig""",
     "r5_section_split": f"""WITH n AS (SELECT {POSNAME('doc_id')} AS name FROM documents),
 s AS (SELECT name, substr(split_part(name, '.', 1), 5, 2) AS section FROM n)
@@ -424,21 +414,24 @@ FROM docs, (SELECT unnest([0, 1]) AS epoch)""",
     "p1_window_starts": f"""WITH {DOCS}
 SELECT doc_id, CAST(len(sents) // 3 AS INTEGER) AS n_windows,
        array_to_string(range(0, (len(sents) // 3) * 3, 3), ',') AS starts FROM docs""",
-    "p2_all_combinations": f"""WITH {P8_CTES()},
+    "p2_all_combinations": f"""WITH RECURSIVE {P8_CTES()},
 a AS (SELECT doc_id, M, unnest(range(0, M)) AS a FROM elig),
 b AS (SELECT doc_id, a, unnest(range(a + 1, M)) AS b FROM a)
 SELECT doc_id, a || ',' || b AS combo,
   concat_ws(',', 3 * a, 3 * a + 1, 3 * a + 2, 3 * b, 3 * b + 1, 3 * b + 2) AS sent_idx FROM b""",
-    "p2_one_choice": f"""WITH {P8_CTES()}
-SELECT doc_id, array_to_string(combo, ',') AS combo FROM chosen WHERE n = 2 AND perm_no = 1""",
-    "p3_select_combinations": f"""WITH {P8_CTES()}
+    "p2_one_choice": f"""WITH RECURSIVE {P8_CTES()}
+SELECT doc_id, array_to_string([r - c * (c - 1) // 2, c], ',') AS combo
+FROM (SELECT doc_id, r, (SELECT max(x) FROM range(1, 9000) z(x) WHERE x * (x - 1) // 2 <= r) AS c
+      FROM (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', '42', doc_id, 2, 0)), 1, 15))::BIGINT % C AS r
+            FROM dn WHERE n = 2))""",
+    "p3_select_combinations": f"""WITH RECURSIVE {P8_CTES()}
 SELECT doc_id, CAST(n AS INTEGER) AS n_windows, CAST(perm_no AS INTEGER) AS perm_no,
        array_to_string(combo, ',') AS combo FROM chosen""",
-    "p4_window_orders": f"""WITH {P8_CTES()},
+    "p4_window_orders": f"""WITH RECURSIVE {P8_CTES()},
 x AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, perm, unnest(combo) AS q FROM perms)
 SELECT pair_id, q, array_to_string(list_transform(perm[3 * q + 1: 3 * q + 3], lambda v: v - 3 * q), ',')
   AS window_order FROM x""",
-    "p5_apply_permutation": f"""WITH {P8_CTES()}
+    "p5_apply_permutation": f"""WITH RECURSIVE {P8_CTES()}
 SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id,
        array_to_string(list_transform(perm, lambda i: sents[i + 1]), chr(10)) AS neg FROM perms""",
     "p7_inverse_order": f"""WITH {DOCS}
@@ -446,7 +439,7 @@ SELECT doc_id, array_to_string(list_reverse(sents), chr(10)) AS neg,
   array_to_string(list_reverse(range(0, len(sents))), ',') AS perm,
   array_to_string(list_concat(list_reverse(range(0, len(sents))), range(len(sents), greatest(len(sents), 10))),
                   ',') AS padded_perm FROM docs""",
-    "p9_permutation_check": f"""WITH {P8_CTES()}
+    "p9_permutation_check": f"""WITH RECURSIVE {P8_CTES()}
 SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id,
   CAST(len(pos) = len(neg) AS INTEGER) AS same_length,
   CAST(list_sort(pos) = list_sort(neg) AS INTEGER) AS same_multiset,
@@ -456,16 +449,16 @@ SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id,
        AS INTEGER) AS is_bijection,
   CAST(len(list_filter(range(0, len(perm)), lambda p: perm[p + 1] <> p)) AS INTEGER) AS n_perm_moved
 FROM texts WHERE NOT (pos = neg)""",
-    "f2_classify_files": f"""WITH {P8_CTES()}, {NAMES},
+    "f2_classify_files": f"""WITH RECURSIVE {P8_CTES()}, {NAMES},
 files AS (SELECT name FROM posn UNION ALL SELECT name FROM negn
   UNION ALL SELECT replace(name, '.pos.text', '.pos.text.parsed.ner.EGrid') FROM posn
   UNION ALL SELECT replace(name, '.pos.text', '.pos.text.parsed.ner.EGrid') FROM negn)
 SELECT * FROM {CLASSIFY('files')}""",
-    "j1_pair_pos_neg": f"""WITH {P8_CTES()}, {NAMES},
+    "j1_pair_pos_neg": f"""WITH RECURSIVE {P8_CTES()}, {NAMES},
 p AS (SELECT doc_id, name FROM {CLASSIFY('posn')}),
 q AS (SELECT doc_id, name, n_windows, perm_no FROM {CLASSIFY('negn')})
 SELECT p.name AS pos_name, q.name AS neg_name, q.n_windows, q.perm_no FROM p JOIN q USING (doc_id)""",
-    "j5_align_order": f"""WITH {P8_CTES()},
+    "j5_align_order": f"""WITH RECURSIVE {P8_CTES()},
 pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos, neg FROM texts WHERE NOT (pos = neg)),
 pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
 nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
@@ -473,28 +466,41 @@ plo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY src
 nlo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY dst) AS occ FROM nl)
 SELECT nlo.pair_id, string_agg(CAST(plo.src AS VARCHAR), ',' ORDER BY nlo.dst) AS "order"
 FROM nlo LEFT JOIN plo USING (pair_id, sentence, occ) GROUP BY nlo.pair_id""",
-    "j5_align_order_first": f"""WITH {P8_CTES()},
+    "j5_align_order_first": f"""WITH RECURSIVE {P8_CTES()},
 pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos, neg FROM texts WHERE NOT (pos = neg)),
 pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
 nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
 f AS (SELECT pair_id, sentence, min(src) AS src FROM pl GROUP BY pair_id, sentence)
 SELECT nl.pair_id, string_agg(CAST(f.src AS VARCHAR), ',' ORDER BY nl.dst) AS "order"
 FROM nl LEFT JOIN f USING (pair_id, sentence) GROUP BY nl.pair_id""",
-    "f4_identical_pairs": f"""WITH {P8_CTES()}
+    "j5_align_order_reference": f"""WITH RECURSIVE {P8_CTES()},
+pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos, neg FROM texts WHERE NOT (pos = neg)),
+pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
+nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
+same AS (SELECT nl.*, pl.src IS NOT NULL AS stays FROM nl LEFT JOIN pl
+         ON pl.pair_id = nl.pair_id AND pl.src = nl.dst AND pl.sentence = nl.sentence),
+plo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY src) AS occ FROM pl),
+nlo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY dst) AS occ FROM same WHERE NOT stays),
+o AS (SELECT pair_id, dst, dst AS src FROM same WHERE stays
+      UNION ALL SELECT pair_id, nlo.dst, plo.src FROM nlo LEFT JOIN plo USING (pair_id, sentence, occ)
+      UNION ALL SELECT pair_id, unnest(range(len(neg), 12)) AS dst, unnest(range(len(neg), 12)) AS src FROM pr)
+SELECT pair_id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY dst) AS "order" FROM o GROUP BY pair_id""",
+    "f4_identical_pairs": f"""WITH RECURSIVE {P8_CTES()}
 SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id FROM perms
 WHERE list_transform(perm, lambda i: sents[i + 1]) = sents""",
-    "s4_write_pairs": f"""WITH {P8_CTES()}
-SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, array_to_string(perm, ',') AS perm
-FROM texts WHERE NOT (pos = neg) AND split = 'train' AND n = 2""",
-    "a4_dataset_info": f"""WITH {P8_CTES()}, {NAMES},
+    "s4_write_pairs": f"""WITH RECURSIVE {P8_CTES()}
+SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, split, CAST(n AS INTEGER) AS n_windows,
+       array_to_string(perm, ',') AS perm, array_to_string(neg, chr(10)) AS neg
+FROM texts WHERE NOT (pos = neg)""",
+    "a4_dataset_info": f"""WITH RECURSIVE {P8_CTES()}, {NAMES},
 cls AS (SELECT * FROM {CLASSIFY('(SELECT name FROM posn UNION ALL SELECT name FROM negn)')}),
 j AS (SELECT cls.*, CASE WHEN e.doc_id <= (SELECT c FROM cut) THEN 'train' ELSE 'test' END AS split
       FROM cls JOIN elig e ON regexp_extract(cls.doc_id, '_0*(\\d+)$', 1) = e.doc_id)
 SELECT split, kind, n_windows, count(*) AS n_files FROM j GROUP BY ROLLUP (split, kind, n_windows)""",
-    "u1_missing_counterparts": f"""WITH {P8_CTES()}
+    "u1_missing_counterparts": f"""WITH RECURSIVE {P8_CTES()}
 SELECT {POSNAME('doc_id')} AS stem FROM documents
 EXCEPT SELECT {POSNAME('doc_id')} FROM elig""",
-    "u3_distinct_stems": f"""WITH {P8_CTES()}, {NAMES}
+    "u3_distinct_stems": f"""WITH RECURSIVE {P8_CTES()}, {NAMES}
 SELECT DISTINCT regexp_replace(name, '_\\d+_\\d+$', '') AS stem FROM negn""",
 })
 
@@ -531,7 +537,7 @@ INV = "ipairs AS (SELECT pair_id, doc_id, split, n_windows, pos, list_reverse(po
 def EVAL(task: str) -> str:
     src = "pairs" if task == "std" else "ipairs"
     extra = f", {INV}" if task == "inv" else ""
-    return f"""WITH {P8_CTES()}, {PAIRS_OK}{extra},
+    return f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}{extra},
 {SCORE_CTES(src, 'pair_id', 'pos', 'ps')}, {SCORE_CTES(src, 'pair_id', 'neg', 'ns')},
 j AS (SELECT p.pair_id, p.n_windows, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
       FROM {src} p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
@@ -563,7 +569,7 @@ def RECOVER(mode: str) -> str:
 no AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sig ORDER BY sent_idx) AS occ FROM nsig),
 m AS (SELECT no.pair_id, po.sent_idx AS pos_idx, no.sent_idx AS neg_idx
       FROM no JOIN po ON po.doc_id = no.doc_id AND po.sig = no.sig AND po.occ = no.occ)"""
-    return f"""WITH {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID},
+    return f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID},
 pcols AS (SELECT doc_id, CAST(unnest(range(len(sents))) AS INTEGER) AS sent_idx FROM docs),
 pcell AS (SELECT doc_id, sent_idx, {sig} AS sig FROM grid GROUP BY doc_id, sent_idx),
 psig AS (SELECT c.doc_id, c.sent_idx, coalesce(s.sig, md5('')) AS sig FROM pcols c
@@ -595,29 +601,29 @@ SELECT doc_id, win_idx, round(score, 6) AS score, round(feat_mean, 6) AS feat_me
 SELECT doc_id, round(doc_score, 6) AS doc_score FROM sc_doc""",
     "m4_evaluate_std": EVAL("std"),
     "m4_evaluate_inv": EVAL("inv"),
-    "a5_pairwise_accuracy": f"""WITH {P8_CTES()}, {PAIRS_OK},
+    "a5_pairwise_accuracy": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
 {SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
 j AS (SELECT p.split, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
       FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
 SELECT split, count(*) AS n_pairs, round(avg(CAST(win AS DOUBLE)), 6) AS accuracy FROM j GROUP BY split""",
-    "a7_adaptive_loss": f"""WITH {P8_CTES()}, {PAIRS_OK},
+    "a7_adaptive_loss": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
 {SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
 j AS (SELECT p.split, a.score AS ps, a.feat_mean AS pf, b.score AS ns, b.feat_mean AS nf
       FROM ps_win a JOIN ns_win b USING (pair_id, win_idx) JOIN pairs p USING (pair_id)),
 t AS (SELECT split, CAST(pf IS DISTINCT FROM nf AS DOUBLE) AS m, ps, ns FROM j)
 SELECT split, round(avg(greatest(0.0, 5.0 * m + ns * m - ps * m)), 6) AS loss, count(*) AS n_windows
 FROM t GROUP BY split""",
-    "j9_reorder_features": f"""WITH {P8_CTES()}, {PAIRS_OK}, {SENTS},
+    "j9_reorder_features": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {SENTS},
 o AS (SELECT pair_id, doc_id, CAST(unnest(range(len(perm))) AS INTEGER) AS dst, CAST(unnest(perm) AS INTEGER) AS src
       FROM pairs)
 SELECT o.pair_id, o.dst, o.src, CAST(len({WSET('s.sentence')}) AS INTEGER) AS n_words
 FROM o JOIN sents s ON s.doc_id = o.doc_id AND s.sent_idx = o.src""",
     "s7_entity_grid": f"WITH {DOCS}, {GRID} SELECT doc_id, entity, sent_idx, role FROM grid",
-    "j6_join_text_grid": f"""WITH {P8_CTES()}
+    "j6_join_text_grid": f"""WITH RECURSIVE {P8_CTES()}
 SELECT {POSNAME('e.doc_id')} AS name, CAST(e.L AS INTEGER) AS n_sents, CAST(len(d.sents) AS INTEGER) AS n_cols
 FROM elig e JOIN docs d USING (doc_id)
 WHERE len(list_filter(d.sents, lambda s: len(regexp_extract_all(s, '\\p{{Lu}}[\\p{{L}}\\p{{N}}_]*')) > 0)) > 0""",
-    "p6_apply_permutation_grid": f"""WITH {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID}
+    "p6_apply_permutation_grid": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {GRID}, {NEG_GRID}
 SELECT pair_id, count(*) AS n_cells,
        md5(array_to_string(list_sort(list(entity || '|' || CAST(sent_idx AS VARCHAR) || '|' || role)), ' '))
        AS cells_md5 FROM ngrid GROUP BY pair_id""",
@@ -662,33 +668,44 @@ bos AS (SELECT idx AS b FROM lmv WHERE word = '<bos>'),
 eos AS (SELECT idx AS e FROM lmv WHERE word = '<eos>')
 """
 
-FALLBACK0 = ("CAST(0.6 * sqrt(-2.0 * ln((('0x' || substr(md5(concat_ws('|', '42', word, 0, 1)), 1, 8))::BIGINT + 1.0)"
-             " / (4294967296.0 + 1.0))) * cos(2 * pi() * (('0x' || substr(md5(concat_ws('|', '42', word, 0, 2)), 1, 8))::BIGINT"
-             " / 4294967296.0)) AS FLOAT)")
+def FALLBACK(d: str) -> str:
+    u = "('0x' || substr(md5(concat_ws('|', '42', word, {}, {})), 1, 8))::BIGINT"
+    return (f"CAST(0.6 * sqrt(-2.0 * ln(({u.format(d, 1)} + 1.0) / (4294967296.0 + 1.0)))"
+            f" * cos(2 * pi() * ({u.format(d, 2)} / 4294967296.0)) AS FLOAT)")
+
+
+# every vocabulary word's vector, found or fallback
+WORDVEC = f"""
+vec AS (SELECT v.word, e.embedding AS vec FROM vocab v JOIN embeddings e ON v.idx = e.vec_id),
+wordvec AS (SELECT v.idx, v.word, CAST(x.vec IS NOT NULL AS INTEGER) AS found,
+                   coalesce(x.vec, list_transform(range(0, 64), lambda d: {FALLBACK('d').replace('word', 'v.word')})) AS vec
+            FROM vocab v LEFT JOIN vec x USING (word))
+"""
 
 ORACLE.update({
-    "b1_minibatches": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+    "b1_minibatches": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES}
 SELECT pair_id, batch_id, pos_in_batch FROM bat""",
-    "b2_pad_documents": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+    "b2_pad_documents": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES},
 b AS (SELECT *, max(len(pos)) OVER (PARTITION BY batch_id) AS need FROM bat)
 SELECT pair_id, batch_id, CAST(greatest(need, len(pos)) AS INTEGER) AS n_pos,
        CAST(len(neg) + greatest(need - len(neg), 0) AS INTEGER) AS n_neg,
        CAST(len(list_filter(neg, lambda s: s = '<pad>')) + greatest(need - len(neg), 0) AS INTEGER) AS n_neg_pads
 FROM b""",
-    "b3_pad_sentences": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
-b AS (SELECT *, list_transform(pos, lambda s: {WS('s')}) AS tk FROM bat),
-m AS (SELECT *, max(list_max(list_transform(tk, lambda t: len(t)))) OVER (PARTITION BY batch_id) AS mx FROM b)
-SELECT pair_id, CAST(mx AS INTEGER) AS padded_len,
+    "b3_pad_sentences": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+b AS (SELECT pair_id, batch_id, 'pos' AS side, list_transform(pos, lambda s: {WS('s')}) AS tk FROM bat
+      UNION ALL SELECT pair_id, batch_id, 'neg', list_transform(neg, lambda s: {WS('s')}) FROM bat),
+m AS (SELECT *, max(list_max(list_transform(tk, lambda t: len(t)))) OVER (PARTITION BY batch_id, side) AS mx FROM b)
+SELECT pair_id, side, CAST(mx AS INTEGER) AS padded_len,
   CAST(list_sum(list_transform(tk, lambda t: len(list_filter(t, lambda x: x = '<pad>')) + mx - len(t))) AS INTEGER)
     AS n_pads FROM m""",
-    "b4_sentence_steps": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+    "b4_sentence_steps": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES}
 SELECT batch_id, CAST(unnest(range(0, len(pos))) AS INTEGER) AS sent_idx, pair_id, unnest(pos) AS pos_s,
        unnest(neg) AS neg_s FROM bat""",
-    "b5_fill_batch": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES},
-cnt AS (SELECT batch_id, count(*) AS n FROM ball GROUP BY batch_id)
+    "b5_fill_batch": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES},
+cnt AS (SELECT batch_id, count(*) AS n, CAST(greatest(max(len(pos)), max(len(neg))) AS INTEGER) AS m FROM ball GROUP BY batch_id)
 SELECT batch_id, pos_in_batch, pair_id, CAST(len(pos) AS INTEGER) AS n_pos FROM ball
-UNION ALL SELECT batch_id, CAST(unnest(range(n, 32)) AS INTEGER), NULL, 1 FROM cnt WHERE n < 32""",
-    "b7_unpair": f"""WITH {P8_CTES()}, {PAIRS_OK}
+UNION ALL SELECT batch_id, CAST(unnest(range(n, 32)) AS INTEGER), NULL, m FROM cnt WHERE n < 32""",
+    "b7_unpair": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}
 SELECT pair_id, 'pos' AS side, CAST(len(pos) AS INTEGER) AS n_sents, md5(array_to_string(pos, chr(10))) AS text_md5 FROM pairs
 UNION ALL SELECT pair_id, 'neg', CAST(len(neg) AS INTEGER), md5(array_to_string(neg, chr(10))) FROM pairs""",
     "t10_sentence_lengths": f"""WITH {DOCS},
@@ -705,14 +722,13 @@ SELECT doc_id, sent_idx, array_to_string(list_concat(ids[2:], [(SELECT e FROM eo
 SELECT doc_id, CAST(len(input_ids) - 1 AS INTEGER) AS n_in,
   CAST(len(list_filter(input_ids[2:], lambda v: v <> pad)) AS INTEGER) AS ntokens,
   md5(array_to_string(input_ids[2:], ',')) AS trg_out_md5 FROM pt, padid""",
-    "k3_sort_by_length": f"""WITH {P8_CTES()}, {PAIRS_OK}, {BATCHES}
+    "k3_sort_by_length": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {BATCHES}
 SELECT pair_id, batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY len(pos) DESC, pair_id) - 1 AS INTEGER)
   AS len_rank FROM bat""",
-    "j7_lookup_vectors": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
-vec AS (SELECT v.word, e.embedding AS vec FROM vocab v JOIN embeddings e ON v.idx = e.vec_id)
-SELECT v.idx, v.word, CAST(x.vec IS NOT NULL AS INTEGER) AS found,
-       round(CAST(coalesce(x.vec[1], {FALLBACK0}) AS DOUBLE), 5) AS v0
-FROM vocab v LEFT JOIN vec x USING (word)""",
+    "j7_lookup_vectors": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')}, {WORDVEC}
+SELECT idx, word, found, CAST(len(vec) AS INTEGER) AS dim,
+  CAST(list_sum(list_transform(range(1, len(vec) + 1), lambda i: i * CAST(round(CAST(vec[i] AS DOUBLE) * 10000) AS BIGINT))) AS BIGINT)
+    AS checksum FROM wordvec""",
     "a10_embedding_coverage": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
 vec AS (SELECT v.word FROM vocab v JOIN embeddings e ON v.idx = e.vec_id)
 SELECT count(*) AS n_words, count(x.word) AS n_found, round(count(x.word) / count(*), 6) AS coverage
@@ -737,7 +753,7 @@ SELECT doc_id, round(f, 6) AS nll_forward, round(b, 6) AS nll_backward, round(1.
 # ---------------------------------------------------------------------------
 TERMS_RE = "'[\\p{L}\\p{N}_]{2,}'"
 
-RETRIEVE = f"""
+POOL = f"""
 pool AS (SELECT CAST(item_id AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS cand_id, s AS candidate
          FROM (SELECT item_id, unnest(range(len(ss))) AS i, unnest(ss) AS s
                FROM (SELECT item_id, {SPLIT_SENTS('text')} AS ss FROM benchmark))),
@@ -748,27 +764,46 @@ pdf AS (SELECT term, count(*) AS df FROM ptf GROUP BY term),
 pidf AS (SELECT term, ln((1.0 + n) / (df + 1.0)) + 1.0 AS idf FROM pdf, pn),
 cw0 AS (SELECT cand_id, term, tf * idf AS w FROM ptf JOIN pidf USING (term)),
 cwt AS (SELECT cand_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cand_id)) AS cw FROM cw0),
+fall AS (SELECT cand_id, row_number() OVER (ORDER BY cand_id) AS cand_no FROM pool QUALIFY cand_no <= 5)
+"""
+
+
+def RETRIEVE_ON(g: str, p: str = "") -> str:
+    """Candidates (``{p}topc``, ``{p}cands``), ranks and best of the gaps in ``g``."""
+    return f"""
+{p}gtt AS (SELECT gap_id, unnest(regexp_extract_all(lower(gap_text), {TERMS_RE})) AS term FROM {g}),
+{p}gtf AS (SELECT gap_id, term, count(*) AS tf FROM {p}gtt WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL),
+{p}gw0 AS (SELECT gap_id, term, tf * idf AS w FROM {p}gtf JOIN pidf USING (term)),
+{p}gwt AS (SELECT gap_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY gap_id)) AS gw FROM {p}gw0),
+{p}sc AS (SELECT gap_id, cand_id, max(gw * cw) AS score_max, sum(gw * cw) AS score_sum
+       FROM {p}gwt JOIN cwt USING (term) GROUP BY gap_id, cand_id),
+{p}met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score_max DESC, cand_id) AS cand_no
+                        FROM {p}sc) WHERE cand_no <= 5),
+{p}topc AS (SELECT gap_id, cand_id, score_max, score_sum, cand_no FROM {p}met
+  UNION ALL SELECT gap_id, cand_id, 0.0, 0.0, cand_no FROM {g}, fall WHERE gap_id NOT IN (SELECT gap_id FROM {p}met)),
+{p}cands AS (SELECT t.*, p.candidate, g.first, g.last, [g.first, p.candidate, g.last] AS doc3
+          FROM {p}topc t JOIN pool p USING (cand_id) JOIN {g} g USING (gap_id))
+"""
+
+
+GAPS = """
 gaps AS (SELECT doc_id AS gap_id, sents[1] AS first, sents[-1] AS last,
-                concat_ws(' ', sents[1], sents[-1]) AS gap_text FROM elig),
-gtt AS (SELECT gap_id, unnest(regexp_extract_all(lower(gap_text), {TERMS_RE})) AS term FROM gaps),
-gtf AS (SELECT gap_id, term, count(*) AS tf FROM gtt WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL),
-gw0 AS (SELECT gap_id, term, tf * idf AS w FROM gtf JOIN pidf USING (term)),
-gwt AS (SELECT gap_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY gap_id)) AS gw FROM gw0),
-sc AS (SELECT gap_id, cand_id, max(gw * cw) AS score_max, sum(gw * cw) AS score_sum
-       FROM gwt JOIN cwt USING (term) GROUP BY gap_id, cand_id),
-topc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score_max DESC, cand_id) AS cand_no
-                        FROM sc) WHERE cand_no <= 5),
-cands AS (SELECT t.*, p.candidate, g.first, g.last, [g.first, p.candidate, g.last] AS doc3
-          FROM topc t JOIN pool p USING (cand_id) JOIN gaps g USING (gap_id))
+                concat_ws(' ', sents[1], sents[-1]) AS gap_text FROM elig)
 """
+RETRIEVE = f"{POOL}, {GAPS}, {RETRIEVE_ON('gaps')}"
 
-RANKED = f"""
-{SCORE_CTES('cands', 'gap_id, cand_no', 'doc3', 'rk')},
-ranked AS (SELECT c.*, r.doc_score AS rank_score FROM cands c JOIN rk_doc r USING (gap_id, cand_no)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY round(rank_score, 9) DESC, cand_no)
-                        AS rr FROM ranked) WHERE rr = 1)
+
+def RANKED_ON(p: str = "") -> str:
+    return f"""
+{SCORE_CTES(p + 'cands', 'gap_id, cand_no', 'doc3', p + 'rk')},
+{p}ranked AS (SELECT c.*, r.doc_score AS rank_score FROM {p}cands c JOIN {p}rk_doc r USING (gap_id, cand_no)),
+{p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY round(rank_score, 9) DESC, cand_no)
+                        AS rr FROM {p}ranked) WHERE rr = 1)
 """
 
+
+RANKED = RANKED_ON()
+
 TLOG = """
 tlog AS (SELECT CAST(user_id AS VARCHAR) AS run, dayofmonth(ts) - 1 + hour(ts) / 24.0 AS epoch, event_id AS step,
                 CASE WHEN event_type <> 'view' THEN value END AS loss,
@@ -777,18 +812,24 @@ tlog AS (SELECT CAST(user_id AS VARCHAR) AS run, dayofmonth(ts) - 1 + hour(ts) /
 """
 
 ORACLE.update({
-    "j8_retrieve_candidates": f"""WITH {P8_CTES()}, {RETRIEVE}
+    "j8_retrieve_candidates": f"""WITH RECURSIVE {P8_CTES()}, {RETRIEVE}
 SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, cand_id, round(score_max, 6) AS score_max,
        round(score_sum, 6) AS score_sum FROM topc""",
-    "m5_rank_candidates": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+    "m5_rank_candidates": f"""WITH RECURSIVE {P8_CTES()}, {RETRIEVE}, {RANKED}
 SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, round(rank_score, 6) AS rank_score FROM ranked""",
-    "k5_best_candidate": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+    "k5_best_candidate": f"""WITH RECURSIVE {P8_CTES()}, {RETRIEVE}, {RANKED}
 SELECT gap_id, CAST(cand_no AS INTEGER) AS cand_no, cand_id, round(rank_score, 6) AS rank_score FROM best""",
-    "m6_infill_one_round": f"""WITH {P8_CTES()}, {RETRIEVE}, {RANKED}
+    "m6_infill_one_round": f"""WITH RECURSIVE {P8_CTES()}, {RETRIEVE}, {RANKED}
 SELECT gap_id AS story_id, 0 AS pos, first AS sentence FROM gaps
-UNION ALL SELECT gap_id, 1, candidate FROM best
-UNION ALL SELECT g.gap_id, CASE WHEN b.gap_id IS NULL THEN 1 ELSE 2 END, g.last
-FROM gaps g LEFT JOIN best b USING (gap_id)""",
+UNION ALL SELECT gap_id, 1, candidate FROM best UNION ALL SELECT gap_id, 2, last FROM gaps""",
+    "m6_infill_story": f"""WITH RECURSIVE {P8_CTES()}, {RETRIEVE}, {RANKED},
+one AS (SELECT g.gap_id AS story_id, g.first AS a, b.candidate AS b, g.last AS c FROM gaps g JOIN best b USING (gap_id)),
+gaps2 AS (SELECT story_id || '|0' AS gap_id, a AS first, b AS last, concat_ws(' ', a, b) AS gap_text FROM one
+          UNION ALL SELECT story_id || '|1', b, c, concat_ws(' ', b, c) FROM one),
+{RETRIEVE_ON('gaps2', 's')}, {RANKED_ON('s')}
+SELECT story_id, 0 AS pos, a AS sentence FROM one UNION ALL SELECT story_id, 2, b FROM one
+UNION ALL SELECT story_id, 4, c FROM one
+UNION ALL SELECT split_part(gap_id, '|', 1), CASE split_part(gap_id, '|', 2) WHEN '0' THEN 1 ELSE 3 END, candidate FROM sbest""",
     "s9_read_training_log": f"""WITH {TLOG}
 SELECT run, step, round(epoch, 6) AS epoch, loss, eval_loss FROM tlog""",
     "a8_weighted_epoch_loss": f"""WITH {TLOG}
@@ -813,7 +854,7 @@ ORACLE.update({
     "st2_stream_scores": f"""WITH {DOCS}, {SCORE_CTES('docs', 'doc_id', 'sents')}
 SELECT d.doc_id, round(s.doc_score, 6) AS doc_score, CAST(len(d.sents) AS INTEGER) AS n_sents
 FROM docs d JOIN sc_doc s USING (doc_id)""",
-    "st3_stream_accuracy": f"""WITH {P8_CTES()}, {PAIRS_OK},
+    "st3_stream_accuracy": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
 {SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
 j AS (SELECT p.n_windows, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
       FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
@@ -821,18 +862,60 @@ SELECT CAST(n_windows AS INTEGER) AS n_windows, count(*) AS n_pairs, CAST(sum(CA
        round(sum(CAST(win AS BIGINT)) / count(*), 6) AS accuracy FROM j GROUP BY n_windows""",
     "s2_read_corpus": f"""WITH {DOCS}
 SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_lines, md5(array_to_string(sents, chr(10))) AS text_md5 FROM docs""",
-    "s3_read_manifest": f"""WITH {P8_CTES()},
+    "s3_read_manifest": f"""WITH RECURSIVE {P8_CTES()},
 tr AS (SELECT doc_id FROM elig WHERE doc_id <= (SELECT c FROM cut))
 SELECT {POSNAME('doc_id')} AS name FROM tr
 UNION ALL SELECT {POSNAME('c.doc_id')} || '-' || CAST((c.n - 1) * 20 + c.perm_no AS VARCHAR)
 FROM chosen c JOIN tr USING (doc_id) WHERE (c.n - 1) * 20 + c.perm_no <= 40""",
-    "s10_read_marketplace_reviews": """SELECT 'R' || CAST(d.doc_id AS VARCHAR) AS DOC_ID,
+    "s10_read_marketplace_reviews": r"""SELECT 'R' || CAST(d.doc_id AS VARCHAR) AS DOC_ID,
   CAST(coalesce(l.quality, 0) * 4 + 1 AS INTEGER) AS RATING, d.source AS REVIEW_TITLE,
-  md5(string_split(d.text, chr(10))[1]) AS text_md5, '2015-08-31' AS review_date
+  md5(regexp_replace(replace(d.text, chr(9), ' '), '\r\n|\r|\n', '<br />', 'g')) AS text_md5, '2015-08-31' AS review_date
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 })
 
 
+ORACLE.update({
+    "s8_read_request_log": """SELECT role AS product_title, text AS review_text,
+  CAST(turn * 10 + 50 AS INTEGER) AS max_len, CAST(turn % 3 + 1 AS INTEGER) AS n_sequences, CAST(NULL AS VARCHAR) AS output,
+  CAST(NULL AS VARCHAR) AS flag, 'u' || CAST(conv_id AS VARCHAR) AS username, '2021-11-30 10:00:00' AS ts FROM conversations""",
+    "m3_score_batches": f"""WITH {DOCS},
+w AS (SELECT doc_id, len(sents) AS m, {WS("lower(array_to_string(sents, ' '))")} AS ws FROM docs)
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_distinct(ws)) / len(ws) END AS type_token_ratio,
+       CASE WHEN m = 0 THEN 0.0 ELSE len(ws) / m END AS mean_sentence_len FROM w""",
+    "m2_vector_coherence": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')}, {WORDVEC},
+comp AS (SELECT word, unnest(range(0, 64)) AS d, CAST(unnest(vec) AS DOUBLE) AS x FROM wordvec),
+sv AS (SELECT doc_id, sent_idx, d, avg(x) AS x FROM toks JOIN comp USING (word) GROUP BY ALL),
+od AS (SELECT doc_id, sent_idx, lead(sent_idx) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS nx
+       FROM (SELECT DISTINCT doc_id, sent_idx FROM sv)),
+cs AS (SELECT a.doc_id, a.sent_idx, sum(a.x * b.x) AS ab, sum(a.x * a.x) AS aa, sum(b.x * b.x) AS bb
+       FROM od JOIN sv a ON a.doc_id = od.doc_id AND a.sent_idx = od.sent_idx
+       JOIN sv b ON b.doc_id = od.doc_id AND b.sent_idx = od.nx AND b.d = a.d GROUP BY ALL)
+SELECT doc_id, count(*) AS n_pairs, round(avg(CASE WHEN aa = 0 OR bb = 0 THEN 0.0 ELSE ab / (sqrt(aa) * sqrt(bb)) END), 6) AS score
+FROM cs GROUP BY doc_id""",
+    "b6_token_budget_batches": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
+ln AS (SELECT pair_id, list_sum(list_transform(pos, lambda s: len({WS('s')}))) AS s,
+              list_sum(list_transform(neg, lambda s: len({WS('s')}))) AS t FROM pairs),
+sh AS (SELECT pair_id, CAST(coalesce(s, 0) AS BIGINT) AS s, CAST(coalesce(t, 0) AS BIGINT) AS t,
+              ('0x' || substr(md5(concat_ws('|', '0', pair_id)), 1, 8))::BIGINT % 8 AS shard FROM ln),
+rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY s, t, pair_id) AS i FROM sh),
+-- state after each row: its batch, and the open batch's number, size and two longest lengths
+go AS (
+  SELECT DISTINCT shard, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS pair_id, CAST(0 AS BIGINT) AS mine, CAST(0 AS BIGINT) AS b,
+         CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS ms, CAST(0 AS BIGINT) AS mt FROM rn
+  UNION ALL
+  SELECT shard, i, pair_id, mine, CASE WHEN c2 * greatest(ms2, mt2) = 4000 THEN mine + 1 ELSE mine END,
+         CASE WHEN c2 * greatest(ms2, mt2) = 4000 THEN 0 ELSE c2 END, CASE WHEN c2 * greatest(ms2, mt2) = 4000 THEN 0 ELSE ms2 END,
+         CASE WHEN c2 * greatest(ms2, mt2) = 4000 THEN 0 ELSE mt2 END
+  FROM (SELECT r.shard, r.i, r.pair_id,
+               CASE WHEN g.c > 0 AND (g.c + 1) * greatest(g.ms, r.s, g.mt, r.t + 2) > 4000 THEN g.b + 1 ELSE g.b END AS mine,
+               CASE WHEN g.c > 0 AND (g.c + 1) * greatest(g.ms, r.s, g.mt, r.t + 2) > 4000 THEN 1 ELSE g.c + 1 END AS c2,
+               CASE WHEN g.c > 0 AND (g.c + 1) * greatest(g.ms, r.s, g.mt, r.t + 2) > 4000 THEN r.s ELSE greatest(g.ms, r.s) END AS ms2,
+               CASE WHEN g.c > 0 AND (g.c + 1) * greatest(g.ms, r.s, g.mt, r.t + 2) > 4000 THEN r.t + 2 ELSE greatest(g.mt, r.t + 2) END AS mt2
+        FROM go g JOIN rn r ON r.shard = g.shard AND r.i = g.i + 1))
+SELECT pair_id, shard, mine AS batch_no FROM go WHERE i > 0""",
+})
+
+
 ORACLE.update({
     "s1_read_reviews_header_as_data": f"""WITH {REVIEWS}
 SELECT DOC_ID, LABEL, RATING FROM reviews

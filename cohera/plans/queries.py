@@ -87,8 +87,7 @@ def q_t5_flatten_tokens(spark, sf_dir):
 
 def q_t6_doc_names(spark, sf_dir):
     d = C.load(spark, sf_dir, "documents")
-    name = F.concat(F.lit("wsj_"), F.lpad(F.col("doc_id").cast("string"), 4, "0"),
-                    F.lit(".pos.text.parsed.ner.EGrid"))
+    name = F.concat(DS.pos_text_name(F.col("doc_id")), F.lit(".parsed.ner.EGrid"))
     p = TX.parse_doc_name(name)
     return d.select(name.alias("name"), p["stem"].alias("stem"), p["base"].alias("base"),
                     p["section"].alias("section"),
@@ -174,30 +173,20 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # Phase 2: vocabulary, TF-IDF keywords, hash splits
 # ---------------------------------------------------------------------------
-import uuid  # noqa: E402
-
 from cohera.functions.hashing import md5_int  # noqa: E402
 from cohera.operators import keywords as KW  # noqa: E402
 from cohera.operators import sampling as SM  # noqa: E402
 from cohera.operators import vocab as VO  # noqa: E402
-from cohera.session import checkpoint_dir  # noqa: E402
+from cohera.session import materialise, scratch_path  # noqa: E402
 
 SEED = 42
 
 
-def scratch_path(spark, tag: str) -> str:
-    """A fresh folder under the shared checkpoint location (never machine-local
-    on a cluster: ``spark.checkpoint.dir`` names shared storage)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{tag}-{uuid.uuid4().hex}"
-
-
 def _tagged_tokens(spark, sf_dir, docs=None):
-    """Long token table of the tagged-normalised corpus; persisted because
-    the vocabulary build, the dense index and the encoding all read it."""
-    from pyspark import StorageLevel
+    """Long token table of the tagged-normalised corpus."""
     d = docs if docs is not None else C.corpus(spark, sf_dir)
     t = d.select("doc_id", F.transform("sents", lambda s: tokenize(normalize(s, "tagged"))).alias("tokens"))
-    return VO.token_table(t, "tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    return VO.token_table(t, "tokens")
 
 
 def _counts(tokens):
@@ -255,8 +244,9 @@ def q_a9_tfidf_weights(spark, sf_dir):
 
 
 def q_k1_top_keywords(spark, sf_dir):
-    _, w = KW.fit_transform_weights(_reviews_text(spark, sf_dir), "DOC_ID", "REVIEW_TEXT")
-    return KW.top_keywords(w, "DOC_ID", 10)
+    r = _reviews_text(spark, sf_dir)
+    _, w = KW.fit_transform_weights(r, "DOC_ID", "REVIEW_TEXT")
+    return KW.top_keywords(w, "DOC_ID", 10, docs=r)
 
 
 def q_k2_transform_keywords(spark, sf_dir):
@@ -362,7 +352,7 @@ def q_p1_window_starts(spark, sf_dir):
 def q_p2_all_combinations(spark, sf_dir):
     d = _f1(spark, sf_dir)
     m = PM.n_windows_col(F.size("sents"), 3)
-    e = d.select("doc_id", F.explode(PM.all_combinations(m, 2)).alias("combo"))
+    e = PM.all_combinations(d.select("doc_id", "sents"), m, 2)
     return e.select("doc_id", _ints("combo").alias("combo"),
                     _ints(PM.window_sentences(F.col("combo"), 3)).alias("sent_idx"))
 
@@ -438,6 +428,12 @@ def q_j5_align_order_first(spark, sf_dir):
     return PM.align_order(p, mode="first").select("pair_id", _ints("order").alias("order"))
 
 
+def q_j5_align_order_reference(spark, sf_dir):
+    p = build_negative_dataset(C.corpus(spark, sf_dir))
+    r = PM.align_order(p, mode="reference", pad_to=F.greatest(F.size("neg"), F.lit(12)))
+    return r.select("pair_id", _ints("order").alias("order"))
+
+
 def q_f4_identical_pairs(spark, sf_dir):
     n = _negs(spark, sf_dir, raw_text=True).select("pair_id", F.col("sents").alias("pos"), "neg")
     kept = PM.drop_identical_pairs(n)
@@ -447,8 +443,8 @@ def q_f4_identical_pairs(spark, sf_dir):
 def q_s4_write_pairs(spark, sf_dir):
     path = scratch_path(spark, "pairs")
     FS.write_pairs(build_negative_dataset(C.corpus(spark, sf_dir)), path)
-    back = FS.read_pairs(spark, path).filter((F.col("split") == "train") & (F.col("n_windows") == 2))
-    return back.select("pair_id", _ints("perm").alias("perm"))
+    back = FS.read_pairs(spark, path)
+    return back.select("pair_id", "split", "n_windows", _ints("perm").alias("perm"), _lines("neg").alias("neg"))
 
 
 def q_a4_dataset_info(spark, sf_dir):
@@ -479,6 +475,7 @@ QUERIES.update({
     "p5_apply_permutation": q_p5_apply_permutation, "p7_inverse_order": q_p7_inverse_order,
     "p9_permutation_check": q_p9_permutation_check, "f2_classify_files": q_f2_classify_files,
     "j1_pair_pos_neg": q_j1_pair_pos_neg, "j5_align_order": q_j5_align_order,
+    "j5_align_order_reference": q_j5_align_order_reference,
     "j5_align_order_first": q_j5_align_order_first, "f4_identical_pairs": q_f4_identical_pairs,
     "s4_write_pairs": q_s4_write_pairs, "a4_dataset_info": q_a4_dataset_info,
     "u1_missing_counterparts": q_u1_missing_counterparts, "u3_distinct_stems": q_u3_distinct_stems,
@@ -490,7 +487,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 from cohera.operators import grid as GR  # noqa: E402
 from cohera.operators import score as SC  # noqa: E402
-from cohera.plans.evaluation import TIE_DIGITS, evaluate  # noqa: E402
+from cohera.plans.evaluation import TIE_DIGITS, evaluate_corpus  # noqa: E402
 
 
 def _r6(c):
@@ -535,12 +532,12 @@ def _pairs(spark, sf_dir):
 
 
 def q_m4_evaluate_std(spark, sf_dir):
-    r = evaluate(_pairs(spark, sf_dir), "std")
+    r = evaluate_corpus(C.corpus(spark, sf_dir), "std")
     return r.select("task", "n_windows", "n_pairs", _r6("accuracy").alias("accuracy"))
 
 
 def q_m4_evaluate_inv(spark, sf_dir):
-    r = evaluate(_pairs(spark, sf_dir), "inv")
+    r = evaluate_corpus(C.corpus(spark, sf_dir), "inv")
     return r.select("task", "n_windows", "n_pairs", _r6("accuracy").alias("accuracy"))
 
 
@@ -641,7 +638,7 @@ def _batches(spark, sf_dir, drop_last=True):
 
 
 def q_b1_minibatches(spark, sf_dir):
-    return _batches(spark, sf_dir).select("pair_id", "batch_id", "pos_in_batch")
+    return BT.batch_index(_pairs(spark, sf_dir), BATCH, BATCH_SEED, 0)
 
 
 def q_b2_pad_documents(spark, sf_dir):
@@ -651,9 +648,12 @@ def q_b2_pad_documents(spark, sf_dir):
 
 
 def q_b3_pad_sentences(spark, sf_dir):
-    b = _batches(spark, sf_dir).withColumn("tokens", F.transform("pos", lambda s: tokenize(s)))
-    p = BT.pad_sentences(b, "tokens")
-    return p.select("pair_id", F.element_at(F.transform("tokens", F.size), 1).alias("padded_len"),
+    """Both sides, each padded to the longest sentence of its side's batch."""
+    b = _batches(spark, sf_dir)
+    sides = [b.select("pair_id", "batch_id", F.lit(s).alias("side"), F.transform(s, lambda x: tokenize(x)).alias("tokens"))
+             .withColumn("group", F.concat_ws("|", "batch_id", "side")) for s in ("pos", "neg")]
+    p = BT.pad_sentences(sides[0].unionByName(sides[1]), "tokens", "group")
+    return p.select("pair_id", "side", F.element_at(F.transform("tokens", F.size), 1).alias("padded_len"),
                     F.aggregate(F.transform("tokens", lambda t: F.size(F.filter(t, lambda x: x == BT.PAD))),
                                 F.lit(0), lambda a, x: a + x).alias("n_pads"))
 
@@ -672,7 +672,7 @@ def q_b6_token_budget_batches(spark, sf_dir):
     ntok = lambda c: F.aggregate(F.transform(c, lambda s: F.size(tokenize(s))), F.lit(0),
                                  lambda a, x: a + x)
     d = p.select("pair_id", ntok(F.col("pos")).alias("src_len"), ntok(F.col("neg")).alias("tgt_len"))
-    return BT.token_budget_batches(d, 4000, "src_len", "tgt_len", "pair_id", shard_rows=2000)
+    return BT.token_budget_batches(d, 4000, "src_len", "tgt_len", "pair_id", n_shards=8)
 
 
 def q_b7_unpair(spark, sf_dir):
@@ -737,8 +737,10 @@ def _vectors(spark, sf_dir, vocab):
 def q_j7_lookup_vectors(spark, sf_dir):
     v = q_a2_build_vocab(spark, sf_dir)
     r = VE.lookup_vectors(v, _vectors(spark, sf_dir, v), dim=64, seed=SEED)
-    return r.select("idx", "word", F.col("found").cast("int").alias("found"),
-                    F.round(F.element_at("vec", 1).cast("double"), 5).alias("v0"))
+    # every component, as a weighted sum of ten-thousandths
+    parts = F.transform("vec", lambda x, i: (i + 1) * F.round(x.cast("double") * 10000).cast("bigint"))
+    return r.select("idx", "word", F.col("found").cast("int").alias("found"), F.size("vec").alias("dim"),
+                    F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("checksum"))
 
 
 def q_a10_embedding_coverage(spark, sf_dir):
@@ -750,8 +752,8 @@ def q_a10_embedding_coverage(spark, sf_dir):
 def q_a11_bidirectional_nll(spark, sf_dir):
     v = VO.lm_vocab(q_a2_build_vocab(spark, sf_dir))
     n_v = v.count()
-    ids = _vocab_ids(spark, sf_dir, v)
-    r = VE.bidirectional_nll(ids, ["doc_id", "sent_idx"], n_v, _special(v, "<bos>"), _special(v, "<eos>"))
+    enc = VO.encode(_tagged_tokens(spark, sf_dir), v, oov="unk")
+    r = VE.bidirectional_nll(enc, n_v, _special(v, "<bos>"), _special(v, "<eos>"))
     return r.select("doc_id", _r6("nll_forward").alias("nll_forward"), _r6("nll_backward").alias("nll_backward"),
                     _r6("lm_loss").alias("lm_loss"))
 
@@ -894,20 +896,19 @@ QUERIES.update({
 from cohera.sources import corpus as CO  # noqa: E402
 from cohera.streaming import jobs as ST  # noqa: E402
 
-STREAM_FILES = 4
-
 
 def _stage(df, spark, tag):
-    """Write a derived table as a few Parquet files for a file-source stream."""
+    """Write a derived table as Parquet files for a file-source stream."""
     path = scratch_path(spark, tag)
-    df.repartition(STREAM_FILES).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
 def q_st1_stream_keywords(spark, sf_dir):
     r = _reviews_text(spark, sf_dir)
     train, test = SM.train_test_split(r, 0.2, SEED, "DOC_ID")
-    idf = KW.fit_tfidf(train, "DOC_ID", "REVIEW_TEXT")
+    # the saved model: fitted once, read by every micro-batch
+    idf = materialise(KW.fit_tfidf(train, "DOC_ID", "REVIEW_TEXT"), "st1-idf")
     src = _stage(test.select("DOC_ID", "REVIEW_TEXT"), spark, "st1-in")
     sink, ck = scratch_path(spark, "st1-out"), scratch_path(spark, "st1-ck")
     stream = ST.file_stream(spark, src, "DOC_ID string, REVIEW_TEXT string")
@@ -928,7 +929,7 @@ def q_st3_stream_accuracy(spark, sf_dir):
     sink, ck = scratch_path(spark, "st3-out"), scratch_path(spark, "st3-ck")
     stream = ST.file_stream(spark, src, "pair_id string, n_windows int, pos array<string>, neg array<string>")
     ST.stream_accuracy(stream, sink, ck)
-    return spark.read.parquet(sink).select("n_windows", "n_pairs", "n_correct", _r6("accuracy").alias("accuracy"))
+    return ST.latest_totals(spark, sink).select("n_windows", "n_pairs", "n_correct", _r6("accuracy").alias("accuracy"))
 
 
 def q_s2_read_corpus(spark, sf_dir):
@@ -942,7 +943,7 @@ def q_s3_read_manifest(spark, sf_dir):
     f = SM.first_n_split(_f1(spark, sf_dir), "doc_id", 121)
     path = scratch_path(spark, "manifest")
     f.filter(F.col("split") == "train").select(
-        F.concat(F.lit("data/wsj/"), F.lpad("doc_id", 2, "0"), F.lit("/"), DS.pos_text_name(F.col("doc_id")))
+        F.concat(F.lit("data/wsj/"), DS.padded(F.col("doc_id"), 2), F.lit("/"), DS.pos_text_name(F.col("doc_id")))
         .alias("value")).write.text(path)
     man = FS.read_manifest(spark, path, "train")
     n = _negs(spark, sf_dir)
@@ -960,8 +961,9 @@ def q_s8_read_request_log(spark, sf_dir):
                    F.lit("").alias("flag"), F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("username"),
                    F.lit("2021-11-30 10:00:00").alias("ts"))
     path = scratch_path(spark, "reqlog")
-    log.write.option("header", True).option("quote", "'").option("escape", "'").csv(path)
-    return FS.read_request_log(spark, path)
+    log.write.option("header", True).option("quote", "'").option("escape", "'").option("emptyValue", "").csv(path)
+    r = FS.read_request_log(spark, path)
+    return r.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 def q_s10_read_marketplace_reviews(spark, sf_dir):
@@ -975,10 +977,12 @@ def q_s10_read_marketplace_reviews(spark, sf_dir):
                    (F.col("n_chars") % 10).cast("string").alias("helpful_votes"),
                    (F.col("n_chars") % 20).cast("string").alias("total_votes"), F.lit("N").alias("vine"),
                    F.lit("Y").alias("verified_purchase"), F.col("source").alias("review_headline"),
-                   F.element_at(F.split("text", "\n"), 1).alias("review_body"),
+                   # the format has neither quotes nor line breaks: they are marked up
+                   F.regexp_replace(F.translate("text", "\t", " "), "\r\n|\r|\n", "<br />").alias("review_body"),
                    F.lit("2015-08-31").alias("review_date"))
     path = scratch_path(spark, "market")
-    raw.coalesce(1).write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    (raw.write.option("header", True).option("sep", "\t").option("quote", "").option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(path))
     r = FS.read_marketplace_reviews(spark, path)
     return r.select("DOC_ID", "RATING", "REVIEW_TITLE", F.md5("REVIEW_TEXT").alias("text_md5"),
                     F.col("review_date").cast("string").alias("review_date"))
@@ -995,9 +999,10 @@ QUERIES.update({
 def q_s1_read_reviews_header_as_data(spark, sf_dir):
     """S1 in the reference's mode: the header line is read as a data row."""
     path = scratch_path(spark, "reviews")
-    FS.write_reviews(C.reviews(spark, sf_dir).coalesce(1), path)
-    r = FS.read_reviews(spark, path, header="data")
-    return r.select("DOC_ID", "LABEL", "RATING")
+    FS.write_reviews(C.reviews(spark, sf_dir), path)
+    r = FS.read_reviews(spark, path, header="data").select("DOC_ID", "LABEL", "RATING")
+    header = F.col("DOC_ID") == "DOC_ID"  # one a file: shown once
+    return r.where(~header).unionByName(r.where(header).distinct())
 
 
 def q_f6_remove_stopwords_long(spark, sf_dir):

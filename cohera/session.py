@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         if master.startswith("local"):
             # local mode runs every task inside the driver JVM
             b = b.config("spark.driver.memory", os.environ.get("COHERA_DRIVER_MEMORY", "16g"))
+            # one process: a local folder is the shared one. A cluster names its own.
+            b = b.config("spark.checkpoint.dir", os.environ.get("COHERA_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="cohera-ckpt-"))
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -34,20 +37,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_REGISTERED: set = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    do we create a scratch folder, and register it for ``Dataset.checkpoint``.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    Raises where it is unset: a machine-local folder would lose data on a
+    cluster. The folder is registered for ``Dataset.checkpoint`` once an
+    application."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="cohera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _REGISTERED and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
+    _REGISTERED.add(app)
+    return d
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df, tag: str):
+    """Write ``df`` to the shared checkpoint folder and read it back: what
+    several jobs read is computed once, held by no executor, and its size is
+    known to the optimiser."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df):
@@ -58,15 +78,3 @@ def cut_lineage(df):
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
-
-
-def spread(df, *keys):
-    """Hash-repartition an input that arrives in fewer partitions than the
-    cluster has cores (a small file), so row-heavy work uses every core.
-    Inputs that are already wide -- the normal case at scale -- pass through
-    without a shuffle."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par, *keys) if keys else df.repartition(par)

@@ -31,10 +31,11 @@ def _run(writer, available_now: bool = True):
 
 def stream_keywords(stream: DataFrame, idf: DataFrame, key: str, text: str, sink: str,
                     checkpoint: str, k: int = 10, available_now: bool = True):
-    """ST1: top-k keywords of every arriving document, appended to ``sink``."""
+    """ST1: top-k keywords of every arriving document. Each micro-batch owns
+    the folder ``batch_id=<n>`` of ``sink`` and overwrites it, so a replayed
+    batch changes nothing. ``idf`` is a saved table."""
     def batch(df, epoch_id):
-        out = transform_keywords(df, idf, key, text, k)
-        out.withColumn("batch_id", F.lit(epoch_id)).write.mode("append").parquet(sink)
+        transform_keywords(df, idf, key, text, k).write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
 
@@ -66,17 +67,26 @@ def accuracy_stream(scored_pairs: DataFrame, by: str = "n_windows", event_time:
 def stream_accuracy(pairs_stream: DataFrame, sink: str, checkpoint: str, by: str = "n_windows",
                     available_now: bool = True):
     """ST3: score streamed pairs (array-form scorer) and keep the running
-    accuracy per ``by``; every micro-batch rewrites the current totals."""
+    accuracy per ``by``. Every micro-batch writes the current totals to its
+    own folder, so a reader always finds a whole version
+    (:func:`latest_totals`) and a replayed batch changes nothing."""
     scored = pair_scores(pairs_stream)
     agg = accuracy_stream(scored, by)
 
     def batch(df, epoch_id):
         df.withColumn("accuracy", F.col("n_correct") / F.col("n_pairs")) \
-          .write.mode("overwrite").parquet(sink)
+          .write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
     w = agg.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
 
 
+def latest_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest version of ST3's totals."""
+    t = spark.read.parquet(sink)
+    newest = t.agg(F.max("batch_id")).first()[0]
+    return t.where(F.col("batch_id") == newest).drop("batch_id")
+
+
 def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
     """A Parquet file-source stream (one file per micro-batch by default)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,7 +12,4 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from cohera.session import get_spark
 
-    s = get_spark("local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests only: a scratch checkpoint folder
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohera-test-ckpt-"))
-    yield s
+    return get_spark("local[4]", shuffle_partitions=8)  # sets a scratch checkpoint folder for local runs

@@ -9,7 +9,8 @@ def test_dense_index_partition_independent(spark):
     df = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("k"))
     res = []
     for n in (1, 4, 64):
-        d = SM.dense_index(df.repartition(n), ["k"], "idx", n_partitions=n)
+        d, total = SM.dense_index(df.repartition(n), ["k"], "idx", n_partitions=n)
+        assert total == 1000
         res.append(sorted((r.k, r.idx) for r in d.collect()))
     assert res[0] == res[1] == res[2]
     assert [i for _, i in res[0]] == list(range(1000))
