@@ -159,6 +159,7 @@ def split_sentences(c, keep_tail: bool = True) -> Column:
     sentence); ``keep_tail=True`` keeps a non-blank tail as a last sentence.
     """
     rr = F.regexp_replace
+    # fixed behaviour: the steps in this order give the cuts the jobs expect
     t = F.concat(F.lit(" "), col(c), F.lit("  "))
     t = rr(t, "\n", " ")
     t = rr(t, SPLIT_DIGITS + "[.]" + SPLIT_DIGITS, "$1<prd>$2")

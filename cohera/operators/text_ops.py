@@ -29,9 +29,9 @@ def split_reviews(df: DataFrame, text: str, key: str, keep_tail: bool = True) ->
 
 
 def first_last_sentence(df: DataFrame, text: str, keep_tail: bool = True) -> DataFrame:
-    """T4: first and last sentence of each review (one sentence -> equal)."""
+    """T4: first and last sentence of each review (one sentence -> equal; none -> null)."""
     fl = let(split_sentences(F.col(text), keep_tail),
-             lambda s: F.struct(F.element_at(s, 1).alias("f"), F.element_at(s, -1).alias("l")))
+             lambda s: F.struct(F.try_element_at(s, F.lit(1)).alias("f"), F.try_element_at(s, F.lit(-1)).alias("l")))
     return df.withColumn("_s", fl).withColumn("first_sentence", F.col("_s.f")) \
              .withColumn("last_sentence", F.col("_s.l")).drop("_s")
 
@@ -41,7 +41,7 @@ def first_sentence_or_text(text) -> Column:
     the splitter finds none."""
     s = split_sentences(col(text), keep_tail=False)
     from cohera.functions.text import py_strip
-    return F.coalesce(F.element_at(s, 1), py_strip(col(text)))
+    return F.coalesce(F.try_element_at(s, F.lit(1)), py_strip(col(text)))
 
 
 def flatten_tokens(sents: Column, mode: str = "global", norm_mode: str = "tagged") -> Column:

@@ -48,16 +48,16 @@ dn AS (
                    ELSE M::BIGINT * (M - 1) * (M - 2) // 6 END AS C
   FROM elig e JOIN ns ON ns.n <= e.M),
 floyd AS (
-  SELECT doc_id, n, C, least(nperm, C) AS k, 0 AS i, []::BIGINT[] AS taken FROM dn
+  SELECT doc_id, n, C, M, least(nperm, C) AS k, 0 AS i, []::BIGINT[] AS taken FROM dn
   UNION ALL
-  SELECT doc_id, n, C, k, i + 1,
+  SELECT doc_id, n, C, M, k, i + 1,
          list_append(taken, CASE WHEN list_contains(taken, t) THEN C - k + i ELSE t END)
   FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', '42', doc_id, n, i)), 1, 15))::BIGINT % (C - k + i + 1) AS t
         FROM floyd WHERE i < k)),
-ranks AS (SELECT doc_id, n, unnest(taken) AS r, unnest(range(1, len(taken) + 1)) AS perm_no FROM floyd WHERE i = k),
-t3 AS (SELECT *, CASE WHEN n = 3 THEN (SELECT max(x) FROM range(2, 3000) z(x) WHERE x * (x - 1) * (x - 2) // 6 <= r) END AS c3 FROM ranks),
+ranks AS (SELECT doc_id, n, M, unnest(taken) AS r, unnest(range(1, len(taken) + 1)) AS perm_no FROM floyd WHERE i = k),
+t3 AS (SELECT *, CASE WHEN n = 3 THEN list_max(list_filter(range(2, M), lambda x: x * (x - 1) * (x - 2) // 6 <= r)) END AS c3 FROM ranks),
 t2 AS (SELECT *, r - CASE WHEN n = 3 THEN c3 * (c3 - 1) * (c3 - 2) // 6 ELSE 0 END AS r2 FROM t3),
-t1 AS (SELECT *, CASE WHEN n >= 2 THEN (SELECT max(x) FROM range(1, 9000) z(x) WHERE x * (x - 1) // 2 <= r2) END AS c2 FROM t2),
+t1 AS (SELECT *, CASE WHEN n >= 2 THEN list_max(list_filter(range(1, M), lambda x: x * (x - 1) // 2 <= r2)) END AS c2 FROM t2),
 chosen AS (
   SELECT doc_id, n, perm_no, CASE n WHEN 1 THEN [r] WHEN 2 THEN [r2 - c2 * (c2 - 1) // 2, c2]
                                     ELSE [r2 - c2 * (c2 - 1) // 2, c2, c3] END AS combo FROM t1),
@@ -421,8 +421,8 @@ SELECT doc_id, a || ',' || b AS combo,
   concat_ws(',', 3 * a, 3 * a + 1, 3 * a + 2, 3 * b, 3 * b + 1, 3 * b + 2) AS sent_idx FROM b""",
     "p2_one_choice": f"""WITH RECURSIVE {P8_CTES()}
 SELECT doc_id, array_to_string([r - c * (c - 1) // 2, c], ',') AS combo
-FROM (SELECT doc_id, r, (SELECT max(x) FROM range(1, 9000) z(x) WHERE x * (x - 1) // 2 <= r) AS c
-      FROM (SELECT doc_id, ('0x' || substr(md5(concat_ws('|', '42', doc_id, 2, 0)), 1, 15))::BIGINT % C AS r
+FROM (SELECT doc_id, r, list_max(list_filter(range(1, M), lambda x: x * (x - 1) // 2 <= r)) AS c
+      FROM (SELECT doc_id, M, ('0x' || substr(md5(concat_ws('|', '42', doc_id, 2, 0)), 1, 15))::BIGINT % C AS r
             FROM dn WHERE n = 2))""",
     "p3_select_combinations": f"""WITH RECURSIVE {P8_CTES()}
 SELECT doc_id, CAST(n AS INTEGER) AS n_windows, CAST(perm_no AS INTEGER) AS perm_no,

@@ -39,3 +39,41 @@ def test_y14_infill_growth(spark):
         assert len(rows) == want
         assert [r.pos for r in rows] == list(range(want))
         assert rows[0].sentence.startswith("A ") and rows[-1].sentence.endswith("end.")
+
+
+def test_gap_without_a_shared_term_is_filled(spark):
+    pool = spark.createDataFrame([("c2", "green river"), ("c1", "blue stone"), ("c3", "old bridge")], "cand_id string, candidate string")
+    gaps = spark.createDataFrame([("g", "nothing shared"), ("h", "stone wall")], "gap_id string, gap_text string")
+    got = sorted((r.gap_id, r.cand_no, r.cand_id) for r in IN.retrieve_candidates(gaps, pool, 2).collect())
+    assert got == [("g", 1, "c1"), ("g", 2, "c2"), ("h", 1, "c1")]
+
+
+def test_filler_is_as_long_as_the_batch(spark):
+    b = spark.createDataFrame([(0, "p", 0, ["a", "b", "c"], ["c", "b"])], "batch_id long, pair_id string, pos_in_batch int, pos array<string>, neg array<string>")
+    fill = BT.fill_batch(b, 3).where("pair_id is null").collect()
+    assert len(fill) == 2 and all(r.pos == r.neg == ["<pad>"] * 3 for r in fill)
+
+
+def test_empty_inputs(spark):
+    from cohera.operators import vocab as VO
+    none = spark.createDataFrame([], "word string, cnt long")
+    assert [r.word for r in VO.build_vocab(none).orderBy("idx").collect()] == ["<unk>", "<pad>"]
+    assert BT.minibatches(spark.createDataFrame([], "pair_id string"), 32).count() == 0
+
+
+def test_strict_encode_raises(spark):
+    import pytest
+    from cohera.operators import vocab as VO
+    v = VO.build_vocab(spark.createDataFrame([("a", 2)], "word string, cnt long"))
+    t = spark.createDataFrame([("d", 0, 0, "a"), ("d", 0, 1, "zzz")], "doc_id string, sent_idx int, tok_idx int, word string")
+    with pytest.raises(Exception, match="word not in vocabulary: zzz"):
+        VO.encode(t, v, oov="error").collect()
+    assert [r.idx for r in VO.encode(t.where("word = 'a'"), v, oov="error").collect()] == [0]
+
+
+def test_greedy_batches_do_not_depend_on_other_shards(spark):
+    d = spark.range(400).select(F.col("id").cast("string").alias("k"), (F.col("id") % 17 + 1).alias("s"), (F.col("id") % 11 + 1).alias("t"))
+    a = {r.k: (r.shard, r.batch_no) for r in BT.token_budget_batches(d, 200, "s", "t", "k", n_shards=4).collect()}
+    some = [k for k, v in a.items() if v[0] == 1]
+    b = {r.k: (r.shard, r.batch_no) for r in BT.token_budget_batches(d.where(F.col("k").isin(some)), 200, "s", "t", "k", n_shards=4).collect()}
+    assert b == {k: a[k] for k in some}

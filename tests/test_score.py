@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohera.operators import score as SC
 
+# The ordered example document, a plain input (fixed value).
 ORDERED = [
     ".START",
     "McDermott International Inc. said its Babcock & Wilcox unit completed the sale of its Bailey "

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohera.functions.text import normalize, split_sentences, tokenize
 
+# The review of fixture Y1, a plain input (fixed value).
 Y1 = ("This screen protector is a great value and very well made.<br /><p />I am 5'9'' so far, "
       "but this one does not look like that big of an improvement from previous generations..."
       "it just feels more solid than before with no scratches or anything else on either side.")
@@ -45,3 +46,18 @@ def test_tokenisers(spark):
     assert _one(spark, lambda c: tokenize(c, "whitespace"), "  a  b\tc ") == ["a", "b", "c"]
     assert _one(spark, lambda c: tokenize(c, "strip_ends"), "<s>a b c</s>") == ["b"]
     assert _one(spark, lambda c: tokenize(c, "simple"), "Café x déjà_vu 42 abc") == ["cafe", "deja_vu", "abc"]
+
+
+def test_python_white_space(spark):
+    t = " a b\x85c\x1cd 　e​f\n"
+    assert _one(spark, lambda c: tokenize(c, "whitespace"), t) == t.split()
+    assert _one(spark, lambda c: normalize(c, "plain"), t) == t.strip().lower()
+
+
+def test_every_document_keeps_a_keyword_row(spark):
+    from cohera.operators import keywords as KW
+    d = spark.createDataFrame([("a", "river stone stone"), ("b", "That it."), ("c", "")], "id string, text string")
+    idf, w = KW.fit_transform_weights(d, "id", "text")
+    got = {r.id: r.keywords for r in KW.top_keywords(w, "id", 10, docs=d).collect()}
+    assert got == {"a": " stone river", "b": "", "c": ""}
+    assert {r.id: r.keywords for r in KW.transform_keywords(d, idf, "id", "text").collect()} == got
