@@ -15,6 +15,33 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 5
 """
 
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (
+  SELECT doc_id, unnest(range(0, greatest(len(w) - 4, 1))) AS pos, greatest(len(w) - 4, 1) AS size,
+         array_to_string(w[pos + 1 : CASE WHEN len(w) >= 5 THEN pos + 5 ELSE len(w) END], ' ') AS x FROM d WHERE len(w) > 0),
+bs AS (
+  SELECT item_id, len(w) AS n, unnest(range(0, greatest(len(w) - 4, 1))) AS pos, greatest(len(w) - 4, 1) AS m,
+         array_to_string(w[pos + 1 : CASE WHEN len(w) >= 5 THEN pos + 5 ELSE len(w) END], ' ') AS x FROM b WHERE len(w) > 0),
+bc AS (SELECT item_id, n, m, x, count(*) AS c FROM bs GROUP BY ALL),
+s AS (
+  SELECT DISTINCT doc_id, size, item_id, n, m, unnest(range(greatest(ds.pos - m + 1, 0), ds.pos + 1)) AS start
+  FROM ds JOIN bc USING (x)),
+v AS (SELECT * FROM s WHERE start = 0 OR start + m <= size),
+wc AS (
+  SELECT v.doc_id, v.item_id, v.n, v.m, v.start, least(v.m, v.size - v.start) AS mw, ds.x, count(*) AS c
+  FROM v JOIN ds ON ds.doc_id = v.doc_id AND ds.pos >= v.start AND ds.pos < v.start + v.m GROUP BY ALL),
+lo AS (
+  SELECT wc.doc_id, wc.item_id, wc.n, wc.m, wc.start, wc.mw, sum(least(wc.c, bc.c)) AS low
+  FROM wc JOIN bc ON bc.item_id = wc.item_id AND bc.x = wc.x GROUP BY ALL),
+r AS (SELECT doc_id, item_id, start, n, CAST(low AS DOUBLE) / CAST(mw + m - low AS DOUBLE) AS similarity FROM lo)
+SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity FROM r WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -36,5 +63,6 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 
 ORACLE = {
     "op1_voronoi_knn": OP1,
+    "op3_decontaminate": OP3,
     "op10_ngram_join": OP10,
 }

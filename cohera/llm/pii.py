@@ -158,11 +158,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(g: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(g: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1e-3,
+          consistency: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights ``(node, chain, skip)`` by pseudo-likelihood: each token's label
-    from its features and the labels at its edges."""
+    from its features and the labels at its edges. The prior mean of the skip
+    weights is ``consistency`` for equal labels, so repeats agree also where
+    the sample has few of them; the other weights' is 0."""
     y = np.eye(_N)[g.fixed]
-    w, c, s = np.zeros((N_FEATURES, _N)), np.zeros((_N, _N)), np.zeros((_N, _N))
+    w, c, s = np.zeros((N_FEATURES, _N)), np.zeros((_N, _N)), np.eye(_N) * consistency
+    prior = [m.copy() for m in (w, c, s)]
     if not len(y):
         return w, c, s
     left, right, tied = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)
@@ -175,8 +179,8 @@ def train(g: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> tu
     for _ in range(steps):
         e = (y - _softmax(g.x @ w + left @ c + right @ c.T + tied @ s)) / len(y)
         half = tied.T @ e
-        for m, q, grad in zip((w, c, s), sq, (g.x.T @ e, left.T @ e + e.T @ right, (half + half.T) / 2)):
-            grad = grad - l2 * m / 10
+        for m, q, mean, grad in zip((w, c, s), sq, prior, (g.x.T @ e, left.T @ e + e.T @ right, (half + half.T) / 2)):
+            grad = grad - l2 * (m - mean) / 10
             q += grad * grad
             m += rate * grad / np.sqrt(q)
     return w, c, s
