@@ -80,3 +80,23 @@ def test_restarted_accuracy_keeps_whole_versions(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         ST.stream_accuracy(ST.file_stream(spark, src, schema), sink, ck)
         assert [(r.n_windows, r.n_pairs) for r in ST.latest_totals(spark, sink).collect()] == [(1, want)]
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    import os
+
+    from cohera.session import checkpoint_dir, clear_scratch, materialise
+
+    df = materialise(spark.range(5), "test")
+    assert df.count() == 5 and os.path.isdir(f"{checkpoint_dir(spark)}/scratch")
+    clear_scratch(spark)
+    assert not os.path.isdir(f"{checkpoint_dir(spark)}/scratch")
+
+
+def test_no_broadcast_is_forced_on_data():
+    """``F.broadcast`` stands only on one row a partition and on the stop list."""
+    import pathlib
+
+    root = pathlib.Path(__file__).parents[1] / "cohera"
+    used = [p.name for d in ("operators", "plans", "sources", "streaming") for p in (root / d).glob("*.py") if "broadcast(" in p.read_text()]
+    assert sorted(used) == ["filters.py", "sampling.py"], used
