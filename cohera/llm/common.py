@@ -12,11 +12,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: most text bytes that one numpy batch holds (a longer text is its own batch)
 BATCH_BYTES = 1 << 20
@@ -111,14 +114,37 @@ def word_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes, first, starts, ends, data
 
 
-def text_batches(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of a list of texts, each of about ``BATCH_BYTES`` at most."""
+def text_batches(texts: list) -> Iterator[slice]:
+    """Slices of a list of texts (or of records with texts), each of about
+    ``BATCH_BYTES`` at most, a longer text alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        n = 0 if t is None else len(t)
+        n = len(t) if isinstance(t, str) else sum(len(x) for x in t.values() if isinstance(x, str)) if t else 0
         if i > at and size + n > BATCH_BYTES:
             yield slice(at, i)
             at, size = i, 0
         size += n
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def map_texts(df: DataFrame, keep: list[str], fields: list[StructField], make: Callable[[list], dict],
+              column: str = "text") -> DataFrame:
+    """``df``'s columns ``keep`` and the new ``fields``: ``make`` gets slices of
+    bounded size of ``column`` and returns ``{name: values}``. The kept columns
+    pass through as Arrow arrays, so no null turns an integer into a float."""
+    names = [*keep, *[f.name for f in fields]]
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
+
+    def f(batches):
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            for part in text_batches(values):
+                made = make(values[part])
+                rows = batch.slice(part.start, part.stop - part.start)
+                arrays = [rows.column(rows.schema.get_field_index(c)) for c in keep]
+                arrays += [pa.array(made[n], type=t) for n, t in types.items()]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    columns = [*keep, *([] if column in keep else [column])]
+    return df.select(*columns).mapInArrow(f, StructType([df.schema[c] for c in keep] + fields))

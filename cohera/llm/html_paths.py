@@ -24,9 +24,9 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from cohera.llm.common import materialise
+from cohera.llm.common import map_texts, materialise
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -244,9 +244,8 @@ def extract(pages: DataFrame, spread: int = 64) -> DataFrame:
     rows = pages.select(*keep, _host(F.col("url")).alias("__host"), salt.alias("__salt"))
     rows = rows.join(paths, ["__host", "__salt"], "left").drop("__host", "__salt")
 
-    def f(batches):
-        for pdf in batches:
-            pdf["text"] = [main_text(blocks(p), None if path is None else path) for p, path in zip(pdf["html"], pdf["__path"])]
-            yield pdf.drop(columns="__path")
+    def make(pages_and_paths):
+        return {"text": [main_text(blocks(x["html"]), x["path"]) for x in pages_and_paths]}
 
-    return rows.mapInPandas(f, StructType([pages.schema[c] for c in keep] + [StructField("text", StringType())]))
+    rows = rows.withColumn("__both", F.struct("html", F.col("__path").alias("path")))
+    return map_texts(rows, keep, [StructField("text", StringType())], make, "__both")

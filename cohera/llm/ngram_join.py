@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from cohera.llm.common import materialise, mix64, text_batches, word_batch
+from cohera.llm.common import map_texts, materialise, mix64, text_batches, word_batch
 
 #: buckets of the count sketch; its size does not depend on the data
 SKETCH_BUCKETS = 1 << 21
@@ -63,10 +64,6 @@ def _slices(texts: pd.Series):
     return (texts[part] for part in text_batches(texts))
 
 
-def _frames(pdf: pd.DataFrame):
-    return (pdf.iloc[part] for part in text_batches(pdf["text"].tolist()))
-
-
 def _need(n: np.ndarray | int, pct: int):
     """Least overlap that a set of ``n`` shares with any partner."""
     return -(-n * pct // 100)
@@ -118,25 +115,24 @@ def _suffix_close(n1, h1, n2, h2, pct: int):
 
 def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
     """One row per document: class key, set size, prefix in order, parities."""
-    def f(batches):
+    def make(texts):
         freq = sketch.value
-        for pdf in (part for whole in batches for part in _frames(whole)):
-            keys, sizes, prefixes, parities = [], [], [], []
-            for s in shingle_sets(pdf["text"].tolist(), n):
-                sizes.append(len(s))
-                if not len(s):
-                    keys.append(None), prefixes.append(None), parities.append(None)
-                    continue
-                order = np.lexsort((s, freq[(s >> np.uint64(20)).astype(np.int64) % SKETCH_BUCKETS]))
-                keys.append(_class_key(s))
-                prefixes.append(s[order[: len(s) - _need(len(s), pct) + 1]].view(np.int64))
-                parities.append(_parities(s))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "cls": keys, "n": sizes,
-                                "prefix": prefixes, "parity": parities})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k", "text").mapInPandas(
-        f, f"doc_id {kind}, k bigint, cls binary, n bigint, prefix array<bigint>, parity array<bigint>")
+        out = {"cls": [], "n": [], "prefix": [], "parity": []}
+        for s in shingle_sets(texts, n):
+            out["n"].append(len(s))
+            if not len(s):
+                for name in ("cls", "prefix", "parity"):
+                    out[name].append(None)
+                continue
+            order = np.lexsort((s, freq[(s >> np.uint64(20)).astype(np.int64) % SKETCH_BUCKETS]))
+            out["cls"].append(_class_key(s))
+            out["prefix"].append(s[order[: len(s) - _need(len(s), pct) + 1]].view(np.int64))
+            out["parity"].append(_parities(s))
+        return out
+
+    return map_texts(docs, ["doc_id", "k"], [
+        StructField("cls", BinaryType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
+        StructField("parity", ArrayType(LongType()))], make)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

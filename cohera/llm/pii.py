@@ -25,9 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from cohera.llm.common import materialise
+from cohera.llm.common import map_texts, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -263,7 +263,6 @@ def fit(docs: DataFrame, sample_docs: int = 3000):
 
 
 SPAN = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
-_CHUNK = 256
 
 
 def find(docs: DataFrame, model, threshold: float = 0.9) -> DataFrame:
@@ -271,16 +270,11 @@ def find(docs: DataFrame, model, threshold: float = 0.9) -> DataFrame:
     def rows(spans):
         return [{"kind": KINDS[k], "start": s, "end": e} for s, e, k in spans]
 
-    def f(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            found = [x for a in range(0, len(texts), _CHUNK) for x in all_spans(texts[a: a + _CHUNK], model, threshold)]
-            pdf = pdf[["doc_id", "text"]].copy()
-            pdf["base"], pdf["added"] = [rows(b) for b, _ in found], [rows(a) for _, a in found]
-            yield pdf
+    def make(texts):
+        found = all_spans(texts, model, threshold)
+        return {"base": [rows(b) for b, _ in found], "added": [rows(a) for _, a in found]}
 
-    some = docs.select("doc_id", "text")
-    return some.mapInPandas(f, StructType(some.schema.fields + [StructField("base", SPAN), StructField("added", SPAN)]))
+    return map_texts(docs, ["doc_id", "text"], [StructField("base", SPAN), StructField("added", SPAN)], make)
 
 
 def digests(docs: DataFrame, model, threshold: float = 0.9) -> DataFrame:
@@ -288,46 +282,35 @@ def digests(docs: DataFrame, model, threshold: float = 0.9) -> DataFrame:
     def told(spans):
         return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
-    def f(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            found = [x for a in range(0, len(texts), _CHUNK) for x in all_spans(texts[a: a + _CHUNK], model, threshold)]
-            out = {"doc_id": pdf["doc_id"]}
-            for k, name in enumerate(KINDS):
-                out[f"n_{name}"] = [sum(x[2] == k for x in b) for b, _ in found]
-            out["base_sha256"] = [hashlib.sha256(told(b).encode()).hexdigest() for b, _ in found]
-            out["spans"] = [told(b + a) for b, a in found]
-            out["n_added"] = [len(a) for _, a in found]
-            yield pd.DataFrame(out)
-
-    some = docs.select("doc_id", "text")
-    kind = some.schema["doc_id"].dataType.simpleString()
-    return some.mapInPandas(f, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-                               "base_sha256 string, spans string, n_added bigint")
+    def make(texts):
+        found = all_spans(texts, model, threshold)
+        out = {f"n_{name}": [sum(x[2] == k for x in b) for b, _ in found] for k, name in enumerate(KINDS)}
+        out["base_sha256"] = [hashlib.sha256(told(b).encode()).hexdigest() for b, _ in found]
+        out["spans"] = [told(b + a) for b, a in found]
+        out["n_added"] = [len(a) for _, a in found]
+        return out
+
+    fields = [StructField(f"n_{name}", LongType()) for name in KINDS]
+    fields += [StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_added", LongType())]
+    return map_texts(docs, ["doc_id"], fields, make)
 
 
 def redact(docs: DataFrame, model, threshold: float = 0.9) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; ``n_chars``,
     where it exists, is the new length.  All rows and columns stay."""
-    schema = docs.schema
-
-    def f(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            out = []
-            for a in range(0, len(texts), _CHUNK):
-                for t, (b, more) in zip(texts[a: a + _CHUNK], all_spans(texts[a: a + _CHUNK], model, threshold)):
-                    parts, at = [], 0
-                    for s, e, k in sorted(b + more):
-                        if e <= at:
-                            continue
-                        if s >= at:
-                            parts += [t[at:s], f"[{KINDS[k]}]"]
-                        at = e
-                    out.append("".join([*parts, t[at:]]) if parts else t)
-            pdf["text"] = out
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [None if t is None else len(t) for t in out]
-            yield pdf
-
-    return docs.mapInPandas(f, schema)
+    names = [c for c in ("text", "n_chars") if c in docs.columns]
+
+    def make(texts):
+        out = []
+        for t, (b, more) in zip(texts, all_spans(texts, model, threshold)):
+            parts, at = [], 0
+            for s, e, k in sorted(b + more):
+                if s >= at:
+                    parts += [t[at:s], f"[{KINDS[k]}]"]
+                at = max(at, e)
+            out.append("".join([*parts, t[at:]]) if parts else t)
+        return {"text": out, "n_chars": [None if t is None else len(t) for t in out]}
+
+    new = map_texts(docs.withColumnRenamed("text", "__text"), [c for c in docs.columns if c not in names],
+                    [docs.schema[c] for c in names], make, "__text")
+    return new.select(*docs.columns)

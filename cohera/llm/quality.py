@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from cohera.llm.common import materialise, text_batches, word_batch
+from cohera.llm.common import map_texts, materialise, text_batches, word_batch
 from cohera.llm.toxicity import labelled_rows
 
 WORD_BITS = 14
@@ -158,16 +158,5 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     keep = [c for c in docs.columns if c != "score"]
 
-    def f(batches):
-        m = shared.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            out = np.empty(len(texts))
-            for part in text_batches(texts):
-                out[part] = _sigmoid(m.margin(*features(texts[part])))
-            pdf = pdf[keep].copy()
-            pdf["score"] = out
-            yield pdf
-
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("score", DoubleType())])
-    return docs.select(*keep).mapInPandas(f, schema)
+    return map_texts(docs, keep, [StructField("score", DoubleType())],
+                     lambda texts: {"score": _sigmoid(shared.value.margin(*features(texts)))})

@@ -23,7 +23,9 @@ from collections.abc import Iterable
 
 import ahocorasick
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
+
+from cohera.llm.common import map_texts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -117,11 +119,8 @@ def count_tokens(docs: DataFrame, vocabulary, byte_fallback: bool = True) -> Dat
     read, or a tuple of ``(piece, score)``."""
     keep = [c for c in docs.columns if c != "n_tokens"]
 
-    def f(batches):
+    def make(texts):
         counter = _counter(vocabulary, byte_fallback)
-        for pdf in batches:
-            pdf = pdf[keep].copy()
-            pdf["n_tokens"] = [counter.count(t) for t in pdf["text"]]
-            yield pdf
+        return {"n_tokens": [counter.count(t) for t in texts]}
 
-    return docs.select(*keep).mapInPandas(f, StructType([docs.schema[c] for c in keep] + [StructField("n_tokens", LongType())]))
+    return map_texts(docs, keep, [StructField("n_tokens", LongType())], make)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from cohera.llm.common import _BYTE, _powers, fold, materialise, mix64, text_batches, word_batch
+from cohera.llm.common import _BYTE, _powers, fold, map_texts, materialise, mix64, text_batches, word_batch
 
 BLOCK = 64
 PREFIXES = (4, 5, 6)
@@ -182,28 +182,20 @@ def score(docs: DataFrame, index: BlockMaxIndex, prior: float, k: int = 8) -> Da
     names = _EVIDENCE.names
     keep = [c for c in docs.columns if c not in names]
 
-    def f(batches):
+    def make(texts):
         ix = shared.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            out = [(prior, [], [], []) for _ in texts]
-            for part in text_batches(texts):
-                j, o = ix.find(*batch_terms(texts[part]))
-                if not len(j):
-                    continue
-                key, tf = np.unique(o * len(ix.terms) + j, return_counts=True)
-                cut = np.flatnonzero(np.diff(key // len(ix.terms))) + 1
-                for ks, n in zip(np.split(key, cut), np.split(tf, cut)):
-                    ids, sims = ix.nearest(ks % len(ix.terms), n, k)
-                    s = float((sims @ ix.y[ids] + prior) / (sims.sum() + 1))
-                    out[part.start + int(ks[0] // len(ix.terms))] = (s, ix.ids[ids].tolist(), ix.y[ids].astype(int).tolist(), sims.tolist())
-            pdf = pdf[keep].copy()
-            for i, name in enumerate(names):
-                pdf[name] = [x[i] for x in out]
-            yield pdf
-
-    schema = StructType([docs.schema[c] for c in keep] + _EVIDENCE.fields)
-    return docs.select(*keep).mapInPandas(f, schema)
+        out = [(prior, [], [], []) for _ in texts]
+        j, o = ix.find(*batch_terms(texts))
+        if len(j):
+            key, tf = np.unique(o * len(ix.terms) + j, return_counts=True)
+            cut = np.flatnonzero(np.diff(key // len(ix.terms))) + 1
+            for ks, n in zip(np.split(key, cut), np.split(tf, cut)):
+                ids, sims = ix.nearest(ks % len(ix.terms), n, k)
+                s = float((sims @ ix.y[ids] + prior) / (sims.sum() + 1))
+                out[int(ks[0] // len(ix.terms))] = (s, ix.ids[ids].tolist(), ix.y[ids].astype(int).tolist(), sims.tolist())
+        return {name: [x[i] for x in out] for i, name in enumerate(names)}
+
+    return map_texts(docs, keep, _EVIDENCE.fields, make)
 
 
 def drop_toxic(docs: DataFrame, index: BlockMaxIndex, prior: float, threshold: float = 0.7) -> DataFrame:

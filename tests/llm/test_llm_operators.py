@@ -510,6 +510,23 @@ def test_token_counts_job(spark, docs):
     assert count_tokens(empty(spark), path).count() == 0
 
 
+# ------------------------------------------------------------------ ids
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    """A null in an integer column must not turn its neighbours into floats."""
+    from cohera.llm import ngram_join, pii, quality, token_counts, toxicity
+
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b idiot", None), (None, "x", 7), (5, None, (1 << 55) + 1)], "doc_id long, text string, n_chars long").coalesce(1)
+    ix = toxicity.BlockMaxIndex(np.empty(0, np.uint64), np.empty(0), [])
+    model = pii.train(pii.Graph(["a 1.2.3.4"]))
+    outs = [toxicity.score(df, ix, 0.1), toxicity.drop_toxic(df, ix, 0.1), pii.digests(df, model), pii.redact(df, model), pii.find(df, model),
+            quality.score(df, quality.train([])), token_counts.count_tokens(df, f"{TOKENIZERS}/piece_bpe_32k.model"),
+            ngram_join.jaccard_components(df)]
+    for out in outs:
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([big, None, 5], key=str)
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages(spark, tmp_path):
