@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
+from pyspark.sql.types import ArrayType, LongType, StructField
 
 from cohera.llm.common import map_texts, materialise, mix64, text_batches, word_batch
 
@@ -93,11 +93,13 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _class_key(s: np.ndarray) -> bytes:
-    """128-bit key of a set: two independent sums of mixed members."""
+def _class_key(s: np.ndarray) -> int:
+    """64-bit key of a set, from two independent sums of mixed members."""
     a = mix64(s).sum(dtype=np.uint64)
     b = mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
-    return np.array([a, b, len(s)], dtype=np.uint64).tobytes()
+    x = mix64(np.array([a], dtype=np.uint64))
+    x ^= np.uint64(b)
+    return int(mix64(x).view(np.int64)[0])
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
         return out
 
     return map_texts(docs, ["doc_id", "k"], [
-        StructField("cls", BinaryType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
+        StructField("cls", LongType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
         StructField("parity", ArrayType(LongType()))], make)
 
 
@@ -143,7 +145,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pd.DataFrame({"cls": [_class_key(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
     some = docs.join(wanted.select("k").distinct(), "k", "left_semi").select("text")
-    return some.mapInPandas(f, "cls binary, s array<bigint>").dropDuplicates(["cls"])
+    return some.mapInPandas(f, "cls bigint, s array<bigint>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, pct: int, name: str) -> DataFrame:
@@ -204,11 +206,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
         F.min("n").alias("n"), F.min("k").alias("k"), F.min("doc_id").alias("doc_id"),
         F.min("prefix").alias("prefix"), F.min("parity").alias("parity")))
     classes = materialise(classes, "ngram-classes")
-    pre = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "tok"))
+    # only shingles that several classes publish matter: found by narrow rows first
+    pre = classes.select("cls", F.posexplode("prefix").alias("pos", "tok"))
+    shared = pre.groupBy("tok").agg(F.count("*").alias("members")).where("members > 1").select("tok")
+    pre = materialise(pre.join(shared, "tok").join(classes.select("cls", "n"), "cls"), "ngram-shared")
     # two hubs a shingle, the classes least by two orders of the class key
     h1 = F.struct("cls", "n", "pos")
     h2 = F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "pos")
-    hubs = pre.groupBy("tok").agg(F.count("*").alias("members"), F.min(h1).alias("h1"), F.min(h2).alias("h2")).where("members > 1")
+    hubs = pre.groupBy("tok").agg(F.min(h1).alias("h1"), F.min(h2).alias("h2"))
     pre = materialise(pre.join(hubs, "tok"), "ngram-prefix")
 
     def close(n1, p1, n2, p2):
