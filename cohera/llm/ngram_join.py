@@ -3,8 +3,9 @@ and suffix filters; candidates joined on prefix n-grams, each pair verified once
 
 A document's set holds its distinct n-word shingles (a shorter text: its whole
 word sequence as one shingle; a text without words: the empty set, linked with
-nothing).  Documents with equal sets form one class, and only classes are
-joined.  Shingles are ordered rare first by a count sketch of fixed size that
+nothing).  Documents with equal sets form one class (told apart by a 64-bit key of the
+set: two of n classes meet with a chance of about n^2 / 2^65), and only classes
+are joined.  Shingles are ordered rare first by a count sketch of fixed size that
 covers all documents (any fixed order gives the same links; rare first gives
 few candidates).  A class publishes the first ``n - ceil(t n) + 1`` shingles of
 that order; classes that can link share one of them.
