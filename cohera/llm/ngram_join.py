@@ -145,7 +145,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = shingle_sets(texts, n)
             yield pd.DataFrame({"cls": [_class_key(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    some = docs.join(wanted.select("k").distinct(), "k", "left_semi").select("text")
+    # the same kind of join at every size: the wanted classes grow with the documents
+    some = docs.join(wanted.select("k").distinct().hint("merge"), "k", "left_semi").select("text")
     return some.mapInPandas(f, "cls bigint, s array<bigint>").dropDuplicates(["cls"])
 
 
@@ -203,6 +204,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     base = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")).alias("k"))
     sketch = spark.sparkContext.broadcast(count_sketch(base, n))
     sig = materialise(_signatures(base, sketch, n, pct), "ngram-sig")
+    sketch.destroy()  # the written signatures no longer need it
     classes = (sig.where("cls is not null").groupBy("cls").agg(
         F.min("n").alias("n"), F.min("k").alias("k"), F.min("doc_id").alias("doc_id"),
         F.min("prefix").alias("prefix"), F.min("parity").alias("parity")))
@@ -243,11 +245,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
                    & _suffix_close(c("x.n"), c("x.parity"), c("y.n"), c("y.parity"), pct))
     cross = cross.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
     more = _verified(cross.join(star, ["a", "b"], "left_anti"), base, classes, n, pct, "ngram-cross")
-    final = comp
-    if not more.isEmpty():
-        final = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "ngram-all")
-    member = classes.select("cls", "doc_id").join(final.withColumnRenamed("node", "cls"), "cls", "left")
+    member = classes.select("cls", "doc_id").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     member = member.withColumn("root", F.coalesce("root", "cls"))
+    if not more.isEmpty():  # the late links join whole components: only their roots are walked again
+        for end in ("a", "b"):
+            more = more.join(comp.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+        over = components(more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "ngram-all")
+        member = member.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+        member = member.select("cls", "doc_id", F.coalesce("top", "root").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "component_id")
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"))
