@@ -296,6 +296,24 @@ def test_attention_lm(spark, docs):
     assert scored_corpus(empty(spark), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").count() == 0
 
 
+def test_attention_trains_on_all_texts(spark):
+    """Null ids, copies and more texts than any sample: every id is trained on,
+    and a text's copies are all on one side of the choice of lam."""
+    from cohera.llm import attention_lm as lm
+
+    texts = ["%s tail" % " ".join("w%d" % (i * 7 % 40 + j) for j in range(5 + i % 60)) for i in range(1500)]
+    df = frame(spark, texts + [texts[0], None, ""], [None if i % 50 == 0 else i for i in range(1503)])
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    model, words = lm.fit(df, path)
+    sub = lm._subwords(path)
+    assert model.seen == sum(1 + sum(len(sub.encode(" " + w)) for w in (t or "").split()) for t in texts + [texts[0], None, ""])
+    waiting = df.where(lm._waits())
+    assert 0 < waiting.count() < 1503 / 5
+    assert waiting.join(df.where(~lm._waits()), "text").count() == 0
+    got = lm.score(df, model, words, path).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def test_attention_gradients_and_windows():
     from cohera.llm import attention_lm as lm
 
