@@ -73,6 +73,11 @@ def _indexed(df: DataFrame, radius: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 15) -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity``: each document's best
     window (of equals the first) for each item that it leaks."""
+    return _leaking(docs, benchmark, similarity, radius).drop("body")
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """:func:`leaks` with ``body``, the hash of the row's text."""
     items = benchmark.select("item_id", _word_hashes(F.col("text")).alias("h")).select(
         "item_id", F.size("h").alias("n"), _shingles(F.col("h")).alias("sh")).where("n > 0")
     items = materialise(items, "bench-items")
@@ -123,11 +128,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     best = found.groupBy("body", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
     out = some.select("doc_id", "body").join(best, "body")
-    return out.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"),
+    return out.select("doc_id", "body", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"),
                       F.col("best.similarity").alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 15) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    bad = leaks(docs, benchmark, similarity, radius).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that leak no item: rows go by id and text, a null id
+    included, so another text of the same id stays."""
+    bad = _leaking(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__body"))
+    return docs.join(bad, same, "left_anti")

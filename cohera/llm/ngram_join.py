@@ -133,7 +133,7 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
             out["parity"].append(_parities(s))
         return out
 
-    return map_texts(docs, ["doc_id", "k"], [
+    return map_texts(docs, ["doc_id", "k", "body"], [
         StructField("cls", LongType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
         StructField("parity", ArrayType(LongType()))], make)
 
@@ -199,9 +199,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     Two documents link when ``100 * |A & B| >= pct * |A | B|``; ``component_id``
     is the least ``doc_id`` that links reach, the document's own included.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    base = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")).alias("k"))
+    out = _components_of_rows(docs, n, pct)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"))
+
+
+def _components_of_rows(docs: DataFrame, n: int, pct: int) -> DataFrame:
+    """``doc_id, body, n_shingles, component_id, root`` of every row: ``body`` is the
+    hash of the text, ``root`` names the component (null: no words)."""
+    spark = docs.sparkSession
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("body"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")).alias("k"))
     sketch = spark.sparkContext.broadcast(count_sketch(base, n))
     sig = materialise(_signatures(base, sketch, n, pct), "ngram-sig")
     sketch.destroy()  # the written signatures no longer need it
@@ -253,14 +260,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
         over = components(more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "ngram-all")
         member = member.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
         member = member.select("cls", "doc_id", F.coalesce("top", "root").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "component_id")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"))
+    named = member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "component_id", "root")
+    out = sig.select("doc_id", "body", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
+    return out.select("doc_id", "body", "n_shingles", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
-    """The rows of ``docs`` without further members of a component: the row of
-    the least id stays (of rows with that same id, all that the class holds
-    once); a row with a null id, or without words, stays."""
-    comp = jaccard_components(docs, n, pct).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(comp, "doc_id", "left_anti")
+    """One row of ``docs`` of each component: of its rows the one of the least id
+    (a null id after all others), then of the least text hash; of rows with
+    that same id and text, one.  A row without words stays."""
+    rows = _components_of_rows(docs, n, pct).where("root is not null").select("doc_id", "body", "root")
+    # the least of a component by partial sums, not a window: a component may be large
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "body"))
+    best = rows.groupBy("root").agg(first.alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.body").alias("__body"))
+    # of equal rows one: the least row number of each id and text that is kept or has no words
+    cols = docs.columns
+    r = materialise(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", F.xxhash64("text")), "ngram-rows")
+    same = r["doc_id"].eqNullSafe(F.col("__id")) & (r["__key"] == F.col("__body"))
+    chosen = r.join(best.hint("merge"), same, "left_semi").groupBy("doc_id", "__key").agg(F.min("__row").alias("__row")).select("__row")
+    worded = rows.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).distinct()
+    plain = r.join(worded.hint("merge"), same, "left_anti").select("__row")
+    return r.join(chosen.unionByName(plain).hint("merge"), "__row", "left_semi").select(*cols)

@@ -177,6 +177,32 @@ def test_decontaminate_is_native(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decisions_are_applied_by_row(spark):
+    """Null ids, one id with several texts and repeated rows: what leaks or is a
+    copy goes, another text of the same id stays."""
+    from cohera.llm.decontaminate import without_leaks
+    from cohera.llm.ngram_join import keep_one_of_each
+
+    r = random.Random(5)
+    item, *clean = [" ".join("v%d" % r.randrange(900) for _ in range(30)) for _ in range(6)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, clean[0]), (7, "lead " + item), (7, clean[1]), (8, clean[2]), (8, clean[2]), (None, None), (9, None)]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = without_leaks(df, bench)
+    assert got.columns == df.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([x for x in rows if item not in (x[1] or "")], key=str)
+    rows = [(None, clean[0]), (None, clean[0]), (None, clean[0] + " end"), (3, clean[1]), (3, clean[1]), (3, clean[2]), (4, clean[1]),
+            (None, clean[1]), (5, clean[3]), (6, clean[3]), (6, clean[4]), (None, None), (None, None), (9, " "), (9, " ")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = keep_one_of_each(df, 3, 80)
+    assert kept.schema == df.schema
+    kept = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    null = [x for x in kept if x[0] is None and x[1]]
+    assert len(null) == 1 and null[0][1].startswith(clean[0])
+    assert sorted((x for x in kept if x not in null), key=str) == sorted(
+        [(3, clean[1]), (3, clean[2]), (5, clean[3]), (6, clean[4]), (None, None), (None, None), (9, " "), (9, " ")], key=str)
+
+
 # ------------------------------------------------------------------ op1
 
 def test_voronoi_knn(spark):
