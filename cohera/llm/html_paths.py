@@ -5,6 +5,11 @@
    (``body>div.post>article``).  A path scores the text of its blocks, less its
    link text, by the containers that hold them directly or through headings,
    lists, quotes and tables; menus, forms, adverts and the like count nothing.
+   A class or id is noise by its whole name (``sidebar``, ``ad-box``; not
+   ``with-sidebar``).  Where no article or main outside noise has paragraphs, the
+   largest one inside and every container with most of the page's paragraph
+   text, comments aside, are no noise; comments, menus and what is hidden stay noise.  A page that yields
+   nothing is read again with tags and hiding as its only noise.
 2. Spark adds up the scores by host and path and each host elects its best path
    (the page's own best path stands in where a host has none).
 3. Every page is read again: the blocks inside the elected path are the text.
@@ -48,6 +53,10 @@ _NOISE = frozenset("ad ads advert adverts advertisement advertising adslot adbox
                    "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login "
                    "share sharing social related recommended recommendations comment comments commentlist respond reply replies "
                    "disqus pagination pager widget skip search toolbar copyright disclaimer".split())
+#: parts of a name that do not tell what it holds
+_HELPER = frozenset("area bar block box button buttons container bottom group holder inner item items left link links list outer panel right "
+                    "section slot text title top unit wrap wrapper post posts entry article site".split())
+_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
 
@@ -55,17 +64,28 @@ def _attributes(raw: str) -> dict:
     return {m.group(1).lower(): (m.group(2) or m.group(3) or m.group(4) or "") for m in _ATTR.finditer(raw)} if raw else {}
 
 
-def _noisy(tag: str, at: dict) -> bool:
-    if tag in SKIP:
-        return True
-    if not at or tag in ("html", "body", "article", "main"):
-        return False
-    if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in _NOISE_ROLE:
-        return True
-    if re.search(r"display\s*:\s*none", at.get("style", "")):
-        return True
-    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", at.get("class", "") + " " + at.get("id", "")).lower())
-    return not _NOISE.isdisjoint(words)
+def _names(at: dict) -> list[list[str]]:
+    """The words of each class and id name."""
+    return [[w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            for name in (at.get("class", "") + " " + at.get("id", "")).split()]
+
+
+def _noisy(tag: str, at: dict, by_name: bool = True) -> int:
+    """0: no noise; 1: noise unless it holds the page's text; 2: noise."""
+    hidden = at and ("hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")))
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    if hidden:
+        return 2
+    if tag in SKIP and (by_name or tag != "form"):
+        return 1 if tag == "form" else 2
+    if not at or not by_name:
+        return 0
+    names = [set(n) for n in _names(at)]
+    names = [n for n in names if not _NOISE.isdisjoint(n) and n <= _NOISE | _HELPER]
+    if names:
+        return 2 if any(not _COMMENTS.isdisjoint(n) for n in names) else 1
+    return int(at.get("role", "").lower() in _NOISE_ROLE)
 
 
 def _step(tag: str, at: dict) -> str:
@@ -77,9 +97,26 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """``(container path, block text, characters inside links)`` in page order."""
     if not page:
         return []
+    out, held = _read(page, frozenset(), True)
+    total, free = held.pop(0), held.pop(-1)
+    keep = {k for k, (x, whole) in held.items() if not whole and 2 * x > total}
+    inside = [(-x, k) for k, (x, whole) in held.items() if whole and x]
+    if inside:
+        keep.add(min(inside)[1])
+    if keep and not free:
+        out, _ = _read(page, frozenset(keep), True)
+    return out or _read(page, frozenset(), False)[0]
+
+
+def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, str, int]], dict]:
+    """The blocks, and the characters in paragraphs: key 0 of the page without comments, -1 of
+    its articles and mains outside noise, n of its n-th element that is noise or
+    (second value true) an article or main in noise.  Those in ``keep`` end noise."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, container path, inside noise
-    path, noise, buf, linked, links = "", False, [], 0, 0
+    held: dict = {0: 0, -1: 0}
+    stack: list[tuple[str, str, tuple, int]] = []  # tag, container path, noise around, paragraph 1 and article 2
+    path, noise, buf, linked, links = "", (), [], 0, 0
+    count, state = 0, 0
 
     def flush():
         nonlocal linked
@@ -90,6 +127,16 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             buf.clear()
         linked = 0
 
+    def told(n):
+        if 0 not in noise:  # 0: comments, menus or hidden
+            held[0] += n
+        if not noise:
+            held[-1] += n if state & 2 else 0
+        elif 0 not in noise:
+            for k in noise:
+                x, whole = held[k]
+                held[k] = x + n, whole
+
     at = 0
     n = len(page)
     while at < n:
@@ -99,12 +146,16 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             end = n if lt < 0 else lt + 1  # a lone < is text
             if not noise:
                 buf.append(page[at:end] if lt < 0 else page[at:lt] + "&lt;")
+            if state & 1:
+                told(len(page[at:end].strip()))
             at = end
             continue
         if lt > at and not noise:
             buf.append(page[at:lt])
             if links:
                 linked += lt - at
+        if lt > at and state & 1:
+            told(len(page[at:lt].strip()))
         at = m.end()
         if not m.group(2):
             continue
@@ -130,7 +181,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                     links = max(0, links - 1)
                 if top[0] == tag:
                     break
-            path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            path, noise, state = stack[-1][1:] if stack else ("", (), 0)
             continue
         if tag in VOID:
             if tag in ("br", "img", "wbr"):
@@ -148,7 +199,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                     links -= s[0] == "a"
                 links = max(0, links)
                 del stack[k:]
-                path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+                path, noise, state = stack[-1][1:] if stack else ("", (), 0)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in INLINE and not noise:
@@ -160,18 +211,28 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             flush()
         if tag == "a":
             links += 1
-        now = noise or _noisy(tag, attributes)
+        now, kind = noise, _noisy(tag, attributes, by_name)
+        if kind or (noise and tag in ("article", "main")):
+            count += 1
+            if kind == 2:
+                now = (*noise, 0)
+            elif count in keep:
+                now = noise if kind else ()
+            else:
+                now = (*noise, count)
+                held[count] = 0, not kind
         if tag not in MEMBER and path.rpartition(">")[2].partition(".")[0] not in ("article", "main"):  # those stay whole
             path = f"{path}>{_step(tag, attributes)}" if path else _step(tag, attributes)
         noise = now
+        state = state | (tag == "p") | 2 * (tag in ("article", "main"))
         if not m.group(3).rstrip().endswith("/"):
-            stack.append((tag, path, noise))
+            stack.append((tag, path, noise, state))
         else:
             links -= tag == "a"
-            path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            path, noise, state = stack[-1][1:] if stack else ("", (), 0)
     if not noise:
         flush()
-    return out
+    return out, held
 
 
 def path_scores(page: list[tuple[str, str, int]]) -> dict[str, float]:

@@ -480,6 +480,26 @@ def test_html_extraction(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_html_wrappers_are_no_noise(spark):
+    """Names that only speak of noise, forms around a page and articles in noise
+    keep the article; real noise goes."""
+    from cohera.llm.html_paths import blocks, extract
+
+    p = "<p>" + "some words of the article " * 8 + "</p>"
+    text = " ".join(["some words of the article"] * 8)
+    wraps = ["<div class='with-sidebar'>%s</div>", "<div class='layout no-sidebar'>%s</div>", "<section class=has-comments>%s</section>",
+             "<div class='page-search'>%s</div>", "<div id='related-content'>%s</div>", "<form action=x>%s</form>", "<div class=widget>%s</div>",
+             "<div class=with-sidebar><form><div class=search>%s</div></form></div>"]
+    noise = "<div class='sidebar'><p>about</p></div><div class=ad-box><p>buy</p></div><div id=post-comments>" + "<p>I think so too</p>" * 99 + "</div>"
+    rows = [(i * 3 + j, f"http://h{i}x{j}.example/a", w % (inner + noise)) for i, w in enumerate(wraps)
+            for j, inner in enumerate([f"<article>{p}</article>", f"<main>{p}</main>", f"<div class=text>{p}</div>"])]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r for r in out if r["text"] != text] == []
+    assert blocks("<div class=popup>only words here</div>") == [("div.popup", "only words here", 0)]  # nothing else: read again
+    assert blocks("<nav><p>menu</p></nav><div hidden><p>not shown</p></div>") == []
+    assert [b[1] for b in blocks(f"<article>{p}</article><div class=widget><article>{p * 9}</article></div>")] == [text]
+
+
 # ------------------------------------------------------------------ op7
 
 def targets_by_force(sizes):
