@@ -12,8 +12,13 @@
    nothing is read again with tags and hiding as its only noise.
 2. Spark adds up the scores by host and path and each host elects its best path
    (the page's own best path stands in where a host has none).
-3. Every page is read again: the blocks inside the elected path are the text.
-   A page without it uses its own best path.
+   The path then grows by its ancestors (an article or main is whole and does
+   not): other containers inside count as text, small ones too, unless
+   mostly links or the same on all of the host's pages; the innermost ancestor
+   with such a container is the last.
+3. Every page is read again: the blocks inside the elected path and the
+   containers that it grew by are the text.  A page without it uses its own
+   best path, grown alike.
 
 Blocks are separated by block elements; inside a block white space becomes one
 space, and blank blocks vanish.  Character references are decoded.  Hosts are
@@ -23,6 +28,7 @@ empty page has the empty text; repeated rows are extracted each.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -256,16 +262,52 @@ def _best(scores: dict[str, float]) -> str | None:
     return min(scores, key=lambda p: (-scores[p], p)) if scores else None
 
 
-def main_text(page: list[tuple[str, str, int]], elected: str | None) -> str:
-    """The blocks inside the elected path, or inside the page's best one."""
+def _owned(page: list[tuple[str, str, int]]) -> dict[str, tuple[int, int]]:
+    """Characters, and those inside links, that each container holds itself."""
+    own: dict[str, tuple[int, int]] = {}
+    for path, text, links in page:
+        n, k = own.get(path, (0, 0))
+        own[path] = n + len(text), k + links
+    return own
+
+
+def _whole(path: str) -> bool:
+    return path.rpartition(">")[2].partition(".")[0] in ("article", "main")
+
+
+def _common(a: str, b: str) -> int:
+    """Leading steps that two paths share."""
+    n = 0
+    for x, y in zip(a.split(">"), b.split(">")):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def main_text(page: list[tuple[str, str, int]], elected: str | None, level: int | None = None, same: list[str] | None = None) -> str:
+    """The blocks inside the elected path, or inside the page's best one, and of
+    the containers that share ``level`` steps with it, without those in ``same``."""
     def inside(path):
-        return [t for p, t, _ in page if p == path or p.startswith(path + ">")]
+        return [p == path or p.startswith(path + ">") for p, *_ in page]
 
     found = inside(elected) if elected else []
-    if not found:
-        own = _best(path_scores(page))
-        found = inside(own) if own is not None else []
-    return "\n".join(found)
+    own = _owned(page)
+    if not any(found):
+        elected = _best(path_scores(page))
+        if elected is None:
+            return ""
+        found, same = inside(elected), []
+        level = max((_common(p, elected) for p, (n, k) in own.items() if 2 * k > n and not (p == elected or p.startswith(elected + ">"))), default=0)
+    if _whole(elected):
+        return "\n".join(t for (_, t, _), ok in zip(page, found) if ok)
+    same = frozenset(same or ())
+
+    def joins(path):
+        n, k = own[path]
+        return 2 * k <= n and path not in same and _common(path, elected) >= max(level or 0, 1)
+
+    return "\n".join(t for (p, t, _), ok in zip(page, found) if ok or joins(p))
 
 
 def _host(url):
@@ -274,23 +316,49 @@ def _host(url):
 
 
 def elected_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path that the host's pages elect."""
+    """``host, path, level, same``: the path that the host's pages elect, how many
+    of its steps the containers share that it grows by, and those among them
+    that are the same on all pages."""
     def f(batches):
         for pdf in batches:
-            votes: dict[tuple[str, str], float] = {}
+            rows = []
             for host, page in zip(pdf["host"], pdf["html"]):
-                scores = path_scores(blocks(page))
+                page = blocks(page)
+                scores, own = path_scores(page), _owned(page)
                 top = max(scores.values(), default=0.0)
-                for path, x in scores.items():
-                    if top > 0:
-                        votes[host, path] = votes.get((host, path), 0.0) + x / top
-            if votes:
-                yield pd.DataFrame([(h, p, x) for (h, p), x in votes.items()], columns=["host", "path", "votes"])
-
-    votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(f, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.round("votes", 6)).alias("v"), "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"))
+                texts: dict[str, list[str]] = {}
+                for path, text, _ in page:
+                    texts.setdefault(path, []).append(text)
+                for path in {*scores, *own}:
+                    n, k = own.get(path, (0, 0))
+                    h = hashlib.md5("\n".join(texts[path]).encode("utf-8", "surrogatepass")).hexdigest() if path in texts else None
+                    rows.append((host, path, scores.get(path, 0.0) / top if top > 0 else 0.0, n, k, h, h, int(h is not None)))
+            if rows:
+                df = pd.DataFrame(rows, columns=["host", "path", "votes", "n", "k", "lo", "hi", "pages"])
+                held = df[df["lo"].notna()].groupby(["host", "path"], sort=False).agg(lo=("lo", "min"), hi=("hi", "max"))
+                df = df.groupby(["host", "path"], sort=False)[["votes", "n", "k", "pages"]].sum().join(held).reset_index()
+                yield df[["host", "path", "votes", "n", "k", "lo", "hi", "pages"]].astype(object).where(df.notna(), None).astype(
+                    {"votes": "float64", "n": "int64", "k": "int64", "pages": "int64"})
+
+    votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(
+        f, "host string, path string, votes double, n long, k long, lo string, hi string, pages long")
+    votes = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "n", "k", "pages")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    votes = materialise(votes, "html-votes")
+    best = votes.where("votes > 0").groupBy("host").agg(F.min(F.struct((-F.round("votes", 6)).alias("v"), "path")).alias("best"))
+    best = best.select("host", F.col("best.path").alias("best"))
+    # containers outside the elected path that are no text: they end its growth
+    other = votes.where("pages > 0").withColumn("same", (F.col("lo") == F.col("hi")) & (F.col("pages") > 1))
+    other = other.where(F.col("same") | (2 * F.col("k") > F.col("n"))).join(best, "host")
+    other = other.where((F.col("path") != F.col("best")) & ~F.col("path").startswith(F.concat("best", F.lit(">"))))
+    x, y = F.split("path", ">"), F.split("best", ">")
+    steps = F.sequence(F.lit(1), F.least(F.size(x), F.size(y)))
+    other = other.withColumn("level", F.size(F.filter(steps, lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))))
+    ends = other.groupBy("host").agg(F.max("level").alias("level"))
+    same = other.where("same").drop("level").withColumn("at", F.lit(0)).join(ends, "host").where(
+        F.size(F.filter(steps, lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))) >= F.col("level"))
+    same = same.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("same"))
+    out = best.join(ends, "host", "left").join(same, "host", "left")
+    return out.select("host", F.col("best").alias("path"), F.coalesce("level", F.lit(0)).alias("level"), "same")
 
 
 def extract(pages: DataFrame, spread: int = 64) -> DataFrame:
@@ -298,7 +366,7 @@ def extract(pages: DataFrame, spread: int = 64) -> DataFrame:
     replaced).  A host's pages are dealt to ``spread`` keys, with a copy of its
     path for each, so that no task holds a large host."""
     paths = materialise(elected_paths(pages), "html-paths")
-    paths = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"),
+    paths = paths.select(F.col("host").alias("__host"), F.struct("path", "level", "same").alias("__path"),
                          F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__salt"))
     keep = [c for c in pages.columns if c != "text"]
     salt = F.pmod(F.xxhash64("html"), F.lit(spread)).cast("int")
@@ -306,7 +374,7 @@ def extract(pages: DataFrame, spread: int = 64) -> DataFrame:
     rows = rows.join(paths, ["__host", "__salt"], "left").drop("__host", "__salt")
 
     def make(pages_and_paths):
-        return {"text": [main_text(blocks(x["html"]), x["path"]) for x in pages_and_paths]}
+        return {"text": [main_text(blocks(x["html"]), *((x["by"] or {}).get(k) for k in ("path", "level", "same"))) for x in pages_and_paths]}
 
-    rows = rows.withColumn("__both", F.struct("html", F.col("__path").alias("path")))
+    rows = rows.withColumn("__both", F.struct("html", F.col("__path").alias("by")))
     return map_texts(rows, keep, [StructField("text", StringType())], make, "__both")

@@ -500,6 +500,25 @@ def test_html_wrappers_are_no_noise(spark):
     assert [b[1] for b in blocks(f"<article>{p}</article><div class=widget><article>{p * 9}</article></div>")] == [text]
 
 
+def test_html_small_lead_and_tail_stay(spark):
+    """A lead and a closing box in small sibling containers belong to the text;
+    link lists and what all pages repeat do not."""
+    from cohera.llm.html_paths import extract
+
+    rows, want = [], {}
+    for i in range(12):
+        body, lead, tail = " ".join(f"word{i}x{j}" for j in range(300)), f"the lead of page {i}", f"closing words {i}"
+        links = "".join(f"<a href=x>link {i} {j}</a> " for j in range(9))
+        deep = f"<div class=inner><p>{body}</p></div>" if i % 2 else f"<p>{body}</p>"
+        rows.append((i, f"http://s{i % 2}.example/{i}", f"<html><body><div class=tags>{links}</div><div class=content><div class=lead><p>{lead}</p></div>"
+                     f"<div class=body>{deep}</div><div class=tail><p>{tail}</p></div><div class=box><p>Sign here</p></div></div></body></html>"))
+        want[i] = f"{lead}\n{body}\n{tail}"
+    rows.append((99, "http://one.example/", f"<div class=content><div class=lead><p>lead</p></div><div class=body><p>{want[0]}</p></div></div>"))
+    want[99] = "lead\n" + " ".join(want[0].split())
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want
+
+
 # ------------------------------------------------------------------ op7
 
 def targets_by_force(sizes):
