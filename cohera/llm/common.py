@@ -131,7 +131,7 @@ def text_batches(texts: list) -> Iterator[slice]:
 def map_texts(df: DataFrame, keep: list[str], fields: list[StructField], make: Callable[[list], dict],
               column: str = "text") -> DataFrame:
     """``df``'s columns ``keep`` and the new ``fields``: ``make`` gets slices of
-    bounded size of ``column`` and returns ``{name: values}``. The kept columns
+    bounded size of ``column`` and returns ``{name: values or Arrow array}``. The kept columns
     pass through as Arrow arrays, so no null turns an integer into a float."""
     names = [*keep, *[f.name for f in fields]]
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
@@ -143,7 +143,7 @@ def map_texts(df: DataFrame, keep: list[str], fields: list[StructField], make: C
                 made = make(values[part])
                 rows = batch.slice(part.start, part.stop - part.start)
                 arrays = [rows.column(rows.schema.get_field_index(c)) for c in keep]
-                arrays += [pa.array(made[n], type=t) for n, t in types.items()]
+                arrays += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], type=t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     columns = [*keep, *([] if column in keep else [column])]

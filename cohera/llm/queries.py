@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from cohera.llm import attention_lm, decontaminate, html_paths, mixing, pii, quality, token_counts, toxicity, voronoi_knn
+from cohera.llm import (attention_lm, byte_bpe, decontaminate, hard_negatives, html_paths, mixing, pii, quality, spelling, token_counts,
+                        toxicity, voronoi_knn)
 from cohera.llm.common import fold, table
 from cohera.llm.ngram_join import jaccard_components
 from cohera.llm.oracle_sql import ORACLE  # noqa: F401  (the driver reads both)
 
 #: public tokenizer files; every worker reads them from its own installation
 TOKENIZERS = "/opt/tokenizers"
+#: splits a text into words before the merges of the byte-level rank files (a fixed value, published with them)
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def q_op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +84,33 @@ def q_op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, pct=90)
 
 
+def q_op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives of each of five positives of every vector whose id
+    is divisible by 50; every seventh label is wrong on purpose."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def q_op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling variants among all words of the documents."""
+    return spelling.variants(spelling.vocabulary(spelling.noisy_words(table(spark, sf_dir, "documents"))))
+
+
+@F.pandas_udf(StringType())
+def _ids_sha256(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+
+
+def q_op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes that they decode to."""
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, PATTERN)
+    out = byte_bpe.decode(tokens.select("doc_id", "ids"), path, PATTERN)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _ids_sha256("ids").alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_voronoi_knn": q_op1_voronoi_knn,
     "op2_quality": q_op2_quality,
@@ -88,4 +122,7 @@ QUERIES = {
     "op8_toxicity": q_op8_toxicity,
     "op9_token_counts": q_op9_token_counts,
     "op10_ngram_join": q_op10_ngram_join,
+    "op11_hard_negatives": q_op11_hard_negatives,
+    "op12_spelling": q_op12_spelling,
+    "op13_byte_bpe": q_op13_byte_bpe,
 }
