@@ -29,6 +29,8 @@ most ``CACHE_CHARS`` characters.
 from __future__ import annotations
 
 import base64
+import hashlib
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -36,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from cohera.llm.common import map_texts
 
@@ -46,7 +48,9 @@ CACHE_CHARS = 32
 #: bytes from which a word is contracted alone
 LONG = 256
 #: most tokens that one decoding query holds (a longer text is decoded alone)
-DECODE_TOKENS = 1 << 19
+DECODE_TOKENS = 1 << 18
+#: what a worker's DuckDB may hold
+DUCKDB_MEMORY = "1GB"
 
 # each step's rows are those of the words that were contracted in it; a word's
 # last step is its result
@@ -99,55 +103,77 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": DUCKDB_MEMORY})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", dict(zip("lri", (pa.array(c, pa.int32()) for c in zip(*merges)))), "l, r, i AS id")
         self._table("vocab", {"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}, "id, hex")
-        self.known = {}
+        self.known, ids = {}, []
         for t, r in ranks.items():
             try:
-                self.known[t.decode("utf-8")] = (r,)
+                self.known[t.decode("utf-8")] = len(ids)
+                ids.append(r)
             except UnicodeDecodeError:  # part of a character: never a word
                 pass
+        self.known_ids = np.array(ids, dtype=np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remember the vocabulary alone: ``cache`` has a word's number, and
+        ``ids[ends[n]:ends[n + 1]]`` are the ids of word n."""
         self.cache = dict(self.known)
+        self.ids, self.ends = self.known_ids, np.arange(len(self.known_ids) + 1)
 
     def _table(self, name: str, columns: dict, select: str) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT {select} FROM given")
         self.con.unregister("given")
 
-    def _contract(self, words: list[bytes], query: str) -> list[list[int]]:
+    def _contract(self, words: list[bytes], query: str) -> pa.ListArray:
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         sizes = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         self.con.register("seed", pa.table({"word": word, "pos": pos, "tok": self.byte[data]}))
-        return self.con.sql(query).to_arrow_table()["ids"].to_pylist()
+        return self.con.sql(query).to_arrow_table()["ids"].combine_chunks()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words and remember them."""
+        words = sorted(words, key=len)  # long ones come last, and are forgotten first
+        raw = [w.encode() for w in words]
+        short = next((i for i, r in enumerate(raw) if len(r) > LONG), len(raw))
+        made = [self._contract(raw[:short], SHORT_WORDS)] if short else []
+        made += [self._contract([r], SHORT_WORDS if len(r) <= LONG else LONG_WORD) for r in raw[short:]]
+        self.cache.update(zip(words, range(len(self.cache), len(self.cache) + len(words))))
+        sizes = np.concatenate([m.value_lengths().to_numpy(zero_copy_only=False) for m in made])
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate([self.ids, *(m.flatten().to_numpy() for m in made)])
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The token ids of each text."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         new = list(set().union(*split) - self.cache.keys())
-        short, long = [], []
-        for w in new:
-            (long if 4 * len(w) > LONG and len(w.encode()) > LONG else short).append(w)
-        if short:
-            for w, ids in zip(short, self._contract([w.encode() for w in short], SHORT_WORDS)):
-                self.cache[w] = ids
-        for w in long:
-            self.cache[w] = self._contract([w.encode()], LONG_WORD)[0]
-        flat, ends = [], [0]
-        for words in split:
-            for ids in map(self.cache.__getitem__, words):
-                flat.extend(ids)
-            ends.append(len(flat))
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.cache[w]
-        if len(self.cache) > len(self.known) + CACHE_WORDS:
-            self.cache = dict(self.known)
+        if new:
+            self._learn(new)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        begin = self.ends[word]
+        size = self.ends[word + 1] - begin
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ends = total[np.concatenate(([0], np.cumsum(counts)))]
+        if len(self.cache) > len(self.known) + CACHE_WORDS or any(len(w) > CACHE_CHARS for w in new):
+            self._shrink()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
+    def _shrink(self) -> None:
+        """Forget the long words, or all where there are too many."""
+        while len(self.cache) > len(self.known) and len(next(reversed(self.cache))) > CACHE_CHARS:
+            self.cache.popitem()
+        if len(self.cache) > len(self.known) + CACHE_WORDS:
+            self._forget()
+        self.ends = self.ends[: len(self.cache) + 1]
+        self.ids = self.ids[: self.ends[-1]].copy()
+
     def decode(self, lists: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids."""
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -197,3 +223,20 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, binary)], names=[*keep, "decoded"])
 
     return tokens.select(*keep).mapInArrow(f, schema)
+
+
+def digests(docs: DataFrame, rank_file: str, pattern: str, column: str = "text") -> DataFrame:
+    """``docs`` without ``column``, but with ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned
+    32-bit integers) and ``decoded_sha256`` (of the bytes that the ids decode
+    to), in lowercase hex: a round trip in one pass, which keeps neither."""
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+
+    def make(texts):
+        codec = _codec(rank_file, pattern)
+        lists = codec.encode(texts)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+        return {"n_tokens": pa.array(np.diff(ends), pa.int64()),
+                "ids_sha256": [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])],
+                "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in codec.decode(lists)]}
+
+    return map_texts(docs, [c for c in docs.columns if c not in {column, *(f.name for f in fields)}], fields, make, column)

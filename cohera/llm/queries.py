@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cohera.llm import (attention_lm, byte_bpe, decontaminate, hard_negatives, html_paths, mixing, pii, quality, spelling, token_counts,
                         toxicity, voronoi_knn)
@@ -97,18 +93,10 @@ def q_op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(spelling.noisy_words(table(spark, sf_dir, "documents"))))
 
 
-@F.pandas_udf(StringType())
-def _ids_sha256(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-
-
 def q_op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes that they decode to."""
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, PATTERN)
-    out = byte_bpe.decode(tokens.select("doc_id", "ids"), path, PATTERN)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _ids_sha256("ids").alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
 
 QUERIES = {
