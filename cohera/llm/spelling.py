@@ -102,8 +102,9 @@ def one_edit_apart(words: list[str], queries: list[str], halves: np.ndarray) ->
     w, w_at, w_size = _flat(queries)
     starts = [(bisect_left(words, q[:h]), bisect_right(words, q[:h] + _LAST)) for q, h in zip(queries, halves.tolist())]
     starts = np.array(starts, dtype=np.int64).reshape(-1, 2)
-    found_q, found_x = [], []
     waiting = np.flatnonzero(starts[:, 0] < starts[:, 1])
+    whole = waiting[(x_size[starts[waiting, 0]] == halves[waiting]) & (w_size[waiting] == halves[waiting] + 1)]
+    found_q, found_x = [whole], [starts[whole, 0]]  # words that are all of a query but its last code point
     waiting = waiting[np.argsort(halves[waiting], kind="stable")]
     # a state is a query, a range of the list with a common prefix, and the
     # cells of that prefix's row beside and on the diagonal
@@ -150,8 +151,6 @@ def one_edit_apart(words: list[str], queries: list[str], halves: np.ndarray) ->
         found_q.append(q[hit]), found_x.append(lo[hit])
         keep = (np.minimum(np.minimum(left, mid), right) <= 1) & (depth <= size)
         q, lo, hi, left, mid, right = (v[keep] for v in (q, lo, hi, left, mid, right))
-    if not found_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
