@@ -44,17 +44,13 @@ def _shingles(h: Column) -> Column:
     return F.when(F.size(h) >= SHINGLE, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _fingerprints(sets: DataFrame, key: str, n: int) -> DataFrame:
-    """``(key, m, fp)``: SimHash of the array ``sh``; m is the array's length."""
-    one = sets.select(key, F.size("sh").alias("m"), F.explode("sh").alias("x"))
-    sums = [F.sum(F.when(F.expr(f"(x & {_bit(b)}) <> 0"), 1).otherwise(-1)).alias(f"s{b}") for b in range(n)]
-    agg = one.groupBy(key).agg(F.first("m").alias("m"), *sums)
-    fp = " | ".join(f"if(s{b} >= 0, {_bit(b)}, 0L)" for b in range(n))
-    return agg.select(key, "m", F.expr(fp).alias("fp"))
-
-
-def _bit(b: int) -> str:
-    return f"shiftleft(1L, {b})"
+def _fingerprint(sh: Column) -> Column:
+    """SimHash of an array of hashes, within its row: a bit is set where at least
+    half of the members have it."""
+    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda fp, b: F.when(
+        2 * F.size(F.filter(sh, lambda x: F.getbit(x, b) == 1)) >= F.size(sh),
+        fp.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).otherwise(fp))
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -105,8 +101,8 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: i
     win = materialise(win, "bench-windows")
     distinct = win.groupBy("wkey").agg(F.first("n").alias("n"), F.first("sh").alias("sh"))
     distinct = materialise(distinct, "bench-distinct")
-    wfp = _fingerprints(distinct, "wkey", BITS).join(distinct.select("wkey", "n"), "wkey")
-    ifp = _fingerprints(items, "item_id", BITS).join(items.select("item_id", "n"), "item_id")
+    wfp = distinct.select("wkey", "n", _fingerprint(F.col("sh")).alias("fp"))
+    ifp = items.select("item_id", "n", _fingerprint(F.col("sh")).alias("fp"))
     near = _indexed(wfp, radius).alias("w").join(
         _indexed(ifp, radius).alias("i"),
         (F.col("w.n") == F.col("i.n")) & (F.col("w.block") == F.col("i.block"))

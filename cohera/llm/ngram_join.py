@@ -3,8 +3,8 @@ and suffix filters; candidates joined on prefix n-grams, each pair verified once
 
 A document's set holds its distinct n-word shingles (a shorter text: its whole
 word sequence as one shingle; a text without words: the empty set, linked with
-nothing).  Documents with equal sets form one class (told apart by a 64-bit key of the
-set: two of n classes meet with a chance of about n^2 / 2^65), and only classes
+nothing).  Documents with equal sets form one class (told apart by a 128-bit key of the
+set: two of n classes meet with a chance of about n^2 / 2^129), and only classes
 are joined.  Shingles are ordered rare first by a count sketch of fixed size that
 covers all documents (any fixed order gives the same links; rare first gives
 few candidates).  A class publishes the first ``n - ceil(t n) + 1`` shingles of
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from cohera.llm.common import map_texts, materialise, mix64, text_batches, word_batch
 
@@ -94,13 +94,10 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _class_key(s: np.ndarray) -> int:
-    """64-bit key of a set, from two independent sums of mixed members."""
-    a = mix64(s).sum(dtype=np.uint64)
-    b = mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
-    x = mix64(np.array([a], dtype=np.uint64))
-    x ^= np.uint64(b)
-    return int(mix64(x).view(np.int64)[0])
+def _class_key(s: np.ndarray) -> bytes:
+    """128-bit key of a set: two independent sums of mixed members."""
+    sums = [mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)]
+    return mix64(np.array(sums, dtype=np.uint64)).astype(">u8").tobytes()
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -134,7 +131,7 @@ def _signatures(docs: DataFrame, sketch, n: int, pct: int) -> DataFrame:
         return out
 
     return map_texts(docs, ["doc_id", "k", "body"], [
-        StructField("cls", LongType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
+        StructField("cls", BinaryType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType())),
         StructField("parity", ArrayType(LongType()))], make)
 
 
@@ -147,7 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     # the same kind of join at every size: the wanted classes grow with the documents
     some = docs.join(wanted.select("k").distinct().hint("merge"), "k", "left_semi").select("text")
-    return some.mapInPandas(f, "cls bigint, s array<bigint>").dropDuplicates(["cls"])
+    return some.mapInPandas(f, "cls binary, s array<bigint>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, pct: int, name: str) -> DataFrame:

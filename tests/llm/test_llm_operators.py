@@ -322,22 +322,26 @@ def test_attention_lm(spark, docs):
     assert scored_corpus(empty(spark), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").count() == 0
 
 
-def test_attention_trains_on_all_texts(spark):
-    """Null ids, copies and more texts than any sample: every id is trained on,
-    and a text's copies are all on one side of the choice of lam."""
+def test_attention_fit(spark):
+    """Null ids, copies and more texts than a shard: the share PART of all windows
+    of the texts that do not wait is trained on, a text's copies are all on one
+    side of the choice of lam, the clusters' shares add up, and context helps."""
     from cohera.llm import attention_lm as lm
 
-    texts = ["%s tail" % " ".join("w%d" % (i * 7 % 40 + j) for j in range(5 + i % 60)) for i in range(1500)]
+    tongues = [["%s%s" % (a, b) for a in x for b in y] for x, y in (("ba be bi bo".split(), "lur lom lix".split()), ("za ze zi zo".split(), "tak tep tiq".split()))]
+    r = random.Random(8)
+    texts = [" ".join(r.choice(tongues[i % 2]) for _ in range(5 + i % 60)) for i in range(1500)]
     df = frame(spark, texts + [texts[0], None, ""], [None if i % 50 == 0 else i for i in range(1503)])
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     model, words = lm.fit(df, path)
-    sub = lm._subwords(path)
-    assert model.seen == sum(1 + sum(len(sub.encode(" " + w)) for w in (t or "").split()) for t in texts + [texts[0], None, ""])
-    waiting = df.where(lm._waits())
-    assert 0 < waiting.count() < 1503 / 5
-    assert waiting.join(df.where(~lm._waits()), "text").count() == 0
-    got = lm.score(df, model, words, path).agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    waits = {(x["doc_id"], x["text"]) for x in df.where(lm._waits()).collect()}
+    assert 0 < len(waits) < 1503 / 5
+    assert df.where(lm._waits()).join(df.where(~lm._waits()), "text").count() == 0
+    o = df.where(~lm._waits()).select(F.xxhash64("doc_id", "text").alias("o"), "text").collect()
+    assert model.seen == sum(len(range(x["o"] % lm.PART * lm.WINDOW, len((x["text"] or "").split()) + 1, lm.PART * lm.WINDOW)) for x in o)
+    assert abs(np.exp(model.share).sum() - 1) < 1e-9 and model.lam < 0.5
+    got = lm.score(df, model, words, path).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.2  # the tongue alone gives 0.3
 
 
 def test_attention_gradients_and_windows():
@@ -345,40 +349,50 @@ def test_attention_gradients_and_windows():
 
     r = np.random.default_rng(0)
     w = {k: x.astype(np.float64) for k, x in lm._initial().items()}
-    inputs, targets = r.integers(0, lm.INPUTS, (3, lm.WINDOW)), r.integers(0, lm.CLASSES, (3, lm.WINDOW))
-    valid = r.random((3, lm.WINDOW)) < 0.8
-    _, g = lm._gradients(w, inputs, targets, valid)
+    head, tail = r.integers(0, lm.INPUTS, (2, 3, lm.WINDOW))
+    at = np.flatnonzero(r.random(3 * lm.WINDOW) < 0.8)
+    targets = r.integers(0, lm.CLASSES, len(at))
+    _, g = lm._gradients(w, head, tail, at, targets)
     for k in w:
-        at = np.unravel_index(int(np.abs(g[k]).argmax()), w[k].shape)
-        keep, e = w[k][at], 1e-5
-        w[k][at] = keep + e
-        up = lm._gradients(w, inputs, targets, valid)[0]
-        w[k][at] = keep - e
-        down = lm._gradients(w, inputs, targets, valid)[0]
-        w[k][at] = keep
-        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, k
-    inputs[:, 20:] = 0  # causal: later inputs do not matter
-    assert np.allclose(lm.forward(w, inputs)[-1][:, :20], lm.forward(w, np.where(np.arange(lm.WINDOW) < 20, inputs, 7))[-1][:, :20])
+        big = np.unravel_index(int(np.abs(g[k]).argmax()), w[k].shape)
+        keep, e = w[k][big], 1e-4
+        w[k][big] = keep + e
+        up = lm._gradients(w, head, tail, at, targets)[0]
+        w[k][big] = keep - e
+        down = lm._gradients(w, head, tail, at, targets)[0]
+        w[k][big] = keep
+        assert abs((up - down) / (2 * e) - g[k][big]) < 1e-4 + 1e-3 * abs(g[k][big]), k
     w32 = {k: x.astype(np.float32) for k, x in w.items()}
-    for since in (0, lm.OVERLAP):
-        z = lm.forward(w32, inputs, since)[-1]
-        want = np.take_along_axis(z, targets[:, since:, None], axis=2)[:, :, 0]
-        assert np.allclose(lm.target_log_probs(w32, inputs, targets[:, since:], since), want, atol=1e-4)
-    streams = [r.integers(0, lm.IDS, n).astype(np.int32) for n in (1, 31, 32, 33, 56, 57, 300)]
-    _, ids, scored, place = lm.windows(streams, np.zeros(lm.IDS, np.int32))
-    assert sorted(place[scored].tolist()) == list(range(sum(map(len, streams))))
-    assert (ids[scored] == np.concatenate(streams)[place[scored]]).all()
-
-
-def test_model_is_a_distribution():
-    """Class probabilities times shares in a class add up to one."""
+    some = np.flatnonzero(np.arange(3 * lm.WINDOW) % lm.WINDOW < 20)
+    y = np.zeros(len(some), int)
+    one = lm.log_probs(w32, head, tail, some, y)
+    later = np.arange(lm.WINDOW) >= 20  # causal: later inputs do not matter
+    assert np.allclose(one, lm.log_probs(w32, np.where(later, 7, head), np.where(later, 9, tail), some, y), atol=1e-5)
+    every = np.exp([lm.log_probs(w32, head, tail, some, np.full(len(some), c)) for c in range(lm.CLASSES)]).sum(axis=0)
+    assert np.allclose(every, 1, atol=1e-4)  # a distribution over classes
+
+
+def test_attention_scores_each_token_once(monkeypatch):
+    """Every token of texts of all lengths is scored in one place, with the same
+    value as from a window that begins at the text or OVERLAP tokens before."""
     from cohera.llm import attention_lm as lm
 
-    counts = np.random.default_rng(0).zipf(1.3, lm.IDS).clip(0, 10 ** 6)
-    cls = lm.id_classes(counts, lm.CLASSES // 2, lm.CLASSES)
-    smooth = counts + 0.5
-    share = smooth / np.bincount(cls, smooth, lm.CLASSES)[cls]
-    assert set(cls) <= set(range(lm.CLASSES)) and np.allclose(np.bincount(cls, share, lm.CLASSES)[np.unique(cls)], 1)
+    sub = lm._subwords(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["ab", "cde", "f", "ghi", "1"]) for _ in range(n)) for n in (0, 1, 30, 31, 32, 33, 54, 55, 56, 57, 200)] + [None]
+    got = lm.read(texts, sub)
+    assert [int(b - a) for a, b in zip(got.cut[:-1], got.cut[1:])] == [len((t or "").split()) + 1 for t in texts]
+    calls = []
+    real = lm.log_probs
+    monkeypatch.setattr(lm, "log_probs", lambda w, h, t, at, y: calls.append(len(at)) or real(w, h, t, at, y))
+    cls = lm.id_classes(np.bincount(got.head, minlength=lm.IDS).astype(float), lm.OWN, np.zeros(lm.IDS, int))
+    inp = lm.id_classes(np.bincount(got.tail, minlength=lm.IDS).astype(float), lm.INPUTS, np.zeros(lm.IDS, int))
+    model = lm.Model(cls, inp, np.zeros(lm.CLASSES), lm._initial(), np.empty(0, np.uint64), np.empty(0, np.int64), 1, 1, 1)
+    all_ = lm.token_ratios(got, model)
+    assert sum(calls) == len(got.head) == len(all_) and (all_ < 0).all()
+    alone = np.concatenate([lm.token_ratios(lm.read([t], sub), model) for t in texts])
+    assert np.allclose(all_, alone, atol=1e-5)
+    assert len(lm.read([], sub).head) == 0
 
 
 # ------------------------------------------------------------------ op5
