@@ -924,3 +924,74 @@ UNION ALL SELECT 'DOC_ID', 'LABEL', CAST(NULL AS INTEGER)""",
 t AS (SELECT doc_id, unnest({WS(PLAIN('sentence'))}) AS word FROM sents)
 SELECT doc_id, count(*) AS n_kept FROM t WHERE NOT list_contains({STOP_SQL}, word) GROUP BY doc_id""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Other scorers: vectors of sentences, a feature of neighbours, windows (M1)
+# ---------------------------------------------------------------------------
+def WEIGHT(i: int, j: int) -> float:
+    """The bilinear example's weights, by rule."""
+    return ((31 * i + 17 * j) % 13 - 6) / 13.0
+
+
+def VECTOR_SCORES(docs: str, sides: str, bilinear: bool) -> str:
+    """``docs(doc_id, sents)`` and ``sides(id, doc_id, ord)`` (indexes into sents)
+    -> ``vs_doc(id, doc_score)``."""
+    feature = "list_sum(list_transform(range(1, 65), lambda d: p.wx[d] * q.x[d])) + 0.1" if bilinear else \
+        "CASE WHEN p.nn = 0 OR q.nn = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, 65), lambda d: p.x[d] * q.x[d])) / (p.nn * q.nn) END"
+    left = "list_transform(range(0, 64), lambda j: list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * (((31 * i + 17 * j) % 13 - 6) / 13.0))))" \
+        if bilinear else "CAST(NULL AS DOUBLE[])"
+    return f"""
+vec AS (SELECT v.word, list_transform(e.embedding, lambda y: CAST(y AS DOUBLE)) AS vec FROM vocab v JOIN embeddings e ON v.idx = e.vec_id),
+vst AS (SELECT doc_id, unnest(range(0, len(sents))) AS sent_idx, unnest(sents) AS sentence FROM {docs}),
+vtk AS (SELECT doc_id, sent_idx, unnest({WS(TAGGED('sentence'))}) AS word FROM vst),
+vcomp AS (SELECT word, unnest(range(0, 64)) AS d, unnest(vec) AS y FROM vec),
+vav AS (SELECT doc_id, sent_idx, d, avg(y) AS y FROM vtk JOIN vcomp USING (word) GROUP BY ALL),
+vsv AS (SELECT doc_id, sent_idx, list(y ORDER BY d) AS x FROM vav GROUP BY ALL),
+vall AS (SELECT t.doc_id, t.sent_idx, coalesce(v.x, list_transform(range(0, 64), lambda d: 0.0)) AS x
+         FROM vst t LEFT JOIN vsv v USING (doc_id, sent_idx)),
+vn AS (SELECT doc_id, sent_idx, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS nn, {left} AS wx FROM vall),
+vpl AS (SELECT id, doc_id, unnest(range(0, greatest(len(ord) - 1, 0))) AS i, unnest(ord[: greatest(len(ord) - 1, 0)]) AS a, unnest(ord[2:]) AS b FROM {sides}),
+vpair AS (SELECT DISTINCT doc_id, a, b FROM vpl),
+vf AS (SELECT z.doc_id, z.a, z.b, {feature} AS f FROM vpair z
+       JOIN vn p ON p.doc_id = z.doc_id AND p.sent_idx = z.a JOIN vn q ON q.doc_id = z.doc_id AND q.sent_idx = z.b),
+vo AS (SELECT l.id, l.i, vf.f, avg(vf.f) OVER (PARTITION BY l.id ORDER BY l.i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ctx,
+              lead(vf.f) OVER (PARTITION BY l.id ORDER BY l.i) AS f1
+       FROM vpl l JOIN vf ON vf.doc_id = l.doc_id AND vf.a = l.a AND vf.b = l.b),
+vg AS (SELECT id, avg(ctx) AS g FROM vo GROUP BY id),
+vs_doc AS (SELECT s.id, coalesce(sum(f + f1 + g), 0.0) AS doc_score
+           FROM {sides} s LEFT JOIN vo ON vo.id = s.id AND f1 IS NOT NULL LEFT JOIN vg ON vg.id = s.id GROUP BY s.id)
+"""
+
+
+def EVAL_VECTOR(task: str, bilinear: bool) -> str:
+    return f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK}, {SENTS}, {TOKENS}, {VOCAB('toks')},
+raw AS (SELECT doc_id, sents, list_transform(sents, lambda s: {CASED('s')}) AS ns FROM docs),
+own AS (SELECT doc_id, ns AS sents FROM raw WHERE doc_id IN (SELECT doc_id FROM pairs)),
+sides AS (
+  SELECT 'p' || doc_id AS id, doc_id, list_filter(range(0, len(sents)), lambda i: sents[i + 1] <> '') AS ord FROM own
+  UNION ALL
+  SELECT 'n' || pair_id, doc_id, {"list_reverse(list_filter(range(0, len(sents)), lambda i: sents[i + 1] <> ''))" if task == "inv" else
+                                  "list_filter(perm, lambda i: sents[i + 1] <> '')"} FROM pairs JOIN own USING (doc_id)),
+{VECTOR_SCORES('own', 'sides', bilinear)},
+j AS (SELECT n_windows, round(p.doc_score, 9) > round(n.doc_score, 9) AS win FROM pairs
+      JOIN vs_doc p ON p.id = 'p' || doc_id JOIN vs_doc n ON n.id = 'n' || pair_id)
+SELECT '{task}' AS task, n_windows, count(*) AS n_pairs, round(avg(CAST(win AS DOUBLE)), 6) AS accuracy FROM j GROUP BY ROLLUP (n_windows)"""
+
+
+def FRONT(sents: str) -> str:
+    return f"coalesce(list_sum(list_transform(range(1, len({sents}) + 1), lambda i: len({WS(f'{sents}[i]')}) / i)), 0.0)"
+
+
+ORACLE.update({
+    "m4_evaluate_vector": EVAL_VECTOR("std", False),
+    "m4_evaluate_bilinear": EVAL_VECTOR("inv", True),
+    "m4_evaluate_model": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
+j AS (SELECT n_windows, round({FRONT('pos')}, 9) > round({FRONT('neg')}, 9) AS win FROM pairs)
+SELECT 'std' AS task, n_windows, count(*) AS n_pairs, round(avg(CAST(win AS DOUBLE)), 6) AS accuracy FROM j GROUP BY ROLLUP (n_windows)""",
+    "m2_bilinear_scores": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')},
+sides AS (SELECT doc_id AS id, doc_id, range(0, len(sents)) AS ord FROM docs), {VECTOR_SCORES('docs', 'sides', True)}
+SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_sents, round(doc_score, 5) AS doc_score FROM docs JOIN vs_doc ON id = doc_id""",
+    "st2_stream_scores_model": f"""WITH {DOCS}
+SELECT doc_id, round({FRONT('sents')}, 6) AS doc_score, CAST(len(sents) AS INTEGER) AS n_sents FROM docs""",
+})

@@ -1017,3 +1017,56 @@ QUERIES.update({
     "s1_read_reviews_header_as_data": q_s1_read_reviews_header_as_data,
     "f6_remove_stopwords_long": q_f6_remove_stopwords_long,
 })
+
+
+# ---------------------------------------------------------------------------
+# Other scorers in evaluation, on documents and on a stream (M1, M2, M4, ST2)
+# ---------------------------------------------------------------------------
+from cohera.operators.scorers import BatchScorer, VectorScorer, document_scores, front_loading_model  # noqa: E402
+from cohera.plans.oracle_sql import WEIGHT  # noqa: E402
+
+
+def _pretrained(spark, sf_dir):
+    """Vectors of the commonest words: ``embeddings`` by vocabulary index."""
+    return materialise(_vectors(spark, sf_dir, q_a2_build_vocab(spark, sf_dir)), "pretrained")
+
+
+def _bilinear_scorer(spark, sf_dir):
+    return VectorScorer(_pretrained(spark, sf_dir), 64, weight=[[WEIGHT(i, j) for j in range(64)] for i in range(64)], bias=0.1)
+
+
+def _evaluated(spark, sf_dir, task, scorer):
+    r = evaluate_corpus(C.corpus(spark, sf_dir), task, scorer=scorer)
+    return r.select("task", "n_windows", "n_pairs", _r6("accuracy").alias("accuracy"))
+
+
+def q_m4_evaluate_vector(spark, sf_dir):
+    return _evaluated(spark, sf_dir, "std", VectorScorer(_pretrained(spark, sf_dir), 64))
+
+
+def q_m4_evaluate_bilinear(spark, sf_dir):
+    return _evaluated(spark, sf_dir, "inv", _bilinear_scorer(spark, sf_dir))
+
+
+def q_m4_evaluate_model(spark, sf_dir):
+    return _evaluated(spark, sf_dir, "std", BatchScorer(front_loading_model))
+
+
+def q_m2_bilinear_scores(spark, sf_dir):
+    r = document_scores(C.corpus(spark, sf_dir), _bilinear_scorer(spark, sf_dir))
+    return r.select("doc_id", "n_sents", F.round("doc_score", 5).alias("doc_score"))
+
+
+def q_st2_stream_scores_model(spark, sf_dir):
+    src = _stage(C.corpus(spark, sf_dir), spark, "st2m-in")
+    sink, ck = scratch_path(spark, "st2m-out"), scratch_path(spark, "st2m-ck")
+    stream = ST.file_stream(spark, src, "doc_id string, sents array<string>")
+    ST.stream_scores(stream, sink, ck, scorer=BatchScorer(front_loading_model))
+    return spark.read.parquet(sink).select("doc_id", _r6("doc_score").alias("doc_score"), "n_sents")
+
+
+QUERIES.update({
+    "m4_evaluate_vector": q_m4_evaluate_vector, "m4_evaluate_bilinear": q_m4_evaluate_bilinear,
+    "m4_evaluate_model": q_m4_evaluate_model, "m2_bilinear_scores": q_m2_bilinear_scores,
+    "st2_stream_scores_model": q_st2_stream_scores_model,
+})

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cohera.operators.keywords import transform_keywords
 from cohera.operators.score import coherence_scores, document_score_expr, pair_scores
+from cohera.operators.scorers import document_scores
 
 
 def _run(writer, available_now: bool = True):
@@ -41,10 +42,22 @@ def stream_keywords(stream: DataFrame, idf: DataFrame, key: str, text: str, sink
 
 
 def stream_scores(stream: DataFrame, sink: str, checkpoint: str, key: str = "doc_id",
-                  sents: str = "sents", available_now: bool = True):
-    """ST2: document score of every arriving document (append mode)."""
-    out = stream.select(key, document_score_expr(coherence_scores(F.col(sents))).alias("doc_score"),
-                        F.size(sents).alias("n_sents"))
+                  sents: str = "sents", available_now: bool = True, scorer=None):
+    """ST2: document score of every arriving document.
+
+    The default and a scorer that keeps to the row (column form, batch model)
+    stream in append mode; one that joins or groups runs each micro-batch in
+    its own folder ``batch_id=<n>``, which a replay overwrites."""
+    if scorer is None:
+        out = stream.select(key, document_score_expr(coherence_scores(F.col(sents))).alias("doc_score"),
+                            F.size(sents).alias("n_sents"))
+    else:
+        docs = stream.select(F.col(key).alias("doc_id"), F.col(sents).alias("sents"))
+        if not scorer.stateless:
+            def batch(df, epoch_id):
+                document_scores(df, scorer).withColumnRenamed("doc_id", key).write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
+            return _run(docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), available_now)
+        out = document_scores(docs, scorer).withColumnRenamed("doc_id", key)
     w = out.writeStream.format("parquet").outputMode("append").option("path", sink) \
         .option("checkpointLocation", checkpoint)
     return _run(w, available_now)
