@@ -54,9 +54,19 @@ def sample_fraction(df: DataFrame, frac: float, seed: int, key: str,
             acc += c
         if bucket <= bucket_rows:
             break
-    cut = (hs.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
-             .agg(F.max("_h").alias("c")).first()["c"])
-    return df.filter(h <= F.lit(cut))
+    bucket = hs.filter(F.col("_h").startswith(prefix))
+    cut = bucket.orderBy("_h").limit(need).agg(F.max("_h").alias("c")).first()["c"]
+    less, equal = bucket.agg(F.count_if(F.col("_h") < cut), F.count_if(F.col("_h") == cut)).first()
+    if less + equal == need:
+        return df.filter(h <= F.lit(cut))
+    # rows that share the key at the cut: as many as are missing, by a hash of the whole row
+    return df.filter(h < F.lit(cut)).unionByName(_first_rows(df.filter(h == F.lit(cut)), need - less, seed)[0])
+
+
+def _first_rows(df: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``n`` rows of ``df`` by a hash of the row and a running number, and the others."""
+    ranked, _ = dense_index(df.withColumn("_rh", F.xxhash64(F.lit(seed), F.struct(*df.columns))), ["_rh"], "_rn")
+    return ranked.filter(F.col("_rn") < n).select(df.columns), ranked.filter(F.col("_rn") >= n).select(df.columns)
 
 
 def train_test_split(df: DataFrame, ratio: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
@@ -88,17 +98,29 @@ def stratified_split(df: DataFrame, ratio: float, seed: int, key: str, label: st
 
 
 def first_n_cutoff(df: DataFrame, key: str, n: int):
-    """The n-th smallest ``key`` value (distributed top-k, one scalar back)."""
-    r = df.select(F.col(key)).orderBy(key).limit(n).agg(F.max(key).alias("c")).first()
-    return r["c"]
+    """The n-th smallest ``key`` value (the greatest, if fewer), and how many
+    smaller ones there are where the next row has that value too, else null.
+    A distributed top-k of n + 1 values; one row back."""
+    top = df.select(F.col(key).alias("k")).filter("k is not null").orderBy("k").limit(n + 1)
+    a = top.agg(F.sort_array(F.collect_list("k")).alias("a")).select("a", F.get("a", F.least(F.size("a"), F.lit(n)) - 1).alias("cut"))
+    tied = F.get("a", F.lit(n)) == F.col("cut")
+    r = a.select("cut", F.when(tied, F.size(F.filter("a", lambda x: x < F.col("cut")))).alias("less")).first()
+    return r["cut"], r["less"]
 
 
 def first_n_split(df: DataFrame, key: str = "doc_id", n: int = 121) -> DataFrame:
-    """The first ``n`` documents by name are train, the rest test."""
-    cut = first_n_cutoff(df, key, n)
+    """The first ``n`` documents by name are train, the rest (those without a
+    name too) test. Of rows that share the name at the cut, as many as are
+    missing are train, by a hash of the row."""
+    cut, less = first_n_cutoff(df, key, n)
     if cut is None:
-        return df.withColumn("split", F.lit("train"))
-    return df.withColumn("split", F.when(F.col(key) <= F.lit(cut), "train").otherwise("test"))
+        return df.withColumn("split", F.lit("test"))
+    by_name = df.withColumn("split", F.when(F.col(key) <= F.lit(cut), "train").otherwise("test"))
+    if less is None:
+        return by_name
+    first, rest = _first_rows(df.filter(F.col(key) == F.lit(cut)), n - less, 0)
+    return by_name.filter(~F.col(key).eqNullSafe(F.lit(cut))).unionByName(
+        first.withColumn("split", F.lit("train"))).unionByName(rest.withColumn("split", F.lit("test")))
 
 
 def section_split(df: DataFrame, section: str = "section", cut: int = 13) -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from cohera.operators.sampling import dense_index
+from cohera.session import materialise
 
 # Special tokens appended after the counted words (fixed values, in order).
 VOCAB_SPECIALS = ["<unk>", "<pad>"]
@@ -99,6 +100,61 @@ def encode(tokens: DataFrame, vocab: DataFrame, oov: str = "unk",
     raise ValueError(oov)
 
 
+def encode_docs(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", oov: str = "unk",
+                unk: str = "<unk>", commonest: int = 4096) -> DataFrame:
+    """J3 without moving tokens: ``docs`` with ``ids`` (``ARRAY<ARRAY<LONG>>``) for
+    ``tokens`` (``ARRAY<ARRAY<STRING>>``), other columns unchanged.
+
+    What is joined is one row a document and distinct word. The ``commonest``
+    words -- ids count down from the most frequent, so their number bounds the
+    broadcast -- meet a broadcast table and are never shuffled by word; only the
+    others are, and none of them is hot. The words and ids of a document come
+    back to its row, and an Arrow batch looks its words up in one hash table. A
+    null array has null ids, an unknown or null word the id of ``unk``
+    (``oov='unk'``) or raises (``oov='error'``)."""
+    if oov not in ("unk", "error"):
+        raise ValueError(oov)
+    unk_id = vocab.filter(F.col("word") == unk).select("idx").first()
+    if unk_id is None and oov == "unk":
+        raise ValueError(f"vocabulary has no {unk!r}")
+    # read three times: written once, so nothing is tokenised again
+    rows = materialise(docs.withColumn("_row", F.xxhash64("doc_id", tokens)), "encode-rows")
+    words = rows.select("_row", F.explode(F.array_distinct(F.flatten(tokens))).alias("word")).filter("word is not null")
+    v = vocab.select("word", "idx")
+    top = F.broadcast(v.filter(F.col("idx") < commonest))
+    rare = words.join(top.select("word"), "word", "left_anti").join(v.filter(F.col("idx") >= commonest), "word")
+    found = words.join(top, "word").unionByName(rare)
+    own = found.groupBy("_row").agg(F.collect_set(F.struct("word", "idx")).alias("_d"))
+    own = own.select("_row", F.col("_d.word").alias("_words"), F.col("_d.idx").alias("_idxs"))
+    keep = [f for f in docs.schema.fields if f.name != "ids"]
+    schema = StructType([*keep, StructField("ids", ArrayType(ArrayType(LongType())))])
+    miss = unk_id[0] if unk_id and oov == "unk" else None
+
+    def look_up(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lists(like, values):
+            return pa.ListArray.from_arrays(like.offsets, values, mask=like.is_null() if like.null_count else None)
+
+        for batch in batches:
+            get = dict(zip(batch.schema.names, batch.columns))
+            known = pa.table({"w": get["_words"].flatten(), "i": get["_idxs"].flatten()}).group_by("w").aggregate([("i", "min")])
+            sents = get[tokens]
+            sents = sents if sents.offset == 0 else pa.concat_arrays([sents])
+            words = sents.values
+            flat = words.values
+            at = pc.index_in(flat, value_set=known["w"].combine_chunks())
+            if miss is None and at.null_count:
+                raise ValueError(f"word not in vocabulary: {flat.filter(at.is_null())[0]}")
+            ids = known["i_min"].combine_chunks().take(at).cast(pa.int64())
+            ids = ids.fill_null(miss) if miss is not None else ids
+            yield pa.RecordBatch.from_arrays([*(get[f.name] for f in keep), lists(sents, lists(words, ids))], [*(f.name for f in keep), "ids"])
+
+    rows = rows.join(own, "_row", "left").select(*[f.name for f in keep], "_words", "_idxs")
+    return rows.mapInArrow(look_up, schema)
+
+
 def regroup(long: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """Ordered regroup after explode/join: ``collect_list(struct(order, value))``
     sorted, then the values (``collect_list`` alone is unordered)."""

@@ -182,25 +182,29 @@ from cohera.session import materialise, scratch_path  # noqa: E402
 SEED = 42
 
 
-def _tagged_tokens(spark, sf_dir, docs=None):
-    """Long token table of the tagged-normalised corpus."""
+def _tagged_docs(spark, sf_dir, docs=None):
+    """Documents with the words of their tagged-normalised sentences."""
     d = docs if docs is not None else C.corpus(spark, sf_dir)
-    t = d.select("doc_id", F.transform("sents", lambda s: tokenize(normalize(s, "tagged"))).alias("tokens"))
-    return VO.token_table(t, "tokens")
+    return d.select("doc_id", F.transform("sents", lambda s: tokenize(normalize(s, "tagged"))).alias("tokens"))
+
+
+def _tagged_tokens(spark, sf_dir):
+    """Long token table of the tagged-normalised corpus."""
+    return VO.token_table(_tagged_docs(spark, sf_dir), "tokens")
 
 
-def _counts(tokens):
-    return TX.word_count(tokens.select("word"), "word")
+def _counts(docs):
+    return TX.word_count(docs.select(F.explode(F.flatten("tokens")).alias("word")), "word")
 
 
 def q_a2_build_vocab(spark, sf_dir):
-    return VO.build_vocab(_counts(_tagged_tokens(spark, sf_dir)))
+    return VO.build_vocab(_counts(_tagged_docs(spark, sf_dir)))
 
 
 def _en_vocab(spark, sf_dir):
     # the language filter reaches the Parquet scan (pushed filter), no join
     en = CO.corpus_from_documents(C.load(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
-    return VO.build_vocab(_counts(_tagged_tokens(spark, sf_dir, en)))
+    return VO.build_vocab(_counts(_tagged_docs(spark, sf_dir, en)))
 
 
 def q_a3_extend_vocab(spark, sf_dir):
@@ -208,8 +212,8 @@ def q_a3_extend_vocab(spark, sf_dir):
 
 
 def q_j3_encode(spark, sf_dir):
-    enc = VO.encode(_tagged_tokens(spark, sf_dir), _en_vocab(spark, sf_dir), oov="unk")
-    r = VO.regroup(enc, ["doc_id", "sent_idx"], "tok_idx", "idx", "ids")
+    enc = VO.encode_docs(_tagged_docs(spark, sf_dir), _en_vocab(spark, sf_dir), oov="unk")
+    r = enc.select("doc_id", F.posexplode("ids").alias("sent_idx", "ids")).filter(F.size("ids") > 0)
     return r.select("doc_id", "sent_idx", _ints("ids").alias("ids"))
 
 
@@ -752,7 +756,7 @@ def q_a10_embedding_coverage(spark, sf_dir):
 def q_a11_bidirectional_nll(spark, sf_dir):
     v = VO.lm_vocab(q_a2_build_vocab(spark, sf_dir))
     n_v = v.count()
-    enc = VO.encode(_tagged_tokens(spark, sf_dir), v, oov="unk")
+    enc = VO.encode_docs(_tagged_docs(spark, sf_dir), v, oov="unk").select("doc_id", "ids")
     r = VE.bidirectional_nll(enc, n_v, _special(v, "<bos>"), _special(v, "<eos>"))
     return r.select("doc_id", _r6("nll_forward").alias("nll_forward"), _r6("nll_backward").alias("nll_backward"),
                     _r6("lm_loss").alias("lm_loss"))
