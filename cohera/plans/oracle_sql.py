@@ -995,3 +995,28 @@ SELECT doc_id, CAST(len(sents) AS INTEGER) AS n_sents, round(doc_score, 5) AS do
     "st2_stream_scores_model": f"""WITH {DOCS}
 SELECT doc_id, round({FRONT('sents')}, 6) AS doc_score, CAST(len(sents) AS INTEGER) AS n_sents FROM docs""",
 })
+
+
+_REQUESTS = f"""{REVIEWS}, req AS (SELECT *, CAST(DOC_ID AS BIGINT) % 10 = 3 AS bad FROM reviews WHERE {HU} < 0.2)"""
+ORACLE.update({
+    "s8_stream_request_log": f"""WITH {_REQUESTS}
+SELECT DOC_ID AS username, CASE WHEN NOT bad THEN CAST(CAST(DOC_ID AS BIGINT) % 200 + 50 AS INTEGER) END AS max_len,
+       CAST(CAST(DOC_ID AS BIGINT) % 3 + 1 AS INTEGER) AS n_sequences, '2021-11-30 10:00:00' AS ts, CAST(bad AS INTEGER) AS malformed
+FROM req""",
+    "st1_stream_prompts": f"""WITH {REVIEWS},
+train AS (SELECT * FROM reviews WHERE {HU} >= 0.2),
+test AS (SELECT * FROM reviews WHERE {HU} < 0.2),
+{TFIDF_ON('test', 'train')}, {TOPK.replace('{src}', 'test')}
+SELECT r.DOC_ID AS username, CAST(CAST(r.DOC_ID AS BIGINT) % 10 = 3 AS INTEGER) AS malformed,
+       CASE WHEN CAST(r.DOC_ID AS BIGINT) % 10 <> 3
+            THEN '[BOS]' || coalesce(r.PRODUCT_TITLE, '') || '[SEP]' || coalesce(k.keywords, '') || '[SEP]' END AS prompt
+FROM test r LEFT JOIN kw k USING (DOC_ID)""",
+    "st3_stream_accuracy_windows": f"""WITH RECURSIVE {P8_CTES()}, {PAIRS_OK},
+{SCORE_CTES('pairs', 'pair_id', 'pos', 'ps')}, {SCORE_CTES('pairs', 'pair_id', 'neg', 'ns')},
+j AS (SELECT p.n_windows, CAST(p.doc_id AS BIGINT) AS id, round(ps_doc.doc_score, 9) > round(ns_doc.doc_score, 9) AS win
+      FROM pairs p JOIN ps_doc USING (pair_id) JOIN ns_doc USING (pair_id))
+SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(CAST((id % 360) // 60 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start,
+       CAST(n_windows AS INTEGER) AS n_windows, count(*) AS n_pairs, CAST(sum(CAST(win AS BIGINT)) AS BIGINT) AS n_correct,
+       round(sum(CAST(win AS BIGINT)) / count(*), 6) AS accuracy
+FROM j WHERE NOT (id % 360 < 60 AND id % 11 = 0) GROUP BY ALL""",
+})

@@ -1074,3 +1074,64 @@ QUERIES.update({
     "m4_evaluate_model": q_m4_evaluate_model, "m2_bilinear_scores": q_m2_bilinear_scores,
     "st2_stream_scores_model": q_st2_stream_scores_model,
 })
+
+
+# ---------------------------------------------------------------------------
+# Request-log stream, keyword prompts for it, accuracy in event time (S8, ST1, ST3)
+# ---------------------------------------------------------------------------
+def _stage_request_log(spark, sf_dir):
+    """A request log over the test reviews; every tenth has no number of tokens."""
+    _, test = SM.train_test_split(C.reviews(spark, sf_dir), 0.2, SEED, "DOC_ID")
+    did = F.col("DOC_ID").cast("long")
+    log = test.select(
+        F.col("PRODUCT_TITLE").alias("product_title"), F.col("REVIEW_TEXT").alias("review_text"),
+        F.when(did % 10 == 3, "many").otherwise((did % 200 + 50).cast("string")).alias("max_len"),
+        (did % 3 + 1).cast("int").alias("n_sequences"), F.lit("").alias("output"), F.lit("").alias("flag"),
+        F.col("DOC_ID").alias("username"), F.lit("2021-11-30 10:00:00").alias("ts"))
+    path = scratch_path(spark, "reqstream")
+    (log.write.option("header", True).option("quote", "'").option("escape", "'").option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def q_s8_stream_request_log(spark, sf_dir):
+    """The stream's rows, with the malformed lines told apart."""
+    sink, ck = scratch_path(spark, "reqstream-out"), scratch_path(spark, "reqstream-ck")
+    log = FS.stream_request_log(spark, _stage_request_log(spark, sf_dir))
+    ST.append_parquet(log, sink, ck)
+    return spark.read.parquet(sink).select("username", "max_len", "n_sequences", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                                           F.col("malformed").isNotNull().cast("int").alias("malformed"))
+
+
+def q_st1_stream_prompts(spark, sf_dir):
+    train, _ = SM.train_test_split(_reviews_text(spark, sf_dir), 0.2, SEED, "DOC_ID")
+    idf = materialise(KW.fit_tfidf(train, "DOC_ID", "REVIEW_TEXT"), "st1p-idf")
+    sink, ck = scratch_path(spark, "st1p-out"), scratch_path(spark, "st1p-ck")
+    ST.stream_prompts(FS.stream_request_log(spark, _stage_request_log(spark, sf_dir)), idf, sink, ck, 10)
+    bad = spark.read.parquet(f"{sink}/malformed").select("username", F.lit(None).cast("string").alias("prompt"), F.lit(1).alias("malformed"))
+    return spark.read.parquet(f"{sink}/prompts").select("username", "prompt", F.lit(0).alias("malformed")).unionByName(bad)
+
+
+def q_st3_stream_accuracy_windows(spark, sf_dir):
+    """Pairs of six hours (minute = id mod 360) arrive hour by hour; those of
+    the first hour with an id divisible by 11 arrive with the last one, too late."""
+    minute = F.col("doc_id").cast("long") % 360
+    late = (minute < 60) & (F.col("doc_id").cast("long") % 11 == 0)
+    p = _pairs(spark, sf_dir).select(
+        "pair_id", "n_windows", "pos", "neg", F.timestamp_seconds(F.lit(1704067200) + minute * 60).alias("ts"),
+        F.when(late, 5).otherwise(F.floor(minute / 60)).cast("int").alias("hour"))
+    p = materialise(p, "st3w-pairs")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src, sink, ck = (scratch_path(spark, t) for t in ("st3w-in", "st3w-out", "st3w-ck"))
+    for hour in range(6):
+        p.where(F.col("hour") == hour).drop("hour").repartition(files).write.mode("append").parquet(src)
+    stream = ST.file_stream(spark, src, "pair_id string, n_windows int, pos array<string>, neg array<string>, ts timestamp", files)
+    ST.stream_window_accuracy(stream, sink, ck, "ts")
+    return ST.latest_windows(spark, sink).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_windows",
+                                                 "n_pairs", "n_correct", _r6("accuracy").alias("accuracy"))
+
+
+QUERIES.update({
+    "s8_stream_request_log": q_s8_stream_request_log, "st1_stream_prompts": q_st1_stream_prompts,
+    "st3_stream_accuracy_windows": q_st3_stream_accuracy_windows,
+})

@@ -110,11 +110,28 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.json(path) if fmt == "json" else spark.read.parquet(path)
 
 
-def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """The demo's request log (single-quote CSV with a header)."""
-    df = (spark.read.schema(REQUEST_LOG_SCHEMA).option("header", True).option("quote", "'")
-          .option("escape", "'").option("multiLine", True).csv(path))
-    return df.withColumn("ts", F.to_timestamp("ts"))
+def _request_log(reader, path: str, malformed: bool) -> DataFrame:
+    schema = REQUEST_LOG_SCHEMA
+    if malformed:
+        schema = T.StructType([*schema.fields, T.StructField("malformed", T.StringType())])
+        # every column is parsed, else a line's faults depend on the columns asked for
+        reader = reader.option("columnNameOfCorruptRecord", "malformed").option("columnPruning", False)
+    df = (reader.schema(schema).option("header", True).option("quote", "'").option("escape", "'")
+          .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    return df.withColumn("ts", F.try_to_timestamp("ts"))
+
+
+def read_request_log(spark: SparkSession, path: str, malformed: bool = False) -> DataFrame:
+    """The demo's request log (single-quote CSV with a header). With
+    ``malformed`` a column of that name holds the raw line where a row has too
+    few or many fields or a field of the wrong type, and null elsewhere."""
+    return _request_log(spark.read, path, malformed)
+
+
+def stream_request_log(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """S8 as a stream over a folder that log files are added to, with the
+    ``malformed`` column of :func:`read_request_log`."""
+    return _request_log(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger), path, True)
 
 
 TRAINING_LOG_SCHEMA = T.StructType([
