@@ -14,8 +14,8 @@
    (the page's own best path stands in where a host has none).
    The path then grows by its ancestors (an article or main is whole and does
    not): other containers inside count as text, small ones too, unless
-   mostly links or the same on all of the host's pages; the innermost ancestor
-   with such a container is the last.
+   mostly links or the same on all of the host's pages, of which at least three
+   must differ otherwise; the innermost ancestor with such a container is the last.
 3. Every page is read again: the blocks inside the elected path and the
    containers that it grew by are the text.  A page without it uses its own
    best path, grown alike.
@@ -23,7 +23,12 @@
 Blocks are separated by block elements; inside a block white space becomes one
 space, and blank blocks vanish.  Character references are decoded.  Hosts are
 lower-cased, without port; a null or odd url has the empty host.  A null or
-empty page has the empty text; repeated rows are extracted each.
+empty page has the empty text; repeated rows are extracted each and are one
+page where containers are compared.  Of paths with equal votes the smaller is
+elected.  A path has 256 steps at most: what is nested deeper belongs to the
+last, and no text is lost.  Reading takes time in proportion to a page's length.
+An empty table gives an empty result; extra columns pass through, but a column
+``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -41,7 +46,12 @@ from cohera.llm.common import map_texts, materialise
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WHITE = re.compile(r"[\s​﻿]+")
+_WHITE = re.compile(r"\s+")
+
+#: different pages on which a container's text must be the same to count as repeated
+SAME = 3
+#: steps of a container path; what is nested deeper belongs to the last of them
+DEPTH = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title".split())
@@ -119,10 +129,16 @@ def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, st
     its articles and mains outside noise, n of its n-th element that is noise or
     (second value true) an article or main in noise.  Those in ``keep`` end noise."""
     out: list[tuple[str, str, int]] = []
-    held: dict = {0: 0, -1: 0}
-    stack: list[tuple[str, str, tuple, int]] = []  # tag, container path, noise around, paragraph 1 and article 2
-    path, noise, buf, linked, links = "", (), [], 0, 0
-    count, state = 0, 0
+    kinds: dict = {}  # of each counted element: article or main in noise
+    # noise around a place is a node: its parent, element, whether comments, menus or hidden, own paragraph characters
+    up, element, hard, told_in = [0], [0], [False], [0]
+    total, free = 0, 0
+    stack: list[tuple] = []  # tag, nearest place that is no inline element, then what ``here`` holds
+    opened: dict = {}  # places of each tag on the stack
+    # path, its steps, whether it ends in an article or main, noise node, paragraph 1 and article 2
+    top = ("", 0, False, 0, 0)
+    path, steps, whole, noise, state = top
+    buf, linked, links, count = [], 0, 0, 0
 
     def flush():
         nonlocal linked
@@ -134,14 +150,23 @@ def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, st
         linked = 0
 
     def told(n):
-        if 0 not in noise:  # 0: comments, menus or hidden
-            held[0] += n
-        if not noise:
-            held[-1] += n if state & 2 else 0
-        elif 0 not in noise:
-            for k in noise:
-                x, whole = held[k]
-                held[k] = x + n, whole
+        nonlocal total, free
+        if not hard[noise]:
+            total += n
+            told_in[noise] += n
+        if not noise and state & 2:
+            free += n
+
+    def pop():
+        nonlocal links
+        tag = stack.pop()[0]
+        opened[tag].pop()
+        if tag == "a":
+            links = max(0, links - 1)
+        return tag
+
+    def here():
+        return stack[-1][2:] if stack else top
 
     at = 0
     n = len(page)
@@ -167,27 +192,18 @@ def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, st
             continue
         tag = m.group(2).lower()
         if m.group(1):  # an end tag
-            if tag in ("br", "p") and not any(s[0] == tag for s in stack):
-                if not noise:
+            if not opened.get(tag):
+                if tag in ("br", "p") and not noise:
                     flush()
                 continue
-            if not any(s[0] == tag for s in stack):
-                continue
             if tag in INLINE:  # ends the element only if no block was opened in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag or stack[k][0] not in INLINE:
-                        break
-                if stack[k][0] != tag:
+                if opened[tag][-1] <= stack[-1][1]:
                     continue
             elif not noise:
                 flush()
-            while stack:
-                top = stack.pop()
-                if top[0] == "a":
-                    links = max(0, links - 1)
-                if top[0] == tag:
-                    break
-            path, noise, state = stack[-1][1:] if stack else ("", (), 0)
+            while pop() != tag:
+                pass
+            path, steps, whole, noise, state = here()
             continue
         if tag in VOID:
             if tag in ("br", "img", "wbr"):
@@ -196,16 +212,12 @@ def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, st
             elif not noise:
                 flush()
             continue
-        if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-            k = max(i for i, s in enumerate(stack) if s[0] == "p")
-            if all(s[0] in INLINE or s[0] == "p" for s in stack[k:]):
-                if not noise:
-                    flush()
-                for s in stack[k:]:
-                    links -= s[0] == "a"
-                links = max(0, links)
-                del stack[k:]
-                path, noise, state = stack[-1][1:] if stack else ("", (), 0)
+        if tag in CLOSES_P and stack and stack[-1][1] >= 0 and stack[stack[-1][1]][0] == "p":  # only inline elements since
+            if not noise:
+                flush()
+            while pop() != "p":
+                pass
+            path, steps, whole, noise, state = here()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in INLINE and not noise:
@@ -220,24 +232,34 @@ def _read(page: str, keep: frozenset, by_name: bool) -> tuple[list[tuple[str, st
         now, kind = noise, _noisy(tag, attributes, by_name)
         if kind or (noise and tag in ("article", "main")):
             count += 1
-            if kind == 2:
-                now = (*noise, 0)
-            elif count in keep:
-                now = noise if kind else ()
+            if kind != 2 and count in keep:
+                now = noise if kind else 0
             else:
-                now = (*noise, count)
-                held[count] = 0, not kind
-        if tag not in MEMBER and path.rpartition(">")[2].partition(".")[0] not in ("article", "main"):  # those stay whole
-            path = f"{path}>{_step(tag, attributes)}" if path else _step(tag, attributes)
+                now = len(up)
+                up.append(noise), element.append(count), hard.append(hard[noise] or kind == 2), told_in.append(0)
+                if kind != 2:
+                    kinds[count] = not kind
+        if tag not in MEMBER and not whole:  # an article or main stays whole
+            if steps < DEPTH:
+                path = f"{path}>{_step(tag, attributes)}" if path else _step(tag, attributes)
+                steps += 1
+            whole = tag in ("article", "main")
         noise = now
         state = state | (tag == "p") | 2 * (tag in ("article", "main"))
         if not m.group(3).rstrip().endswith("/"):
-            stack.append((tag, path, noise, state))
+            opened.setdefault(tag, []).append(len(stack))
+            block = len(stack) if tag not in INLINE else stack[-1][1] if stack else -1
+            stack.append((tag, block, path, steps, whole, noise, state))
         else:
             links -= tag == "a"
-            path, noise, state = stack[-1][1:] if stack else ("", (), 0)
+            path, steps, whole, noise, state = here()
     if not noise:
         flush()
+    held: dict = {0: total, -1: free}
+    for k in range(len(up) - 1, 0, -1):  # inner nodes come after outer ones
+        told_in[up[k]] += told_in[k]
+        if element[k] in kinds:
+            held[element[k]] = told_in[k], kinds[element[k]]
     return out, held
 
 
@@ -250,11 +272,11 @@ def path_scores(page: list[tuple[str, str, int]]) -> dict[str, float]:
         own[path] = own.get(path, 0.0) + max(0, len(text) - 2 * links)
     total: dict[str, float] = {}
     for path, x in own.items():
-        steps, share = path.split(">"), 1.0
-        for i in range(len(steps), 0, -1):
-            p = ">".join(steps[:i])
+        share, end = 1.0, len(path)
+        while end >= 0:
+            p = path[:end]
             total[p] = total.get(p, 0.0) + x * share
-            share *= 0.9
+            share, end = share * 0.9, path.rfind(">", 0, end)
     return total
 
 
@@ -303,11 +325,9 @@ def main_text(page: list[tuple[str, str, int]], elected: str | None, level: int
         return "\n".join(t for (_, t, _), ok in zip(page, found) if ok)
     same = frozenset(same or ())
 
-    def joins(path):
-        n, k = own[path]
-        return 2 * k <= n and path not in same and _common(path, elected) >= max(level or 0, 1)
-
-    return "\n".join(t for (p, t, _), ok in zip(page, found) if ok or joins(p))
+    joins = {path for path, (n, k) in own.items()
+             if 2 * k <= n and path not in same and _common(path, elected) >= max(level or 0, 1)}
+    return "\n".join(t for (p, t, _), ok in zip(page, found) if ok or p in joins)
 
 
 def _host(url):
@@ -321,8 +341,9 @@ def elected_paths(pages: DataFrame) -> DataFrame:
     that are the same on all pages."""
     def f(batches):
         for pdf in batches:
-            rows = []
+            seen: dict = {}
             for host, page in zip(pdf["host"], pdf["html"]):
+                name = int.from_bytes(hashlib.md5((page or "").encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
                 page = blocks(page)
                 scores, own = path_scores(page), _owned(page)
                 top = max(scores.values(), default=0.0)
@@ -330,24 +351,30 @@ def elected_paths(pages: DataFrame) -> DataFrame:
                 for path, text, _ in page:
                     texts.setdefault(path, []).append(text)
                 for path in {*scores, *own}:
-                    n, k = own.get(path, (0, 0))
-                    h = hashlib.md5("\n".join(texts[path]).encode("utf-8", "surrogatepass")).hexdigest() if path in texts else None
-                    rows.append((host, path, scores.get(path, 0.0) / top if top > 0 else 0.0, n, k, h, h, int(h is not None)))
+                    x = seen.setdefault((host, path), [0.0, 0, 0, None, None, set()])
+                    x[0] += scores.get(path, 0.0) / top if top > 0 else 0.0
+                    if path in texts:
+                        h = hashlib.md5("\n".join(texts[path]).encode("utf-8", "surrogatepass")).hexdigest()
+                        x[1], x[2] = x[1] + own[path][0], x[2] + own[path][1]
+                        x[3], x[4] = min(x[3] or h, h), max(x[4] or h, h)
+                        if len(x[5]) < SAME:
+                            x[5].add(name)
+            # a row for each of up to SAME different pages: enough to know whether there are as many
+            rows = [(host, path, *(x[:5] if i == 0 else (0.0, 0, 0, x[3], x[4])), name)
+                    for (host, path), x in seen.items() for i, name in enumerate(sorted(x[5]) or [None])]
             if rows:
-                df = pd.DataFrame(rows, columns=["host", "path", "votes", "n", "k", "lo", "hi", "pages"])
-                held = df[df["lo"].notna()].groupby(["host", "path"], sort=False).agg(lo=("lo", "min"), hi=("hi", "max"))
-                df = df.groupby(["host", "path"], sort=False)[["votes", "n", "k", "pages"]].sum().join(held).reset_index()
-                yield df[["host", "path", "votes", "n", "k", "lo", "hi", "pages"]].astype(object).where(df.notna(), None).astype(
-                    {"votes": "float64", "n": "int64", "k": "int64", "pages": "int64"})
+                df = pd.DataFrame([r[:-1] for r in rows], columns=["host", "path", "votes", "n", "k", "lo", "hi"])
+                yield df.assign(page=pd.array([r[-1] for r in rows], dtype="Int64"))
 
     votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(
-        f, "host string, path string, votes double, n long, k long, lo string, hi string, pages long")
-    votes = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "n", "k", "pages")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        f, "host string, path string, votes double, n long, k long, lo string, hi string, page long")
+    votes = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "n", "k")], F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                              F.count_distinct("page").alias("pages"))
     votes = materialise(votes, "html-votes")
     best = votes.where("votes > 0").groupBy("host").agg(F.min(F.struct((-F.round("votes", 6)).alias("v"), "path")).alias("best"))
     best = best.select("host", F.col("best.path").alias("best"))
     # containers outside the elected path that are no text: they end its growth
-    other = votes.where("pages > 0").withColumn("same", (F.col("lo") == F.col("hi")) & (F.col("pages") > 1))
+    other = votes.where("pages > 0").withColumn("same", (F.col("lo") == F.col("hi")) & (F.col("pages") >= SAME))
     other = other.where(F.col("same") | (2 * F.col("k") > F.col("n"))).join(best, "host")
     other = other.where((F.col("path") != F.col("best")) & ~F.col("path").startswith(F.concat("best", F.lit(">"))))
     x, y = F.split("path", ">"), F.split("best", ">")

@@ -533,6 +533,40 @@ def test_html_small_lead_and_tail_stay(spark):
     assert {r["page_id"]: r["text"] for r in out} == want
 
 
+def test_html_repeated_rows_ties_and_white_space(spark):
+    """A page read twice is one page where containers are compared; a box that
+    three different pages share goes; equal votes go to the smaller path."""
+    from cohera.llm.html_paths import extract
+
+    body = "words of the article " * 20
+    one = f"<div class=content><div class=lead><p>the lead</p></div><div class=body><p>{body}</p></div></div>"
+    many = [one.replace("article", f"article {i}") for i in range(3)]
+    tie = "<div class=b><p>same size</p></div><div class=a><p>size same</p></div>"
+    rows = [(1, "http://twice.example/1", one), (1, "http://twice.example/1", one), (2, "http://twice.example/2", one)]
+    rows += [(10 + i, f"http://three.example/{i}", p) for i, p in enumerate(many)]
+    rows += [(20, "http://two.example/0", many[0]), (21, "http://two.example/1", many[1]), (30, "http://tie.example/", tie),
+             (40, "http://zero.example/", "<p>foo\u200bbar\ufeff  x\u00a0y</p>")]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    text = lambda p: " ".join(p.split()).strip()
+    want = {1: "the lead\n" + text(body), 2: "the lead\n" + text(body), 30: "size same", 40: "foo\u200bbar\ufeff x y"}
+    want |= {10 + i: text(body.replace("article", f"article {i}")) for i in range(3)}
+    want |= {20 + i: "the lead\n" + want[10 + i] for i in range(2)}
+    assert len(out) == len(rows) and {r["page_id"]: r["text"] for r in out} == want
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    from cohera.llm.html_paths import blocks, main_text
+
+    n = 50_000
+    pages = ["<div>" * n + "x", "<div class=ad><p>y" * n, "<b>" * n + "</i>" * n + "x", "<p>" + "<b>" * n + "<div>t</div>" * n, "<div>x" * n]
+    at = time.process_time()
+    texts = [main_text(blocks(p), None) for p in pages]
+    assert time.process_time() - at < 30  # 6 s measured; in square time this took minutes and gigabytes
+    assert texts == ["x", "\n".join("y" * n), "x", "\n".join("t" * n), "\n".join("x" * n)]
+
+
 # ------------------------------------------------------------------ op7
 
 def targets_by_force(sizes):
