@@ -564,7 +564,8 @@ def test_html_deep_pages_take_linear_time():
     at = time.process_time()
     texts = [main_text(blocks(p), None) for p in pages]
     assert time.process_time() - at < 30  # 6 s measured; in square time this took minutes and gigabytes
-    assert texts == ["x", "\n".join("y" * n), "x", "\n".join("t" * n), "\n".join("x" * n)]
+    # a noise container that holds most of the page's text is none: the outer half of them
+    assert texts == ["x", "\n".join("y" * (n // 2)), "x", "\n".join("t" * n), "\n".join("x" * n)]
 
 
 # ------------------------------------------------------------------ op7
