@@ -7,7 +7,7 @@ work (no shuffle), and the result does not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohera.functions.hashing import hex_to_int, md5_int, md5_key
@@ -259,7 +259,9 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
     sides lines the k-th occurrences up (O(L log L), no shuffle); otherwise
     each negative position looks up its occurrence directly (unmatched ->
     null). ``first``: every sentence maps to its first index in the positive
-    (duplicates then repeat an index). Returns ``key, order ARRAY<INT>``."""
+    (duplicates then repeat an index). Returns ``key, order ARRAY<INT>``. Null
+    sentences equal one another. ``first``, ``reference`` and unequal sides cost
+    the square of a document's sentences: see :func:`align_order_long`."""
     P, N = F.col(pos), F.col(neg)
 
     def idx(a):
@@ -271,7 +273,7 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
                                                 (F.array_position(P, s) - 1).cast("int")))
         return pairs.select(key, order.alias("order"))
     if mode == "reference":
-        moved = F.filter(idx(N), lambda j: ~F.element_at(N, j + 1).eqNullSafe(F.try_element_at(P, j + 1)))
+        moved = F.filter(idx(N), lambda j: ~F.element_at(N, j + 1).eqNullSafe(F.try_element_at(P, j + 1)) | (j >= F.size(P)))
 
         def place(M):
             def at(j):
@@ -299,11 +301,45 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
     def by_lookup():
         def at(j):
             s = F.element_at(N, j + 1)
-            occ = F.size(F.filter(F.slice(N, 1, j), lambda x: x == s))
-            hits = F.filter(idx(P), lambda i: F.element_at(P, i + 1) == s)
+            occ = F.size(F.filter(F.slice(N, 1, j), lambda x: x.eqNullSafe(s)))
+            hits = F.filter(idx(P), lambda i: F.element_at(P, i + 1).eqNullSafe(s))
             return F.try_element_at(hits, (occ + 1).cast("int"))
         return F.transform(idx(N), at)
 
     same = F.array_sort(P) == F.array_sort(N)
     order = F.when(same, let(tagged(P), lambda ps: by_sort(ps, tagged(N)))).otherwise(by_lookup())
     return pairs.select(key, order.alias("order"))
+
+
+def align_order_long(pairs: DataFrame, pos: str = "pos", neg: str = "neg", key: str = "pair_id",
+                     mode: str = "bijective") -> DataFrame:
+    """J5 in long form: ``key, dst, src``, a row for each negative sentence with
+    its index in the positive document (null: none), by the modes of
+    :func:`align_order` (``reference`` without padding). ``key`` names a pair
+    uniquely.
+
+    The sentences of both sides are numbered by their occurrence and meet in one
+    shuffle by pair and sentence digest, so a document may be of any length; a
+    pair's sentences spread over the tasks. Null arrays count as empty."""
+    if mode not in ("bijective", "first", "reference"):
+        raise ValueError(mode)
+    P, N = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (pos, neg))
+
+    def entry(s, i, side, stays):
+        return F.struct(F.coalesce(F.sha2(s, 256), F.lit("")).alias("_s"), F.lit(side).alias("_neg"),
+                        stays.alias("_stays"), i.alias("_i"))
+
+    def in_place(s, j):
+        return s.eqNullSafe(F.get(P, j)) & (j < F.size(P)) if mode == "reference" else F.lit(False)
+
+    both = F.concat(F.transform(P, lambda s, i: entry(s, i, False, F.lit(False))),
+                    F.transform(N, lambda s, j: entry(s, j, True, in_place(s, j))))
+    e = pairs.select(key, F.inline(both)).repartition(key, "_s")
+    if mode == "first":
+        first = F.min(F.when(~F.col("_neg"), F.col("_i"))).over(Window.partitionBy(key, "_s"))
+        return e.withColumn("src", first).where("_neg").select(key, F.col("_i").alias("dst"), "src")
+    nth = F.row_number().over(Window.partitionBy(key, "_s", "_neg", "_stays").orderBy("_i"))
+    met = e.withColumn("_n", nth).groupBy(key, "_s", "_stays", "_n").agg(
+        F.max(F.when(F.col("_neg"), F.col("_i"))).alias("dst"),
+        F.max(F.when(~F.col("_neg") | F.col("_stays"), F.col("_i"))).alias("src"))
+    return met.where("dst IS NOT NULL").select(key, "dst", "src")

@@ -1020,3 +1020,22 @@ SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(CAST((id % 360) // 60 AS INTEG
        round(sum(CAST(win AS BIGINT)) / count(*), 6) AS accuracy
 FROM j WHERE NOT (id % 360 < 60 AND id % 11 = 0) GROUP BY ALL""",
 })
+
+
+ORACLE.update({
+    "j5_align_order_long": f"""WITH RECURSIVE {P8_CTES()},
+pr AS (SELECT concat_ws('_', doc_id, n, perm_no) AS pair_id, pos[1:len(pos) - 1] AS pos, neg FROM texts WHERE NOT (pos = neg)),
+pl AS (SELECT pair_id, unnest(range(0, len(pos))) AS src, unnest(pos) AS sentence FROM pr),
+nl AS (SELECT pair_id, unnest(range(0, len(neg))) AS dst, unnest(neg) AS sentence FROM pr),
+plo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY src) AS occ FROM pl),
+nlo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY dst) AS occ FROM nl),
+same AS (SELECT nl.*, pl.src IS NOT NULL AS stays FROM nl LEFT JOIN pl
+         ON pl.pair_id = nl.pair_id AND pl.src = nl.dst AND pl.sentence = nl.sentence),
+mo AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sentence ORDER BY dst) AS occ FROM same WHERE NOT stays),
+a AS (SELECT 'bijective' AS mode, nlo.pair_id, nlo.dst, plo.src FROM nlo LEFT JOIN plo USING (pair_id, sentence, occ)
+      UNION ALL SELECT 'first', nlo.pair_id, nlo.dst, plo.src FROM nlo LEFT JOIN plo
+        ON plo.pair_id = nlo.pair_id AND plo.sentence = nlo.sentence AND plo.occ = 1
+      UNION ALL SELECT 'reference', pair_id, dst, dst FROM same WHERE stays
+      UNION ALL SELECT 'reference', mo.pair_id, mo.dst, plo.src FROM mo LEFT JOIN plo USING (pair_id, sentence, occ))
+SELECT pair_id, mode, CAST(dst AS INTEGER) AS dst, CAST(src AS INTEGER) AS src FROM a""",
+})

@@ -129,3 +129,34 @@ def test_names_of_long_ids_stay_whole(spark):
     d = spark.createDataFrame([(7,), (1234,), (12345,), (12349,), (100007,)], "id long")
     assert [r[0] for r in d.select(pos_text_name(F.col("id"))).collect()] == [
         f"wsj_{x}.pos.text" for x in ("0007", "1234", "12345", "12349", "100007")]
+
+
+def test_long_alignment_equals_array_form(spark):
+    """Repeats, nulls, unequal and empty sides; then a document of 20 000 sentences."""
+    import random
+    import time
+
+    r = random.Random(4)
+    some = ["a", "b", "c", "dd", None]
+    rows = [(f"p{i}", [r.choice(some) for _ in range(r.randint(0, 9))], [r.choice(some) for _ in range(r.randint(0, 9))]) for i in range(150)]
+    rows += [("same", ["x", "y", "x"], ["x", "x", "y"]), ("none", None, ["x"]), ("empty", ["x"], [])]
+    df = spark.createDataFrame(rows, "pair_id string, pos array<string>, neg array<string>")
+    for mode in ("bijective", "first", "reference"):
+        want = {(x["pair_id"], j): o for x in PM.align_order(df.where("pos IS NOT NULL"), mode=mode).collect() for j, o in enumerate(x["order"])}
+        if mode == "first":  # the array form's lookup finds no null
+            pos = {k: p for k, p, _ in rows}
+            neg = {k: n for k, _, n in rows}
+            want |= {(k, j): pos[k].index(None) if None in pos[k] else None for k, j in want if neg[k][j] is None}
+        want["none", 0] = None
+        got = {(x["pair_id"], x["dst"]): x["src"] for x in PM.align_order_long(df, mode=mode).collect()}
+        assert got == want, mode
+    n = 20_000
+    long = [f"s{i % 15_000}" for i in range(n)]
+    order = r.sample(range(n), n)
+    big = spark.createDataFrame([("big", long, [long[i] for i in order] + ["other"])], df.schema)
+    at = time.time()
+    got = {x["dst"]: x["src"] for x in PM.align_order_long(big, mode="bijective").collect()}
+    assert time.time() - at < 30 and len(got) == n + 1 and got[n] is None
+    assert sorted(v for v in got.values() if v is not None) == list(range(n)) and all(long[got[j]] == long[i] for j, i in enumerate(order))
+    assert {x["dst"] for x in PM.align_order_long(big, mode="reference").collect()} == set(range(n + 1))
+    assert PM.align_order_long(df.limit(0)).count() == 0
