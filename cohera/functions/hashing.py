@@ -30,10 +30,3 @@ def hex_to_int(h: Column, digits: int = 8) -> Column:
 
 def md5_int(seed, *parts) -> Column:
     return hex_to_int(md5_key(seed, *parts))
-
-
-def md5_int_sql(seed_expr: str, *parts: str) -> str:
-    """Same value as :func:`md5_int` written as a Spark SQL expression string
-    (used inside higher-order-function lambdas)."""
-    inner = ", ".join([f"cast({seed_expr} as string)"] + [f"cast({p} as string)" for p in parts])
-    return f"cast(conv(substring(md5(concat_ws('|', {inner})), 1, 8), 16, 10) as bigint)"

@@ -106,10 +106,6 @@ def normalize(c, mode: str = "tagged") -> Column:
     raise ValueError(f"unknown normalisation mode {mode!r}")
 
 
-def normalize_list(c, mode: str = "tagged") -> Column:
-    """T1 on a list input: join by one space first."""
-    return normalize(F.array_join(col(c), " "), mode)
-
 
 def split_ws(c) -> Column:
     """``str.split()``: split on whitespace runs, drop empty pieces."""

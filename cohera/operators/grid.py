@@ -44,15 +44,31 @@ def read_entity_grid(spark: SparkSession, path: str, pattern: str | None = None)
 
 
 def column_signatures(grid: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
-    """Per grid column an md5 of its sorted present cells; columns without a
-    present cell get the signature of the empty list.
+    """``keys, sent_idx, sig``: per grid column a signature of its present cells
+    as a multiset. Two 64-bit hashes of each cell are added up in 32-bit halves
+    (sums that commute, so they combine before the shuffle and no cell moves);
+    equal columns have equal signatures, and others differ but for a clash of
+    128 bits. A column without a present cell has all sums 0.
     ``widths`` has ``keys + [n_cols]``."""
-    present = grid.groupBy(*keys, "sent_idx").agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "entity", "role"))), " "))
-        .alias("sig"))
+    def halves(seed):
+        h = F.xxhash64(F.lit(seed), "entity", "role")
+        return [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))]
+
+    sums = [x.alias(f"_h{i}") for i, x in enumerate(halves(1) + halves(2))]
+    present = grid.groupBy(*keys, "sent_idx").agg(*sums)
     cols = widths.select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("sent_idx"))
-    return cols.join(present, keys + ["sent_idx"], "left") \
-        .withColumn("sig", F.coalesce(F.col("sig"), F.md5(F.lit(""))))
+    sig = F.struct(*[F.coalesce(f"_h{i}", F.lit(0)).alias(f"h{i}") for i in range(len(sums))])
+    return cols.join(present, keys + ["sent_idx"], "left").select(*keys, "sent_idx", sig.alias("sig"))
+
+
+def permute_signatures(signatures: DataFrame, perms: DataFrame, key: str = "doc_id",
+                       pair: str = "pair_id", perm: str = "perm") -> DataFrame:
+    """The signatures of the grids that :func:`apply_permutation_grid` would
+    make: a column keeps its signature wherever it goes, so a pair moves one row
+    a column instead of all cells."""
+    order = perms.select(pair, key, F.posexplode(perm).alias("dst", "src"))
+    s = signatures.withColumnRenamed("sent_idx", "src")
+    return order.join(s, [key, "src"]).select(pair, key, F.col("dst").alias("sent_idx"), "sig")
 
 
 def apply_permutation_grid(grid: DataFrame, perms: DataFrame, key: str = "doc_id",

@@ -1039,3 +1039,11 @@ a AS (SELECT 'bijective' AS mode, nlo.pair_id, nlo.dst, plo.src FROM nlo LEFT JO
       UNION ALL SELECT 'reference', mo.pair_id, mo.dst, plo.src FROM mo LEFT JOIN plo USING (pair_id, sentence, occ))
 SELECT pair_id, mode, CAST(dst AS INTEGER) AS dst, CAST(src AS INTEGER) AS src FROM a""",
 })
+
+
+ORACLE.update({
+    "u2_prompt_vocab": f"""WITH {DOCS}, {SENTS}, {TOKENS}, {VOCAB('toks')}
+SELECT idx, word, cnt FROM vocab WHERE idx < 50257
+UNION ALL SELECT * FROM (VALUES (50257, '[SEP]', 0), (50258, '[PAD]', 0), (50259, '[CLS]', 0),
+  (50260, '[MASK]', 0), (50261, '[BOS]', 0), (50262, '[EOS]', 0)) AS t(idx, word, cnt)""",
+})

@@ -597,11 +597,11 @@ def q_p6_apply_permutation_grid(spark, sf_dir):
 
 
 def _recover(spark, sf_dir, mode):
-    p, ng = _neg_grid(spark, sf_dir)
-    widths = C.corpus(spark, sf_dir).select("doc_id", F.size("sents").alias("n_cols"))
+    docs = C.corpus(spark, sf_dir)
+    widths = docs.select("doc_id", F.size("sents").alias("n_cols"))
     pos_sig = GR.column_signatures(_grid(spark, sf_dir), widths, ["doc_id"])
-    neg_w = p.select("pair_id", "doc_id").join(widths, "doc_id")
-    neg_sig = GR.column_signatures(ng, neg_w, ["pair_id", "doc_id"])
+    perms = build_negative_dataset(docs).select("pair_id", "doc_id", "perm")
+    neg_sig = GR.permute_signatures(pos_sig, perms)
     r = GR.recover_permutation(pos_sig, neg_sig, mode=mode)
     return r.select("pair_id", _ints("perm_idx").alias("perm_idx"))
 
@@ -739,7 +739,7 @@ def _vectors(spark, sf_dir, vocab):
 
 
 def q_j7_lookup_vectors(spark, sf_dir):
-    v = q_a2_build_vocab(spark, sf_dir)
+    v = materialise(q_a2_build_vocab(spark, sf_dir), "j7-vocab")
     r = VE.lookup_vectors(v, _vectors(spark, sf_dir, v), dim=64, seed=SEED)
     # every component, as a weighted sum of ten-thousandths
     parts = F.transform("vec", lambda x, i: (i + 1) * F.round(x.cast("double") * 10000).cast("bigint"))
@@ -1147,3 +1147,13 @@ def q_j5_align_order_long(spark, sf_dir):
 
 
 QUERIES.update({"j5_align_order_long": q_j5_align_order_long})
+
+
+def q_u2_prompt_vocab(spark, sf_dir):
+    """The prompt tokens behind a base vocabulary of fixed size (ids from 50257)."""
+    base = TX.ADDED_TOKEN_IDS[0][1]
+    words = q_a2_build_vocab(spark, sf_dir).where(F.col("idx") < base)
+    return VO.append_specials(words, [w for w, _ in TX.ADDED_TOKEN_IDS], base=base)
+
+
+QUERIES.update({"u2_prompt_vocab": q_u2_prompt_vocab})

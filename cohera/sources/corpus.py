@@ -50,8 +50,3 @@ def read_corpus(spark: SparkSession, path: str, pattern: str | None = None,
     if name_regex:
         df = df.filter(F.col("doc_id").rlike(name_regex))
     return corpus_from_documents(df)
-
-
-def sentences_long(docs: DataFrame, sents: str = "sents") -> DataFrame:
-    """Long form ``(doc_id, sent_idx, sentence)`` of a document table."""
-    return docs.select("doc_id", F.posexplode(sents).alias("sent_idx", "sentence"))
