@@ -52,7 +52,7 @@ from cohera.llm.common import fold, map_texts, materialise, mix64, text_batches,
 WINDOW, OVERLAP = 32, 8
 DIM, OWN, CLUSTERS, INPUTS = 32, 32, 64, 3072
 CLASSES, SYMBOLS = OWN + CLUSTERS, INPUTS + CLUSTERS
-BATCH, SHARD, ROUNDS, PART, TUNE = 128, 1 << 15, 8, 4, 20
+BATCH, SHARD, ROUNDS, PART, TUNE = 128, 1 << 15, 8, 1, 20
 #: words of a block and signs of a word, for the clusters
 BLOCK, SIGNS = 24, 16
 IDS, END = 50257, 50256
