@@ -24,14 +24,16 @@ def side_features(windows, score) -> list:
 
 
 def ranker_training_rows(pairs: DataFrame, perm: str | None = "perm") -> DataFrame:
-    s = pair_scores(pairs, perm=perm if perm in pairs.columns else None)
+    """The columns ``pos_words`` and ``neg_words``, if there, are both sides' word sets."""
+    words = ("pos_words", "neg_words")
+    s = pair_scores(pairs, perm=perm if perm in pairs.columns else None, words=words if set(words) <= set(pairs.columns) else None)
     pf = side_features(F.col("pos_windows"), F.col("pos_score"))
     nf = side_features(F.col("neg_windows"), F.col("neg_score"))
     diff = F.array(*[a - b for a, b in zip(pf, nf)])
-    d = s.select("pair_id", diff.alias("d"))
-    plus = d.select("pair_id", F.col("d").alias("x"), F.lit(1.0).alias("label"))
-    minus = d.select("pair_id", F.transform("d", lambda v: -v).alias("x"), F.lit(0.0).alias("label"))
-    return plus.unionByName(minus)
+    d = s.select("pair_id", diff.alias("d"))  # scored once for both rows
+    both = F.array(F.struct(F.col("d").alias("x"), F.lit(1.0).alias("label")),
+                   F.struct(F.transform("d", lambda v: -v).alias("x"), F.lit(0.0).alias("label")))
+    return d.select("pair_id", F.inline(both))
 
 
 def train_ranker(pairs: DataFrame, max_iter: int = 50, reg: float = 0.0):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohera.operators.permute import gather, kept_order, pair_name
 from cohera.operators.sampling import hash_unit
 
 # The 9 review columns, in file order (fixed values).
@@ -101,13 +102,19 @@ def restrict_to_manifest(files: DataFrame, manifest: DataFrame, n_neg: int = 40)
 def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The pair table, partitioned by ``split`` and ``n_windows`` (so a
     reader of one split/window count prunes the rest); ``fmt='json'`` writes
-    JSON lines instead."""
+    JSON lines instead. Pairs in nested form (``negatives_of(nested=True)``) keep a
+    document's text once a window count, with its negatives' index arrays."""
     w = pairs.write.mode("overwrite").partitionBy("split", "n_windows")
     (w.json(path) if fmt == "json" else w.parquet(path))
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.json(path) if fmt == "json" else spark.read.parquet(path)
+    """The pair table that :func:`write_pairs` wrote, one row a pair in any case."""
+    t = spark.read.json(path) if fmt == "json" else spark.read.parquet(path)
+    if "negs" not in t.columns:
+        return t
+    t = t.select("*", F.inline("negs")).withColumn("neg", gather(F.col("pos"), kept_order(F.col("perm"))))
+    return t.select(pair_name(F.col("doc_id")).alias("pair_id"), "doc_id", "perm_no", "perm", "pos", "neg", "split", "n_windows")
 
 
 def _request_log(reader, path: str, malformed: bool) -> DataFrame:

@@ -111,14 +111,19 @@ def accuracy_stream(scored_pairs: DataFrame, by: str = "n_windows", event_time:
     return g.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("_win").alias("n_correct"))
 
 
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Scores by the sides' word sets, where ``pairs`` has them, else by their text."""
+    words = ("pos_words", "neg_words")
+    return pair_scores(pairs, words=words if set(words) <= set(pairs.columns) else None)
+
+
 def stream_accuracy(pairs_stream: DataFrame, sink: str, checkpoint: str, by: str = "n_windows",
                     available_now: bool = True):
     """ST3: score streamed pairs (array-form scorer) and keep the running
     accuracy per ``by``. Every micro-batch writes the current totals to its
     own folder, so a reader always finds a whole version
     (:func:`latest_totals`) and a replayed batch changes nothing."""
-    scored = pair_scores(pairs_stream)
-    agg = accuracy_stream(scored, by)
+    agg = accuracy_stream(_scored(pairs_stream), by)
 
     def batch(df, epoch_id):
         df.withColumn("accuracy", F.col("n_correct") / F.col("n_pairs")) \
@@ -135,7 +140,7 @@ def stream_window_accuracy(pairs_stream: DataFrame, sink: str, checkpoint: str,
     after that are ignored. A micro-batch writes only the windows it changed,
     as a version (its batch id) that a replay overwrites; read them with
     :func:`latest_windows`."""
-    agg = accuracy_stream(pair_scores(pairs_stream), by, event_time, window, watermark)
+    agg = accuracy_stream(_scored(pairs_stream), by, event_time, window, watermark)
 
     def batch(df, epoch_id):
         df.select(F.col("window.start").alias("window_start"), by, "n_pairs", "n_correct") \
