@@ -22,7 +22,7 @@ P(class | context) / P(class))``, P(class) being the class's share of the base:
 classes move, words keep their share of their class.
 
 Training.  Of each training text, the windows whose number is its hash modulo
-``PART`` train the weights, so what is learnt from grows with the texts.  They are
+``PART`` train the weights: all of them, as ``PART`` is 1.  They are
 written by the pass that counts, and dealt by hash to S shards of about ``SHARD``
 windows, S at least ``ROUNDS``; each of the ``ROUNDS`` rounds runs its shards from
 the weights of the round before, and the results are averaged, summed in Spark by
