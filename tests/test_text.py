@@ -61,3 +61,18 @@ def test_every_document_keeps_a_keyword_row(spark):
     got = {r.id: r.keywords for r in KW.top_keywords(w, "id", 10, docs=d).collect()}
     assert got == {"a": " stone river", "b": "", "c": ""}
     assert {r.id: r.keywords for r in KW.transform_keywords(d, idf, "id", "text").collect()} == got
+
+
+def test_tagged_words_are_read_off_the_kept_runs(spark):
+    """The definition (delete tags, rewrite what lies between runs, wrap, split) on
+    odd sentences; the plan must not look for the characters between the runs."""
+    from cohera.functions.text import py_strip, tokenize
+
+    odd = ["", " ", "123", "a", "The Cat, 9", "9 a b. 9", "<s>a</s>", "<<s>/s>", "<</s>s>x", "a</s", "s>a</s></s", "ÀB c\x1cd", "İx\ny", "e!?@.f", "</s>\n", "a<s>b</s>c", None]
+    df = spark.createDataFrame([(x,) for x in odd], "c string")
+    base = F.regexp_replace(py_strip(F.lower("c")), "(<s>|</s>)", "")
+    plain = F.concat(F.lit("<s>"), F.regexp_replace(base, "[^a-zA-Z.!?@]+", " "), F.lit("</s>"))
+    out = df.select(plain.alias("a"), normalize("c", "tagged").alias("b"), tokenize(plain).alias("x"), tokenize("c", "tagged").alias("y"))
+    for r in out.collect():
+        assert r.a == r.b and r.x == r.y, r
+    assert "[^a-zA-Z" not in df.select(tokenize("c", "tagged"))._jdf.queryExecution().toString()
