@@ -218,11 +218,27 @@ def reorder_features(features: DataFrame, order: DataFrame, key: str = "doc_id",
 # aggregates over scores
 # ---------------------------------------------------------------------------
 
-def window_table(scored: DataFrame, key: str = "pair_id") -> DataFrame:
-    """X9 long table ``(pair_id, side, win_idx, score, feat_mean)``."""
-    p = scored.select(key, F.lit("pos").alias("side"), F.explode("pos_windows").alias("w"))
-    n = scored.select(key, F.lit("neg").alias("side"), F.explode("neg_windows").alias("w"))
-    return p.unionByName(n).select(key, "side", "w.win_idx", "w.score", "w.feat_mean")
+def window_table(scored: DataFrame, key: str = "pair_id", by: list[str] | None = None, paired: bool = False) -> DataFrame:
+    """X9 long table ``(by, pair_id, side, win_idx, score, feat_mean)``, both sides
+    read off a pair's row at once.
+
+    With ``paired`` a row is a window that both sides have, with their scores and
+    features ``(by, pair_id, win_idx, ps, pf, ns, nf)``: made in the pair's row,
+    whose windows count up from 0, so nothing is shuffled. Where rows may share a
+    ``key``, :func:`paired_windows` pairs the windows of all of them."""
+    by = by or []
+    if paired:
+        both = F.arrays_zip(F.col("pos_windows").alias("p"), F.col("neg_windows").alias("n"))
+        w = scored.select(*by, key, F.explode(both).alias("w")).where("w.p IS NOT NULL AND w.n IS NOT NULL")
+        return w.select(*by, key, F.col("w.p.win_idx").alias("win_idx"), F.col("w.p.score").alias("ps"), F.col("w.p.feat_mean").alias("pf"),
+                        F.col("w.n.score").alias("ns"), F.col("w.n.feat_mean").alias("nf"))
+
+    def of(side):
+        return F.transform(f"{side}_windows", lambda w: F.struct(F.lit(side).alias("side"), w["win_idx"].alias("win_idx"),
+                                                                 w["score"].alias("score"), w["feat_mean"].alias("feat_mean")))
+    none = F.array().cast("array<struct<side:string,win_idx:int,score:double,feat_mean:double>>")
+    sides = F.concat(F.coalesce(of("pos"), none), F.coalesce(of("neg"), none))
+    return scored.select(*by, key, F.inline(sides))
 
 
 def document_score(windows: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -240,19 +256,26 @@ def pairwise_accuracy(doc_scores: DataFrame, by: list[str] | None = None, key: s
         F.avg((F.col(pos) > F.col(neg)).cast("double")).alias("accuracy"))
 
 
+def paired_windows(windows: DataFrame, key: str = "pair_id", by: list[str] | None = None) -> DataFrame:
+    """:func:`window_table`'s paired form from its long one: each window of the
+    positive side with each of that key and place of the negative side."""
+    p = windows.filter(F.col("side") == "pos").select(*(by or []), key, "win_idx", F.col("score").alias("ps"),
+                                                      F.col("feat_mean").alias("pf"))
+    n = windows.filter(F.col("side") == "neg").select(key, "win_idx", F.col("score").alias("ns"),
+                                                      F.col("feat_mean").alias("nf"))
+    return p.join(n, [key, "win_idx"], "inner")
+
+
 def adaptive_pairwise_loss(windows: DataFrame, margin: float = 5.0, key: str = "pair_id",
                            denominator: str = "valid", by: list[str] | None = None) -> DataFrame:
     """``mean(max(0, m*mask + neg*mask - pos*mask))``; ``mask`` is 1 where
     the window's mean local feature differs between the sides.
 
     ``denominator='valid'`` averages over valid windows; ``'padded'`` divides
-    by ``n_pairs * max_windows`` of the group, as a padded batch tensor."""
+    by ``n_pairs * max_windows`` of the group, as a padded batch tensor.
+    ``windows`` is :func:`window_table`'s long or paired form."""
     by = by or []
-    p = windows.filter(F.col("side") == "pos").select(*by, key, "win_idx", F.col("score").alias("ps"),
-                                                      F.col("feat_mean").alias("pf"))
-    n = windows.filter(F.col("side") == "neg").select(key, "win_idx", F.col("score").alias("ns"),
-                                                      F.col("feat_mean").alias("nf"))
-    j = p.join(n, [key, "win_idx"], "inner")
+    j = paired_windows(windows, key, by) if "side" in windows.columns else windows
     mask = (~F.col("pf").eqNullSafe(F.col("nf"))).cast("double")
     term = F.greatest(F.lit(0.0), F.lit(margin) * mask + F.col("ns") * mask - F.col("ps") * mask)
     j = j.withColumn("_t", term)
