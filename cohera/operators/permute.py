@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from cohera.functions.hashing import hex_to_int, md5_int, md5_key
 from cohera.functions.text import let
+from cohera.session import materialise
 
 # Non-identity orders of a 3-sentence window, lexicographic (fixed values).
 ORDERS_W3 = [[0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]
@@ -365,19 +367,103 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
     return pairs.select(key, order.alias("order"))
 
 
+MODES = ("bijective", "first", "reference")
+
+
 def align_order_long(pairs: DataFrame, pos: str = "pos", neg: str = "neg", key: str = "pair_id",
-                     mode: str = "bijective") -> DataFrame:
+                     mode: str | tuple = "bijective") -> DataFrame:
     """J5 in long form: ``key, dst, src``, a row for each negative sentence with
     its index in the positive document (null: none), by the modes of
-    :func:`align_order` (``reference`` without padding). ``key`` names a pair
-    uniquely.
-
-    The sentences of both sides are numbered by their occurrence and meet in one
-    shuffle by pair and sentence digest, so a document may be of any length; a
-    pair's sentences spread over the tasks. Null arrays count as empty."""
-    if mode not in ("bijective", "first", "reference"):
+    :func:`align_order` (``reference`` without padding). Several modes share one
+    pass; their rows then have a column ``mode``, too.
+
+    A pair is aligned in its row, by sorting codes of its sentences, so a document
+    may be of any length that a row holds, and no sentence is shuffled. Rows that
+    share their ``key`` are aligned as one pair (:func:`_align_shared`). ``pairs``
+    is read three times. Null arrays count as empty, null sentences equal one another."""
+    modes = (mode,) if isinstance(mode, str) else tuple(mode)
+    if not set(modes) <= set(MODES):
         raise ValueError(mode)
-    P, N = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (pos, neg))
+    none = F.array().cast("array<string>")
+    rows = pairs.select(key, F.coalesce(pos, none).alias("_pos"), F.coalesce(neg, none).alias("_neg"))
+    shared = materialise(pairs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_shared")), "shared-keys")
+    same = F.col(key).eqNullSafe(F.col("_shared"))
+    schema = StructType([StructField("mode", StringType()), pairs.schema[key], StructField("dst", IntegerType()), StructField("src", IntegerType())])
+    out = rows.join(shared, same, "left_anti").mapInArrow(_aligner(key, modes), schema)
+    several = rows.join(shared, same, "left_semi")
+    for m in modes:
+        out = out.unionByName(_align_shared(several, key, m).withColumn("mode", F.lit(m)))
+    return out if not isinstance(mode, str) else out.drop("mode")
+
+
+def _aligner(key: str, modes: tuple, slice_bytes: int = 8 << 20):
+    """The Arrow form of J5. A slice of at most ``slice_bytes`` of text (or one
+    row) is worked on at a time."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def places(lists):
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(n) - n
+            return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(start, n), n, start
+
+        def occurrence(k):
+            """How many equal keys stand before each (rows stand in order)."""
+            by = np.argsort(k, kind="stable")
+            s = k[by]
+            nth = np.empty(len(k), np.int64)
+            nth[by] = np.arange(len(k)) - np.searchsorted(s, s, "left")
+            return nth
+
+        def aligned(b):
+            P, N = b.column("_pos"), b.column("_neg")
+            (prow, pat, pn, pstart), (nrow, nat, _, _) = places(P), places(N)
+            texts = pa.concat_arrays([P.flatten(), N.flatten()])
+            code = texts.dictionary_encode(null_encoding="encode")
+            width, code = len(code.dictionary) + 1, code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pcode, ncode = code[:len(prow)], code[len(prow):]
+            pk, nk = prow * width + pcode, nrow * width + ncode
+            by = np.argsort(pk, kind="stable")
+            s = pk[by]
+            lo, hi = np.searchsorted(s, nk, "left"), np.searchsorted(s, nk, "right")
+
+            def hit(nth):
+                """The index of the ``nth`` equal sentence of the positive, -1 for none."""
+                at, some = lo + nth, lo + nth < hi
+                src = np.full(len(nk), -1, np.int64)
+                src[some] = pat[by[at[some]]]
+                return src
+
+            for m in modes:
+                if m == "first":
+                    src = hit(np.zeros(len(nk), np.int64))
+                elif m == "bijective":
+                    src = hit(occurrence(nk))
+                else:
+                    stays = nat < pn[nrow]
+                    beside = pstart[nrow[stays]] + nat[stays]
+                    stays[stays] = pcode[beside] == ncode[stays]
+                    moved = ~stays
+                    nth = np.zeros(len(nk), np.int64)
+                    nth[moved] = occurrence(nk[moved])
+                    src = np.where(stays, nat, hit(nth))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(nk), m, dtype=object), pa.string()), b.column(key).take(pa.array(nrow)),
+                    pa.array(nat.astype(np.int32)), pa.array(src.astype(np.int32), mask=src < 0)], ["mode", key, "dst", "src"])
+
+        for batch in batches:
+            rows = max(1, int(len(batch) * slice_bytes / max(batch.nbytes, 1)))
+            for i in range(0, len(batch), rows):
+                yield from aligned(batch.slice(i, rows))
+    return run
+
+
+def _align_shared(pairs: DataFrame, key: str, mode: str) -> DataFrame:
+    """:func:`align_order_long` where rows share their ``key``: the sentences of all of
+    them are numbered by their occurrence and meet in one shuffle by key and digest."""
+    P, N = F.col("_pos"), F.col("_neg")
 
     def entry(s, i, side, stays):
         return F.struct(F.coalesce(F.sha2(s, 256), F.lit("")).alias("_s"), F.lit(side).alias("_neg"),
