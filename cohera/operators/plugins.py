@@ -15,8 +15,11 @@ _MODELS: dict = {}
 
 
 def score_batches(df: DataFrame, model_factory: Callable, schema: str,
-                  model_key: str | None = None) -> DataFrame:
-    """Apply ``model_factory()(pdf) -> pdf`` to every batch of ``df``."""
+                  model_key: str | None = None, slice_rows: int = 256) -> DataFrame:
+    """Apply ``model_factory()(pdf) -> pdf`` to every batch of ``df``, at most
+    ``slice_rows`` rows at a time: what a model makes of its rows (such as a
+    Python string a word) is many times their size, and an Arrow batch may hold
+    10 000 documents."""
     key = model_key or f"{model_factory.__module__}.{model_factory.__qualname__}"
 
     def run(it: Iterator):
@@ -24,7 +27,8 @@ def score_batches(df: DataFrame, model_factory: Callable, schema: str,
         if model is None:
             model = _MODELS[key] = model_factory()
         for pdf in it:
-            yield model(pdf)
+            for i in range(0, len(pdf), slice_rows):
+                yield model(pdf.iloc[i:i + slice_rows].reset_index(drop=True))
     return df.mapInPandas(run, schema)
 
 
