@@ -243,6 +243,24 @@ def gather(values: Column, order: Column) -> Column:
     return F.transform(order, lambda i: F.element_at(values, i + 1))
 
 
+def first_place(sentence: Column) -> Column:
+    """The place (from 1) of the first sentence of ``pos`` equal to this one, null
+    for a null: sentences of a document are equal where these numbers are."""
+    return F.array_position(F.col("pos"), sentence).cast("int")
+
+
+def by_index(entries: Column, index: str, value: str, none: Column) -> Column:
+    """Structs with a number ``index`` as an array whose place i holds the
+    ``value`` of index i, ``none`` where there is none."""
+    def add(acc, s):
+        return F.concat(acc, F.array_repeat(none, s[index] - F.size(acc)), F.array(s[value]))
+
+    def placed(e):
+        whole = F.element_at(e, -1)[index] + 1 == F.size(e)
+        return F.when(whole, F.transform(e, lambda s: s[value])).otherwise(F.aggregate(e, F.array_repeat(none, 0), add))
+    return let(F.sort_array(entries), placed)
+
+
 def inverse_order(sents: Column) -> tuple[Column, Column]:
     """Reversed document and its index array."""
     n = F.size(sents)
@@ -316,8 +334,10 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
     each negative position looks up its occurrence directly (unmatched ->
     null). ``first``: every sentence maps to its first index in the positive
     (duplicates then repeat an index). Returns ``key, order ARRAY<INT>``. Null
-    sentences equal one another. ``first``, ``reference`` and unequal sides cost
-    the square of a document's sentences: see :func:`align_order_long`."""
+    sentences equal one another. The sides may hold numbers that tell the
+    sentences apart (:func:`first_place`) instead of texts. ``first``,
+    ``reference`` and unequal sides cost the square of a document's sentences:
+    see :func:`align_order_long`."""
     P, N = F.col(pos), F.col(neg)
 
     def idx(a):
@@ -347,12 +367,12 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
         raise ValueError(mode)
 
     def tagged(a):
-        return F.array_sort(F.transform(idx(a), lambda i: F.struct(F.element_at(a, i + 1).alias("s"),
+        return F.sort_array(F.transform(idx(a), lambda i: F.struct(F.element_at(a, i + 1).alias("s"),
                                                                    i.alias("i"))))
 
     def by_sort(ps, ns):
         z = F.zip_with(ns, ps, lambda n, p: F.struct(n["i"].alias("dst"), p["i"].alias("src")))
-        return F.transform(F.array_sort(z), lambda t: t["src"])
+        return F.transform(F.sort_array(z), lambda t: t["src"])
 
     def by_lookup():
         def at(j):
@@ -362,7 +382,7 @@ def align_order(pairs: DataFrame, pos: str = "pos", neg: str = "neg",
             return F.try_element_at(hits, (occ + 1).cast("int"))
         return F.transform(idx(N), at)
 
-    same = F.array_sort(P) == F.array_sort(N)
+    same = F.sort_array(P) == F.sort_array(N)
     order = F.when(same, let(tagged(P), lambda ps: by_sort(ps, tagged(N)))).otherwise(by_lookup())
     return pairs.select(key, order.alias("order"))
 
