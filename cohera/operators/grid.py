@@ -9,9 +9,11 @@ cells are implied, so two columns are equal iff their sets of present
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohera.operators.permute import align_order, by_index
+
 ABSENT = "-"
 
 
@@ -61,6 +63,35 @@ def column_signatures(grid: DataFrame, widths: DataFrame, keys: list[str]) -> Da
     return cols.join(present, keys + ["sent_idx"], "left").select(*keys, "sent_idx", sig.alias("sig"))
 
 
+def signature_arrays(grid: DataFrame, widths: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, sigs``: :func:`column_signatures` with a row a document, whose
+    ``sigs`` holds the signature of each column (an array of ``n_cols``). Keys are
+    single in ``widths``; only sums of a column's cells are shuffled."""
+    s = column_signatures(grid, widths.where("n_cols > 0"), [key])
+    per = s.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sent_idx", "sig"))).alias("_s"))
+    return per.select(key, F.transform("_s", lambda e: e["sig"]).alias("sigs"))
+
+
+def column_cells(grid: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, columns``: a document's grid in its row, for each column the array of
+    its present ``(entity, role)`` cells. A document without cells has no row."""
+    g = grid.repartition(key).groupBy(key, "sent_idx").agg(F.collect_list(F.struct("entity", "role")).alias("_c"))
+    per = g.groupBy(key).agg(F.collect_list(F.struct("sent_idx", "_c")).alias("_e"))
+    return per.select(key, by_index(F.col("_e"), "sent_idx", "_c", F.array().cast(_CELLS)).alias("columns"))
+
+
+def permuted_cells(columns, perm) -> Column:
+    """P6 in the pair's row: the present cells ``(entity, sent_idx, role)`` of the
+    grid whose column ``dst`` is the column ``perm[dst]`` of ``columns``."""
+    def moved(src, dst):
+        own = F.coalesce(F.get(F.col(columns), src), F.array().cast(_CELLS))
+        return F.transform(own, lambda c: F.struct(c["entity"].alias("entity"), dst.alias("sent_idx"), c["role"].alias("role")))
+    return F.flatten(F.transform(F.col(perm), moved))
+
+
+_CELLS = "array<struct<entity:string,role:string>>"
+
+
 def permute_signatures(signatures: DataFrame, perms: DataFrame, key: str = "doc_id",
                        pair: str = "pair_id", perm: str = "perm") -> DataFrame:
     """The signatures of the grids that :func:`apply_permutation_grid` would
@@ -109,6 +140,17 @@ def recover_permutation(pos_sig: DataFrame, neg_sig: DataFrame, key: str = "doc_
     return agg.select(pair, F.transform("_m", lambda s: s["neg_idx"]).alias("perm_idx"))
 
 
+def recover_permutation_arrays(pairs: DataFrame, pos: str, neg: str, pair: str = "pair_id",
+                               mode: str = "first") -> DataFrame:
+    """J4 where a pair holds the signatures of both grids' columns (or numbers that
+    tell them apart) as arrays: :func:`recover_permutation` in the pair's row."""
+    if mode not in ("first", "bijective"):
+        raise ValueError(mode)
+    r = align_order(pairs, neg, pos, pair, mode)  # each positive column among the negative's
+    r = r.select(pair, F.filter("order", lambda i: i.isNotNull()).alias("perm_idx"))
+    return r.where(F.size("perm_idx") > 0)
+
+
 def join_text_grid(texts: DataFrame, grids: DataFrame, text_name: str = "name",
                    grid_name: str = "grid_name") -> DataFrame:
     """A grid file's first three dot parts are its text file's name."""

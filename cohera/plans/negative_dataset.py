@@ -73,11 +73,11 @@ def negatives_of(d: DataFrame, n_windows=(1, 2, 3), perms=(20, 20, 20), w: int =
                       *[f"{side}_{name}" for name in features for side in ("pos", "neg")])
 
 
-def by_name(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """``docs`` whose name no other row has, and those that share theirs (a null
+def by_name(docs: DataFrame, key: str = "doc_id", among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` whose name no other row (of ``among``, if given) has, and those that share theirs (a null
     name is one, too). The pairs of the former are known by their names, so what
     belongs to a pair can be worked out in its row, without a join by name."""
-    shared = docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_shared"))
+    shared = (docs if among is None else among).groupBy(key).count().where("count > 1").select(F.col(key).alias("_shared"))
     shared = materialise(shared, "shared-names")
     same = F.col(key).eqNullSafe(F.col("_shared"))
     return docs.join(shared, same, "left_anti"), docs.join(shared, same, "left_semi")
