@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohera.functions.text import col, let
+from cohera.operators.permute import by_index
 
 WORD_RE = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_COEF = (1.0, 1.0, 1.0, 0.0)
@@ -214,6 +215,21 @@ def reorder_features(features: DataFrame, order: DataFrame, key: str = "doc_id",
     return order.join(f, [key, src], "inner")
 
 
+def feature_arrays(features: DataFrame, value: str, key: str = "doc_id", idx: str = "sent_idx") -> DataFrame:
+    """``key, <value>s``: a document's features in its row, at the place of their
+    sentence (null: none). A document's ``idx`` are single."""
+    per = features.groupBy(key).agg(F.collect_list(F.struct(F.col(idx).alias("_i"), F.struct(F.col(value)).alias("_v"))).alias("_e"))
+    none = F.lit(None).cast(features.select(F.struct(value)).schema[0].dataType)
+    return per.select(key, by_index(F.col("_e"), "_i", "_v", none).alias(f"{value}s"))
+
+
+def reorder_feature_rows(pairs: DataFrame, value: str, key: str = "pair_id", perm: str = "perm") -> DataFrame:
+    """J9 in the pair's row: ``key, dst, src, value`` from the column ``<value>s`` of
+    :func:`feature_arrays` and the pair's index array."""
+    at = F.transform(perm, lambda src, dst: F.struct(dst.alias("dst"), src.alias("src"), F.get(F.col(f"{value}s"), src).alias("_v")))
+    return pairs.select(key, F.inline(at)).where(F.col("_v").isNotNull()).select(key, "dst", "src", f"_v.{value}")
+
+
 # ---------------------------------------------------------------------------
 # aggregates over scores
 # ---------------------------------------------------------------------------
