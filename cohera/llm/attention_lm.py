@@ -265,8 +265,8 @@ def _attend(w: dict, head: np.ndarray, tail: np.ndarray):
     """Inputs, projections, attention weights, their sums and outputs of windows
     of input symbols; position t sees the inputs up to t."""
     n, d = len(head), DIM
-    x = w["e"][head]
-    x += w["t"][tail]
+    x = w["e"].take(head, axis=0)
+    x += w["t"].take(tail, axis=0)
     x += w["p"]
     flat = x.reshape(-1, d)
     into = np.concatenate([w["q"] * np.float32(d ** -0.5), w["k"], w["v"]], axis=1)
@@ -285,7 +285,7 @@ def _attend(w: dict, head: np.ndarray, tail: np.ndarray):
 
 def log_probs(w: dict, head: np.ndarray, tail: np.ndarray, at: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Log probabilities of the target classes at the places ``at`` (flat)."""
-    z = _attend(w, head, tail)[-1][at] @ w["o"]
+    z = _attend(w, head, tail)[-1].take(at, axis=0) @ w["o"]
     z += w["b"]
     np.clip(z, -_TOP, _TOP, out=z)
     own = z[np.arange(len(at)), targets]
@@ -297,7 +297,7 @@ def _gradients(w: dict, head: np.ndarray, tail: np.ndarray, at: np.ndarray, targ
     n, d = len(head), DIM
     flat, into, q, k, v, a, total, h = _attend(w, head, tail)
     a /= total
-    g = h[at]
+    g = h.take(at, axis=0)
     z = g @ w["o"]
     z += w["b"]
     np.clip(z, -_TOP, _TOP, out=z)
@@ -319,11 +319,11 @@ def _gradients(w: dict, head: np.ndarray, tail: np.ndarray, at: np.ndarray, targ
     dq, dk, dv = np.split(flat.T @ back, 3, axis=1)
     out = {"p": dx.reshape(n, WINDOW, d).sum(axis=0), "q": dq * np.float32(d ** -0.5), "k": dk, "v": dv, "o": g.T @ z, "b": z.sum(axis=0)}
     for name, symbols in (("e", head), ("t", tail)):
-        order = np.argsort(symbols, axis=None, kind="stable")
+        order = np.argsort(symbols.astype(np.uint16), axis=None, kind="stable")  # a radix sort
         sym = symbols.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
         out[name] = np.zeros_like(w[name])
-        out[name][sym[first]] = np.add.reduceat(dx[order], first, axis=0)
+        out[name][sym[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
     return float(loss), out
 
 
@@ -333,7 +333,7 @@ class Trainer:
     def __init__(self, w: dict, cls: np.ndarray, inp: np.ndarray, rate: float, seed: int):
         self.w = {k: x.copy() for k, x in w.items()}
         self.cls, self.inp, self.rate, self.r = cls, inp, rate, np.random.default_rng(seed)
-        self.m, self.s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.m, self.s, self.spare = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
         self.steps, self.seen = 0, 0
         self.uses = {k: np.zeros(SYMBOLS + 1) for k in "et"}
 
@@ -343,23 +343,33 @@ class Trainer:
         _, g = _gradients(w, head, tail, at, targets)
         rate = self.rate * min(1, i / 20)
         for k in w:
-            m, s = self.m[k], self.s[k]
-            m += np.float32(0.1) * (g[k] - m)
-            s += np.float32(0.01) * (g[k] * g[k] - s)
-            w[k] -= np.float32(rate / (1 - 0.9 ** i)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99 ** i))) + np.float32(1e-8))
+            m, s, d, x = self.m[k], self.s[k], g[k], self.spare[k]
+            np.subtract(d, m, out=x)
+            x *= np.float32(0.1)
+            m += x
+            np.multiply(d, d, out=x)
+            x -= s
+            x *= np.float32(0.01)
+            s += x
+            np.multiply(s, np.float32(1 / (1 - 0.99 ** i)), out=x)
+            np.sqrt(x, out=x)
+            x += np.float32(1e-8)
+            np.divide(np.multiply(m, np.float32(rate / (1 - 0.9 ** i)), out=d), x, out=x)
+            w[k] -= x
         self.steps = i
         for k, x in (("e", head), ("t", tail)):
             self.uses[k] += np.bincount(x.ravel(), minlength=SYMBOLS + 1)
 
     def run(self, records: np.ndarray, steps: int):
-        """Each window at least once, and ``steps`` steps at least."""
+        """Each window at least once, and ``steps`` steps at least: windows come again
+        only for the steps that are still missing."""
         self.seen += len(records)
-        done = 0
-        while done < max(steps, -(-len(records) // BATCH)):
+        left = max(steps, -(-len(records) // BATCH)) if len(records) else 0
+        while left > 0:
             order = self.r.permutation(len(records))
-            for lo in range(0, len(order), BATCH):
+            for lo in range(0, min(len(order), left * BATCH), BATCH):
                 self.step(records[order[lo: lo + BATCH]])
-                done += 1
+                left -= 1
 
 
 def _windows(cut: np.ndarray, offset: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -460,7 +470,7 @@ def _waits():
     return F.pmod(F.xxhash64("text", F.lit(7)), F.lit(TUNE)) == 0
 
 
-def token_ratios(r: Read, model: Model, chunk: int = 256) -> np.ndarray:
+def token_ratios(r: Read, model: Model, chunk: int = 128) -> np.ndarray:
     """``log P(class | context) - log P(class)`` of each token, in order."""
     step = WINDOW - OVERLAP
     start, left, text = _windows(r.cut, np.zeros(len(r.cut) - 1, np.int64), step)

@@ -344,6 +344,22 @@ def test_attention_fit(spark):
     assert (got[0] - got[1]) / got[2] > 0.2  # the tongue alone gives 0.3
 
 
+def test_a_shard_stops_at_its_steps(monkeypatch):
+    """A shard a little short of its steps repeats the windows for the missing ones, not all of them."""
+    import numpy as np
+
+    from cohera.llm import attention_lm as lm
+
+    for windows, steps in ((5 * lm.BATCH, 6), (5 * lm.BATCH - 1, 5), (7 * lm.BATCH + 1, 6), (1, 3), (0, 3)):
+        made = []
+        monkeypatch.setattr(lm.Trainer, "step", lambda self, records: made.append(records["n"].tolist()))
+        records = np.zeros(windows, np.dtype([("n", "i8")]))
+        records["n"] = np.arange(windows)
+        lm.Trainer(lm._initial(), np.zeros(1), np.zeros(1), 0.01, 1).run(records, steps)
+        assert len(made) == (max(steps, -(-windows // lm.BATCH)) if windows else 0)
+        assert {i for some in made for i in some} == set(range(windows))
+
+
 def test_attention_gradients_and_windows():
     from cohera.llm import attention_lm as lm
 
