@@ -70,3 +70,21 @@ def test_st3_event_time_window_stream(spark):
     assert out.count() > 0
     assert out.select("window", "n_windows", "n_pairs", "n_correct").exceptAll(
         batch.select("window", "n_windows", "n_pairs", "n_correct")).count() == 0
+
+
+def test_a_corpus_is_written_as_a_file_a_document(spark, tmp_path):
+    """What a partitioned write gives, without a folder a document."""
+    import os
+
+    from cohera.sources.corpus import read_corpus, write_corpus
+
+    rows = [(1, "a b\n\u00e4 c"), (2, ""), (3, None), (4, "x\n\ny\n"), (5, "one"), (5, "two"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    write_corpus(docs, "file:" + new)
+    docs.write.partitionBy("doc_id").text(old)
+    got, want = (sorted(map(tuple, read_corpus(spark, p, encoding="UTF-8", key_from_dir="doc_id").collect())) for p in (new, old))
+    assert got == want and len(got) == 6
+    assert [d for _, folders, _ in os.walk(new) for d in folders] == ["part-00000"]
+    write_corpus(docs, new)  # a repeated task puts the same files in place
+    assert read_corpus(spark, new, encoding="UTF-8").count() == 6
