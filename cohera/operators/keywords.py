@@ -66,7 +66,7 @@ def top_keywords(weights: DataFrame, key: str, k: int = 10, docs: DataFrame | No
                      .alias("keywords"))
     if docs is None:
         return out
-    return docs.select(key).join(out, key, "left").select(key, F.coalesce("keywords", F.lit("")).alias("keywords"))
+    return docs.select(key).join(out.hint("merge"), key, "left").select(key, F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
 def fit_transform_weights(docs: DataFrame, key: str, text: str, stop_words=None):
@@ -81,8 +81,9 @@ def fit_transform_weights(docs: DataFrame, key: str, text: str, stop_words=None)
 def transform_keywords(new_docs: DataFrame, idf: DataFrame, key: str, text: str,
                        k: int = 10, stop_words=None) -> DataFrame:
     """K2: apply an already fitted idf table to unseen text, then K1 (a row
-    for every text)."""
-    return top_keywords(tfidf_weights(new_docs, key, text, idf, stop_words), key, k, docs=new_docs)
+    for every text). The joins merge: a stream does them in every micro-batch, and
+    a broadcast would pass the idf table through the driver each time."""
+    return top_keywords(tfidf_weights(new_docs, key, text, idf.hint("merge"), stop_words), key, k, docs=new_docs)
 
 
 def sample_keywords(keywords: Column, seed, key: Column) -> Column:

@@ -61,7 +61,7 @@ def request_prompts(requests: DataFrame, idf: DataFrame, k: int = 10) -> DataFra
     texts = rows.select("_text_key", text.alias("_text")).distinct()
     kw = transform_keywords(texts, idf, "_text_key", "_text", k)
     prompt = build_prompt("keywords", title="product_title", keywords="keywords")
-    return rows.join(kw, "_text_key").select(*requests.columns, prompt.alias("prompt"))
+    return rows.join(kw.hint("merge"), "_text_key").select(*requests.columns, prompt.alias("prompt"))
 
 
 def stream_prompts(log: DataFrame, idf: DataFrame, sink: str, checkpoint: str, k: int = 10,

@@ -44,6 +44,16 @@ def test_prompts_of_arriving_requests(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/malformed")).count() == 1
 
 
+def test_prompts_broadcast_nothing(spark):
+    """A micro-batch passes neither the idf table nor its texts through the driver."""
+    docs = spark.createDataFrame([("1", "green tea taste"), ("2", "black coffee taste")], "id string, text string")
+    idf = KW.fit_tfidf(docs, "id", "text")
+    requests = spark.createDataFrame([("Tea", "green tea tea", "u1")], "product_title string, review_text string, username string")
+    out = ST.request_prompts(requests, idf)
+    assert [r["prompt"] for r in out.collect()] == ["[BOS]Tea[SEP] tea green[SEP]"]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_event_time_accuracy_drops_late_rows_and_keeps_versions(spark, tmp_path):
     schema = "pair_id string, n_windows int, pos array<string>, neg array<string>, ts timestamp"
     src, sink, ck = (str(tmp_path / d) for d in ("in", "out", "ck"))
