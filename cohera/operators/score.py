@@ -86,6 +86,21 @@ def mean(xs: Column) -> Column:
         F.aggregate(X, F.lit(0.0), lambda acc, x: acc + x) / F.size(X)))
 
 
+def neighbourhood_mean(xs: Column, k: int = 2) -> Column:
+    """``mean(neighbour_mean(xs, k))`` in one pass: of ``4k`` values or more all but
+    the ``2k`` at either end weigh 1, and those by fixed numbers."""
+    shares = [1.0 / (min(i, k) + k + 1) for i in range(3 * k)]
+    more = [sum(shares[max(0, j - k): j + k + 1]) - 1.0 for j in range(2 * k)]
+
+    def body(X):
+        ends = F.lit(0.0)
+        for j, m in enumerate(more):
+            ends = ends + F.lit(m) * (F.element_at(X, j + 1) + F.element_at(X, -(j + 1)))
+        whole = (F.aggregate(X, F.lit(0.0), lambda acc, x: acc + x) + ends) / F.size(X)
+        return F.when(F.size(X) >= max(4 * k, 1), whole).otherwise(mean(neighbour_mean(X, k)))
+    return let(xs, body)
+
+
 def window_scores_from_sims(sims: Column, coef=DEFAULT_COEF, k: int = 2) -> Column:
     """Per valid window ``struct(win_idx, score, feat_mean)``; windows are
     i = 0..L-3 (``size(sims) = L-1``), so L < 3 has none."""
@@ -103,7 +118,7 @@ def window_scores_from_sims(sims: Column, coef=DEFAULT_COEF, k: int = 2) -> Colu
                                 (F.lit(a) * s0 + F.lit(b) * s1 + F.lit(c) * g + F.lit(d)).alias("score"),
                                 ((s0 + s1) / 2.0).alias("feat_mean"))
             return F.transform(idx, at)
-        return let(mean(neighbour_mean(S, k)), with_g)
+        return let(neighbourhood_mean(S, k), with_g)
     return let(sims, body)
 
 
@@ -124,7 +139,7 @@ def document_score_expr(window_scores: Column) -> Column:
 
 def pair_scores(pairs: DataFrame, coef=DEFAULT_COEF, k: int = 2, task: str = "std",
                 pos: str = "pos", neg: str = "neg", perm: str | None = None,
-                words: tuple[str, str] | None = None) -> DataFrame:
+                words: tuple[str, str] | None = None, sims: tuple[str, str] | None = None) -> DataFrame:
     """Score both sides of every pair row (no shuffle).
 
     ``task='std'`` scores the stored negative; ``task='inv'`` scores the
@@ -132,7 +147,11 @@ def pair_scores(pairs: DataFrame, coef=DEFAULT_COEF, k: int = 2, task: str = "st
     negative reuses the positive's word sets (J9). Adds ``pos_windows``,
     ``neg_windows`` (arrays of window structs) and ``pos_score``,
     ``neg_score``. ``words`` names a pair of columns that hold both sides' word
-    sets already."""
+    sets already, ``sims`` one that holds their ``sim_i``."""
+    def side(values):
+        return let(window_scores_from_sims(values, coef, k),
+                   lambda W: F.struct(W.alias("windows"), document_score_expr(W).alias("score")))
+
     def both(S):
         if task == "inv":
             neg_sets = F.reverse(S)
@@ -145,14 +164,13 @@ def pair_scores(pairs: DataFrame, coef=DEFAULT_COEF, k: int = 2, task: str = "st
                 F.transform(col(neg), word_set))
         else:
             neg_sets = F.transform(col(neg), word_set)
+        return F.struct(side(sims_from_sets(S)).alias("p"), side(sims_from_sets(neg_sets)).alias("n"))
 
-        def side(sets):
-            return let(window_scores_from_sims(sims_from_sets(sets), coef, k),
-                       lambda W: F.struct(W.alias("windows"), document_score_expr(W).alias("score")))
-        return F.struct(side(S).alias("p"), side(neg_sets).alias("n"))
-
-    own = F.col(words[0]) if words is not None else F.transform(col(pos), word_set)
-    out = pairs.withColumn("_sc", let(own, both))
+    if sims is not None:
+        scored = F.struct(side(F.col(sims[0])).alias("p"), side(F.col(sims[1])).alias("n"))
+    else:
+        scored = let(F.col(words[0]) if words is not None else F.transform(col(pos), word_set), both)
+    out = pairs.withColumn("_sc", scored)
     return out.select("*", F.col("_sc.p.windows").alias("pos_windows"),
                       F.col("_sc.n.windows").alias("neg_windows"),
                       F.col("_sc.p.score").alias("pos_score"),
