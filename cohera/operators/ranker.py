@@ -24,9 +24,11 @@ def side_features(windows, score) -> list:
 
 
 def ranker_training_rows(pairs: DataFrame, perm: str | None = "perm") -> DataFrame:
-    """The columns ``pos_words`` and ``neg_words``, if there, are both sides' word sets."""
-    words = ("pos_words", "neg_words")
-    s = pair_scores(pairs, perm=perm if perm in pairs.columns else None, words=words if set(words) <= set(pairs.columns) else None)
+    """The columns ``pos_words`` and ``neg_words``, if there, are both sides' word sets,
+    ``pos_sims`` and ``neg_sims`` their overlaps."""
+    words, sims = ("pos_words", "neg_words"), ("pos_sims", "neg_sims")
+    has = lambda names: names if set(names) <= set(pairs.columns) else None
+    s = pair_scores(pairs, perm=perm if perm in pairs.columns else None, words=has(words), sims=has(sims))
     pf = side_features(F.col("pos_windows"), F.col("pos_score"))
     nf = side_features(F.col("neg_windows"), F.col("neg_score"))
     diff = F.array(*[a - b for a, b in zip(pf, nf)])
