@@ -112,9 +112,10 @@ def accuracy_stream(scored_pairs: DataFrame, by: str = "n_windows", event_time:
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """Scores by the sides' word sets, where ``pairs`` has them, else by their text."""
-    words = ("pos_words", "neg_words")
-    return pair_scores(pairs, words=words if set(words) <= set(pairs.columns) else None)
+    """Scores by the sides' overlaps or word sets, where ``pairs`` has them, else by their text."""
+    words, sims = ("pos_words", "neg_words"), ("pos_sims", "neg_sims")
+    has = lambda names: names if set(names) <= set(pairs.columns) else None
+    return pair_scores(pairs, words=has(words), sims=has(sims))
 
 
 def stream_accuracy(pairs_stream: DataFrame, sink: str, checkpoint: str, by: str = "n_windows",
