@@ -400,11 +400,12 @@ def align_order_long(pairs: DataFrame, pos: str = "pos", neg: str = "neg", key:
     A pair is aligned in its row, by sorting codes of its sentences, so a document
     may be of any length that a row holds, and no sentence is shuffled. Rows that
     share their ``key`` are aligned as one pair (:func:`_align_shared`). ``pairs``
-    is read three times. Null arrays count as empty, null sentences equal one another."""
+    is read three times. Null arrays count as empty, null sentences equal one another.
+    The sides may hold numbers (:func:`first_place`) if no rows of different documents share a ``key``."""
     modes = (mode,) if isinstance(mode, str) else tuple(mode)
     if not set(modes) <= set(MODES):
         raise ValueError(mode)
-    none = F.array().cast("array<string>")
+    none = F.array().cast(pairs.schema[pos].dataType)
     rows = pairs.select(key, F.coalesce(pos, none).alias("_pos"), F.coalesce(neg, none).alias("_neg"))
     shared = materialise(pairs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_shared")), "shared-keys")
     same = F.col(key).eqNullSafe(F.col("_shared"))
@@ -486,7 +487,7 @@ def _align_shared(pairs: DataFrame, key: str, mode: str) -> DataFrame:
     P, N = F.col("_pos"), F.col("_neg")
 
     def entry(s, i, side, stays):
-        return F.struct(F.coalesce(F.sha2(s, 256), F.lit("")).alias("_s"), F.lit(side).alias("_neg"),
+        return F.struct(F.coalesce(F.sha2(s.cast("string"), 256), F.lit("")).alias("_s"), F.lit(side).alias("_neg"),
                         stays.alias("_stays"), i.alias("_i"))
 
     def in_place(s, j):
