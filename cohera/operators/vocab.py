@@ -101,34 +101,51 @@ def encode(tokens: DataFrame, vocab: DataFrame, oov: str = "unk",
 
 
 def encode_docs(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", oov: str = "unk",
-                unk: str = "<unk>", commonest: int = 4096) -> DataFrame:
+                unk: str = "<unk>", commonest: int = 1 << 15) -> DataFrame:
     """J3 without moving tokens: ``docs`` with ``ids`` (``ARRAY<ARRAY<LONG>>``) for
     ``tokens`` (``ARRAY<ARRAY<STRING>>``), other columns unchanged.
 
-    What is joined is one row a document and distinct word. The ``commonest``
-    words -- ids count down from the most frequent, so their number bounds the
-    broadcast -- meet a broadcast table and are never shuffled by word; only the
-    others are, and none of them is hot. The words and ids of a document come
-    back to its row, and an Arrow batch looks its words up in one hash table. A
-    null array has null ids, an unknown or null word the id of ``unk``
+    The ``commonest`` words -- ids count down from the most frequent, so their
+    number bounds what each task gets -- are looked up where the document is. What
+    is joined is one row a document and distinct other word, none of which is hot.
+    A null array has null ids, an unknown or null word the id of ``unk``
     (``oov='unk'``) or raises (``oov='error'``)."""
     if oov not in ("unk", "error"):
         raise ValueError(oov)
     unk_id = vocab.filter(F.col("word") == unk).select("idx").first()
     if unk_id is None and oov == "unk":
         raise ValueError(f"vocabulary has no {unk!r}")
+    table = vocab.select(F.col("word").alias("k"), F.col("idx").alias("v"))
+    return _look_up(docs, tokens, "ids", table, "v", commonest, unk_id[0] if oov == "unk" else None,
+                    "word not in vocabulary: " if oov == "error" else None)
+
+
+def decode_docs(docs: DataFrame, vocab: DataFrame, ids: str = "ids", commonest: int = 1 << 15) -> DataFrame:
+    """T11 in the document's row: ``docs`` with ``words`` for ``ids``, looked up as by
+    :func:`encode_docs`; an id that the vocabulary has not is null."""
+    table = vocab.select(F.col("idx").alias("k"), F.col("word").alias("v"))
+    return _look_up(docs, ids, "words", table, "k", commonest)
+
+
+def _look_up(docs: DataFrame, column: str, name: str, table: DataFrame, idx: str, commonest: int, miss=None, error=None) -> DataFrame:
+    """``docs`` with ``name``: the values ``v`` of ``table(k, v)`` for the keys in the
+    nested arrays ``column``. Rows of ``table`` whose ``idx`` is below ``commonest`` go to every
+    task, the others to the documents that have their key. A key without a value takes
+    ``miss``, or raises ``error``; of several values the one of least ``v`` counts."""
+    spark = docs.sparkSession
+    table = table.filter("k IS NOT NULL")
     # read three times: written once, so nothing is tokenised again
-    rows = materialise(docs.withColumn("_row", F.xxhash64("doc_id", tokens)), "encode-rows")
-    words = rows.select("_row", F.explode(F.array_distinct(F.flatten(tokens))).alias("word")).filter("word is not null")
-    v = vocab.select("word", "idx")
-    top = fixed_size(v.filter(F.col("idx") < commonest))
-    rare = words.join(top.select("word"), "word", "left_anti").join(v.filter(F.col("idx") >= commonest), "word")
-    found = words.join(top, "word").unionByName(rare)
-    own = found.groupBy("_row").agg(F.collect_set(F.struct("word", "idx")).alias("_d"))
-    own = own.select("_row", F.col("_d.word").alias("_words"), F.col("_d.idx").alias("_idxs"))
-    keep = [f for f in docs.schema.fields if f.name != "ids"]
-    schema = StructType([*keep, StructField("ids", ArrayType(ArrayType(LongType())))])
-    miss = unk_id[0] if unk_id and oov == "unk" else None
+    rows = materialise(docs.withColumn("_row", F.xxhash64("doc_id", column)), "look-up-rows")
+    top = table.filter(F.col(idx) < commonest).groupBy("k").agg(F.min("v").alias("v"))
+    common = spark.sparkContext.broadcast(tuple(map(list, zip(*top.collect()))) or ([], []))  # a parameter's number of rows
+    keys = rows.select("_row", F.explode(F.array_distinct(F.flatten(column))).alias("k")).filter("k IS NOT NULL")
+    keys = keys.join(fixed_size(top.select("k")), "k", "left_anti")
+    found = keys.join(table.filter(F.col(idx) >= commonest), "k")
+    own = found.groupBy("_row").agg(F.collect_set(F.struct("k", "v")).alias("_d"))
+    own = own.select("_row", F.col("_d.k").alias("_keys"), F.col("_d.v").alias("_values"))
+    keep = [f for f in docs.schema.fields if f.name != name]
+    value = table.schema["v"].dataType
+    schema = StructType([*keep, StructField(name, ArrayType(ArrayType(value)))])
 
     def look_up(batches):
         import pyarrow as pa
@@ -139,19 +156,21 @@ def encode_docs(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", oov:
 
         for batch in batches:
             get = dict(zip(batch.schema.names, batch.columns))
-            known = pa.table({"w": get["_words"].flatten(), "i": get["_idxs"].flatten()}).group_by("w").aggregate([("i", "min")])
-            sents = get[tokens]
+            rare = pa.table({"k": get["_keys"].flatten(), "v": get["_values"].flatten()}).group_by("k").aggregate([("v", "min")])
+            k = pa.concat_arrays([pa.array(common.value[0], rare["k"].type), rare["k"].combine_chunks()])
+            v = pa.concat_arrays([pa.array(common.value[1], rare["v_min"].type), rare["v_min"].combine_chunks()])
+            sents = get[column]
             sents = sents if sents.offset == 0 else pa.concat_arrays([sents])
             words = sents.values
             flat = words.values
-            at = pc.index_in(flat, value_set=known["w"].combine_chunks())
-            if miss is None and at.null_count:
-                raise ValueError(f"word not in vocabulary: {flat.filter(at.is_null())[0]}")
-            ids = known["i_min"].combine_chunks().take(at).cast(pa.int64())
-            ids = ids.fill_null(miss) if miss is not None else ids
-            yield pa.RecordBatch.from_arrays([*(get[f.name] for f in keep), lists(sents, lists(words, ids))], [*(f.name for f in keep), "ids"])
-
-    rows = rows.join(own, "_row", "left").select(*[f.name for f in keep], "_words", "_idxs")
+            at = pc.index_in(flat, value_set=k)
+            if error and at.null_count:
+                raise ValueError(f"{error}{flat.filter(at.is_null())[0]}")
+            out = v.take(at)
+            out = out.fill_null(miss) if miss is not None else out
+            yield pa.RecordBatch.from_arrays([*(get[f.name] for f in keep), lists(sents, lists(words, out))], [*(f.name for f in keep), name])
+
+    rows = rows.join(own, "_row", "left").select(*[f.name for f in keep], "_keys", "_values")
     return rows.mapInArrow(look_up, schema)
 
 
